@@ -202,9 +202,9 @@ def exact_percentile(
     fine, coarse = 4.0 / accuracy, 0.01
     cuts = [max(0.0, q - coarse), max(0.0, q - fine), min(1.0, q + fine), min(1.0, q + coarse)]
     wide = rows.groupBy(*keys).agg(
-        F.percentile_approx("__v", cuts, accuracy).alias("b"),
-        F.min("__v").alias("least"),
-        F.max("__v").alias("most"),
+        F.percentile_approx("__v", cuts, accuracy).alias("__b"),
+        F.min("__v").alias("__least"),
+        F.max("__v").alias("__most"),
         _count("__n"),
     )
 
@@ -213,38 +213,38 @@ def exact_percentile(
         return picked.when(F.col("__n") >= 1000, _inner(at_coarse, end)).otherwise(F.col(end))
 
     def _inner(i: int, end: str) -> Column:
-        return F.col(end) if cuts[i] in (0.0, 1.0) else F.col("b")[i]
+        return F.col(end) if cuts[i] in (0.0, 1.0) else F.col("__b")[i]
 
-    wide = wide.select(*keys, "__n", cut(1, 0, "least").alias("lo"), cut(2, 3, "most").alias("hi"))
+    wide = wide.select(*keys, "__n", cut(1, 0, "__least").alias("__lo"), cut(2, 3, "__most").alias("__hi"))
 
-    inside = F.col("__v").between(F.col("lo"), F.col("hi"))
+    inside = F.col("__v").between(F.col("__lo"), F.col("__hi"))
     narrow = (
         rows.join(wide, keys)
-        .groupBy(*keys, "lo", "hi", "__n")
+        .groupBy(*keys, "__lo", "__hi", "__n")
         .agg(
-            F.count_if(F.col("__v") < F.col("lo")).alias("below"),
-            F.count_if(inside).alias("m"),
-            F.percentile_approx(F.when(inside, F.col("__v")), [i / grid for i in range(grid + 1)], accuracy).alias("g"),
+            F.count_if(F.col("__v") < F.col("__lo")).alias("__below"),
+            F.count_if(inside).alias("__m"),
+            F.percentile_approx(F.when(inside, F.col("__v")), [i / grid for i in range(grid + 1)], accuracy).alias("__g"),
         )
     )
-    position = (rank - F.col("below")) / F.col("m") * grid
+    position = (rank - F.col("__below")) / F.col("__m") * grid
 
     def slot(col: Column) -> Column:
         return F.least(F.greatest(col, F.lit(0)), F.lit(grid)).cast("int")
 
     first, final = slot(F.floor(position) - 3), slot(F.ceil(position) + 3)
-    many = F.col("m") >= 5 * grid
+    many = F.col("__m") >= 5 * grid
     narrow = narrow.select(
         *keys,
         "__n",
-        F.when(many & (first > 0), F.col("g")[first]).otherwise(F.col("lo")).alias("lo"),
-        F.when(many & (final < grid), F.col("g")[final]).otherwise(F.col("hi")).alias("hi"),
+        F.when(many & (first > 0), F.col("__g")[first]).otherwise(F.col("__lo")).alias("__lo"),
+        F.when(many & (final < grid), F.col("__g")[final]).otherwise(F.col("__hi")).alias("__hi"),
     )
 
     counted = (
         rows.join(narrow, keys)
-        .filter(F.col("__v") <= F.col("hi"))
-        .groupBy(*keys, "__n", F.when(F.col("__v") >= F.col("lo"), F.col("__v")).alias("__v"))
+        .filter(F.col("__v") <= F.col("__hi"))
+        .groupBy(*keys, "__n", F.when(F.col("__v") >= F.col("__lo"), F.col("__v")).alias("__v"))
         .agg(_count("__c"))
     )
     # One entry per distinct value left, after one for everything below (NULL sorts first).

@@ -6,6 +6,8 @@ import importlib
 
 _MODULES = [
     "q_aggregates",
+    "q_filters",
+    "q_ingest",
 ]
 
 

@@ -50,7 +50,7 @@ _LOGS_SPARK = "SELECT *, " + _LOG_FIELDS.format(
 
 LOGS = (
     "WITH logs AS (SELECT "
-    + _LOG_FIELDS.format(ms="epoch_ms(ts)", k="json_extract_string(props, '$.k')")
+    + _LOG_FIELDS.format(ms="epoch_us(ts) // 1000", k="json_extract_string(props, '$.k')")
     + """,
   ts + INTERVAL 3 SECOND AS ingested_at,
   strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month, strftime(ts, '%d') AS day, strftime(ts, '%H') AS hour,
