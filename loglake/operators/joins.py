@@ -69,10 +69,9 @@ def densify(df: DataFrame, label: str, category: str, value: str, spread: int =
         df.select(category).distinct().withColumn("__s", F.pmod(F.xxhash64(category), F.lit(spread)).cast("int"))
     )
     grid = labels.join(categories, "__s").drop("__s")
-    same = (grid[label].eqNullSafe(df[label])) & (grid[category].eqNullSafe(df[category]))
-    return grid.join(df, same, "left").select(
-        grid[label], grid[category], F.coalesce(df[value], F.lit(0)).alias(value)
-    )
+    cells = df.select(F.col(label).alias("__l"), F.col(category).alias("__c"), F.col(value).alias("__v"))
+    same = F.col(label).eqNullSafe(F.col("__l")) & F.col(category).eqNullSafe(F.col("__c"))
+    return grid.join(cells, same, "left").select(label, category, F.coalesce("__v", F.lit(0)).alias(value))
 
 
 def reports_with_sql(reports: DataFrame, saved_queries: DataFrame) -> DataFrame:

@@ -8,6 +8,11 @@ _MODULES = [
     "q_aggregates",
     "q_filters",
     "q_ingest",
+    "q_joins",
+    "q_alerts",
+    "q_schema",
+    "q_matviews",
+    "q_tiers",
 ]
 
 

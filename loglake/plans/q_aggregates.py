@@ -9,7 +9,7 @@ from loglake.operators.charts import gauge_value, stat_value
 from loglake.operators.dedup import duplicate_rate, duplicates
 from loglake.operators.filters import name_in
 from loglake.plans.fixtures import AS_OF, DELIVERIES, LOGS, QLOG, T_FROM, T_TO, deliveries, logs, query_log
-from loglake.plans.registry import query
+from loglake.plans.registry import query, rounded
 
 EXACT = 1_000_000  # percentile accuracy at which the check tables are exact
 
@@ -100,12 +100,12 @@ def _(spark, sf):
 
 @query(
     "a10_service_error_scatter",
-    LOGS + f"""SELECT service, count(*) AS error_count, round(avg(duration_ms), 6) AS avg_latency_ms FROM logs
+    LOGS + f"""SELECT service, count(*) AS error_count, round(avg(duration_ms) + 1e-9, 6) AS avg_latency_ms FROM logs
     WHERE lower(level) = 'error' AND duration_ms IS NOT NULL AND {_RANGE} GROUP BY 1 ORDER BY 1 LIMIT 200""",
 )
 def _(spark, sf):
     rows = A.service_error_scatter(logs(spark, sf), T_FROM, T_TO)
-    return rows.withColumn("avg_latency_ms", F.round("avg_latency_ms", 6))
+    return rows.withColumn("avg_latency_ms", rounded("avg_latency_ms"))
 
 
 @query(
@@ -187,11 +187,11 @@ def _(spark, sf):
 
 @query(
     "a17_average_latency",
-    LOGS + """SELECT endpoint, round(avg(duration_ms), 6) AS avg_ms, count(*) AS requests FROM logs
+    LOGS + """SELECT endpoint, round(avg(duration_ms) + 1e-9, 6) AS avg_ms, count(*) AS requests FROM logs
     WHERE log_type = 'Metric' GROUP BY 1""",
 )
 def _(spark, sf):
-    return A.average_latency(name_in(logs(spark, sf), "log_type", "Metric")).withColumn("avg_ms", F.round("avg_ms", 6))
+    return A.average_latency(name_in(logs(spark, sf), "log_type", "Metric")).withColumn("avg_ms", rounded("avg_ms"))
 
 
 @query(
@@ -214,11 +214,11 @@ def _(spark, sf):
 
 @query(
     "a19_exact_percentile",
-    LOGS + """SELECT tenant_id, round(quantile_cont(duration_ms, 0.99), 6) AS percentile FROM logs GROUP BY 1""",
+    LOGS + """SELECT tenant_id, round(quantile_cont(duration_ms, 0.99) + 1e-9, 6) AS percentile FROM logs GROUP BY 1""",
 )
 def _(spark, sf):
     rows = A.exact_percentile(logs(spark, sf), ["tenant_id"], "duration_ms", 0.99)
-    return rows.withColumn("percentile", F.round("percentile", 6))
+    return rows.withColumn("percentile", rounded("percentile"))
 
 
 @query(
@@ -232,31 +232,31 @@ def _(spark, sf):
 @query(
     "a21_duplicate_rate",
     DELIVERIES + """, rated AS (SELECT tenant_id, count(*) AS ingested, count(*) - count(DISTINCT id) AS skipped FROM deliveries GROUP BY 1)
-    SELECT tenant_id, ingested, skipped, round(100.0 * skipped / ingested, 6) AS duplicate_pct,
+    SELECT tenant_id, ingested, skipped, round(100.0 * skipped / ingested + 1e-9, 6) AS duplicate_pct,
       CASE WHEN 100.0 * skipped / ingested >= 10 THEN 'critical' WHEN 100.0 * skipped / ingested >= 5 THEN 'high'
         WHEN 100.0 * skipped / ingested >= 1 THEN 'elevated' ELSE 'normal' END AS band FROM rated""",
 )
 def _(spark, sf):
-    return duplicate_rate(deliveries(spark, sf)).withColumn("duplicate_pct", F.round(F.col("duplicate_pct").cast("double"), 6))
+    return duplicate_rate(deliveries(spark, sf)).withColumn("duplicate_pct", rounded(F.col("duplicate_pct").cast("double")))
 
 
 @query(
     "a22_ingestion_rate",
     LOGS + """SELECT time_bucket(INTERVAL 5 MINUTE, timestamp) AS bucket, count(*) AS entries,
-      round(count(*) / 300.0, 6) AS per_second FROM logs GROUP BY 1""",
+      round(count(*) / 300.0 + 1e-9, 6) AS per_second FROM logs GROUP BY 1""",
 )
 def _(spark, sf):
-    return A.ingestion_rate(logs(spark, sf)).withColumn("per_second", F.round("per_second", 6))
+    return A.ingestion_rate(logs(spark, sf)).withColumn("per_second", rounded("per_second"))
 
 
 @query(
     "a23_error_ratio",
     LOGS + """SELECT time_bucket(INTERVAL 5 MINUTE, timestamp) AS bucket, count(*) AS entries,
       count(*) FILTER (lower(level) IN ('error', 'fatal')) AS errors,
-      round(count(*) FILTER (lower(level) IN ('error', 'fatal')) / count(*), 6) AS error_ratio FROM logs GROUP BY 1""",
+      round(count(*) FILTER (lower(level) IN ('error', 'fatal')) / count(*) + 1e-9, 6) AS error_ratio FROM logs GROUP BY 1""",
 )
 def _(spark, sf):
-    return A.error_ratio(logs(spark, sf)).withColumn("error_ratio", F.round("error_ratio", 6))
+    return A.error_ratio(logs(spark, sf)).withColumn("error_ratio", rounded("error_ratio"))
 
 
 _BOUNDS_SQL = ", ".join(str(b) for b in A.LATENCY_BUCKETS)
@@ -269,23 +269,23 @@ _BOUNDS_SQL = ", ".join(str(b) for b in A.LATENCY_BUCKETS)
     steps AS (SELECT *, lag(c, 1, 0) OVER (PARTITION BY service ORDER BY i) AS below,
       lag(b, 1, 0) OVER (PARTITION BY service ORDER BY i) AS low FROM cum)
     SELECT service, any_value(total) AS total,
-      round(coalesce(min_by(low + (b - low) * (0.99 * total - below) / nullif(c - below, 0), i) FILTER (c >= 0.99 * total), 10000), 6) AS estimate
+      round(coalesce(min_by(low + (b - low) * (0.99 * total - below) / nullif(c - below, 0), i) FILTER (c >= 0.99 * total), 10000) + 1e-9, 6) AS estimate
     FROM steps GROUP BY 1""",
 )
 def _(spark, sf):
-    return A.histogram_quantile(logs(spark, sf), "duration_ms", 0.99, ["service"]).withColumn("estimate", F.round("estimate", 6))
+    return A.histogram_quantile(logs(spark, sf), "duration_ms", 0.99, ["service"]).withColumn("estimate", rounded("estimate"))
 
 
 @query(
     "a25_query_cost_by_tenant",
-    QLOG + """SELECT tenant_id, date_trunc('day', submitted_at) AS day, round(sum(estimated_bytes / 1099511627776.0 * 5), 6) AS cost_usd,
+    QLOG + """SELECT tenant_id, date_trunc('day', submitted_at) AS day, round(sum(estimated_bytes / 1099511627776.0 * 5) + 1e-9, 6) AS cost_usd,
       count(*) AS queries, sum(estimated_bytes / 1099511627776.0 * 5) > 3.0 AS over_budget FROM qlog GROUP BY 1, 2""",
 )
 def _(spark, sf):
     from loglake.operators.governance import query_cost
 
     costed = query_log(spark, sf).withColumn("cost_usd", query_cost(F.col("estimated_bytes")))
-    return A.query_cost_by_tenant(costed, alarm=3.0).withColumn("cost_usd", F.round("cost_usd", 6))
+    return A.query_cost_by_tenant(costed, alarm=3.0).withColumn("cost_usd", rounded("cost_usd"))
 
 
 @query(
@@ -318,14 +318,14 @@ def _(spark, sf):
     LOGS + """SELECT date_trunc('hour', timestamp) AS bucket, category AS metric_name, metric_type, count(*) AS samples,
       CASE WHEN metric_type = 'Counter' THEN round(sum(metric_value), 4) END AS total,
       CASE WHEN metric_type = 'Gauge' THEN arg_max(metric_value, (timestamp, id)) END AS last_value,
-      CASE WHEN metric_type = 'Gauge' THEN round(avg(metric_value), 6) END AS mean_value,
+      CASE WHEN metric_type = 'Gauge' THEN round(avg(metric_value) + 1e-9, 6) END AS mean_value,
       CASE WHEN metric_type IN ('Histogram', 'Summary') THEN quantile_disc(metric_value, 0.5) END AS p50,
       CASE WHEN metric_type IN ('Histogram', 'Summary') THEN quantile_disc(metric_value, 0.99) END AS p99
     FROM logs WHERE metric_value IS NOT NULL GROUP BY 1, 2, 3""",
 )
 def _(spark, sf):
     rows = A.metric_rollup(logs(spark, sf))
-    return rows.withColumns({"total": F.round("total", 4), "mean_value": F.round("mean_value", 6)})
+    return rows.withColumns({"total": F.round("total", 4), "mean_value": rounded("mean_value")})
 
 
 @query("a29_distinct_labels", LOGS + "SELECT DISTINCT tenant_id, source_id, log_type FROM logs")

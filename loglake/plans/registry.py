@@ -34,3 +34,8 @@ def plain_times(df: DataFrame) -> DataFrame:
     """UTC wall-clock timestamps without zone, the type the input tables use."""
     zoned = [f.name for f in df.schema if isinstance(f.dataType, T.TimestampType)]
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in zoned}) if zoned else df
+
+
+def rounded(col, digits: int = 6):
+    """Value for comparison. The shift keeps exact halves, which engines round differently, off the edge."""
+    return F.round((F.col(col) if isinstance(col, str) else col) + 1e-9, digits)

@@ -107,14 +107,20 @@ def write_batch(batch: DataFrame, root: str, batch_id: int, *partitions: str) ->
 
 
 def alert_stream(
-    logs: DataFrame, rules: DataFrame, as_of, root: str, checkpoint: str, trigger: dict = AVAILABLE_NOW
+    logs: DataFrame, rules: DataFrame, as_of, root: str, checkpoint: str,
+    store: Callable[[], DataFrame] | None = None, trigger: dict = AVAILABLE_NOW,
 ) -> StreamingQuery:
-    """Evaluate all rules on each arriving batch and keep the fired events."""
+    """When a batch arrives, evaluate the enabled rules of its tenants and keep the fired events.
+
+    Rules look at `store` (the archive, which `evaluate_rules` cuts to the last day), or at the batch
+    alone when there is none.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         tenants = batch.select("tenant_id").distinct()
         mine = rules.join(tenants, "tenant_id", "left_semi")
-        write_batch(fired_events(evaluate_rules(batch, mine, as_of), as_of), root, batch_id)
+        seen = batch if store is None else store().join(tenants, "tenant_id", "left_semi")
+        write_batch(fired_events(evaluate_rules(seen, mine, as_of), as_of), root, batch_id)
 
     return for_each_batch(logs, handle, checkpoint, trigger)
 
