@@ -13,6 +13,8 @@ _MODULES = [
     "q_schema",
     "q_matviews",
     "q_tiers",
+    "q_storage",
+    "q_streaming",
 ]
 
 

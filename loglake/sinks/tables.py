@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from loglake import schema
 from loglake.functions.columns import partition_parts, ts_lit
 from loglake.operators.dedup import KEY, latest_by_key
 
+_MIN_SIZE = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
 HOT_PARTITIONS = ["tenant_id", "event_date"]
 
 
@@ -21,24 +23,40 @@ def _with_event_time(entries: DataFrame) -> DataFrame:
     return entries.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
 
 
+@contextmanager
+def _many_writers(spark: SparkSession):
+    """Keep AQE from merging a rebalanced shuffle into a few tasks.
+
+    Rows are already together by table partition, so more tasks make no more files; they only create
+    them in parallel.
+    """
+    before = spark.conf.get(_MIN_SIZE)
+    spark.conf.set(_MIN_SIZE, "1KB")
+    try:
+        yield
+    finally:
+        spark.conf.set(_MIN_SIZE, before)
+
+
 def write_archive(entries: DataFrame, root: str, mode: str = "append", max_rows_per_file: int = 0) -> None:
     """Parquet by tenant and hour of the event time.
 
-    The rebalance hint shuffles by the partition columns, after which AQE merges small hours into one
-    task and splits a hot tenant-hour over several, each writing files of advisory size.
+    The rebalance hint shuffles by the partition columns, after which AQE splits a hot tenant-hour over
+    several tasks, each writing files of advisory size.
     """
     rows = _with_event_time(entries)
     rows = rows.withColumns(partition_parts(F.col("timestamp")))
     names = [f.name for f in schema.LOG_ENTRY.fields if f.name != "tenant_id"]
-    (
+    writer = (
         rows.select(*names, "timestamp", *schema.PARTITION_COLUMNS)
         .hint("rebalance", *schema.PARTITION_COLUMNS)
         .write.mode(mode)
         .option("maxRecordsPerFile", max_rows_per_file)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*schema.PARTITION_COLUMNS)
-        .parquet(root)
     )
+    with _many_writers(entries.sparkSession):
+        writer.parquet(root)
 
 
 def compact_archive(spark: SparkSession, root: str, target: str, where: Column | None = None) -> None:
@@ -80,13 +98,14 @@ def upsert_hot(batch: DataFrame, root: str) -> None:
         emptied = touched_old.join(latest, HOT_PARTITIONS, "left_anti")
         for row in emptied.toLocalIterator():
             _delete_path(spark, f"{root}/tenant_id={row.tenant_id}/event_date={row.event_date}")
-    (
+    writer = (
         latest.hint("rebalance", *HOT_PARTITIONS)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*HOT_PARTITIONS)
-        .parquet(root)
     )
+    with _many_writers(spark):
+        writer.parquet(root)
 
 
 def fan_out(batch: DataFrame, sinks: dict[str, Callable[[DataFrame], None]]) -> list[str]:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +14,16 @@ from loglake.operators.filters import partition_range, time_range
 from loglake.plans.logs_view import canonical_logs
 
 _CORRUPT = "_corrupt"
+_SCHEME = r"^[A-Za-z0-9+.-]+:/+"
+
+
+def key_of(path: str) -> str:
+    """The key of a path: without its scheme, which Spark writes in more than one way."""
+    return re.sub(_SCHEME, "/", path)
+
+
+def _key() -> Column:
+    return F.regexp_replace(F.col("_metadata.file_path"), _SCHEME, "/")
 
 
 def parse_ndjson(lines: DataFrame, row_type: T.StructType = schema.LOG_ENTRY) -> tuple[DataFrame, DataFrame]:
@@ -56,14 +67,14 @@ def pull_new_files(
 ) -> tuple[DataFrame, DataFrame]:
     """(entries of files whose key is greater than `last_key`, one row with the new key).
 
-    Only the file listing is needed to choose the files; keys compare by their bytes.
+    Only the file listing is needed to choose the files; keys (see `key_of`) compare by their bytes.
     """
     keys = file_keys(spark, directory, glob)
     fresh = keys if last_key is None else keys.filter(F.col("key") > last_key)
     lines = (
         spark.read.option("pathGlobFilter", glob)
         .text(directory)
-        .select("value", F.col("_metadata.file_path").alias("key"))
+        .select("value", _key().alias("key"))
     )
     if last_key is not None:
         lines = lines.filter(F.col("key") > last_key)
@@ -80,7 +91,7 @@ def file_keys(spark: SparkSession, directory: str, glob: str = "*") -> DataFrame
         .option("recursiveFileLookup", "true")
         .load(directory)
     )
-    return files.select(F.col("path").alias("key"), F.col("length").alias("bytes")).orderBy("key")
+    return files.select(_key().alias("key"), F.col("length").alias("bytes")).orderBy("key")
 
 
 def read_archive(

@@ -54,13 +54,18 @@ def dedup_stream(df: DataFrame, ttl: str = "24 hours", ts: str = "ingested_at",
 
 def ingest_stream(
     dtos: DataFrame, tenant: Column | str, as_of, ingested_at, root: str, checkpoint: str,
-    ttl: str = "24 hours", trigger: dict = AVAILABLE_NOW, max_rows_per_file: int = 0, mode: str = "Push",
+    ttl: str = "24 hours", trigger: dict = AVAILABLE_NOW, max_rows_per_file: int = 0, mode: str = "Push", spread: int = 4,
 ) -> StreamingQuery:
-    """Validate, normalise, de-duplicate and append to the archive. The file sink commits each batch once."""
+    """Validate, normalise, de-duplicate and append to the archive. The file sink commits each batch once.
+
+    Rows are brought together by table partition to keep the number of files down; a tenant-hour is
+    divided over up to `spread` tasks, since adaptive splitting does not apply to streams.
+    """
     accepted, _ = split_valid(validate_entries(dtos, as_of))
     entries = dedup_stream(to_entries(accepted, tenant, mode, ingested_at), ttl)
     rows = entries.withColumn("timestamp", F.timestamp_millis("timestamp_unix_ms"))
     rows = rows.withColumns(partition_parts(F.col("timestamp")))
+    rows = rows.repartition(*schema.PARTITION_COLUMNS, F.pmod(F.xxhash64("id"), F.lit(spread)))
     return (
         rows.writeStream.format("parquet")
         .outputMode("append")
