@@ -13,11 +13,19 @@ from loglake import schema
 
 def is_blank(col: Column) -> Column:
     """NULL, empty or whitespace only."""
-    return ~F.coalesce(col, F.lit("")).rlike(r"\S")
+    text = F.coalesce(F.trim(col), F.lit(""))
+    return (text == "") | ((F.ascii(text) < 32) & ~text.rlike(r"\S"))
+
+
+def stripped(col: Column) -> Column:
+    """Text without surrounding whitespace."""
+    text = F.trim(col)
+    other = (F.ascii(text) < 32) | (F.ascii(F.right(text, F.lit(1))) < 32)
+    return F.when(other, F.regexp_replace(text, r"^\s+|\s+$", "")).otherwise(text)
 
 
 def blank_to_null(col: Column) -> Column:
-    return F.when(col.rlike(r"\S"), col)
+    return F.when(~is_blank(col), col)
 
 
 def canon_enum(col: Column, values: list[str], aliases: dict[str, str] | None = None) -> Column:
@@ -100,40 +108,52 @@ def uuid7_time(id_col: Column) -> Column:
 
 
 # -- value probes --------------------------------------------------------------
-# Accepted grammar: bool is true/false only; int64 is an optionally signed digit string in range;
-# double also takes thousands separators, exponents, NaN and Infinity; timestamps are ISO dates with
-# an optional time and offset. Surrounding blanks are ignored.
+# Accepted grammar, for text without surrounding blanks (`stripped`): bool is true/false only; int64 is an
+# optionally signed digit string in range; double also takes thousands separators, exponents, NaN and
+# Infinity; timestamps are ISO dates with an optional time and offset. Each probe looks at the first
+# character before it tries anything dearer.
+
+_DOUBLE = r"^[+-]?((\d[\d,]*)(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
+_SPECIAL_DOUBLE = r"(?i)^([+-]?infinity|[+-]?nan|[+-]?∞)$"
+_ISO_TIMESTAMP = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s?(Z|[+-]\d{2}:?\d{2})?)?$"
 
-_DOUBLE = r"^\s*[+-]?((\d[\d,]*)(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
-_SPECIAL_DOUBLE = r"(?i)^\s*([+-]?infinity|[+-]?nan|[+-]?∞)\s*$"
-_ISO_TIMESTAMP = (
-    r"^\s*\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s?(Z|[+-]\d{2}:?\d{2})?)?\s*$"
-)
 
+def _starts_like_number(text: Column) -> Column:
+    return F.ascii(text).between(ord("+"), ord("9"))
 
-def parses_bool(col: Column) -> Column:
-    return col.rlike(r"(?i)^\s*(true|false)\s*$")
 
+def parses_bool(text: Column) -> Column:
+    return F.length(text).between(4, 5) & F.lower(text).isin("true", "false")
 
-def parses_int64(col: Column) -> Column:
-    return col.rlike(r"^\s*[+-]?\d+\s*$") & F.trim(col).try_cast("bigint").isNotNull()
+
+def parses_int64(text: Column) -> Column:
+    # A cast that fails is dear, so it is left to the digit strings that may be out of range.
+    digits = _starts_like_number(text) & text.rlike(r"^[+-]?\d+$")
+    return digits & ((F.length(text) <= 18) | text.try_cast("bigint").isNotNull())
+
+
+def _double_of(text: Column) -> Column:
+    plain = F.translate(text, ",", "").try_cast("double")
+    special = F.when(F.lower(text).contains("nan"), F.lit(float("nan"))).otherwise(
+        F.when(text.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
+    )
+    return F.when(_starts_like_number(text) & text.rlike(_DOUBLE), plain).when(
+        F.length(text).between(1, 9) & text.rlike(_SPECIAL_DOUBLE), special
+    )
 
 
 def to_double(col: Column) -> Column:
     """Number held in text, or NULL."""
-    plain = F.regexp_replace(F.trim(col), ",", "").try_cast("double")
-    special = F.when(F.lower(col).contains("nan"), F.lit(float("nan"))).otherwise(
-        F.when(F.trim(col).startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
-    )
-    return F.when(col.rlike(_DOUBLE), plain).when(col.rlike(_SPECIAL_DOUBLE), special)
+    return _double_of(stripped(col))
 
 
-def parses_double(col: Column) -> Column:
-    return to_double(col).isNotNull()
+def parses_double(text: Column) -> Column:
+    return _double_of(text).isNotNull()
 
 
-def parses_timestamp(col: Column) -> Column:
-    return col.rlike(_ISO_TIMESTAMP) & F.trim(col).try_cast("timestamp").isNotNull()
+def parses_timestamp(text: Column) -> Column:
+    dated = _starts_like_number(text) & (F.substring(text, 5, 1) == "-")
+    return dated & text.rlike(_ISO_TIMESTAMP) & text.try_cast("timestamp").isNotNull()
 
 
 # -- small predicates ----------------------------------------------------------

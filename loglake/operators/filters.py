@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglake import schema
-from loglake.functions.columns import interval, level_ord, ts_lit
+from loglake.functions.columns import interval, is_blank, level_ord, ts_lit
 
 _UNSAFE_TENANT = r"""['";\\-]{2,}|['";\\]"""
 
@@ -19,7 +19,7 @@ def tenant_scope(df: DataFrame, tenant: str) -> DataFrame:
 
 def check_tenant_id(col: Column) -> Column:
     """`empty`, `unsafe` or NULL when the tenant id may be used."""
-    return F.when(~F.coalesce(col, F.lit("")).rlike(r"\S"), "empty").when(
+    return F.when(is_blank(col), "empty").when(
         col.rlike(_UNSAFE_TENANT), "unsafe"
     )
 

@@ -10,43 +10,48 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglake.functions.columns import is_blank, parses_bool, parses_double, parses_int64, parses_timestamp
+from loglake.functions.columns import parses_bool, parses_double, parses_int64, parses_timestamp, stripped
 
 FIELD_COLUMNS = ["name", "inferred_type", "is_nullable", "is_deprecated"]
 
 # Type changes that lose nothing. Anything may also become a string.
 WIDENINGS = [("int32", "int64"), ("float", "double")]
 
+_BLANK, _BOOL, _INT64, _DOUBLE, _TIMESTAMP, _TEXT = (1 << i for i in range(6))
+
 
 def infer_tag_schema(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Type of every tag key: the first of bool, int64, double, timestamp that all its values parse as.
 
     Keys that differ only in case are one field; blank values are counted but do not decide the type.
-    The tests are boolean partial aggregates, so a tag present on every row costs no more than others.
+    The forms seen are a bit mask combined on the map side, so a tag present on every row is no hot key.
     """
-    pairs = df.select(*by, F.explode("tags").alias("key", "value"))
     v = F.col("value")
-    held = ~is_blank(v)
-
-    def all_are(test: Column) -> Column:
-        return F.coalesce(F.bool_and(F.when(held, F.coalesce(test, F.lit(False)))), F.lit(False))
-
-    probed = pairs.groupBy(*by, F.lower("key").alias("field")).agg(
-        F.min("key").alias("name"),
-        all_are(parses_bool(v)).alias("b"),
-        all_are(parses_int64(v)).alias("i"),
-        all_are(parses_double(v)).alias("d"),
-        all_are(parses_timestamp(v)).alias("t"),
-        F.count(F.lit(1)).alias("observation_count"),
+    # One bit per value form. A value is tested until its first form is found, the forms being disjoint.
+    form = (
+        F.when(v == "", _BLANK)
+        .when(parses_int64(v), _INT64)
+        .when(parses_double(v), _DOUBLE)
+        .when(parses_bool(v), _BOOL)
+        .when(parses_timestamp(v), _TIMESTAMP)
+        .otherwise(_TEXT)
     )
-    kind = F.when(F.col("b"), "bool").when(F.col("i"), "int64").when(F.col("d"), "double").when(F.col("t"), "timestamp")
-    return probed.select(
-        *by,
-        "name",
-        kind.otherwise("string").alias("inferred_type"),
-        F.lit(True).alias("is_nullable"),
-        "observation_count",
+    pairs = df.select(*by, F.explode("tags").alias("key", "value")).withColumn("value", F.coalesce(stripped(F.col("value")), F.lit("")))
+    # By exact key first: with numbers only in the buffer this is a hash aggregation, and what is left
+    # for choosing the spelling is one row per key.
+    exact = pairs.groupBy(*by, "key").agg(F.bit_or(form).alias("forms"), F.count(F.lit(1)).alias("n"))
+    seen = exact.groupBy(*by, F.lower("key").alias("field")).agg(
+        F.min("key").alias("name"), F.bit_or("forms").alias("forms"), F.sum("n").alias("observation_count")
+    )
+    held = F.col("forms").bitwiseAND(F.lit(~_BLANK))
+    kind = (
+        F.when(held == _BOOL, "bool")
+        .when(held == _INT64, "int64")
+        .when(held.isin(_DOUBLE, _DOUBLE | _INT64), "double")
+        .when(held == _TIMESTAMP, "timestamp")
+        .otherwise("string")
     )
+    return seen.select(*by, "name", kind.alias("inferred_type"), F.lit(True).alias("is_nullable"), "observation_count")
 
 
 def field_rows(registry: DataFrame) -> DataFrame:

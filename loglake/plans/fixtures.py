@@ -5,6 +5,8 @@ Every frame is a projection or aggregation of a whole table, so it grows with th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +16,19 @@ AS_OF = "2024-01-31 00:00:00"
 T_FROM, T_TO = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
 
 
+_views: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _view(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """An analysed frame (a plan, no data), built once per application like a view of a catalog."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _views:
+        _views[key] = build()
+    return _views[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _view(spark, sf_dir, name, lambda: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 # -- logs ------------------------------------------------------------------------
@@ -64,6 +77,10 @@ LOGS = (
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical `logs` view over the events table."""
+    return _view(spark, sf_dir, "logs", lambda: _build_logs(spark, sf_dir))
+
+
+def _build_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = spark.sql(_LOGS_SPARK, events=table(spark, sf_dir, "events"))
     kind = F.element_at(F.array(*map(F.lit, ["Counter", "Gauge", "Histogram", "Summary"])), (F.col("user_id") % 4 + 1).cast("int"))
     entries = base.withColumns(
@@ -261,7 +278,8 @@ _RULE_FIELDS = """
   CASE c_custkey % 4 WHEN 0 THEN 'count' WHEN 1 THEN 'sum' WHEN 2 THEN 'avg' ELSE 'max' END AS measure,
   CASE c_custkey % 3 WHEN 1 THEN 'Error' WHEN 2 THEN 'Metric' END AS log_type,
   CASE c_custkey % 5 WHEN 0 THEN 'Fatal' WHEN 1 THEN 'Error' WHEN 2 THEN 'Information' END AS level,
-  CAST(1 + (c_custkey * 37) % 1440 AS INT) AS window_minutes,
+  CASE CAST(floor(c_custkey / 8) AS INT) % 8 WHEN 0 THEN 5 WHEN 1 THEN 7 WHEN 2 THEN 15 WHEN 3 THEN 30 WHEN 4 THEN 60 WHEN 5 THEN 120
+    WHEN 6 THEN 360 ELSE 1440 END AS window_minutes,
   CASE c_custkey % 8 WHEN 0 THEN '>' WHEN 1 THEN '<' WHEN 2 THEN '>=' WHEN 3 THEN '<=' WHEN 4 THEN '==' WHEN 5 THEN '=' WHEN 6 THEN ' > '
     ELSE '!=' END AS threshold_operator,
   CAST(CAST(floor(abs(c_acctbal) / 100) AS INT) AS DOUBLE) AS threshold_value,

@@ -129,30 +129,21 @@ def _(spark, sf):
     return docs.filter(S.search_predicate(text, ("text",), tags=None)).select("doc_id", "source")
 
 
-@query(
-    "f11_search_ranked",
-    """WITH toks AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+')) AS w FROM documents),
-    lens AS (SELECT d.doc_id, coalesce(n, 0) AS n FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM toks WHERE w <> '' GROUP BY 1) USING (doc_id)),
-    tf AS (SELECT doc_id, w, count(*) AS f FROM toks WHERE w IN ('the', 'license', 'que') GROUP BY 1, 2),
+_TOKENS = """WITH toks AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+')) AS w FROM documents),
+    tf AS (SELECT doc_id, w, count(*) AS f FROM toks WHERE w IN ({terms}) GROUP BY 1, 2),
     df AS (SELECT w, count(*) AS df FROM tf GROUP BY 1),
-    st AS (SELECT count(*) AS n, avg(n) AS avg_len FROM lens)
-    SELECT doc_id, round(sum(ln(1 + (st.n - df.df + 0.5) / (df.df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * lens.n / avg_len))), 9) AS score
-    FROM tf JOIN df USING (w) JOIN lens USING (doc_id), st GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 50""",
-)
+    st AS (SELECT count(*) AS n, avg(length(text)) AS avg_len FROM documents)
+    SELECT doc_id, round(sum(ln(1 + (st.n - df.df + 0.5) / (df.df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length(text) / avg_len))), {digits}) AS score
+    FROM tf JOIN df USING (w) JOIN documents USING (doc_id), st GROUP BY doc_id"""
+
+
+@query("f11_search_ranked", _TOKENS.replace("{terms}", "'the', 'license', 'que'").replace("{digits}", "9") + " ORDER BY score DESC, doc_id LIMIT 50")
 def _(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return S.search_ranked(docs, ["the", "license", "que"], 50, text="text", tie_break="doc_id").select("doc_id", "score")
 
 
-@query(
-    "f11_relevance_all",
-    """WITH toks AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+')) AS w FROM documents),
-    lens AS (SELECT d.doc_id, coalesce(n, 0) AS n FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM toks WHERE w <> '' GROUP BY 1) USING (doc_id)),
-    tf AS (SELECT doc_id, w, count(*) AS f FROM toks WHERE w = 'the' GROUP BY 1, 2),
-    st AS (SELECT count(*) AS n, avg(n) AS avg_len FROM lens), dfs AS (SELECT count(*) AS df FROM tf)
-    SELECT doc_id, round(ln(1 + (st.n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * lens.n / avg_len)), 7) AS score
-    FROM tf JOIN lens USING (doc_id), st, dfs""",
-)
+@query("f11_relevance_all", _TOKENS.replace("{terms}", "'the'").replace("{digits}", "7"))
 def _(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return S.relevance(docs, ["the"], "text").select("doc_id", F.round("score", 7).alias("score"))
