@@ -140,44 +140,54 @@ def check_evolution(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("te
     )
 
 
-def schema_changes(fields: DataFrame) -> DataFrame:
-    """Added, removed, deprecated and retyped fields of each version against the one before.
+def _against_previous(fields: DataFrame) -> DataFrame:
+    """One row per tenant, version and field name with the field in this version and the one before.
 
-    Versions count up by one, so the predecessor is found by an equi-join, not by ordering a tenant.
+    Versions count up by one, so every field row is also the "before" of the next version: grouping the
+    two copies finds the predecessor without ordering a tenant's versions. The last version has a
+    successor here that does not exist; its rows have no field of their own.
     """
-    before = fields.select(
-        "tenant_id",
-        (F.col("version") + 1).alias("version"),
-        "name",
-        F.col("inferred_type").alias("old_type"),
-        F.col("is_deprecated").alias("was_deprecated"),
+    state = F.struct("inferred_type", "is_deprecated").alias("state")
+    copies = F.array(
+        F.struct(F.col("version").alias("version"), F.lit("now").alias("at")),
+        F.struct((F.col("version") + 1).alias("version"), F.lit("before").alias("at")),
     )
-    versions = fields.select("tenant_id", "version").distinct()
-    joined = fields.join(before, ["tenant_id", "version", "name"], "full").join(
-        versions.filter("version > 1"), ["tenant_id", "version"], "left_semi"
+    rows = fields.select("tenant_id", "name", state, F.explode(copies).alias("c"))
+
+    def side(at: str, part: str) -> Column:
+        return F.max(F.when(F.col("c.at") == at, F.col(f"state.{part}")))
+
+    pairs = rows.groupBy("tenant_id", F.col("c.version").alias("version"), "name").agg(
+        side("before", "inferred_type").alias("old_type"),
+        side("now", "inferred_type").alias("new_type"),
+        side("before", "is_deprecated").alias("was_deprecated"),
+        side("now", "is_deprecated").alias("is_deprecated"),
     )
     change = (
-        F.when(F.col("old_type").isNull(), "added")
-        .when(F.col("inferred_type").isNull(), "removed")
+        F.when(F.col("version") == 1, None)
+        .when(F.col("old_type").isNull(), "added")
+        .when(F.col("new_type").isNull(), "removed")
         .when(F.col("is_deprecated") & ~F.col("was_deprecated"), "deprecated")
-        .when(F.col("inferred_type") != F.col("old_type"), "type_changed")
-    )
-    return (
-        joined.withColumn("change", change)
-        .filter(F.col("change").isNotNull())
-        .select("tenant_id", "version", "name", "change", "old_type", F.col("inferred_type").alias("new_type"))
+        .when(F.col("new_type") != F.col("old_type"), "type_changed")
     )
+    return pairs.withColumn("change", change)
+
+
+def schema_changes(fields: DataFrame) -> DataFrame:
+    """Added, removed, deprecated and retyped fields of each version against the one before."""
+    changed = _against_previous(fields).filter(F.col("change").isNotNull())
+    return changed.join(latest_version(fields).withColumnRenamed("version", "__last"), "tenant_id").filter(
+        F.col("version") <= F.col("__last")
+    ).select("tenant_id", "version", "name", "change", "old_type", "new_type")
 
 
 def schema_history(fields: DataFrame) -> DataFrame:
     """Field count and change counts of every version."""
-    sizes = fields.groupBy("tenant_id", "version").agg(F.count(F.lit(1)).alias("field_count"))
-    c = F.col("change")
-    changes = schema_changes(fields).groupBy("tenant_id", "version").agg(
-        F.count_if(c == "added").alias("added"),
-        F.count_if(c == "removed").alias("removed"),
-        F.count_if(c == "deprecated").alias("deprecated"),
-        F.count_if(c == "type_changed").alias("type_changed"),
+
+    def times(change: str) -> Column:
+        return F.count_if(F.col("change") == change).alias(change)
+
+    counted = _against_previous(fields).groupBy("tenant_id", "version").agg(
+        F.count("new_type").alias("field_count"), times("added"), times("removed"), times("deprecated"), times("type_changed")
     )
-    joined = sizes.join(changes, ["tenant_id", "version"], "left")
-    return joined.fillna(0, ["added", "removed", "deprecated", "type_changed"])
+    return counted.filter("field_count > 0")

@@ -15,6 +15,7 @@ _MODULES = [
     "q_tiers",
     "q_storage",
     "q_streaming",
+    "q_functions",
 ]
 
 

@@ -240,17 +240,19 @@ def _(spark, sf):
     return spark.read.parquet(path).groupBy("tenant_id", "audit_date").agg(F.count(F.lit(1)).alias("records"))
 
 
-@query("g7_scan_estimate", "SELECT true AS has_files, true AS has_bytes, true AS is_part")
+_HOURS = "SELECT count(DISTINCT (tenant_id, year, month, day, hour)) AS files FROM logs"
+
+
+@query(
+    "g7_scan_estimate",
+    LOGS + f""", whole AS ({_HOURS}), part AS ({_HOURS} WHERE tenant_id = 'tenant-2' AND concat(year, month, day, hour) BETWEEN '2024010905' AND '2024012307')
+    SELECT part.files, whole.files AS all_files, true AS reads_less FROM part, whole""",
+)
 def _(spark, sf):
     root = _archive(spark, sf)
     part, whole = scan_estimate(spark, root, "tenant-2", _FROM, _TO), scan_estimate(spark, root)
-    both = part.withColumn("k", F.lit(1)).join(
-        whole.select(F.lit(1).alias("k"), F.col("files").alias("all_files"), F.col("estimated_bytes").alias("all_bytes")), "k"
-    )
-    return both.select(
-        (F.col("files") > 0).alias("has_files"), (F.col("estimated_bytes") > 0).alias("has_bytes"),
-        ((F.col("files") < F.col("all_files")) & (F.col("estimated_bytes") < F.col("all_bytes"))).alias("is_part"),
-    )
+    both = part.withColumns({"all_files": whole.select("files").scalar(), "all_bytes": whole.select("estimated_bytes").scalar()})
+    return both.select("files", "all_files", (F.col("estimated_bytes") < F.col("all_bytes")).alias("reads_less"))
 
 
 # -- replay ------------------------------------------------------------------------
