@@ -62,14 +62,14 @@ _OPS = "CASE event_id % 8 WHEN 0 THEN '>' WHEN 1 THEN '<' WHEN 2 THEN '>=' WHEN
 @query(
     "l2_breached",
     f"""WITH v AS (SELECT event_id, value AS actual_value, CAST(floor(value) AS DOUBLE) AS threshold_value, {_OPS} AS threshold_operator FROM events)
-    SELECT event_id, CASE trim(threshold_operator) WHEN '>' THEN actual_value > threshold_value WHEN '<' THEN actual_value < threshold_value
+    SELECT event_id, CAST(CASE trim(threshold_operator) WHEN '>' THEN actual_value > threshold_value WHEN '<' THEN actual_value < threshold_value
       WHEN '>=' THEN actual_value >= threshold_value WHEN '<=' THEN actual_value <= threshold_value WHEN '==' THEN actual_value = threshold_value
-      WHEN '=' THEN actual_value = threshold_value END AS hit FROM v""",
+      WHEN '=' THEN actual_value = threshold_value END AS VARCHAR) AS hit FROM v""",
 )
 def _(spark, sf):
     rows = table(spark, sf, "events")
     threshold = F.floor("value").cast("double")
-    return rows.select("event_id", breached(F.col("value"), F.expr(_OPS), threshold).alias("hit"))
+    return rows.select("event_id", breached(F.col("value"), F.expr(_OPS), threshold).cast("string").alias("hit"))
 
 
 @query(

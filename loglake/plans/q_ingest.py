@@ -162,9 +162,10 @@ def _(spark, sf):
     return logs(spark, sf).select("timestamp", "level", "source_id", "message")
 
 
-@query("v12_typed_tags", LOGS + "SELECT id, CAST(tag_k AS INTEGER) AS k, CAST(tag_http_status AS INTEGER) AS http_status, CAST(NULL AS BOOLEAN) AS region FROM logs")
+@query("v12_typed_tags", LOGS + "SELECT id, CAST(tag_k AS INTEGER) AS k, coalesce(CAST(tag_http_status AS INTEGER), -1) AS http_status, true AS region_is_null FROM logs")
 def _(spark, sf):
-    return I.typed_tags(logs(spark, sf), {"k": "int", "http_status": "int", "region": "boolean"}).select("id", "k", "http_status", "region")
+    rows = I.typed_tags(logs(spark, sf), {"k": "int", "http_status": "int", "region": "boolean"})
+    return rows.select("id", "k", F.coalesce("http_status", F.lit(-1)).alias("http_status"), F.isnull("region").alias("region_is_null"))
 
 
 
@@ -197,7 +198,7 @@ def _(spark, sf):
     "s8_from_batches",
     DTOS + """SELECT tenant_id, concat('batch-', CAST(event_id // 100 AS VARCHAR)) AS batch_id, source_id, log_type, category,
       date_trunc('millisecond', coalesce(timestamp, TIMESTAMP '1970-01-01')) AS timestamp, nullif(trim(message), '') IS NULL AS blank_message, trace_id,
-      CASE WHEN event_id % 50 = 22 THEN NULL ELSE tag_count END AS tag_count FROM dtos""",
+      coalesce(tag_count, -1) AS tag_count FROM dtos""",
 )
 def _(spark, sf):
     rows = dtos(spark, sf).withColumns(
@@ -216,8 +217,8 @@ def _(spark, sf):
     flat = from_batches(batches)
     return flat.select(
         "tenant_id", "batch_id", "source_id", "log_type", "category", "timestamp", C.is_blank(F.col("message")).alias("blank_message"), "trace_id",
-        F.size("tags").alias("n"),
-    ).withColumn("tag_count", F.nullif(F.col("n"), F.lit(-1))).drop("n")
+        F.coalesce(F.size("tags"), F.lit(-1)).alias("tag_count"),
+    )
 
 
 @query(

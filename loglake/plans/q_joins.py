@@ -146,7 +146,7 @@ def _(spark, sf):
     return run_sql(spark, _SQL_SEMI, logs(spark, sf), "tenant-2", orders=table(spark, sf, "orders"), customer=table(spark, sf, "customer"))
 
 
-_SQL_FULL = """SELECT coalesce(l.k, c.k) AS k, l.entries, c.customers FROM
+_SQL_FULL = """SELECT coalesce(l.k, c.k, -1) AS k, coalesce(l.entries, 0) AS entries, coalesce(c.customers, 0) AS customers FROM
   (SELECT CAST(status_code AS BIGINT) % 7 AS k, count(*) AS entries FROM {logs} GROUP BY 1) l
   FULL JOIN (SELECT CAST(c_nationkey AS BIGINT) AS k, count(*) AS customers FROM customer GROUP BY 1) c ON l.k = c.k"""
 

@@ -161,14 +161,14 @@ def _second_write(first):
 @query(
     "k2_upsert_hot",
     LOGS + """SELECT tenant_id, id, CASE WHEN event_id % 5 = 0 THEN 'Trace' ELSE level END AS level,
-      CAST(CASE WHEN event_id % 10 = 0 THEN timestamp - INTERVAL 1 DAY ELSE timestamp END AS DATE) AS event_date FROM logs""",
+      CAST(CAST(CASE WHEN event_id % 10 = 0 THEN timestamp - INTERVAL 1 DAY ELSE timestamp END AS DATE) AS VARCHAR) AS event_date FROM logs""",
 )
 def _(spark, sf):
     root = new_path(spark, "hot")
     first = entries(spark, sf)
     K.upsert_hot(first, root)
     K.upsert_hot(_second_write(first), root)
-    return spark.read.parquet(root).select("tenant_id", "id", "level", "event_date")
+    return spark.read.parquet(root).select("tenant_id", "id", "level", F.col("event_date").cast("string").alias("event_date"))
 
 
 @query(
@@ -232,12 +232,12 @@ def _(spark, sf):
     return K.apply_retention(rows, "1998-08-01 00:00:00").select("o_orderkey", "storage_class")
 
 
-@query("k7_write_audit", LOGS + "SELECT tenant_id, CAST(timestamp AS DATE) AS audit_date, count(*) AS records FROM logs WHERE level = 'Fatal' GROUP BY 1, 2")
+@query("k7_write_audit", LOGS + "SELECT tenant_id, CAST(CAST(timestamp AS DATE) AS VARCHAR) AS audit_date, count(*) AS records FROM logs WHERE level = 'Fatal' GROUP BY 1, 2")
 def _(spark, sf):
     path = new_path(spark, "audit")
     fired = logs(spark, sf).filter("level = 'Fatal'").select("tenant_id", F.col("timestamp").alias("at"), F.lit("alert").alias("kind"), F.to_json(F.struct("id", "message")).alias("record"))
     K.write_audit(fired, path)
-    return spark.read.parquet(path).groupBy("tenant_id", "audit_date").agg(F.count(F.lit(1)).alias("records"))
+    return spark.read.parquet(path).groupBy("tenant_id", F.col("audit_date").cast("string").alias("audit_date")).agg(F.count(F.lit(1)).alias("records"))
 
 
 _HOURS = "SELECT count(DISTINCT (tenant_id, year, month, day, hour)) AS files FROM logs"
