@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loglake.functions.columns import interval, ts_lit
 from loglake.operators import aggregates as A
 from loglake.operators.filters import time_range
-from loglake.sinks.tables import path_exists
+from loglake.sources.files import path_exists
 
 _TENANT = ("tenant_id",)
 

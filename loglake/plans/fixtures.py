@@ -282,7 +282,7 @@ _RULE_FIELDS = """
     WHEN 6 THEN 360 ELSE 1440 END AS window_minutes,
   CASE c_custkey % 8 WHEN 0 THEN '>' WHEN 1 THEN '<' WHEN 2 THEN '>=' WHEN 3 THEN '<=' WHEN 4 THEN '==' WHEN 5 THEN '=' WHEN 6 THEN ' > '
     ELSE '!=' END AS threshold_operator,
-  CAST(CAST(floor(abs(c_acctbal) / 100) AS INT) AS DOUBLE) AS threshold_value,
+  CAST(CAST(floor(abs(c_acctbal) / 100) AS INT) AS DOUBLE) + CASE c_custkey % 4 WHEN 0 THEN CAST(0 AS DOUBLE) ELSE CAST(0.00031 AS DOUBLE) END AS threshold_value,
   c_custkey % 7 <> 0 AS is_enabled,
   CAST(60 * (1 + c_custkey % 30) AS INT) AS evaluation_interval_seconds,
   CASE c_custkey % 3 WHEN 0 THEN 'slack' WHEN 1 THEN 'webhook' END AS notification_channel

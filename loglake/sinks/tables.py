@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loglake import schema
 from loglake.functions.columns import partition_parts, ts_lit
 from loglake.operators.dedup import KEY, latest_by_key
+from loglake.sources.files import archive_schema, path_exists
 
 _MIN_SIZE = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
 HOT_PARTITIONS = ["tenant_id", "event_date"]
@@ -61,17 +62,10 @@ def write_archive(entries: DataFrame, root: str, mode: str = "append", max_rows_
 
 def compact_archive(spark: SparkSession, root: str, target: str, where: Column | None = None) -> None:
     """Rewrite the small files that frequent flushes leave, to a new table."""
-    from loglake.sources.files import archive_schema
-
     rows = spark.read.schema(archive_schema()).parquet(root)
     write_archive(rows if where is None else rows.filter(where), target, mode="overwrite")
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
-
-
 def _delete_path(spark: SparkSession, path: str) -> None:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)

@@ -101,14 +101,37 @@ def read_archive(
     t_from: dt.datetime | None = None,
     t_to: dt.datetime | None = None,
 ) -> DataFrame:
-    """The `logs` view over the archive for a tenant and time range, pruned to its directories."""
-    rows = spark.read.option("inferSchema", "false").schema(archive_schema()).parquet(root)
+    """The `logs` view over the archive for a tenant and time range, pruned to its directories.
+
+    With a tenant only that tenant's folder is listed, with a time range as well only its months:
+    listing every hour of every tenant would cost more than many queries.
+    """
+    paths = [root] if tenant is None else _tenant_paths(spark, root, tenant, t_from, t_to)
+    if not paths:
+        return canonical_logs(spark.createDataFrame([], archive_schema()))
+    rows = spark.read.option("basePath", root).schema(archive_schema()).parquet(*paths)
     if tenant is not None:
         rows = rows.filter(F.col("tenant_id") == tenant)
     logs = canonical_logs(partition_range(rows, t_from, t_to))
     return time_range(logs, t_from, t_to)
 
 
+def _tenant_paths(
+    spark: SparkSession, root: str, tenant: str, t_from: dt.datetime | None, t_to: dt.datetime | None
+) -> list[str]:
+    base = f"{root}/tenant_id={tenant}"
+    if t_from is None or t_to is None:
+        return [p for p in [base] if path_exists(spark, p)]
+    first, last = t_from.year * 12 + t_from.month - 1, t_to.year * 12 + t_to.month - 1
+    months = [f"{base}/year={m // 12:04d}/month={m % 12 + 1:02d}" for m in range(first, last + 1)]
+    return [p for p in months if path_exists(spark, p)]
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+
+
 def archive_schema() -> T.StructType:
     """Archived columns plus the partition strings, which must stay strings (``01``, not 1)."""
     parts = [T.StructField(c, T.StringType()) for c in schema.PARTITION_COLUMNS]

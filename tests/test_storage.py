@@ -123,3 +123,29 @@ def test_shared_dir_comes_from_the_session(spark):
     assert os.path.basename(new_path(spark, "x")).startswith("x-")
     assert new_path(spark, "x").startswith(shared_dir(spark))
     assert shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+def test_archive_reads_list_only_what_exists(spark):
+    from pyspark.sql import functions as F
+
+    from loglake import schema
+    from loglake.operators.ingest import to_entries
+    from loglake.sinks.tables import write_archive
+
+    days = [dt.datetime(2024, 1, 31, 23, 59), dt.datetime(2024, 2, 1), dt.datetime(2024, 12, 31, 5), dt.datetime(2025, 1, 1)]
+    rows = [(f"t{t}", f"t{t}-{i}", d) for t in (1, 2) for i, d in enumerate(days)]
+    dtos = spark.createDataFrame(rows, "tenant string, id string, timestamp timestamp")
+    for f in schema.LOG_ENTRY_DTO.fields:
+        if f.name not in dtos.columns:
+            dtos = dtos.withColumn(f.name, F.lit(None).cast(f.dataType))
+    root = new_path(spark, "archive")
+    write_archive(to_entries(dtos, F.col("tenant"), "Push", "2025-01-02 00:00:00"), root)
+
+    def ids(*args):
+        return {r.id for r in S.read_archive(spark, root, *args).collect()}
+
+    assert ids() == {r[1] for r in rows}
+    assert ids("t1") == {f"t1-{i}" for i in range(4)}
+    assert ids("t1", dt.datetime(2024, 1, 31, 23, 59), dt.datetime(2025, 1, 1)) == {"t1-0", "t1-1", "t1-2"}
+    assert ids("t2", dt.datetime(2024, 12, 1), dt.datetime(2025, 1, 1, 1)) == {"t2-2", "t2-3"}
+    assert ids("t9") == set() and ids("t1", dt.datetime(2023, 1, 1), dt.datetime(2023, 3, 1)) == set()
