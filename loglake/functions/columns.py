@@ -18,10 +18,9 @@ def is_blank(col: Column) -> Column:
 
 
 def stripped(col: Column) -> Column:
-    """Text without surrounding whitespace."""
-    text = F.trim(col)
-    other = (F.ascii(text) < 32) | (F.ascii(F.right(text, F.lit(1))) < 32)
-    return F.when(other, F.regexp_replace(text, r"^\s+|\s+$", "")).otherwise(text)
+    """Text without surrounding whitespace; only text that has some is rewritten."""
+    edge = (F.ascii(col) <= 32) | (F.ascii(F.substring(col, -1, 1)) <= 32)
+    return F.when(edge, F.regexp_replace(col, r"^\s+|\s+$", "")).otherwise(col)
 
 
 def blank_to_null(col: Column) -> Column:
@@ -114,7 +113,7 @@ def uuid7_time(id_col: Column) -> Column:
 # character before it tries anything dearer.
 
 _DOUBLE = r"^[+-]?((\d[\d,]*)(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
-_SPECIAL_DOUBLE = r"(?i)^([+-]?infinity|[+-]?nan|[+-]?∞)$"
+_SPECIAL_DOUBLES = [sign + name for name in ("nan", "infinity", "∞") for sign in ("", "+", "-")]
 _ISO_TIMESTAMP = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s?(Z|[+-]\d{2}:?\d{2})?)?$"
 
 
@@ -132,23 +131,27 @@ def parses_int64(text: Column) -> Column:
     return digits & ((F.length(text) <= 18) | text.try_cast("bigint").isNotNull())
 
 
-def _double_of(text: Column) -> Column:
-    plain = F.translate(text, ",", "").try_cast("double")
-    special = F.when(F.lower(text).contains("nan"), F.lit(float("nan"))).otherwise(
-        F.when(text.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
-    )
-    return F.when(_starts_like_number(text) & text.rlike(_DOUBLE), plain).when(
-        F.length(text).between(1, 9) & text.rlike(_SPECIAL_DOUBLE), special
-    )
+def _is_plain_double(text: Column) -> Column:
+    return _starts_like_number(text) & text.rlike(_DOUBLE)
+
+
+def _is_special_double(text: Column) -> Column:
+    return F.lower(text).isin(_SPECIAL_DOUBLES)
 
 
 def to_double(col: Column) -> Column:
     """Number held in text, or NULL."""
-    return _double_of(stripped(col))
+    text = stripped(col)
+    special = F.when(F.lower(text).contains("nan"), F.lit(float("nan"))).otherwise(
+        F.when(text.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
+    )
+    return F.when(_is_plain_double(text), F.translate(text, ",", "").try_cast("double")).when(
+        _is_special_double(text), special
+    )
 
 
 def parses_double(text: Column) -> Column:
-    return _double_of(text).isNotNull()
+    return _is_plain_double(text) | _is_special_double(text)
 
 
 def parses_timestamp(text: Column) -> Column:

@@ -50,11 +50,14 @@ def word_pattern(text: str) -> str:
     return _SEPARATOR.join(parts) + f"(?!{_WORD})"
 
 
-def _matches(haystack: str, text: str) -> str:
-    """Predicate for one term: a plain substring test first, which most rows fail, then the pattern."""
+def _may_match(haystack: str, text: str) -> str:
+    """Plain substring test for the longest literal part of a term; most rows fail it cheaply."""
     literal = max(re.split(r"[^\w]+", " ".join(_split(text))), key=len)
-    contains = f"contains({haystack}, '{literal}') AND " if literal else ""
-    return f"({contains}rlike({haystack}, r'{word_pattern(text)}'))"
+    return f"contains({haystack}, '{literal}')" if literal else "true"
+
+
+def _matches(haystack: str, text: str) -> str:
+    return f"({_may_match(haystack, text)} AND rlike({haystack}, r'{word_pattern(text)}'))"
 
 
 def _haystack(fields: list[str], tags: str | None) -> str:
@@ -126,7 +129,7 @@ def relevance(
     haystack = _haystack([text], None)
     names = [f"__tf{i}" for i in range(len(terms))]
     counts = {
-        n: F.when(F.expr(_matches(haystack, t)), F.regexp_count(F.expr(haystack), F.lit(word_pattern(t)))).otherwise(0)
+        n: F.when(F.expr(_may_match(haystack, t)), F.regexp_count(F.expr(haystack), F.lit(word_pattern(t)))).otherwise(0)
         for n, t in zip(names, terms)
     }
     counted = df.withColumns(counts | {"__len": F.length(text)})

@@ -54,7 +54,7 @@ def _(spark, sf):
     false = F.lit(False)
     return rows.select(
         "event_id", F.coalesce(C.parses_bool(s), false).alias("is_bool"), F.coalesce(C.parses_int64(s), false).alias("is_int64"),
-        C.parses_double(s).alias("is_double"), F.coalesce(C.parses_timestamp(s), false).alias("is_timestamp"), C.to_double(F.col("s")).alias("number"),
+        F.coalesce(C.parses_double(s), false).alias("is_double"), F.coalesce(C.parses_timestamp(s), false).alias("is_timestamp"), C.to_double(F.col("s")).alias("number"),
     )
 
 
