@@ -9,7 +9,7 @@ from loglake.operators import charts as H
 from loglake.operators import joins as J
 from loglake.operators.alerts import rules_for
 from loglake.operators.governance import run_sql
-from loglake.plans.fixtures import AS_OF, LOGS, RULES, SETTINGS, logs, rules, settings, table
+from loglake.plans.fixtures import LOGS, RULES, SETTINGS, logs, rules, settings, table
 from loglake.plans.registry import query, rounded
 
 
