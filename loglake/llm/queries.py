@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loglake.llm.common import table
 from loglake.llm.op1_substring_dedup import OP1_SQL, remove_repeated_passages
+from loglake.llm.op7_minhash_dedup import near_duplicates
 from loglake.session import use_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +37,8 @@ def llm_queries():
 @register("op1_substring_dedup", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@register("op7_minhash_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
