@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loglake.llm.common import table
 from loglake.llm.op1_substring_dedup import OP1_SQL, remove_repeated_passages
+from loglake.llm.op3_decontamination import OP3_SQL, contaminated
 from loglake.llm.op7_minhash_dedup import near_duplicates
 from loglake.session import use_utc
 
@@ -42,3 +43,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_minhash_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op3_decontamination", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

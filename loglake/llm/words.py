@@ -89,31 +89,34 @@ def window_hashes(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return first, mix(acc[first])
 
 
-def shingle_sets(w: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of all texts, ordered by text and hash, and where each text's part begins.
-
-    A text of fewer than ``size`` words has its whole sequence as one shingle; one without words has none.
-    """
+def shingles(w: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, word count and hash of every shingle: each run of ``size`` words, or a shorter text as a whole."""
     first, hashes = window_hashes(w, size)
-    doc = w.doc[first] if len(first) else np.zeros(0, np.int32)
     counts = w.per_doc()
     short = np.flatnonzero((counts > 0) & (counts < size))
-    if len(short):
-        h, bounds = word_hashes(w), np.concatenate(([0], np.cumsum(counts)))
-        own = np.empty(len(short), np.uint64)
-        for k, d in enumerate(short):
-            acc = 0
-            for x in h[bounds[d] : bounds[d + 1]].tolist():
-                acc = (acc * int(_STEP) + x) & 0xFFFFFFFFFFFFFFFF
-            own[k] = (acc + int(counts[d])) & 0xFFFFFFFFFFFFFFFF
-        doc, hashes = np.concatenate((doc, short.astype(np.int32))), np.concatenate((hashes, mix(own)))
+    if not len(short):
+        return first, np.full(len(first), size), hashes
+    h, begin = word_hashes(w), np.cumsum(counts)[short] - counts[short]
+    acc = counts[short].astype(np.uint64)
+    for i in range(size - 1):
+        more = counts[short] > i
+        acc[more] = acc[more] * _STEP + h[begin[more] + i]
+    return (
+        np.concatenate((first, begin)),
+        np.concatenate((np.full(len(first), size), counts[short])),
+        np.concatenate((hashes, mix(acc))),
+    )
+
+
+def shingle_sets(w: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of all texts, ordered by text and hash, and where each text's part begins."""
+    first, _, hashes = shingles(w, size)
+    doc = w.doc[first]
     order = np.lexsort((hashes, doc))
     doc, hashes = doc[order], hashes[order]
-    if len(doc):
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
-        doc, hashes = doc[new], hashes[new]
-    return hashes, np.searchsorted(doc, np.arange(w.n_docs + 1))
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
+    return hashes[new], np.searchsorted(doc[new], np.arange(w.n_docs + 1))
 
 
 def text_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes | None]]]:
