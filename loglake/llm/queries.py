@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loglake.llm.common import table
 from loglake.llm.op1_substring_dedup import OP1_SQL, remove_repeated_passages
 from loglake.llm.op3_decontamination import OP3_SQL, contaminated
+from loglake.llm.op5_language_id import identify, train
 from loglake.llm.op7_minhash_dedup import near_duplicates
 from loglake.session import use_utc
 
@@ -48,3 +49,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_decontamination", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, train(docs))
