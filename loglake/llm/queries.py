@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglake.llm.common import table
+from loglake.llm.common import table, vocabulary_path
 from loglake.llm.op1_substring_dedup import OP1_SQL, remove_repeated_passages
 from loglake.llm.op3_decontamination import OP3_SQL, contaminated
+from loglake.llm.op4_bpe import token_digests
 from loglake.llm.op5_language_id import identify, train
 from loglake.llm.op7_minhash_dedup import near_duplicates
 from loglake.session import use_utc
@@ -55,3 +56,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, train(docs))
+
+
+@register("op4_bpe")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"), vocabulary_path())
