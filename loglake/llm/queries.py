@@ -12,6 +12,7 @@ from loglake.llm.op3_decontamination import OP3_SQL, contaminated
 from loglake.llm.op4_bpe import token_digests
 from loglake.llm.op5_language_id import identify, train
 from loglake.llm.op7_minhash_dedup import near_duplicates
+from loglake.llm.op9_topk_search import OP9_SQL, top_k
 from loglake.session import use_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +62,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_bpe")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+@register("op9_topk_search", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", 5)
