@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loglake.session import new_path
 
@@ -26,3 +27,9 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple[str, ...]], names: list[str]) -> DataFrame:
+    """A few rows of strings given in code."""
+    entries = [F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row))) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*entries)))

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglake.llm.common import table, vocabulary_path
+from loglake.llm.common import literal_rows, table, vocabulary_path
 from loglake.llm.op1_substring_dedup import OP1_SQL, remove_repeated_passages
+from loglake.llm.op2_url_filter import LISTED, OP2_SQL, RULES, judge_urls
 from loglake.llm.op3_decontamination import OP3_SQL, contaminated
 from loglake.llm.op4_bpe import token_digests
 from loglake.llm.op5_language_id import identify, train
@@ -67,3 +68,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_topk_search", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", 5)
+
+
+@register("op2_url_filter", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = literal_rows(spark, RULES, ["host", "path", "verdict"])
+    listed = literal_rows(spark, [(u,) for u in LISTED], ["url"])
+    return judge_urls(table(spark, sf_dir, "pages"), rules, listed)
