@@ -12,6 +12,7 @@ from loglake.llm.op2_url_filter import LISTED, OP2_SQL, RULES, judge_urls
 from loglake.llm.op3_decontamination import OP3_SQL, contaminated
 from loglake.llm.op4_bpe import token_digests
 from loglake.llm.op5_language_id import identify, train
+from loglake.llm.op6_secret_scan import scan_secrets
 from loglake.llm.op7_minhash_dedup import near_duplicates
 from loglake.llm.op9_topk_search import OP9_SQL, top_k
 from loglake.session import use_utc
@@ -75,3 +76,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = literal_rows(spark, RULES, ["host", "path", "verdict"])
     listed = literal_rows(spark, [(u,) for u in LISTED], ["url"])
     return judge_urls(table(spark, sf_dir, "pages"), rules, listed)
+
+
+@register("op6_secret_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
