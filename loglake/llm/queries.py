@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loglake.llm.common import literal_rows, table, vocabulary_path
 from loglake.llm.op1_substring_dedup import OP1_SQL, remove_repeated_passages
+from loglake.llm.op10_pii import replace_personal_data
 from loglake.llm.op2_url_filter import LISTED, OP2_SQL, RULES, judge_urls
 from loglake.llm.op3_decontamination import OP3_SQL, contaminated
 from loglake.llm.op4_bpe import token_digests
@@ -81,3 +82,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_secret_scan")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@register("op10_pii")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_personal_data(docs).select("doc_id", "n_entities", "text")
