@@ -5,10 +5,10 @@
 2. Every task counts the windows of its blocks in a count-min sketch (two rows). The sketches travel as sorted cells
    per shard and are added up; what is kept of the sum is one bit per cell: counted in two documents or more.
    The sketch has about four cells a window, 2**29 a row at most; past that it lets more windows through.
-3. Windows whose cells are set in both rows - all repeated ones and a few more - are named by a 128-bit digest of
-   their words. Each block sends a key once, with its smallest doc_id; a window over the key finds blocks whose
-   copies start in an earlier block's document.
-4. Each block gets its part of the answer and cuts its texts.
+3. Windows whose cells are set in both rows - all repeated ones and a few more - are named by a 96-bit digest of
+   their words. Each block sends a key once, with its smallest doc_id, packed by parts of the key space; the task
+   of a part groups its keys and answers each block with a bit per key: also in a smaller doc_id.
+4. Each block gets its answers and cuts its texts.
 
 A key thus has as many rows as blocks that hold it, however often it occurs.
 """
@@ -17,13 +17,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglake.llm.common import LAST_ID, stored
@@ -38,7 +39,9 @@ ROW_SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 BLOCK_SCHEMA = "block long, ids binary, sizes binary, texts binary, n_windows long"
 CELL_SCHEMA = "shard int, once binary, more binary"
-KEY_SCHEMA = "hi long, lo long, min_doc long, block long, at int"
+KEY_SCHEMA = "part int, block long, n int, keys binary"
+ANSWER_SCHEMA = "block long, part int, later binary"
+PART_WINDOWS = 1 << 18
 RESULT_SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -164,14 +167,6 @@ def _merge(shard_bits: int):
     return run
 
 
-def _digests(w: Words, first: np.ndarray, size: int) -> np.ndarray:
-    """128-bit names of the windows that begin at ``first``, two numbers each."""
-    data = w.buf.tobytes()
-    digest = xxhash.xxh3_128_digest
-    names = [digest(data[a:b]) for a, b in zip(w.start[first].tolist(), w.end[first + size - 1].tolist())]
-    return np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
-
-
 def _estimated(hashes: np.ndarray, sketch: list[np.ndarray], bits: int) -> np.ndarray:
     """Whether the smallest of the estimates is two or more."""
     hit = np.ones(len(hashes), bool)
@@ -182,61 +177,125 @@ def _estimated(hashes: np.ndarray, sketch: list[np.ndarray], bits: int) -> np.nd
     return hit
 
 
-def _keys(size: int, bits: int, sketch):
+@dataclass
+class Keys:
+    """The windows of a block that may be repeated: key ``of[i]`` begins at word ``first[i]``, in document ``doc[i]``.
+
+    Keys are the leading 96 bits (hi, lo) of a digest of the words, in ascending order.
+    """
+
+    hi: np.ndarray
+    lo: np.ndarray
+    min_doc: np.ndarray
+    of: np.ndarray
+    first: np.ndarray
+    doc: np.ndarray
+
+
+def _block_keys(ids: np.ndarray, w: Words, size: int, sketch: list[np.ndarray], bits: int) -> Keys:
+    first, hashes = window_hashes(w, size)
+    first = first[_estimated(hashes, sketch, bits)]
+    data, digest = w.buf.tobytes(), xxhash.xxh3_128_digest
+    names = b"".join(
+        digest(data[a:b]) for a, b in zip(w.start[first].tolist(), w.end[first + size - 1].tolist())
+    )
+    parts = np.frombuffer(names, ">u4").reshape(-1, 4).astype(np.uint64)
+    hi, lo, doc = (parts[:, 0] << np.uint64(32)) | parts[:, 1], parts[:, 2], ids[w.doc[first]]
+    order = np.lexsort((doc, lo, hi))
+    hi, lo, doc, first = hi[order], lo[order], doc[order], first[order]
+    new = np.ones(len(hi), bool)
+    new[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
+    return Keys(hi[new], lo[new], doc[new], np.cumsum(new) - 1, first, doc)
+
+
+def _sketch_rows(sketch) -> list[np.ndarray]:
+    return [np.frombuffer(r, np.uint8) for r in sketch.value]
+
+
+def _part_of(hi: np.ndarray, parts: int) -> np.ndarray:
+    return ((hi >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _planes(numbers: np.ndarray, kind: str) -> bytes:
+    return numbers.astype(kind).view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+
+
+def _keys(size: int, bits: int, sketch, parts: int):
+    """One row for each block and part of the key space: keys and smallest doc_ids as compressed byte planes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [np.frombuffer(r, np.uint8) for r in sketch.value]
+        rows = _sketch_rows(sketch)
         for batch in batches:
             for block, ids, _, w in _blocks(batch):
-                first, hashes = window_hashes(w, size)
-                first = first[_estimated(hashes, rows, bits)]
-                if not len(first):
-                    continue
-                names, doc = _digests(w, first, size), ids[w.doc[first]]
-                order = np.lexsort((doc, names[:, 1], names[:, 0]))
-                names, doc, first = names[order], doc[order], first[order]
-                new = np.ones(len(first), bool)
-                new[1:] = (names[1:] != names[:-1]).any(axis=1)
-                yield _record(
-                    {
-                        "hi": names[new, 0], "lo": names[new, 1], "min_doc": doc[new],
-                        "block": np.full(new.sum(), block), "at": first[new].astype(np.int32),
-                    },
-                    KEY_SCHEMA,
-                )
+                k = _block_keys(ids, w, size, rows, bits)
+                part = _part_of(k.hi, parts)
+                bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+                out: dict[str, list] = {"part": [], "block": [], "n": [], "keys": []}
+                for a, b in zip(bounds[:-1], bounds[1:]):
+                    if b > a:
+                        data = _planes(k.hi[a:b], ">u8") + _planes(k.lo[a:b], ">u4") + _planes(k.min_doc[a:b], ">i8")
+                        for name, value in zip(out, (int(part[a]), block, b - a, zstandard.compress(data, 1))):
+                            out[name].append(value)
+                yield _record(out, KEY_SCHEMA)
 
     return run
 
 
-def _covered(w: Words, ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """Words inside a window that starts in an earlier document: of this block, or, where ``at`` says so, of another."""
-    first, hashes = window_hashes(w, size)
-    earlier = np.isin(first, at)
-    _, group, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-    chosen = np.flatnonzero((counts[group] > 1) | earlier)
-    names = _digests(w, first[chosen], size)
-    doc, earlier = ids[w.doc[first[chosen]]], earlier[chosen]
-    order = np.lexsort((doc, names[:, 1], names[:, 0]))
-    names, doc, earlier, chosen = names[order], doc[order], earlier[order], chosen[order]
-    new = np.ones(len(chosen), bool)
-    new[1:] = (names[1:] != names[:-1]).any(axis=1)
-    begin = np.flatnonzero(new)
-    if not len(begin):
-        return np.zeros(len(w.start), bool)
-    number = np.cumsum(new) - 1
-    repeated = np.logical_or.reduceat(earlier, begin)[number] | (doc > doc[begin][number])
+def _answers(rows: list[tuple[int, int, bytes]], part: int) -> pa.RecordBatch:
+    """For each block of one part of the key space, which of its keys also start in a smaller doc_id elsewhere."""
+    hi, lo, doc = [], [], []
+    for _, n, data in rows:
+        planes = np.frombuffer(zstandard.decompress(data), np.uint8)
+        for target, at, width, kind in ((hi, 0, 8, ">u8"), (lo, 8, 4, ">u4"), (doc, 12, 8, ">i8")):
+            values = np.ascontiguousarray(planes[at * n : (at + width) * n].reshape(width, n).T).view(kind).ravel()
+            target.append(values.astype(kind[1:]))
+    hi, lo, doc = np.concatenate(hi), np.concatenate(lo), np.concatenate(doc)
+    order = np.lexsort((doc, lo, hi))
+    hi, lo, ordered = hi[order], lo[order], doc[order]
+    new = np.ones(len(hi), bool)
+    new[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
+    later = np.empty(len(hi), bool)
+    later[order] = ordered > ordered[new][np.cumsum(new) - 1]
+    ends = np.cumsum([n for _, n, _ in rows])
+    answers = [np.packbits(x).tobytes() for x in np.split(later, ends[:-1])]
+    return _record({"block": [b for b, _, _ in rows], "part": [part] * len(rows), "later": answers}, ANSWER_SCHEMA)
+
+
+def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by part; one part is held at a time."""
+    current, held = None, []
+    for batch in batches:
+        for part, *row in zip(*(batch[c].to_pylist() for c in ("part", "block", "n", "keys"))):
+            if part != current and held:
+                yield _answers(held, current)
+                held = []
+            current = part
+            held.append(tuple(row))
+    if held:
+        yield _answers(held, current)
+
+
+def _covered(w: Words, k: Keys, later: np.ndarray, size: int) -> np.ndarray:
+    """Words inside a window that also starts in an earlier document, here or - where ``later`` says so - elsewhere."""
+    starts = k.first[later[k.of] | (k.doc > k.min_doc[k.of])]
     edges = np.zeros(len(w.start) + 1, np.int64)
-    starts = first[chosen[repeated]]
-    np.add.at(edges, starts, 1)
-    np.add.at(edges, starts + size, -1)
+    edges[starts] += 1  # a word begins one window
+    edges[starts + size] -= 1
     return np.cumsum(edges[:-1]) > 0
 
 
-def _cut(size: int):
+def _cut(size: int, bits: int, sketch, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _sketch_rows(sketch)
         for batch in batches:
-            found = batch["found"].to_pylist()
+            answers = batch["answers"].to_pylist()
             for row, (_, ids, null, w) in enumerate(_blocks(batch)):
-                drop = _covered(w, ids, np.array(found[row] or [], np.int64), size)
+                k = _block_keys(ids, w, size, rows, bits)
+                later, part = np.zeros(len(k.hi), bool), _part_of(k.hi, parts)
+                for answer in answers[row] or []:
+                    a, b = np.searchsorted(part, [answer["part"], answer["part"] + 1])
+                    later[a:b] = np.unpackbits(np.frombuffer(answer["later"], np.uint8), count=b - a)
+                drop = _covered(w, k, later, size)
                 kept = w.buf[np.repeat(~drop, w.end - w.start + 1)].tobytes()
                 left = np.bincount(w.doc[~drop], weights=(w.end - w.start + 1)[~drop], minlength=w.n_docs)
                 bounds = np.concatenate(([0], np.cumsum(left.astype(np.int64)))).tolist()
@@ -270,26 +329,29 @@ def remove_repeated_passages(
     n = blocks.agg(F.sum("n_windows")).first()[0] or 0
     bits = min(max_row_bits, max(shard_bits, (4 * n).bit_length()))
     per_row = 1 << (bits - shard_bits)
-    parts = len(ROW_SEEDS) * per_row
     merged = (
         blocks.mapInArrow(_count(window, bits, shard_bits), CELL_SCHEMA)
-        .repartition(parts, "shard")
+        .repartition(max(1, len(ROW_SEEDS) * per_row // 4), "shard")
         .sortWithinPartitions("shard")
         .mapInArrow(_merge(shard_bits), "shard int, bits binary")
     )
-    # At most 2 * 2**max_row_bits bits come to the driver and go out again.
-    empty = bytes(1 << (shard_bits - 3))
-    bitmaps = {r["shard"]: bytes(r["bits"]) for r in merged.collect()}
-    rows = [b"".join(bitmaps.get(r * per_row + s, empty) for s in range(per_row)) for r in range(len(ROW_SEEDS))]
-    keys = blocks.mapInArrow(_keys(window, bits, spark.sparkContext.broadcast(rows)), KEY_SCHEMA)
-    first = F.min("min_doc").over(Window.partitionBy("hi", "lo"))
-    found = (
-        keys.withColumn("first", first)
-        .where("first < min_doc")
+    # At most 2 * 2**max_row_bits bits pass the driver, one shard at a time.
+    rows = [bytearray(1 << (bits - 3)) for _ in ROW_SEEDS]
+    width = 1 << (shard_bits - 3)
+    for shard in merged.toLocalIterator(prefetchPartitions=True):
+        row, at = divmod(shard["shard"], per_row)
+        rows[row][at * width : (at + 1) * width] = shard["bits"]
+    sketch = spark.sparkContext.broadcast(rows)
+    parts = max(1, n // PART_WINDOWS)
+    keys = blocks.mapInArrow(_keys(window, bits, sketch, parts), KEY_SCHEMA)
+    answers = (
+        keys.repartition("part")
+        .sortWithinPartitions("part")
+        .mapInArrow(_group, ANSWER_SCHEMA)
         .groupBy("block")
-        .agg(F.collect_list("at").alias("found"))
+        .agg(F.collect_list(F.struct("part", "later")).alias("answers"))
     )
-    return blocks.join(found, "block", "left").mapInArrow(_cut(window), RESULT_SCHEMA)
+    return blocks.join(answers, "block", "left").mapInArrow(_cut(window, bits, sketch, parts), RESULT_SCHEMA)
 
 
 OP1_SQL = r"""
