@@ -15,6 +15,7 @@ from loglake.llm.op4_bpe import token_digests
 from loglake.llm.op5_language_id import identify, train
 from loglake.llm.op6_secret_scan import scan_secrets
 from loglake.llm.op7_minhash_dedup import near_duplicates
+from loglake.llm.op8_lm_scoring import score_texts
 from loglake.llm.op9_topk_search import OP9_SQL, top_k
 from loglake.session import use_utc
 
@@ -88,3 +89,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return replace_personal_data(docs).select("doc_id", "n_entities", "text")
+
+
+@register("op8_lm_scoring")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 CHUNK_BYTES = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTE_CODES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_BYTE_CODES = [np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1) for seed in (7, 8)]
 _BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xD1342543DE82EF95)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -69,10 +69,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(w: Words) -> np.ndarray:
+def word_hashes(w: Words, seed: int = 0) -> np.ndarray:
+    """Hashes of all words; those of the two seeds are independent."""
     power, inverse = _power_tables(len(w.buf) + 1)
     prefix = np.zeros(len(w.buf) + 1, np.uint64)
-    np.cumsum(_BYTE_CODES[w.buf] * power[: len(w.buf)], dtype=np.uint64, out=prefix[1:])
+    np.cumsum(_BYTE_CODES[seed][w.buf] * power[: len(w.buf)], dtype=np.uint64, out=prefix[1:])
     return mix((prefix[w.end] - prefix[w.start]) * inverse[w.start])
 
 
