@@ -232,11 +232,11 @@ def _written(m: Column, kind: Column, surrogate: Column) -> Column:
     )
 
 
-def replace_personal_data(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """All columns of ``docs`` (text, any others) with the text's entities replaced, and n_entities, their number.
+def replace_personal_data(docs: DataFrame, key: str = KEY, count_as: str = "n_entities") -> DataFrame:
+    """All columns of ``docs`` (text, any others) with the text's entities replaced, and ``count_as``, their number.
 
     Null and empty texts stay as they are, with 0. Equal texts give equal texts, whatever their doc_id. Columns of
-    ``docs`` may have any names but n_entities.
+    ``docs`` may have any names but that of ``count_as``.
     """
     found = F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))
     rows = docs.select(
@@ -267,5 +267,5 @@ def replace_personal_data(docs: DataFrame, key: str = KEY) -> DataFrame:
     same = rows.where("size(found) = 0 OR text IS NULL").select("row", F.col("text").alias("new_text"), F.lit(0).cast("long").alias("n"))
     return same.unionByName(changed).select(
         *(F.col("new_text").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns),
-        F.col("n").alias("n_entities"),
+        F.col("n").alias(count_as),
     )

@@ -16,8 +16,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from loglake.llm.words import text_chunks
 
 RESULT_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-TOKEN_SCHEMA = "doc_id long, ids array<int>"
+TOKEN_SCHEMA = "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string"
 START = 0
 NEVER = -1
 CACHED = 100_000
@@ -137,6 +139,9 @@ class Automaton:
         return out[::-1]
 
 
+Entry = tuple[int, str, bytes, bytes]  # token count, numbers joined by commas, decoded bytes, numbers as 32-bit integers
+
+
 class Encoder:
     """Whole texts to tokens; results of short words are kept, in two generations, for the next ones."""
 
@@ -161,8 +166,8 @@ class Encoder:
         longest = sorted(self.added, key=len, reverse=True)
         self._added = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         self._pieces: dict[str, tuple[int, ...]] = {}
-        self._young: dict[str, tuple[int, str, bytes]] = {}
-        self._old: dict[str, tuple[int, str, bytes]] = {}
+        self._young: dict[str, Entry] = {}
+        self._old: dict[str, Entry] = {}
 
     def __getstate__(self):
         return {"automaton": self.automaton, "added": self.added}
@@ -186,11 +191,11 @@ class Encoder:
             out += known
         return out
 
-    def _entry(self, run: str) -> tuple[int, str, bytes]:
+    def _entry(self, run: str) -> Entry:
         found = self._old.get(run)
         if found is None:
             ids = self._tokens(run)
-            found = len(ids), ",".join(map(str, ids)), self.decode(ids)
+            found = len(ids), ",".join(map(str, ids)), self.decode(ids), array("i", ids).tobytes()
         if len(run) <= CACHED_LENGTH:
             if len(self._young) >= CACHED:
                 self._old, self._young = self._young, {}
@@ -204,10 +209,10 @@ class Encoder:
     def _special(self, token: int) -> bytes:
         return next(t for t, i in self.added.items() if i == token).encode()
 
-    def _entries(self, text: str) -> Iterator[tuple[int, str, bytes]]:
+    def _entries(self, text: str) -> Iterator[Entry]:
         for k, part in enumerate(self._added.split(text) if self._added else [text]):
             if k % 2:
-                yield 1, str(self.added[part]), part.encode()
+                yield 1, str(self.added[part]), part.encode(), array("i", [self.added[part]]).tobytes()
             else:
                 get = self._young.get
                 for run in self._run.findall(part):
@@ -218,7 +223,13 @@ class Encoder:
                     yield found
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self._entries(text) for i in ids.split(",")]
+        return array("i", self.packed(text)[0]).tolist()
+
+    def packed(self, text: str) -> tuple[bytes, str]:
+        """Token numbers as 32-bit integers, digest of the decoded text."""
+        found = list(self._entries(text))
+        decoded = b"".join([x[2] for x in found]).decode("utf-8", "replace").encode()
+        return b"".join([x[3] for x in found]), hashlib.sha256(decoded).hexdigest()
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Token count, digest of the token numbers, digest of the decoded text."""
@@ -261,10 +272,15 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and the token numbers of every row."""
+    """doc_id, n_tokens, the token numbers, and the digest of the decoded text of every row, as in token_digests."""
 
     def columns(encoder: Encoder, ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
-        tokens = pa.array(map(encoder.encode, texts), pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([ids, tokens], ["doc_id", "ids"])
+        packed, decoded = zip(*map(encoder.packed, texts))
+        numbers = np.frombuffer(b"".join(packed), np.int32)
+        sizes = np.array([len(p) // 4 for p in packed], np.int64)
+        tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(numbers))
+        return pa.RecordBatch.from_arrays(
+            [ids, pa.array(sizes), tokens, pa.array(decoded)], ["doc_id", "n_tokens", "ids", "decoded_sha256"]
+        )
 
     return _over_texts(docs, path, TOKEN_SCHEMA, columns)

@@ -239,3 +239,17 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
                 )
 
     return docs.select("doc_id", _held_out().alias("held_out"), "text").mapInArrow(run, RESULT_SCHEMA)
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel | None, min_score: float) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is identified with ``min_score`` or more; ``und`` goes."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in text_chunks(batch, "text", CHUNK_BYTES // 2):
+                if shared.value:
+                    best, score = shared.value.predict(texts)
+                    yield batch.slice(first, len(texts)).filter(pa.array((best >= 0) & (score >= min_score)))
+
+    return docs.mapInArrow(run, docs.schema)
