@@ -6,9 +6,9 @@ permutations, 52 bands. Two sets with similarity s share a band with probability
 misses fewer than one pair in a million.
 
 Identical sets are collapsed first. Of the documents that share a band, each is compared on its full set with the
-smallest; the links found give components. Where a band still holds several components, the remaining pairs of
-different components are compared too, so no link between components is lost. Bands that would give very many such
-pairs are first split by a second band that both documents must share (two sets at 0.75 share on average 12 bands).
+smallest; the links found give components. Where a band still holds several components, its documents are compared
+again in groups of bounded size, each by counting the shared shingles of all its documents at once; only links between
+components leave a group. So no link is lost, and no list of pairs is made that grows with the square of a band.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,9 @@ PERMUTATIONS = 130
 ROWS = 5
 PERCENT = 75
 SHINGLE = 5
-MAX_PAIRS = 200_000
+SINGLES = 10
+CHUNK = 200_000
+COLUMNS = 4096
 MARK_BITS = 27
 
 _rng = np.random.default_rng(17)
@@ -135,43 +138,85 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def _open_pairs(rows: DataFrame, bands: DataFrame, max_pairs: int) -> DataFrame | None:
-    """Pairs of different components that share a bucket; ``rows`` (bucket, doc_id, n, component)."""
-    found: DataFrame | None = None
-    for _ in range(3):
-        per_bucket = (
-            rows.groupBy("bucket", "component")
-            .agg(F.count("*").alias("c"))
-            .groupBy("bucket")
-            .agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"))
-            .where("pairs > 0")
-        )
-        rows = stored(rows.join(stored(per_bucket, "buckets"), "bucket"), "open")
-        small = rows.where(f"pairs <= {max_pairs}").drop("pairs")
-        a = small.select("bucket", *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "component")))
-        b = small.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "component")))
-        pairs = (
-            a.join(b, "bucket")
-            .where("doc_id_a < doc_id_b AND component_a <> component_b")
-            .where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
-            .select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
-            .distinct()
-        )
-        found = pairs if found is None else found.unionByName(pairs)
-        large = rows.where(f"pairs > {max_pairs}").drop("pairs")
-        if large.isEmpty():
-            return found
-        finer = bands.select("doc_id", F.explode("bands").alias("other"))
-        rows = (
-            large.join(finer, "doc_id")
-            .where("other <> bucket")
-            .withColumn("bucket", F.xxhash64("bucket", "other"))
-            .drop("other")
-        )
-    return found.unionByName(_open_pairs(rows, bands, 1 << 62))
-
-
-def near_duplicates(docs: DataFrame, max_pairs: int = MAX_PAIRS) -> DataFrame:
+def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document and single minimum, with the full set."""
+    for batch in batches:
+        shingles = batch["shingles"]
+        sizes = pc.list_value_length(shingles).cast(pa.int64())
+        hashes, bounds = shingles.flatten().to_numpy().view(np.uint64), np.cumsum([0, *sizes.to_pylist()])
+        sets = pa.array([hashes[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())
+        for k in range(SINGLES):
+            low = np.minimum.reduceat(hashes * _FACTORS[k] + _SHIFTS[k], bounds[:-1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(mix(low ^ np.uint64(k)).view(np.int64)), batch["doc_id"], batch["component"], sizes, sets],
+                ["block", "doc_id", "component", "n", "own"],
+            )
+
+
+def _links_within(table: pa.Table) -> pa.Table:
+    """One link between any two components of the group that have one, by counting shared shingles of all at once."""
+    ids, component = table["doc_id"].to_numpy(), table["component"].to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in table["own"].to_pylist()]
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = counts > 1
+    number = np.cumsum(often) - 1
+    owner, column = owner[often[column]], number[column[often[column]]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((len(sets), len(sets)))
+    for first in range(0, int(often.sum()), COLUMNS):
+        x, y = np.searchsorted(column, [first, first + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[owner[x:y], column[x:y] - first] = 1
+        shared += part @ part.T
+    close = 100 * shared >= PERCENT * (sizes[:, None] + sizes[None, :] - shared)
+    i, j = np.nonzero(close & (component[:, None] < component[None, :]))
+    _, one = np.unique(np.stack((component[i], component[j])), axis=1, return_index=True)
+    return pa.table({"a": ids[i[one]], "b": ids[j[one]]})
+
+
+def _remaining_links(members: DataFrame, groups: DataFrame, sets: DataFrame, chunk: int) -> DataFrame:
+    """Links between different components of a bucket that the comparison with its smallest document left open.
+
+    Documents of such buckets are blocked anew by each of ten single minima (at 0.75 all ten differ for one pair in a
+    million). A block is cut into chunks of about ``chunk`` shingles by doc_id hash; each two chunks meet once, in a group of bounded size.
+    """
+    known = members.join(groups, members["doc_id"] == groups["id"], "left").select(
+        "bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")
+    )
+    known = stored(known, "known")
+    unsettled = (
+        known.groupBy("bucket")
+        .agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("n > 2 AND low <> high")
+        .select("bucket")
+    )
+    docs = known.join(stored(unsettled, "unsettled"), "bucket").select("doc_id", "component").distinct()
+    rows = stored(
+        sets.where("n > 0").join(docs, "doc_id").select("doc_id", "component", "shingles").mapInArrow(
+            _block_rows, "block long, doc_id long, component long, n long, own binary"
+        ),
+        "blocks",
+    )
+    parts = (
+        rows.groupBy("block")
+        .agg(F.sum("n").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("low <> high")
+        .select("block", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
+    )
+    mine = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
+    met = (
+        rows.join(stored(parts, "parts"), "block")
+        .withColumn("mine", mine)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select("block", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "doc_id", "component", "own")
+    )
+    return met.groupBy("block", "x", "y").applyInArrow(_links_within, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text; other columns are ignored).
 
     Documents are linked whose sets of 5-word shingles (A-Z lower-cased) have a similarity of 0.75 or more;
@@ -183,8 +228,8 @@ def near_duplicates(docs: DataFrame, max_pairs: int = MAX_PAIRS) -> DataFrame:
     signatures = stored(docs.select("doc_id", "text").mapInArrow(_signatures, SIGNATURE_SCHEMA), "signatures")
     linked = signatures.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(linked.groupBy("hi", "lo").agg(F.min("doc_id").alias("first_id")), "classes")
-    firsts = linked.join(classes, ["hi", "lo"]).where("doc_id = first_id").select("doc_id", F.col("n_shingles").alias("n"), "bands")
-    rows = firsts.select(F.explode("bands").alias("bucket"), "doc_id", "n")
+    firsts = linked.join(classes, ["hi", "lo"]).where("doc_id = first_id").select("doc_id", "bands")
+    rows = firsts.select(F.explode("bands").alias("bucket"), "doc_id")
     centres = (
         rows.groupBy("bucket")
         .agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last"))
@@ -199,11 +244,7 @@ def near_duplicates(docs: DataFrame, max_pairs: int = MAX_PAIRS) -> DataFrame:
     sets = _sets_of(docs, members.select("doc_id").distinct())
     links = stored(_confirmed(tried, sets), "confirmed")
     groups = stored(components(links), "groups")
-    known = members.join(groups, members["doc_id"] == groups["id"], "left").select(
-        "bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")
-    )
-    untried = _open_pairs(known, firsts, max_pairs).distinct().join(tried, ["a", "b"], "left_anti")
-    more = stored(_confirmed(untried, sets), "confirmed")
+    more = stored(_remaining_links(members, groups, sets, chunk), "remaining")
     if not more.isEmpty():
         groups = stored(components(links.unionByName(more)), "groups")
     of_class = classes.join(groups, classes["first_id"] == groups["id"], "left").select(
