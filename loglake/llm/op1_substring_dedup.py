@@ -167,6 +167,19 @@ def _merge(shard_bits: int):
     return run
 
 
+@dataclass
+class Sketch:
+    """The bits of the merged sketch, one string a row; compressed on its way to the tasks."""
+
+    rows: list[bytes]
+
+    def __getstate__(self) -> list[bytes]:
+        return [zstandard.compress(bytes(r), 1) for r in self.rows]
+
+    def __setstate__(self, state: list[bytes]) -> None:
+        self.rows = [zstandard.decompress(r) for r in state]
+
+
 def _estimated(hashes: np.ndarray, sketch: list[np.ndarray], bits: int) -> np.ndarray:
     """Whether the smallest of the estimates is two or more."""
     hit = np.ones(len(hashes), bool)
@@ -209,7 +222,7 @@ def _block_keys(ids: np.ndarray, w: Words, size: int, sketch: list[np.ndarray],
 
 
 def _sketch_rows(sketch) -> list[np.ndarray]:
-    return [np.frombuffer(r, np.uint8) for r in sketch.value]
+    return [np.frombuffer(r, np.uint8) for r in sketch.value.rows]
 
 
 def _part_of(hi: np.ndarray, parts: int) -> np.ndarray:
@@ -341,7 +354,7 @@ def remove_repeated_passages(
     for shard in merged.toLocalIterator(prefetchPartitions=True):
         row, at = divmod(shard["shard"], per_row)
         rows[row][at * width : (at + 1) * width] = shard["bits"]
-    sketch = spark.sparkContext.broadcast(rows)
+    sketch = spark.sparkContext.broadcast(Sketch(rows))
     parts = max(1, n // PART_WINDOWS)
     keys = blocks.mapInArrow(_keys(window, bits, sketch, parts), KEY_SCHEMA)
     answers = (
