@@ -31,6 +31,27 @@ def _(spark, sf):
     return rows.select("rule_id", "tenant_id", rounded("actual_value").alias("actual_value"), "status", "is_breached")
 
 
+_WEEK = _EVALUATED.replace("r.window_minutes", "10080")
+
+
+@query("l1_week_rules", _WEEK + "SELECT rule_id, tenant_id, round(actual_value + 1e-9, 6) AS actual_value, status, is_breached FROM evaluated")
+def _(spark, sf):
+    weekly = rules(spark, sf).withColumn("window_minutes", F.lit(7 * 1440))
+    rows = L.evaluate_rules(logs(spark, sf), weekly, _NOW)
+    return rows.select("rule_id", "tenant_id", rounded("actual_value").alias("actual_value"), "status", "is_breached")
+
+
+_SAME_ID = _EVALUATED.replace("CAST(c_custkey AS STRING) AS rule_id", "CAST(c_custkey // 4 AS STRING) AS rule_id")
+
+
+@query("l1_equal_rule_ids", _SAME_ID + "SELECT rule_id, tenant_id, name, round(actual_value + 1e-9, 6) AS actual_value, status, is_breached FROM evaluated")
+def _(spark, sf):
+    """One rule id in up to four tenants."""
+    shared = rules(spark, sf).withColumn("rule_id", F.floor(F.col("rule_id").cast("long") / 4).cast("string"))
+    rows = L.evaluate_rules(logs(spark, sf), shared, _NOW)
+    return rows.select("rule_id", "tenant_id", "name", rounded("actual_value").alias("actual_value"), "status", "is_breached")
+
+
 # A short list of rules given as SQL.
 _SQL_RULES = [
     ("r1", "tenant-0", "many errors", "SELECT count(*) FROM logs WHERE level = 'Error'", ">", 5.0),
@@ -160,12 +181,14 @@ def _(spark, sf):
 
 @query(
     "l7_due_rules",
-    "WITH " + RULES + f""", ran AS (SELECT CAST(user_id AS VARCHAR) AS rule_id, max(ts) AS evaluated_at FROM events GROUP BY 1)
-    SELECT r.rule_id, evaluated_at FROM rules r LEFT JOIN ran USING (rule_id) WHERE is_enabled
+    "WITH " + RULES + f""", ran AS (SELECT CAST(user_id AS VARCHAR) AS rule_id, concat('tenant-', CAST(user_id % 3 AS VARCHAR)) AS tenant_id, max(ts) AS evaluated_at FROM events GROUP BY 1, 2)
+    SELECT r.rule_id, evaluated_at FROM rules r LEFT JOIN ran USING (tenant_id, rule_id) WHERE is_enabled
       AND (evaluated_at IS NULL OR evaluated_at + to_seconds(evaluation_interval_seconds * 1000) <= TIMESTAMP '{_NOW}')""",
 )
 def _(spark, sf):
-    ran = table(spark, sf, "events").groupBy(F.col("user_id").cast("string").alias("rule_id")).agg(F.max("ts").alias("evaluated_at"))
+    # A run of another tenant's rule of the same id counts for nothing.
+    tenant = F.concat(F.lit("tenant-"), (F.col("user_id") % 3).cast("string")).alias("tenant_id")
+    ran = table(spark, sf, "events").groupBy(F.col("user_id").cast("string").alias("rule_id"), tenant).agg(F.max("ts").alias("evaluated_at"))
     slow = rules(spark, sf).withColumn("evaluation_interval_seconds", F.col("evaluation_interval_seconds") * 1000)
     return L.due_rules(slow, ran, _NOW).select("rule_id", "evaluated_at")
 
@@ -193,7 +216,11 @@ def _(spark, sf):
     LOGS + ", " + RULES + f""", w AS (SELECT r.rule_id, r.tenant_id, r.name AS rule_name, threshold_operator, threshold_value, window_minutes, measure,
         floor(date_diff('second', TIMESTAMP '{T_FROM}', l.timestamp) / (60.0 * window_minutes)) AS k, l.id, l.duration_ms
       FROM rules r JOIN logs l ON l.tenant_id = r.tenant_id AND (r.log_type IS NULL OR r.log_type = l.log_type) AND (r.level IS NULL OR r.level = l.level) WHERE r.is_enabled),
-    vals AS (SELECT rule_id, tenant_id, rule_name, threshold_operator, threshold_value, TIMESTAMP '{T_FROM}' + to_minutes(CAST(k * window_minutes AS BIGINT)) AS window_start,
+    grid AS (SELECT rule_id, tenant_id, name AS rule_name, threshold_operator, threshold_value, window_minutes,
+        unnest(range(0, CAST(ceil(date_diff('second', TIMESTAMP '{T_FROM}', TIMESTAMP '{T_TO}') / (60.0 * window_minutes)) AS BIGINT))) AS k FROM rules WHERE is_enabled AND measure = 'count'),
+    silent AS (SELECT * FROM grid g WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.rule_id = g.rule_id AND w.k = g.k)),
+    vals AS (SELECT rule_id, tenant_id, rule_name, threshold_operator, threshold_value, TIMESTAMP '{T_FROM}' + to_minutes(CAST(k * window_minutes AS BIGINT)) AS window_start, 0.0 AS actual_value FROM silent
+    UNION ALL SELECT rule_id, tenant_id, rule_name, threshold_operator, threshold_value, TIMESTAMP '{T_FROM}' + to_minutes(CAST(k * window_minutes AS BIGINT)) AS window_start,
       {_MEASURE.replace('l.', '')} AS actual_value FROM w GROUP BY rule_id, tenant_id, rule_name, threshold_operator, threshold_value, k, window_minutes, measure)
     SELECT rule_id, tenant_id, rule_name, window_start, round(actual_value + 1e-9, 6) AS actual_value, threshold_operator, threshold_value, true AS is_historical
     FROM vals WHERE {_HIT}""",
