@@ -70,24 +70,27 @@ def http_status_per_hour(logs: DataFrame, as_of, look_back: str = "7 DAYS", tag:
 # -- chart templates -----------------------------------------------------------
 
 
-def error_heatmap(logs: DataFrame, t_from, t_to, limit: int = 500) -> DataFrame:
+def _sorted(df: DataFrame, *by: str, limit: int | None) -> DataFrame:
+    """In chart order; cut only if the caller says where."""
+    rows = df.orderBy(*by)
+    return rows if limit is None else rows.limit(limit)
+
+
+def error_heatmap(logs: DataFrame, t_from, t_to, limit: int | None = None) -> DataFrame:
     rows = errors_only(time_range(logs, t_from, t_to))
-    return (
-        rows.groupBy("hour_of_day", "day_of_week")
-        .agg(_count("error_count"))
-        .orderBy("hour_of_day", "day_of_week")
-        .limit(limit)
-    )
+    cells = rows.groupBy("hour_of_day", "day_of_week").agg(_count("error_count"))
+    return _sorted(cells, "hour_of_day", "day_of_week", limit=limit)
 
 
-def latency_p99_trend(logs: DataFrame, t_from, t_to, limit: int = 1000, accuracy: int = ACCURACY) -> DataFrame:
+def latency_p99_trend(
+    logs: DataFrame, t_from, t_to, width: str = "1 hour", limit: int | None = None, accuracy: int = ACCURACY
+) -> DataFrame:
+    """`timestamp` is the start of a bucket of `width`, here and in the charts below."""
     rows = time_range(logs, t_from, t_to).filter(F.col("duration_ms").isNotNull())
-    return (
-        rows.groupBy("timestamp", "service")
-        .agg(F.percentile_approx("duration_ms", 0.99, accuracy).alias("p99_ms"))
-        .orderBy("timestamp", "service")
-        .limit(limit)
+    cells = rows.groupBy(window_start("timestamp", width).alias("timestamp"), "service").agg(
+        F.percentile_approx("duration_ms", 0.99, accuracy).alias("p99_ms")
     )
+    return _sorted(cells, "timestamp", "service", limit=limit)
 
 
 def error_gauge(logs: DataFrame, t_from, t_to) -> DataFrame:
@@ -98,31 +101,29 @@ def top_errors(logs: DataFrame, t_from, t_to, k: int = 10) -> DataFrame:
     return top_k_by_count(errors_only(time_range(logs, t_from, t_to)), "message", k, "error_count")
 
 
-def status_distribution(logs: DataFrame, t_from, t_to, limit: int = 50) -> DataFrame:
+def status_distribution(logs: DataFrame, t_from, t_to, limit: int | None = None) -> DataFrame:
     rows = time_range(logs, t_from, t_to).filter(F.col("status_code").isNotNull())
-    return rows.groupBy("status_code").agg(_count("count")).orderBy("status_code").limit(limit)
+    return _sorted(rows.groupBy("status_code").agg(_count("count")), "status_code", limit=limit)
 
 
-def service_error_scatter(logs: DataFrame, t_from, t_to, limit: int = 200) -> DataFrame:
+def service_error_scatter(logs: DataFrame, t_from, t_to, limit: int | None = None) -> DataFrame:
     rows = errors_only(time_range(logs, t_from, t_to)).filter(F.col("duration_ms").isNotNull())
-    return (
-        rows.groupBy("service")
-        .agg(_count("error_count"), F.avg("duration_ms").alias("avg_latency_ms"))
-        .orderBy("service")
-        .limit(limit)
-    )
+    points = rows.groupBy("service").agg(_count("error_count"), F.avg("duration_ms").alias("avg_latency_ms"))
+    return _sorted(points, "service", limit=limit)
 
 
-def volume_stacked(logs: DataFrame, t_from, t_to, limit: int = 1000) -> DataFrame:
+def volume_stacked(logs: DataFrame, t_from, t_to, width: str = "1 hour", limit: int | None = None) -> DataFrame:
     rows = time_range(logs, t_from, t_to)
-    return (
-        rows.groupBy("timestamp", "log_type").agg(_count("count")).orderBy("timestamp", "log_type").limit(limit)
-    )
+    cells = rows.groupBy(window_start("timestamp", width).alias("timestamp"), "log_type").agg(_count("count"))
+    return _sorted(cells, "timestamp", "log_type", limit=limit)
 
 
-def alert_timeline(logs: DataFrame, t_from, t_to, category: str = "alert", limit: int = 1000) -> DataFrame:
+def alert_timeline(
+    logs: DataFrame, t_from, t_to, category: str = "alert", width: str = "1 hour", limit: int | None = None
+) -> DataFrame:
     rows = time_range(logs, t_from, t_to).filter(F.col("category") == category)
-    return rows.groupBy("timestamp").agg(_count("alert_count")).orderBy("timestamp").limit(limit)
+    points = rows.groupBy(window_start("timestamp", width).alias("timestamp")).agg(_count("alert_count"))
+    return _sorted(points, "timestamp", limit=limit)
 
 
 # -- search aggregations -------------------------------------------------------

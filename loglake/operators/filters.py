@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglake import schema
-from loglake.functions.columns import interval, is_blank, level_ord, ts_lit
+from loglake.functions.columns import interval, is_blank, ts_lit
 
-_UNSAFE_TENANT = r"""['";\\-]{2,}|['";\\]"""
+_CANONICAL = {"level": schema.LEVELS, "log_type": schema.LOG_TYPES}
 
 
 def tenant_scope(df: DataFrame, tenant: str) -> DataFrame:
@@ -19,9 +21,8 @@ def tenant_scope(df: DataFrame, tenant: str) -> DataFrame:
 
 def check_tenant_id(col: Column) -> Column:
     """`empty`, `unsafe` or NULL when the tenant id may be used."""
-    return F.when(is_blank(col), "empty").when(
-        col.rlike(_UNSAFE_TENANT), "unsafe"
-    )
+    unsafe = [F.contains(col, F.lit(c)) for c in ("'", '"', ";", "\\", "--")]
+    return F.when(is_blank(col), "empty").when(reduce(or_, unsafe), "unsafe")
 
 
 def time_range(
@@ -74,12 +75,19 @@ def partition_range(df: DataFrame, t_from: dt.datetime | None, t_to: dt.datetime
 
 
 def name_in(df: DataFrame, col: str, *names: str) -> DataFrame:
-    """Enum or keyword equality / IN, ignoring case."""
+    """Enum or keyword equality / IN, ignoring case.
+
+    Levels and types are canonical in the `logs` view, so the given names are made canonical instead of
+    the column, and the predicate reaches the scan.
+    """
+    if col in _CANONICAL:
+        spelling = {v.lower(): v for v in _CANONICAL[col]}
+        return df.filter(F.col(col).isin([spelling.get(n.lower(), n) for n in names]))
     return df.filter(F.lower(F.col(col)).isin([n.lower() for n in names]))
 
 
 def errors_only(df: DataFrame) -> DataFrame:
-    return df.filter(F.lower("level") == "error")
+    return df.filter(F.col("level") == "Error")
 
 
 def min_severity(df: DataFrame, level: str) -> DataFrame:
@@ -87,7 +95,7 @@ def min_severity(df: DataFrame, level: str) -> DataFrame:
     names = [v.lower() for v in schema.LEVELS]
     if level.lower() not in names:
         raise ValueError(f"unknown level {level!r}")
-    return df.filter(level_ord(F.col("level")) >= names.index(level.lower()))
+    return df.filter(F.col("level").isin(schema.LEVELS[names.index(level.lower()) :]))
 
 
 def not_null(df: DataFrame, *cols: str) -> DataFrame:
@@ -110,6 +118,6 @@ def tag_eq(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.filter(F.try_element_at("tags", F.lit(key)) == value)
 
 
-def result_cap(requested: int | None, default: int = 50, cap: int = 10_000) -> int:
-    """Row limit of a search result: a default and a hard cap."""
-    return min(default if requested is None else requested, cap)
+def result_limit(requested: int | None, default: int = 50) -> int:
+    """Row limit of a search result: what is asked for, or a default."""
+    return default if requested is None else requested

@@ -57,21 +57,17 @@ def trace_spans(logs: DataFrame) -> DataFrame:
     )
 
 
-def densify(df: DataFrame, label: str, category: str, value: str, spread: int = 16) -> DataFrame:
+def densify(df: DataFrame, label: str, category: str, value: str) -> DataFrame:
     """Every label with every category, value 0 where there was no row.
 
-    The input is one row per (label, category). The grid is built by an equi-join on a spread number:
-    each category lives in one of `spread` buckets and each label visits all of them, so the work is
-    divided whatever the number of categories.
+    The input is one row per (label, category). Categories are the series of a chart, a short list that comes
+    back as a scalar subquery; each label's own values are put beside it, and nothing is joined.
     """
-    labels = df.select(label).distinct().withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    categories = (
-        df.select(category).distinct().withColumn("__s", F.pmod(F.xxhash64(category), F.lit(spread)).cast("int"))
-    )
-    grid = labels.join(categories, "__s").drop("__s")
-    cells = df.select(F.col(label).alias("__l"), F.col(category).alias("__c"), F.col(value).alias("__v"))
-    same = F.col(label).eqNullSafe(F.col("__l")) & F.col(category).eqNullSafe(F.col("__c"))
-    return grid.join(cells, same, "left").select(label, category, F.coalesce("__v", F.lit(0)).alias(value))
+    series = df.agg(F.array_sort(F.collect_set(F.struct(F.col(category).alias("c")))).alias("s")).scalar()
+    own = df.groupBy(label).agg(F.collect_list(F.struct(F.col(category).alias("c"), F.col(value).alias("v"))).alias("__own"))
+    each = own.withColumn("__c", F.explode(series))
+    found = F.filter("__own", lambda x: x["c"].eqNullSafe(F.col("__c.c")))
+    return each.select(label, F.col("__c.c").alias(category), F.coalesce(F.get(found, F.lit(0))["v"], F.lit(0)).alias(value))
 
 
 def reports_with_sql(reports: DataFrame, saved_queries: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglake.operators.filters import result_cap, time_range
+from loglake.operators.filters import result_limit, time_range
 
 # Words are runs of letters, digits and underscores; everything else separates them.
 _WORD = r"[\p{L}\p{N}_]"
@@ -85,22 +85,51 @@ def search_predicate(
 
     Terms, ``"phrases"``, ``field:value`` and ``wild*`` become predicates; AND, OR, NOT and parentheses
     are left to Spark's own expression language, whose precedence they share. Terms that stand next to
-    each other are alternatives. Unsupported: fuzzy matching, boosts and ranges.
+    each other are alternatives. A NOT that no AND or OR precedes excludes from its whole group:
+    ``a b NOT c`` is ``(a OR b) AND NOT c``. Unsupported: fuzzy matching, boosts and ranges.
     """
     if query is None or not query.strip():
         return F.lit(True)
-    out: list[str] = []
+    # Of each open parenthesis: its text so far, and what is excluded from it.
+    groups: list[tuple[list[str], list[str]]] = [([], [])]
+    excluding = [False]
+
+    def close() -> str:
+        kept, excluded = groups.pop()
+        return f"(({' '.join(kept) or 'true'}){''.join(f' AND NOT {x}' for x in excluded)})"
+
+    def operand(text: str) -> None:
+        kept, excluded = groups[-1]
+        if excluding[-1]:
+            excluded.append(text)
+            excluding[-1] = False
+            return
+        if kept and kept[-1] not in ("AND", "OR", "NOT"):
+            kept.append("OR")
+        kept.append(text)
+
     for piece in _PIECES.findall(query):
-        starts_operand = piece not in (")", "AND", "OR")
-        if starts_operand and out and out[-1] not in ("(", "AND", "OR", "NOT"):
-            out.append("OR")
-        if piece in ("(", ")", "AND", "OR", "NOT"):
-            out.append(piece)
-        elif not re.search(r"[\w*?]", piece):
-            out.append("true")
-        else:
-            out.append(_leaf(piece, list(fields), tags))
-    return F.expr(" ".join(out))
+        kept = groups[-1][0]
+        if piece == "(":
+            groups.append(([], []))
+            excluding.append(False)
+        elif piece == ")" and len(groups) > 1:
+            text = close()
+            excluding.pop()
+            operand(text)
+        elif piece == "NOT" and (not kept or kept[-1] not in ("AND", "OR", "NOT")):
+            excluding[-1] = True
+        elif piece in ("AND", "OR", "NOT"):
+            # After an exclusion the operator joins what follows to the kept part.
+            if kept or piece == "NOT":
+                kept.append(piece)
+        elif piece != ")":
+            operand(_leaf(piece, list(fields), tags) if re.search(r"[\w*?]", piece) else "true")
+    while len(groups) > 1:
+        text = close()
+        excluding.pop()
+        operand(text)
+    return F.expr(close())
 
 
 def search(
@@ -114,7 +143,7 @@ def search(
     """Entries that match, newest first; pass a frame that is already scoped to one tenant."""
     hits = time_range(df, t_from, t_to, closed=True).filter(search_predicate(query))
     keys = [F.col(order_by[0]).desc(), *order_by[1:]]
-    return hits.orderBy(*keys).limit(result_cap(limit))
+    return hits.orderBy(*keys).limit(result_limit(limit))
 
 
 def relevance(
@@ -162,4 +191,4 @@ def search_ranked(
 ) -> DataFrame:
     """The `k` most relevant rows. Scores are rounded so that ties break the same way everywhere."""
     scored = relevance(df, terms, text).withColumn("score", F.round("score", digits))
-    return scored.orderBy(F.col("score").desc(), tie_break).limit(result_cap(k))
+    return scored.orderBy(F.col("score").desc(), tie_break).limit(result_limit(k))

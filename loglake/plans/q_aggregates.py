@@ -60,7 +60,7 @@ _RANGE = f"timestamp >= TIMESTAMP '{T_FROM}' AND timestamp < TIMESTAMP '{T_TO}'"
 @query(
     "a5_error_heatmap",
     LOGS + f"""SELECT hour_of_day, day_of_week, count(*) AS error_count FROM logs
-    WHERE lower(level) = 'error' AND {_RANGE} GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 500""",
+    WHERE lower(level) = 'error' AND {_RANGE} GROUP BY 1, 2""",
 )
 def _(spark, sf):
     return A.error_heatmap(logs(spark, sf), T_FROM, T_TO)
@@ -68,8 +68,8 @@ def _(spark, sf):
 
 @query(
     "a6_latency_p99_trend",
-    LOGS + f"""SELECT timestamp, service, quantile_disc(duration_ms, 0.99) AS p99_ms FROM logs
-    WHERE duration_ms IS NOT NULL AND {_RANGE} GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 1000""",
+    LOGS + f"""SELECT date_trunc('hour', timestamp) AS timestamp, service, quantile_disc(duration_ms, 0.99) AS p99_ms FROM logs
+    WHERE duration_ms IS NOT NULL AND {_RANGE} GROUP BY 1, 2""",
 )
 def _(spark, sf):
     return A.latency_p99_trend(logs(spark, sf), T_FROM, T_TO)
@@ -92,7 +92,7 @@ def _(spark, sf):
 @query(
     "a9_status_distribution",
     LOGS + f"""SELECT status_code, count(*) AS count FROM logs WHERE status_code IS NOT NULL AND {_RANGE}
-    GROUP BY 1 ORDER BY 1 LIMIT 50""",
+    GROUP BY 1""",
 )
 def _(spark, sf):
     return A.status_distribution(logs(spark, sf), T_FROM, T_TO)
@@ -101,7 +101,7 @@ def _(spark, sf):
 @query(
     "a10_service_error_scatter",
     LOGS + f"""SELECT service, count(*) AS error_count, round(avg(duration_ms) + 1e-9, 6) AS avg_latency_ms FROM logs
-    WHERE lower(level) = 'error' AND duration_ms IS NOT NULL AND {_RANGE} GROUP BY 1 ORDER BY 1 LIMIT 200""",
+    WHERE lower(level) = 'error' AND duration_ms IS NOT NULL AND {_RANGE} GROUP BY 1""",
 )
 def _(spark, sf):
     rows = A.service_error_scatter(logs(spark, sf), T_FROM, T_TO)
@@ -110,8 +110,8 @@ def _(spark, sf):
 
 @query(
     "a11_volume_stacked",
-    LOGS + f"""SELECT timestamp, log_type, count(*) AS count FROM logs WHERE {_RANGE}
-    GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 1000""",
+    LOGS + f"""SELECT date_trunc('hour', timestamp) AS timestamp, log_type, count(*) AS count FROM logs WHERE {_RANGE}
+    GROUP BY 1, 2""",
 )
 def _(spark, sf):
     return A.volume_stacked(logs(spark, sf), T_FROM, T_TO)
@@ -119,8 +119,8 @@ def _(spark, sf):
 
 @query(
     "a12_alert_timeline",
-    LOGS + f"""SELECT timestamp, count(*) AS alert_count FROM logs WHERE category = 'alert' AND {_RANGE}
-    GROUP BY 1 ORDER BY 1 LIMIT 1000""",
+    LOGS + f"""SELECT date_trunc('hour', timestamp) AS timestamp, count(*) AS alert_count FROM logs WHERE category = 'alert' AND {_RANGE}
+    GROUP BY 1""",
 )
 def _(spark, sf):
     return A.alert_timeline(logs(spark, sf), T_FROM, T_TO)

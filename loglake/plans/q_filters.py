@@ -129,6 +129,11 @@ def _(spark, sf):
     return docs.filter(S.search_predicate(text, ("text",), tags=None)).select("doc_id", "source")
 
 
+@query("f10_search_excluding", _REGION + f"SELECT id, message, level FROM logs WHERE ({_any('error')} OR {_any('k')}) AND NOT {_w('level', 'fatal')}")
+def _(spark, sf):
+    return logs(spark, sf).filter(S.search_predicate("error k NOT level:Fatal")).select("id", "message", "level")
+
+
 _TOKENS = """WITH toks AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+')) AS w FROM documents),
     tf AS (SELECT doc_id, w, count(*) AS f FROM toks WHERE w IN ({terms}) GROUP BY 1, 2),
     df AS (SELECT w, count(*) AS df FROM tf GROUP BY 1),
@@ -174,9 +179,9 @@ def _(spark, sf):
     return top_k_by_count(logs(spark, sf), "endpoint", 5)
 
 
-@query("o3_ordinal_sort", "SELECT url FROM (SELECT DISTINCT url FROM pages) ORDER BY url COLLATE C LIMIT 10000")
+@query("o3_ordinal_sort", "SELECT url FROM (SELECT DISTINCT url FROM pages) ORDER BY url COLLATE C LIMIT 20000")
 def _(spark, sf):
-    return table(spark, sf, "pages").select("url").distinct().orderBy("url").limit(L.result_cap(20_000))
+    return table(spark, sf, "pages").select("url").distinct().orderBy("url").limit(L.result_limit(20_000))
 
 
 @query("o4_result_cap", LOGS + "SELECT id, message FROM logs ORDER BY timestamp DESC, id LIMIT 50")
