@@ -8,7 +8,7 @@ from loglake.operators import governance as G
 from loglake.operators import tiers as T
 from loglake.operators.aggregates import count_by
 from loglake.operators.governance import run_sql
-from loglake.plans.fixtures import AS_OF, LOGS, QLOG, SETTINGS, logs, query_log, settings
+from loglake.plans.fixtures import AS_OF, LOGS, QLOG, SETTINGS, logs, query_log, settings, table
 from loglake.plans.registry import query, rounded
 
 _NOW = "2024-01-28 00:00:00"
@@ -40,7 +40,7 @@ def _routed(spark, sf):
     "g2_route_queries",
     _ROUTED + """SELECT query_id, tier, CASE WHEN has_full_text THEN 'full text search' WHEN earliest IS NULL THEN 'no time range' WHEN tier = 'Hot' THEN 'within hot window'
       WHEN tier = 'Warm' THEN 'within warm window' WHEN tier = 'Cold' THEN 'cold storage' WHEN earliest < warm THEN 'spans warm and cold' ELSE 'spans hot and warm' END AS reason,
-      CASE WHEN tier = 'Cold' THEN 'Query may take 30–120s' END AS warning FROM routed""",
+      CASE WHEN tier = 'Cold' THEN 'cold storage: expect half a minute to two minutes' END AS warning FROM routed""",
 )
 def _(spark, sf):
     return _routed(spark, sf).select("query_id", "tier", "reason", "warning")
@@ -57,13 +57,13 @@ def _(spark, sf):
     return T.split_ranges(_routed(spark, sf), _NOW)
 
 
-_ISO = "[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[ Tt][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\\.[0-9]+)?(?:[Zz]|[+-][0-9]{2}:[0-9]{2})?)?"
+_LITERAL = "''([^'']{10,})''"
 
 
 @query(
     "g4_sql_time_range",
     QLOG + f""", s AS (SELECT query_id, sql, CASE WHEN contains(lower(sql), 'where') THEN substr(sql, strpos(lower(sql), 'where')) ELSE sql END AS seg FROM qlog),
-    f AS (SELECT query_id, sql, list_transform(regexp_extract_all(seg, '{_ISO}'), lambda x: CAST(TRY_CAST(CASE WHEN length(x) > 19 THEN x ELSE concat(x, CASE WHEN length(x) > 10 THEN '+00' ELSE '' END) END AS TIMESTAMPTZ) AS TIMESTAMP)) AS found FROM s)
+    f AS (SELECT query_id, sql, list_filter(list_transform(regexp_extract_all(seg, '{_LITERAL}', 1), lambda x: CAST(TRY_CAST(CASE WHEN length(x) > 19 THEN x ELSE concat(x, CASE WHEN length(x) > 10 THEN '+00' ELSE '' END) END AS TIMESTAMPTZ) AS TIMESTAMP)), lambda x: x IS NOT NULL) AS found FROM s)
     SELECT query_id, list_min(found) AS earliest, list_max(found) AS latest, list_min(found) IS NOT NULL AS has_time_filter, contains(upper(sql), 'LIMIT') AS has_limit,
       contains(upper(sql), 'SEARCH(') AS has_full_text FROM f""",
 )
@@ -73,7 +73,7 @@ def _(spark, sf):
 
 
 _ERRORS_SQL = "[" + ", ".join(
-    f"CASE WHEN contains(upper(sql), ' {w} ') OR starts_with(upper(sql), '{w}') THEN 'Forbidden keyword: {w}. Only SELECT statements are allowed.' END" for w in G.FORBIDDEN
+    f"CASE WHEN contains(upper(sql), ' {w} ') OR starts_with(upper(sql), '{w}') THEN '{w} may not be used in a read-only query' END" for w in G.FORBIDDEN
 ) + "]"
 _WARNINGS_SQL = """[CASE WHEN regexp_matches(upper(sql), '\\bCROSS\\s+JOIN\\b') THEN 'CROSS JOIN' END,
   CASE WHEN NOT (contains(upper(sql), 'YEAR') OR contains(upper(sql), 'MONTH') OR contains(upper(sql), 'DAY')) THEN 'no partition filter' END,
@@ -115,6 +115,21 @@ def _(spark, sf):
     return run_sql(spark, sql, logs(spark, sf), "tenant-3", {"year": "2024", "month": "01", "level": "error"}, cap=10_000)
 
 
+@query(
+    "g8_saved_query",
+    LOGS + "SELECT service, count(*) AS entries FROM logs WHERE tenant_id = 'tenant-1' AND level IN ('Error', 'Fatal') GROUP BY service",
+)
+def _(spark, sf):
+    """The text is looked up by tenant and id; another tenant's query of the same id is not seen."""
+    saved = spark.sql(
+        """SELECT concat('tenant-', CAST(n_nationkey AS STRING)) AS tenant_id, 'errors' AS query_id,
+          CASE n_nationkey WHEN 1 THEN "SELECT service, count(*) AS entries FROM logs WHERE level IN ('Error', 'Fatal') GROUP BY service"
+          ELSE 'SELECT 1 AS entries' END AS sql FROM {nation}""",
+        nation=table(spark, sf, "nation"),
+    )
+    return G.run_saved(spark, saved, "tenant-1", "errors", logs(spark, sf))
+
+
 @query(
     "g9_query_audit_report",
     _SAFE + """SELECT tenant_id, model, count(*) AS queries, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens,
