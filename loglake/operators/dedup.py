@@ -88,8 +88,14 @@ def mark_first_seen(
     ts: str = "ingested_at",
     tie: list[str] | None = None,
 ) -> DataFrame:
-    """Add `is_new`: whether the row is an accepted occurrence of its id."""
-    tie = tie or []
+    """Add `is_new`: whether the row is an accepted occurrence of its id.
+
+    Rows of equal time are ordered by `tie`, or by a hash of all their columns; only rows that are equal in every
+    column are accepted together.
+    """
+    if tie is None:
+        marked = df.withColumn("__tie", F.xxhash64(F.to_json(F.struct("*"))))
+        return mark_first_seen(marked, ttl, keys, ts, ["__tie"]).drop("__tie")
     accepted = ttl_first_seen(df, ttl, keys, ts, tie).withColumn("__new", F.lit(True))
     return (
         df.join(accepted, [*keys, ts, *tie], "left")

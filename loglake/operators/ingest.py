@@ -95,8 +95,10 @@ def to_entries(dtos: DataFrame, tenant: str | Column, mode: str, ingested_at: dt
         ),
     )
     generated = uuid7(
-        millis, tenant_col, c("source_id"), c("message"), c("trace_id"), F.to_json("tags"), F.to_json("metric")
-    )
+        millis, tenant_col,
+        *(c(n) for n in ("source_id", "log_type", "level", "environment", "category", "message", "trace_id", "stack_trace")),
+        F.to_json(F.array_sort(F.map_entries("tags"))), F.to_json("metric"),
+    )
     entry_id = F.coalesce(c("id"), generated) if "id" in dtos.columns else generated
     return dtos.select(
         entry_id.alias("id"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loglake import schema
 from loglake.functions.columns import partition_parts, ts_lit
 from loglake.operators.dedup import KEY, latest_by_key
-from loglake.sources.files import archive_schema, path_exists
+from loglake.sources.files import archive_schema, path_exists, tenant_folder
 
 _MIN_SIZE = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
 HOT_PARTITIONS = ["tenant_id", "event_date"]
@@ -74,24 +74,24 @@ def _delete_path(spark: SparkSession, path: str) -> None:
 def upsert_hot(batch: DataFrame, root: str) -> None:
     """Last write wins per id, in a store partitioned by tenant and event day.
 
-    Only partitions that the batch or an older version of one of its ids lives in are read and
-    replaced. Running the same batch again changes nothing.
+    Only the batch's tenants are read (their partitions are found at run time), and only partitions that the
+    batch or an older version of one of its ids lives in are replaced. New rows are written before partitions
+    that they left empty go, so a crash loses nothing; running the same batch again changes nothing and
+    finishes what was left.
     """
     spark = batch.sparkSession
     rows = _with_event_time(batch).withColumn("event_date", F.to_date("timestamp"))
     merged, touched_old = rows, None
     if path_exists(spark, root):
-        current = spark.read.parquet(root).select(*rows.columns)
+        tenants = rows.select("tenant_id").distinct()
+        current = spark.read.parquet(root).select(*rows.columns).join(tenants, "tenant_id", "left_semi").select(*rows.columns)
         ids = rows.select(*KEY).distinct()
         touched_old = current.join(ids, KEY, "left_semi").select(*HOT_PARTITIONS).distinct()
         touched = touched_old.union(rows.select(*HOT_PARTITIONS)).distinct()
         merged = current.join(touched, HOT_PARTITIONS, "left_semi").unionByName(rows)
     latest = latest_by_key(merged, KEY, ["ingested_at", "timestamp"]).checkpoint()
     # Partitions whose last row moved away are not in `latest`, so overwriting would leave them behind.
-    if touched_old is not None:
-        emptied = touched_old.join(latest, HOT_PARTITIONS, "left_anti")
-        for row in emptied.toLocalIterator():
-            _delete_path(spark, f"{root}/tenant_id={row.tenant_id}/event_date={row.event_date}")
+    emptied = [] if touched_old is None else touched_old.join(latest, HOT_PARTITIONS, "left_anti").collect()
     writer = (
         latest.hint("rebalance", *HOT_PARTITIONS)
         .write.mode("overwrite")
@@ -100,22 +100,24 @@ def upsert_hot(batch: DataFrame, root: str) -> None:
     )
     with _many_writers(spark):
         writer.parquet(root)
+    for row in emptied:
+        _delete_path(spark, f"{root}/{tenant_folder(spark, row.tenant_id)}/event_date={row.event_date}")
 
 
-def fan_out(batch: DataFrame, sinks: dict[str, Callable[[DataFrame], None]]) -> list[str]:
-    """Hand one accepted batch to several sinks; returns the names of those that failed.
+def fan_out(batch: DataFrame, sinks: dict[str, Callable[[DataFrame], None]]) -> dict[str, str]:
+    """Hand one accepted batch to several sinks; returns the names of those that failed, with the error's text.
 
     The batch is kept for the duration so that it is computed once. A failing sink does not keep the
     batch from the others. Sinks must accept the same batch twice.
     """
     batch.persist()
-    failed = []
+    failed = {}
     try:
         for name, write in sinks.items():
             try:
                 write(batch)
-            except Exception:
-                failed.append(name)
+            except Exception as failure:
+                failed[name] = f"{type(failure).__name__}: {failure}"
     finally:
         batch.unpersist()
     return failed
@@ -132,14 +134,18 @@ def quarantine(rejected: DataFrame, reason: Column, raw: Column, at: dt.datetime
 
 
 def delete_tenant(spark: SparkSession, root: str, tenant: str) -> None:
-    """Drop the tenant's partition directory; no other tenant's files are touched."""
-    if "/" in tenant or not tenant.strip():
+    """Drop the tenant's partition directory; no other tenant's files are touched. Fails if there is none."""
+    if not tenant.strip():
         raise ValueError("not a tenant id")
-    _delete_path(spark, f"{root}/tenant_id={tenant}")
+    path = f"{root}/{tenant_folder(spark, tenant)}"
+    if not path_exists(spark, path):
+        raise LookupError(f"nothing is stored for tenant {tenant!r}")
+    _delete_path(spark, path)
 
 
 def without_tenant(df: DataFrame, tenant: str) -> DataFrame:
-    return df.filter(F.col("tenant_id") != tenant)
+    """All rows but the tenant's; rows without a tenant stay."""
+    return df.filter(~F.col("tenant_id").eqNullSafe(tenant))
 
 
 def apply_retention(

@@ -119,7 +119,7 @@ def read_archive(
 def _tenant_paths(
     spark: SparkSession, root: str, tenant: str, t_from: dt.datetime | None, t_to: dt.datetime | None
 ) -> list[str]:
-    base = f"{root}/tenant_id={tenant}"
+    base = f"{root}/{tenant_folder(spark, tenant)}"
     if t_from is None or t_to is None:
         return [p for p in [base] if path_exists(spark, p)]
     first, last = t_from.year * 12 + t_from.month - 1, t_to.year * 12 + t_to.month - 1
@@ -127,6 +127,12 @@ def _tenant_paths(
     return [p for p in months if path_exists(spark, p)]
 
 
+def tenant_folder(spark: SparkSession, tenant: str) -> str:
+    """The tenant's partition folder, written as Spark writes it: some characters are escaped."""
+    escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(tenant)
+    return f"tenant_id={escaped}"
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
