@@ -46,8 +46,13 @@ def level_ord(col: Column) -> Column:
 # -- time --------------------------------------------------------------------
 
 
-def ts_lit(df: DataFrame, value: dt.datetime | str, col: str = "timestamp") -> Column:
-    """Literal of the column's own timestamp type, so that comparisons reach the scan as they are."""
+def ts_lit(df: DataFrame, value: dt.datetime | str | Column, col: str = "timestamp") -> Column:
+    """Literal of the column's own timestamp type, so that comparisons reach the scan as they are.
+
+    A column, such as the time of a stream's batch, is cast to that type.
+    """
+    if isinstance(value, Column):
+        return value.cast(df.schema[col].dataType)
     text = value.isoformat(sep=" ") if isinstance(value, dt.datetime) else str(value)
     return F.lit(text).cast(df.schema[col].dataType)
 

@@ -74,9 +74,9 @@ def replay_job(
         done["reparsed"] = read_archive(spark, reparsed_root, tenant, t_from, t_to)
     if options.reindex_search:
         upsert_hot(rows, hot_root)
-        done["reindexed"] = spark.read.parquet(hot_root)
+        done["reindexed"] = spark.read.parquet(hot_root).filter(F.col("tenant_id") == tenant)
     if options.reprocess_alerts and rules is not None:
-        done["alerts"] = backtest_rules(rows, rules, t_from, t_to)
+        done["alerts"] = backtest_rules(rows, rules.filter(F.col("tenant_id") == tenant), t_from, t_to)
     return done
 
 

@@ -318,7 +318,11 @@ def _(spark, sf):
     LOGS + ", " + RULES + """, w AS (SELECT r.rule_id, floor(date_diff('second', TIMESTAMP '2024-01-09 05:00:00', l.timestamp) / (60.0 * window_minutes)) AS k, threshold_value, threshold_operator, count(*) AS n
       FROM rules r JOIN logs l ON l.tenant_id = r.tenant_id AND (r.log_type IS NULL OR r.log_type = l.log_type) AND (r.level IS NULL OR r.level = l.level)
       WHERE r.is_enabled AND measure = 'count' AND l.tenant_id = 'tenant-0' AND timestamp >= TIMESTAMP '2024-01-09 05:00:00' AND timestamp < TIMESTAMP '2024-01-16 05:00:00' GROUP BY ALL)
-    SELECT rule_id, count(*) AS fired FROM w WHERE CASE trim(threshold_operator) WHEN '>' THEN n > threshold_value WHEN '<' THEN n < threshold_value WHEN '>=' THEN n >= threshold_value
+    , grid AS (SELECT rule_id, threshold_value, threshold_operator,
+        unnest(range(0, CAST(ceil(date_diff('second', TIMESTAMP '2024-01-09 05:00:00', TIMESTAMP '2024-01-16 05:00:00') / (60.0 * window_minutes)) AS BIGINT))) AS k
+      FROM rules WHERE is_enabled AND measure = 'count' AND tenant_id = 'tenant-0'),
+    counted AS (SELECT rule_id, threshold_value, threshold_operator, coalesce(n, 0) AS n FROM grid LEFT JOIN (SELECT rule_id, k, n FROM w) USING (rule_id, k))
+    SELECT rule_id, count(*) AS fired FROM counted WHERE CASE trim(threshold_operator) WHEN '>' THEN n > threshold_value WHEN '<' THEN n < threshold_value WHEN '>=' THEN n >= threshold_value
       WHEN '<=' THEN n <= threshold_value WHEN '==' THEN n = threshold_value WHEN '=' THEN n = threshold_value ELSE false END GROUP BY 1""",
 )
 def _(spark, sf):

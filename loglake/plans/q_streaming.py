@@ -10,6 +10,7 @@ from loglake.plans.fixtures import _DELIVERY_FIELDS, _DTOS_SPARK, _LOGS_SPARK, A
 from loglake.plans.q_alerts import _EVALUATED, _NOW
 from loglake.plans.registry import query, rounded
 from loglake.session import new_path
+from loglake.sources.files import STREAMED, read_archive
 from loglake.streaming import jobs as J
 
 
@@ -35,7 +36,31 @@ def _(spark, sf):
         "id", F.concat(F.lit("c-"), (F.col("event_id") % 4000).cast("string"))
     )
     J.ingest_stream(incoming, F.col("tenant_id"), AS_OF, AS_OF, root, new_path(spark, "ckpt")).awaitTermination()
-    return spark.read.parquet(root).select("tenant_id", "id")
+    return read_archive(spark, root).select("tenant_id", "id")
+
+
+@query(
+    "t1_quarantine_stream",
+    DTOS + "SELECT tenant_id, array_to_string(errors, '; ') AS reason, count(*) AS entries FROM validated WHERE len(errors) > 0 GROUP BY 1, 2",
+)
+def _(spark, sf):
+    root = new_path(spark, "stream-quarantine")
+    incoming = spark.sql(_DTOS_SPARK, events=_events(spark, sf))
+    J.quarantine_stream(incoming, F.col("message"), AS_OF, root, new_path(spark, "ckpt")).awaitTermination()
+    reason = F.array_join("reason", "; ").alias("reason")
+    return spark.read.parquet(root).groupBy("tenant_id", reason).agg(F.count(F.lit(1)).alias("entries"))
+
+
+@query("t2_flush_stream", DTOS + "SELECT tenant_id, count(*) AS entries, true AS small_files FROM validated WHERE len(errors) = 0 GROUP BY 1")
+def _(spark, sf):
+    """Files of a thousand rows at most; the event time stays, so validation sees the time of the data."""
+    root = new_path(spark, "stream-flush")
+    incoming = spark.sql(_DTOS_SPARK, events=_events(spark, sf)).withColumn("id", F.concat(F.lit("c-"), F.col("event_id").cast("string")))
+    J.ingest_stream(
+        incoming, F.col("tenant_id"), AS_OF, None, root, new_path(spark, "ckpt"), max_rows_per_file=J.FLUSH_ROWS
+    ).awaitTermination()
+    files = spark.read.parquet(f"{root}/{STREAMED}").groupBy("tenant_id", F.input_file_name().alias("f")).agg(F.count(F.lit(1)).alias("n"))
+    return files.groupBy("tenant_id").agg(F.sum("n").alias("entries"), (F.max("n") <= J.FLUSH_ROWS).alias("small_files"))
 
 
 @query("t3_dedup_stream", DELIVERIES + "SELECT DISTINCT tenant_id, id FROM deliveries")
@@ -51,7 +76,8 @@ def _(spark, sf):
 @query(
     "t5_view_stream",
     LOGS + f"""SELECT time_bucket(INTERVAL 5 MINUTE, timestamp) AS bucket, source_id AS service, count(*) AS error_count FROM logs
-    WHERE log_type = 'Error' AND level IN ('Error', 'Fatal') GROUP BY 1, 2""",
+    WHERE log_type = 'Error' AND level IN ('Error', 'Fatal') GROUP BY 1, 2
+    HAVING bucket + INTERVAL 5 MINUTE <= (SELECT max(timestamp) FROM logs WHERE log_type = 'Error' AND level IN ('Error', 'Fatal')) - INTERVAL 10 MINUTE""",
 )
 def _(spark, sf):
     def view(rows):
@@ -61,7 +87,8 @@ def _(spark, sf):
         ).select(F.col("w.start").alias("bucket"), "service", "error_count")
 
     root = new_path(spark, "stream-view")
-    J.view_stream(_log_stream(spark, sf), view, root, new_path(spark, "ckpt"), mode="complete").awaitTermination()
+    J.view_stream(_log_stream(spark, sf), view, root, new_path(spark, "ckpt")).awaitTermination()
+    # Buckets that the watermark has not passed are not written yet.
     return spark.read.parquet(root)
 
 

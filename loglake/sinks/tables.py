@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loglake import schema
 from loglake.functions.columns import partition_parts, ts_lit
 from loglake.operators.dedup import KEY, latest_by_key
-from loglake.sources.files import archive_schema, path_exists, tenant_folder
+from loglake.sources.files import STREAMED, archive_rows, path_exists, tenant_folder
 
 _MIN_SIZE = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
 HOT_PARTITIONS = ["tenant_id", "event_date"]
@@ -62,11 +62,11 @@ def write_archive(entries: DataFrame, root: str, mode: str = "append", max_rows_
 
 def compact_archive(spark: SparkSession, root: str, target: str, where: Column | None = None) -> None:
     """Rewrite the small files that frequent flushes leave, to a new table."""
-    rows = spark.read.schema(archive_schema()).parquet(root)
+    rows = archive_rows(spark, root, [root])
     write_archive(rows if where is None else rows.filter(where), target, mode="overwrite")
 
 
-def _delete_path(spark: SparkSession, path: str) -> None:
+def delete_path(spark: SparkSession, path: str) -> None:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
@@ -101,7 +101,7 @@ def upsert_hot(batch: DataFrame, root: str) -> None:
     with _many_writers(spark):
         writer.parquet(root)
     for row in emptied:
-        _delete_path(spark, f"{root}/{tenant_folder(spark, row.tenant_id)}/event_date={row.event_date}")
+        delete_path(spark, f"{root}/{tenant_folder(spark, row.tenant_id)}/event_date={row.event_date}")
 
 
 def fan_out(batch: DataFrame, sinks: dict[str, Callable[[DataFrame], None]]) -> dict[str, str]:
@@ -123,24 +123,29 @@ def fan_out(batch: DataFrame, sinks: dict[str, Callable[[DataFrame], None]]) ->
     return failed
 
 
-def quarantine(rejected: DataFrame, reason: Column, raw: Column, at: dt.datetime | str) -> DataFrame:
+def quarantine(rejected: DataFrame, reason: Column, raw: Column, at: dt.datetime | str | Column) -> DataFrame:
     """Rows for the quarantine table: raw text, reasons, when."""
     return rejected.select(
         F.col("tenant_id") if "tenant_id" in rejected.columns else F.lit(None).cast("string").alias("tenant_id"),
         raw.alias("raw"),
         reason.alias("reason"),
-        F.lit(str(at)).cast("timestamp").alias("quarantined_at"),
+        (at if isinstance(at, Column) else F.lit(str(at)).cast("timestamp")).alias("quarantined_at"),
     )
 
 
 def delete_tenant(spark: SparkSession, root: str, tenant: str) -> None:
-    """Drop the tenant's partition directory; no other tenant's files are touched. Fails if there is none."""
+    """Drop the tenant's partition directories, of batch jobs and streams; no other tenant's files are touched.
+
+    Fails if there is none.
+    """
     if not tenant.strip():
         raise ValueError("not a tenant id")
-    path = f"{root}/{tenant_folder(spark, tenant)}"
-    if not path_exists(spark, path):
+    paths = [f"{base}/{tenant_folder(spark, tenant)}" for base in (root, f"{root}/{STREAMED}")]
+    stored = [p for p in paths if path_exists(spark, p)]
+    if not stored:
         raise LookupError(f"nothing is stored for tenant {tenant!r}")
-    _delete_path(spark, path)
+    for path in stored:
+        delete_path(spark, path)
 
 
 def without_tenant(df: DataFrame, tenant: str) -> DataFrame:

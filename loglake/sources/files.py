@@ -14,6 +14,8 @@ from loglake.operators.filters import partition_range, time_range
 from loglake.plans.logs_view import canonical_logs
 
 _CORRUPT = "_corrupt"
+# Folder of streamed files below an archive; Spark passes over names that begin with an underscore when it lists.
+STREAMED = "_streamed"
 _SCHEME = r"^[A-Za-z0-9+.-]+:/+"
 
 
@@ -106,16 +108,32 @@ def read_archive(
     With a tenant only that tenant's folder is listed, with a time range as well only its months:
     listing every hour of every tenant would cost more than many queries.
     """
-    paths = [root] if tenant is None else _tenant_paths(spark, root, tenant, t_from, t_to)
-    if not paths:
-        return canonical_logs(spark.createDataFrame([], archive_schema()))
-    rows = spark.read.option("basePath", root).schema(archive_schema()).parquet(*paths)
+    if tenant is None:
+        paths = [p for p in [root] if path_exists(spark, p)]
+    else:
+        paths = _tenant_paths(spark, root, tenant, t_from, t_to)
+    rows = archive_rows(spark, root, paths)
     if tenant is not None:
         rows = rows.filter(F.col("tenant_id") == tenant)
     logs = canonical_logs(partition_range(rows, t_from, t_to))
     return time_range(logs, t_from, t_to)
 
 
+def archive_rows(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """Rows of the given folders and of what streams have committed below the root.
+
+    Streamed files are listed by the stream's own log, so those of a failed batch are not read; files that a
+    tenant's deletion took away are passed over.
+    """
+    streamed = f"{root}/{STREAMED}"
+    reader = spark.read.schema(archive_schema())
+    rows = reader.option("basePath", root).parquet(*paths) if paths else None
+    if path_exists(spark, f"{streamed}/_spark_metadata"):
+        more = spark.read.schema(archive_schema()).option("ignoreMissingFiles", "true").parquet(streamed)
+        rows = more if rows is None else rows.unionByName(more)
+    return spark.createDataFrame([], archive_schema()) if rows is None else rows
+
+
 def _tenant_paths(
     spark: SparkSession, root: str, tenant: str, t_from: dt.datetime | None, t_to: dt.datetime | None
 ) -> list[str]:

@@ -8,15 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from loglake import schema
 from loglake.functions.columns import partition_parts, ts_lit
-from loglake.operators.alerts import evaluate_rules, fired_events
+from loglake.operators.alerts import due_rules, evaluate_rules, evaluate_sql_rules, fired_events
 from loglake.operators.ingest import split_valid, to_entries, validate_entries
+from loglake.sinks.tables import quarantine
+from loglake.sources.files import STREAMED, path_exists
 
 AVAILABLE_NOW = {"availableNow": True}
 FLUSH_EVERY_5S = {"processingTime": "5 seconds"}
@@ -54,13 +56,19 @@ def dedup_stream(df: DataFrame, ttl: str = "24 hours", ts: str = "ingested_at",
 
 def ingest_stream(
     dtos: DataFrame, tenant: Column | str, as_of, ingested_at, root: str, checkpoint: str,
-    ttl: str = "24 hours", trigger: dict = AVAILABLE_NOW, max_rows_per_file: int = 0, mode: str = "Push", spread: int = 4,
+    ttl: str = "24 hours", trigger: dict = AVAILABLE_NOW, max_rows_per_file: int = 0, mode: str = "Push", spread: int | None = None,
 ) -> StreamingQuery:
     """Validate, normalise, de-duplicate and append to the archive. The file sink commits each batch once.
 
-    Rows are brought together by table partition to keep the number of files down; a tenant-hour is
-    divided over up to `spread` tasks, since adaptive splitting does not apply to streams.
+    `as_of` and `ingested_at` are the time of each batch unless given; the state of ids ends with that time.
+    Streamed files live in a folder of their own below the root, whose commit log does not hide what batch jobs
+    write; `read_archive` reads both. Rejected entries are the business of `quarantine_stream`, a second query on the
+    same input. Rows are brought together by table partition to keep the number of files down; a tenant-hour is
+    divided over up to `spread` tasks (all of the shuffle), since adaptive splitting does not apply to streams.
     """
+    as_of = F.current_timestamp() if as_of is None else as_of
+    ingested_at = F.current_timestamp() if ingested_at is None else ingested_at
+    spread = spread or int(dtos.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     accepted, _ = split_valid(validate_entries(dtos, as_of))
     entries = dedup_stream(to_entries(accepted, tenant, mode, ingested_at), ttl)
     rows = entries.withColumn("timestamp", F.timestamp_millis("timestamp_unix_ms"))
@@ -69,7 +77,7 @@ def ingest_stream(
     return (
         rows.writeStream.format("parquet")
         .outputMode("append")
-        .option("path", root)
+        .option("path", f"{root}/{STREAMED}")
         .option("checkpointLocation", checkpoint)
         .option("maxRecordsPerFile", max_rows_per_file)
         .partitionBy(*schema.PARTITION_COLUMNS)
@@ -78,6 +86,32 @@ def ingest_stream(
     )
 
 
+def flush_stream(dtos: DataFrame, tenant: Column | str, root: str, checkpoint: str, **options) -> StreamingQuery:
+    """Ingest as a worker does: every five seconds, files of a thousand rows at most."""
+    return ingest_stream(
+        dtos, tenant, None, None, root, checkpoint, trigger=options.pop("trigger", FLUSH_EVERY_5S),
+        max_rows_per_file=FLUSH_ROWS, **options,
+    )
+
+
+def quarantine_stream(
+    dtos: DataFrame, raw: Column, as_of, root: str, checkpoint: str, trigger: dict = AVAILABLE_NOW
+) -> StreamingQuery:
+    """Rejected entries with their reasons, under their batch; each batch's counts are in the query's progress."""
+    now = F.current_timestamp() if as_of is None else as_of
+    rows = validate_entries(dtos, now).withColumn("__raw", raw)
+    counted = rows.observe(
+        "ingest", F.count_if(F.col("is_valid")).alias("accepted"), F.count_if(~F.col("is_valid")).alias("rejected")
+    )
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        at = F.current_timestamp() if as_of is None else F.lit(str(as_of)).cast("timestamp")
+        rejected = batch.filter("NOT is_valid").withColumn("__at", at)
+        write_batch(quarantine(rejected, F.col("errors"), F.col("__raw"), F.col("__at")), root, batch_id)
+
+    return for_each_batch(counted, handle, checkpoint, trigger)
+
+
 def view_stream(
     logs: DataFrame, aggregate: Callable[[DataFrame], DataFrame], root: str, checkpoint: str, delay: str = "10 minutes",
     mode: str = "append", trigger: dict = AVAILABLE_NOW,
@@ -114,22 +148,45 @@ def write_batch(batch: DataFrame, root: str, batch_id: int, *partitions: str) ->
 def alert_stream(
     logs: DataFrame, rules: DataFrame, as_of, root: str, checkpoint: str,
     store: Callable[[], DataFrame] | None = None, trigger: dict = AVAILABLE_NOW,
+    evaluations: str | None = None, sql_rules: list[Row] | None = None,
 ) -> StreamingQuery:
     """When a batch arrives, evaluate the enabled rules of its tenants and keep the fired events.
 
-    Rules look at `store` (the archive, which `evaluate_rules` cuts to the last day), or at the batch
-    alone when there is none.
+    `as_of` is the time of the batch unless given. Rules look at `store` (the archive, which `evaluate_rules` cuts
+    to the longest window), or at the batch alone when there is none. With `evaluations`, a folder that keeps when
+    each rule ran, only rules that are due are evaluated. `sql_rules` are evaluated as well; their tenants' rows
+    must be in `store` or the batch.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        now = as_of or spark.sql("SELECT CAST(current_timestamp() AS STRING) AS t").first()["t"]
         tenants = batch.select("tenant_id").distinct()
         mine = rules.join(tenants, "tenant_id", "left_semi")
+        if evaluations is not None:
+            mine = due_rules(mine, _last_runs(spark, evaluations, batch_id), now)
         seen = batch if store is None else store().join(tenants, "tenant_id", "left_semi")
-        write_batch(fired_events(evaluate_rules(seen, mine, as_of), as_of), root, batch_id)
+        events = fired_events(evaluate_rules(seen, mine, now), now)
+        if sql_rules:
+            more = fired_events(evaluate_sql_rules(spark, seen, sql_rules), now)
+            events = events.unionByName(more, allowMissingColumns=True)
+        write_batch(events, root, batch_id)
+        if evaluations is not None:
+            ran = mine.select("tenant_id", "rule_id", F.lit(str(now)).cast("timestamp").alias("evaluated_at"))
+            write_batch(ran, evaluations, batch_id)
 
     return for_each_batch(logs, handle, checkpoint, trigger)
 
 
+def _last_runs(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
+    """Last run of each rule before this batch; a repeated batch does not see its own first try."""
+    names = "tenant_id string, rule_id string, evaluated_at timestamp"
+    if not path_exists(spark, root):
+        return spark.createDataFrame([], names)
+    rows = spark.read.schema(f"{names}, batch_id long").parquet(root).filter(F.col("batch_id") < batch_id)
+    return rows.groupBy("tenant_id", "rule_id").agg(F.max("evaluated_at").alias("evaluated_at"))
+
+
 def late_split(df: DataFrame, as_of, future: str = "5 MINUTES", past: str = "30 DAYS", col: str = "timestamp") -> tuple[DataFrame, DataFrame]:
     """(rows in time, late or early rows with `lateness`) for a side table."""
     now = ts_lit(df, as_of, col)
