@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from loglake.functions.columns import interval, ts_lit
 from loglake.operators import aggregates as A
 from loglake.operators.filters import time_range
-from loglake.sources.files import path_exists
+from loglake.sinks.tables import delete_path
+from loglake.sources.files import path_exists, tenant_folder
 
 _TENANT = ("tenant_id",)
 
@@ -86,15 +87,27 @@ def refresh_views(
     return {name: refresh_view(scoped, view, as_of, look_back) for name, view in views.items()}
 
 
-def write_view(rows: DataFrame, root: str, name: str) -> None:
-    """Replace the refreshed tenants' partitions of a stored view; other tenants stay as they are."""
+def write_view(rows: DataFrame, root: str, name: str, tenant: str | None = None) -> None:
+    """Replace the refreshed tenants' partitions of a stored view.
+
+    A refresh of one `tenant` leaves the others as they are. A refresh of all of them leaves nothing behind of a
+    tenant that has no rows any more.
+    """
+    spark, path = rows.sparkSession, f"{root}/{name}"
+    silent = []
+    if path_exists(spark, path):
+        kept = spark.read.parquet(path).select("tenant_id").distinct()
+        kept = kept if tenant is None else kept.filter(F.col("tenant_id") == tenant)
+        silent = kept.join(rows.select("tenant_id").distinct(), "tenant_id", "left_anti").collect()
     (
         rows.hint("rebalance", "tenant_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("tenant_id")
-        .parquet(f"{root}/{name}")
+        .parquet(path)
     )
+    for row in silent:
+        delete_path(spark, f"{path}/{tenant_folder(spark, row.tenant_id)}")
 
 
 def read_view(
@@ -147,6 +160,27 @@ def expire_view(rows: DataFrame, view: View, as_of: dt.datetime | str) -> DataFr
     return rows.filter(F.col("refreshed_at") > limit)
 
 
+def expire_stored(spark: SparkSession, root: str, view: View, as_of: dt.datetime | str) -> list[str]:
+    """Delete the tenants' partitions of a stored view whose last refresh is past its retention; returns the tenants."""
+    rows = spark.read.parquet(f"{root}/{view.name}")
+    last = rows.groupBy("tenant_id").agg(F.max("refreshed_at").alias("refreshed_at"))
+    gone = [r.tenant_id for r in last.join(expire_view(last, view, as_of), "tenant_id", "left_anti").collect()]
+    for tenant in gone:
+        delete_path(spark, f"{root}/{view.name}/{tenant_folder(spark, tenant)}")
+    return gone
+
+
+def merge_batch(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Counts kept per `batch_id`: a batch that comes again takes the place of its first try. Sum them with
+    `merge_counts`, or `total_counts`, when they are read."""
+    return stored.join(fresh.select("batch_id").distinct(), "batch_id", "left_anti").select(*stored.columns).unionByName(fresh)
+
+
+def total_counts(rows: DataFrame, view: View) -> DataFrame:
+    """One row per bucket of counts kept per batch."""
+    return merge_counts(rows.drop("batch_id"), rows.drop("batch_id").limit(0), view)
+
+
 def merge_counts(stored: DataFrame, fresh: DataFrame, view: View) -> DataFrame:
     """Add newly counted rows to stored buckets. For views whose measures are sums."""
     keys = [c for c in stored.columns if c not in [*view.sums, "refreshed_at"]]

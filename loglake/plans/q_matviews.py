@@ -133,6 +133,42 @@ def _(spark, sf):
     return merged.drop("refreshed_at")
 
 
+@query("m7_merge_batches", LOGS + _ERRORS)
+def _(spark, sf):
+    """The second batch comes twice."""
+    _, old, new = _before_after(spark, sf)
+    view = _error_view()
+    first = M.refresh_view(old, view, _CUT, _ALL).withColumn("batch_id", F.lit(1))
+    second = M.refresh_view(new, view, AS_OF, _ALL).withColumn("batch_id", F.lit(2))
+    kept = M.merge_batch(M.merge_batch(first, second), second)
+    return M.total_counts(kept, view).drop("refreshed_at")
+
+
+@query(
+    "m1_silent_tenant",
+    LOGS + f""", e AS ({_ERRORS}) SELECT tenant_id, minute_bucket, service, error_count FROM e WHERE tenant_id <> 'tenant-2'""",
+)
+def _(spark, sf):
+    """After a refresh in which a tenant had no rows, none of its old rows are served."""
+    root, view, rows = new_path(spark, "views"), _error_view(), logs(spark, sf)
+    M.write_view(M.refresh_view(rows, view, AS_OF, _ALL), root, view.name)
+    M.write_view(M.refresh_view(rows.filter("tenant_id <> 'tenant-2'"), view, AS_OF, _ALL), root, view.name)
+    return spark.read.parquet(f"{root}/{view.name}").select("tenant_id", "minute_bucket", "service", "error_count")
+
+
+@query(
+    "m5_expire_stored",
+    LOGS + f""", e AS ({_ERRORS}) SELECT tenant_id, minute_bucket, service, error_count FROM e WHERE tenant_id IN ('tenant-0', 'tenant-1')""",
+)
+def _(spark, sf):
+    root, view = new_path(spark, "views"), _error_view()
+    late = F.when(F.col("tenant_id").isin("tenant-0", "tenant-1"), F.lit("2024-01-30 12:00:00")).otherwise("2024-01-01 00:00:00")
+    rows = M.refresh_view(logs(spark, sf), view, AS_OF, _ALL).withColumn("refreshed_at", late.cast("timestamp_ntz"))
+    M.write_view(rows, root, view.name)
+    M.expire_stored(spark, root, view, "2024-01-31 00:00:00")
+    return spark.read.parquet(f"{root}/{view.name}").select("tenant_id", "minute_bucket", "service", "error_count")
+
+
 @query("m7_refresh_touched", LOGS + _LATENCY)
 def _(spark, sf):
     rows, old, new = _before_after(spark, sf)
