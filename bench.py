@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import sys
+import tempfile
 import time
 
 ROOT = os.path.dirname(os.path.abspath(__file__))
@@ -39,9 +41,14 @@ HEADLINE = [
     "j2_drop_seen",
     "j4_trace_spans",
     "j8_tpch_revenue",
+    "k2_upsert_hot",
     "l1_evaluate_rules",
     "l9_backtest_rules",
+    "m2_read_view",
     "m7_merge_counts",
+    "r2_replay",
+    "s6_read_archive",
+    "t3_dedup_stream",
     "t10_over_quota",
     "u1_cross_tier",
     "v1_validate_entries",
@@ -54,22 +61,24 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     wanted = tuple(filter(None, os.environ.get("BENCH_QUERIES", "").split(",")))
+    shared = tempfile.mkdtemp(prefix="bench-")
     spark = build_session(
-        "bench", f"local[{cpus}]", **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g"}
+        "bench", f"local[{cpus}]",
+        **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.checkpoint.dir": shared},
     )
     spark.sparkContext.setLogLevel("ERROR")
     run = all_queries()[0]
     names = [n for n in (run if wanted else HEADLINE) if not wanted or n.startswith(wanted)]
-    # Warm the JVM and the file cache once; every query is then timed on its own, best of RUNS.
+    # Warm the JVM and the file cache once; every query is then timed on its own; the median of RUNS counts.
     run["a1_error_rate_per_minute"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
     for name in names:
-        best = float("inf")
+        runs = []
         for _ in range(RUNS):
             start = time.perf_counter()
             run[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            best = min(best, time.perf_counter() - start)
-        times[name] = round(best, 4)
+            runs.append(time.perf_counter() - start)
+        times[name] = round(sorted(runs)[len(runs) // 2], 4)
     line = {
         "metric": "total seconds of the headline queries",
         "value": round(sum(times.values()), 3),
@@ -79,6 +88,7 @@ def main() -> None:
     }
     print(json.dumps(line), flush=True)
     spark.stop()
+    shutil.rmtree(shared, ignore_errors=True)  # what the storage queries wrote
 
 
 if __name__ == "__main__":
