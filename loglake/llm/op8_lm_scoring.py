@@ -27,7 +27,7 @@ from loglake.llm.common import LAST_ID, stored
 from loglake.llm.words import Words, split_words, text_chunks, word_hashes
 
 HELD_OUT = (5, 1)
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 PART_BYTES = 1 << 22
 TOP_WORDS = 512
 DIMENSIONS = 16

@@ -54,7 +54,7 @@ def split_words(texts: list[bytes | None]) -> Words:
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and its inverse for i < n, kept for the next call."""
     if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
+        size = (n | ((1 << 18) - 1)) + 1
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             table = np.full(size, base, np.uint64)
             table[0] = 1
