@@ -126,3 +126,55 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
         "doc_id", *(count(k) for k in STRONG), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
         _listed(F.col("every")).alias("spans"),
     )
+
+
+def _either_case(pattern: str) -> str:
+    """The pattern with its (?i:...) groups spelled out for A-Z and a-z; RE2 would fold other letters as well."""
+    out, depth, at, in_class = [], 0, 0, False
+    while at < len(pattern):
+        if pattern.startswith("(?i:", at):
+            out.append("(?:")
+            depth, at = 1, at + 4
+            continue
+        c = pattern[at]
+        if depth:
+            depth += (c == "(") - (c == ")")
+            in_class = c == "[" or (in_class and c != "]")
+        plain = depth and c.isalpha() and not in_class
+        out.append(f"[{c.lower()}{c.upper()}]" if plain else "a-zA-Z" if depth and pattern.startswith("a-z", at) else c)
+        at += 3 if depth and in_class and pattern.startswith("a-z", at) else 1
+    return "".join(out)
+
+
+def _sql() -> str:
+    """The same spans for DuckDB, whose patterns know no look-around: a key is a whole run of 40 characters."""
+    patterns = STRONG | WEAK | {"key": "[A-Za-z0-9+/]+"}
+    quoted = {k: _either_case(p).replace("'", "''") for k, p in patterns.items()}
+    matches = " UNION ALL ".join(
+        f"SELECT doc_id, row, {n} AS n, regexp_extract_all(text, '{quoted[k]}') AS f, string_split_regex(text, '{quoted[k]}') AS g FROM d"
+        for n, k in enumerate(KINDS)
+    )
+    role = " ".join(f"WHEN {n} THEN '{ROLES[k]}'" for n, k in enumerate(KINDS))
+    kind = " ".join(f"WHEN {n} THEN '{k}'" for n, k in enumerate(KINDS))
+    needs = " OR ".join(f"(n = {KINDS.index(k)} AND ({need}))" for k, need in NEEDS.items())
+    listed = "string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY start, n, stop)"
+    return f"""
+    WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS text FROM documents),
+    m AS ({matches}),
+    p AS (SELECT row, n, f, g, unnest(list_filter(range(1, len(f) + 1), lambda j: n <> {KINDS.index("key")} OR length(f[j]) = 40)) AS i FROM m),
+    q AS (SELECT row, n, f[i] AS x, list_sum(list_transform(g[1:i], lambda y: length(y)))
+        + coalesce(list_sum(list_transform(f[1:i - 1], lambda y: length(y))), 0) AS start FROM p),
+    s AS (SELECT row, n, start::BIGINT AS start, (start + length(x))::BIGINT AS stop, CASE n {role} END AS role, CASE n {kind} END AS kind FROM q
+      WHERE CASE n WHEN 0 THEN length(regexp_extract(x, '{quoted["assign"]}', 2)) >= {MIN_ASSIGNED}
+        WHEN {KINDS.index("key")} THEN length(x) = 40 AND regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[a-z]') AND regexp_matches(x, '[0-9]')
+        ELSE true END),
+    near AS (SELECT c.row, c.n, c.kind, c.start, c.stop, bool_or(p.role = 'name') AS name, bool_or(p.role = 'secret') AS secret, bool_or(p.role = 'place') AS place
+      FROM s c JOIN s p ON p.row = c.row AND p.start <= c.stop + {SCOPE} AND p.stop >= c.start - {SCOPE} WHERE c.n >= {len(STRONG)} GROUP BY ALL),
+    every AS (SELECT row, n, kind, start, stop FROM s WHERE n < {len(STRONG)} UNION ALL SELECT row, n, kind, start, stop FROM near WHERE {needs}),
+    t AS (SELECT row, count(*) FILTER (n = 0) AS a, count(*) FILTER (n = 1) AS b, count(*) FILTER (n = 2) AS c,
+      {listed} FILTER (n < {len(STRONG)}) AS base, {listed} AS spans FROM every GROUP BY row)
+    SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex,
+      sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN t USING (row)"""
+
+
+OP6_SQL = _sql()

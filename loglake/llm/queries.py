@@ -13,8 +13,8 @@ from loglake.llm.op2_url_filter import LISTED, OP2_SQL, RULES, judge_urls
 from loglake.llm.op3_decontamination import OP3_SQL, contaminated
 from loglake.llm.op4_bpe import token_digests
 from loglake.llm.op5_language_id import identify, train
-from loglake.llm.op6_secret_scan import scan_secrets
-from loglake.llm.op7_minhash_dedup import near_duplicates
+from loglake.llm.op6_secret_scan import OP6_SQL, scan_secrets
+from loglake.llm.op7_minhash_dedup import OP7_SQL, near_duplicates
 from loglake.llm.op8_lm_scoring import score_texts
 from loglake.llm.op9_topk_search import OP9_SQL, top_k
 from loglake.session import use_utc
@@ -47,7 +47,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_passages(table(spark, sf_dir, "documents"))
 
 
-@register("op7_minhash_dedup")
+@register("op7_minhash_dedup", OP7_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -80,7 +80,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rules, listed)
 
 
-@register("op6_secret_scan")
+@register("op6_secret_scan", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
