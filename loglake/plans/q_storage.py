@@ -232,6 +232,14 @@ def _(spark, sf):
     return K.apply_retention(rows, "1998-08-01 00:00:00").select("o_orderkey", "storage_class")
 
 
+@query("k6_drop_expired", LOGS + "SELECT tenant_id, count(*) AS entries FROM logs WHERE timestamp >= TIMESTAMP '2024-01-16 00:00:00' GROUP BY 1")
+def _(spark, sf):
+    root = new_path(spark, "expiring")
+    K.write_archive(entries(spark, sf), root)
+    K.drop_expired(spark, root, dt.datetime(2024, 1, 26, 7), delete_after=10)
+    return spark.read.parquet(root).groupBy("tenant_id").agg(F.count(F.lit(1)).alias("entries"))
+
+
 @query("k7_write_audit", LOGS + "SELECT tenant_id, CAST(CAST(timestamp AS DATE) AS VARCHAR) AS audit_date, count(*) AS records FROM logs WHERE level = 'Fatal' GROUP BY 1, 2")
 def _(spark, sf):
     path = new_path(spark, "audit")

@@ -117,6 +117,17 @@ def _(spark, sf):
     return spark.read.parquet(root).groupBy("tenant_id").agg(F.count(F.lit(1)).alias("entries"), F.max("timestamp").alias("last_event"))
 
 
+@query("t8_pull_counts", LOGS + "SELECT count(*) AS entries, max(timestamp) AS last_event, true AS small_files FROM logs")
+def _(spark, sf):
+    """Counts that the batches recorded, against files of 500 rows at most."""
+    root, counts = new_path(spark, "stream-pull"), new_path(spark, "stream-counts")
+    J.pull_stream(_log_stream(spark, sf), None, root, new_path(spark, "ckpt"), counts=counts).awaitTermination()
+    sizes = spark.read.parquet(root).groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n"))
+    small = sizes.agg((F.max("n") <= J.PULL_ROWS).alias("s")).scalar()
+    recorded = spark.read.parquet(counts).agg(F.sum("entries").alias("entries"), F.max("last_event").alias("last_event"))
+    return recorded.withColumn("small_files", small)
+
+
 @query("t9_tenant_batches", LOGS + "SELECT tenant_id, count(*) AS entries FROM logs GROUP BY 1")
 def _(spark, sf):
     root = new_path(spark, "stream-tenants")

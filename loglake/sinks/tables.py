@@ -171,6 +171,22 @@ def apply_retention(
     )
 
 
+def drop_expired(spark: SparkSession, root: str, as_of: dt.datetime, delete_after: int = 365) -> int:
+    """Delete the archive's day folders that lie wholly before the limit; returns their number.
+
+    Only the partition columns are read. Results of queries, which are kept for seven days, go the same way.
+    """
+    day = F.to_date(F.concat_ws("-", "year", "month", "day"))
+    days = archive_rows(spark, root, [root]).select("tenant_id", "year", "month", "day").distinct()
+    old = days.filter(day < F.lit((as_of - dt.timedelta(days=delete_after)).date())).collect()
+    for row in old:
+        for base in (root, f"{root}/{STREAMED}"):
+            path = f"{base}/{tenant_folder(spark, row.tenant_id)}/year={row.year}/month={row.month}/day={row.day}"
+            if path_exists(spark, path):
+                delete_path(spark, path)
+    return len(old)
+
+
 def write_audit(rows: DataFrame, root: str, at: str = "at") -> None:
     """Append immutable audit rows by tenant and day."""
     (

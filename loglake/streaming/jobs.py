@@ -6,6 +6,7 @@ restart repeats the unfinished batch. Every `foreachBatch` writer below can be g
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -134,12 +135,13 @@ def for_each_batch(
     return rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def write_batch(batch: DataFrame, root: str, batch_id: int, *partitions: str) -> None:
+def write_batch(batch: DataFrame, root: str, batch_id: int, *partitions: str, max_rows_per_file: int = 0) -> None:
     """Write under the batch's own partition; a repeated batch replaces what it wrote before."""
     (
         batch.withColumn("batch_id", F.lit(batch_id))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("maxRecordsPerFile", max_rows_per_file)
         .partitionBy("batch_id", *partitions)
         .parquet(root)
     )
@@ -197,12 +199,29 @@ def late_split(df: DataFrame, as_of, future: str = "5 MINUTES", past: str = "30
     return marked.filter("lateness IS NULL").drop("lateness"), marked.filter("lateness IS NOT NULL")
 
 
-def pull_stream(rows: DataFrame, tenant: str | None, root: str, checkpoint: str, trigger: dict = AVAILABLE_NOW) -> StreamingQuery:
-    """Pulled files to the ingest table, counting rows and batches while they pass."""
+PULL_ROWS = 500
+
+
+def pull_stream(
+    rows: DataFrame, tenant: str | None, root: str, checkpoint: str, trigger: dict = AVAILABLE_NOW, counts: str | None = None
+) -> StreamingQuery:
+    """Pulled files to the ingest table, in files of 500 rows at most, counting rows while they pass.
+
+    With `counts`, a folder, each batch leaves a row there: entries, last event and how long it took.
+    """
     if tenant is not None:
         rows = rows.withColumn("tenant_id", F.lit(tenant))
     counted = rows.observe("pulled", F.count(F.lit(1)).alias("entries"), F.max("timestamp").alias("last_event"))
-    return for_each_batch(counted, lambda batch, batch_id: write_batch(batch, root, batch_id), checkpoint, trigger)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        start = time.monotonic()
+        write_batch(batch, root, batch_id, max_rows_per_file=PULL_ROWS)
+        if counts is not None:
+            written = batch.sparkSession.read.parquet(f"{root}/batch_id={batch_id}")
+            row = written.agg(F.count(F.lit(1)).alias("entries"), F.max("timestamp").alias("last_event"))
+            write_batch(row.withColumn("seconds", F.lit(time.monotonic() - start)), counts, batch_id)
+
+    return for_each_batch(counted, handle, checkpoint, trigger)
 
 
 def tenant_batches(rows: DataFrame, root: str, checkpoint: str, trigger: dict = AVAILABLE_NOW) -> StreamingQuery:
