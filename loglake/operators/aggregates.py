@@ -6,8 +6,6 @@ service or tenant reaches the shuffle as one row per map task.
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
