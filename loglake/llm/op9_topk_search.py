@@ -144,6 +144,8 @@ def _search(k: int):
             for r in range(batch.num_rows):
                 row = {name: batch[name][r].as_py() for name in batch.schema.names}
                 dim, ids = row["dim"], np.frombuffer(row["ids"], "<i8")
+                if dim != row["q_dim"]:
+                    continue
                 ints = np.frombuffer(row["ints"], "<i8").reshape(-1, dim)
                 base, dropped = np.frombuffer(row["base"], "<i8"), np.frombuffer(row["dropped"], "<i8")
                 plain = np.frombuffer(row["slices"], "<u8").reshape(dim, SLICES, -1)
@@ -193,8 +195,9 @@ def top_k(vectors: DataFrame, is_query: str, k: int) -> DataFrame:
     blocks = stored(usable.mapInArrow(_index, BLOCK_SCHEMA), "slices")
     queries = usable.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     groups = stored(queries.mapInArrow(_query_groups, QUERY_SCHEMA), "queries")
-    # The one place where all meets all: groups of queries and blocks of rows.
-    scores = blocks.crossJoin(groups).where("dim = q_dim").mapInArrow(_search(k), SCORE_SCHEMA)
+    # The one place where all meets all: groups of queries and blocks of rows, partition by partition. Lengths are
+    # compared afterwards, as a join on them would bring everything to one task.
+    scores = blocks.crossJoin(groups).mapInArrow(_search(k), SCORE_SCHEMA)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scores.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
 
