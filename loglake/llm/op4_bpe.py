@@ -7,7 +7,8 @@ where the v-arc led. All arcs of one token thus lead to one state. Arcs are not
 time of the copy, less the arcs removed since, and has an arc for a merged token if it had one for the token's left
 part when the merge was applied.
 
-Encoding walks the automaton over the bytes of a pre-split word: every prefix has one accepted sequence, so one state.
+Encoding walks the automaton over the bytes of a pre-split word: every prefix has one accepted sequence, so one state,
+and a prefix that turns out not to lead on is not tried again.
 Decoding concatenates the labels of the arcs.
 """
 
@@ -30,7 +31,7 @@ RESULT_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 s
 TOKEN_SCHEMA = "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string"
 START = 0
 NEVER = -1
-CACHED = 100_000
+CACHED = 200_000
 CACHED_LENGTH = 64
 
 # White space of Unicode, and the published pre-split pattern of the byte-level vocabulary.
@@ -59,20 +60,21 @@ class Automaton:
         self.target: dict[int, int] = dict.fromkeys(singles, START)
         self.parent: list[int] = [NEVER]
         self.copied: list[int] = [NEVER]
-        self.removed: dict[tuple[int, int], int] = {}
+        self.removed: dict[int, int] = {}
         self._known: dict[int, bool] = {}
         users = {START: 257}  # the start itself counts: it never changes
         for time, (u, v) in enumerate(merges):
             self._merge(time, vocab[u], vocab[v], vocab[u + v], users)
         self.trie: dict[int, int] = {}
-        self.token_at: dict[int, int] = {}
-        nodes = 1
+        self.token_at: list[int] = [NEVER]
+        self.sizes = {t: len(label) for t, label in self.labels.items()}
         for token in self.target:
             node = 0
             for b in self.labels[token]:
                 step = node << 8 | b
                 if step not in self.trie:
-                    self.trie[step], nodes = nodes, nodes + 1
+                    self.trie[step] = len(self.token_at)
+                    self.token_at.append(NEVER)
                 node = self.trie[step]
             self.token_at[node] = token
 
@@ -87,18 +89,20 @@ class Automaton:
             self.copied.append(time)
             self.target[u] = state = len(self.parent) - 1
             users[state] = 1
-        self.removed[state, v] = time
+        self.removed[state << 20 | v] = time
         self.left[uv], self.formed[uv], self.target[uv] = u, time, beyond
         users[beyond] += 1
 
     def _removal(self, state: int, token: int) -> int | None:
-        """When the arc went, from this state or from the one it was copied from."""
-        own = self.removed.get((state, token))
-        parent, copied = self.parent[state], self.copied[state]
-        if parent == NEVER or self.formed[token] > copied:
-            return own
-        before = self._removal(parent, token)
-        return before if before is not None and before < copied else own
+        """When the arc went, from this state or from one that it is a copy of."""
+        removed, formed = self.removed, self.formed[token]
+        gone = removed.get(state << 20 | token)
+        while (parent := self.parent[state]) != NEVER and formed <= (copied := self.copied[state]):
+            before = removed.get(parent << 20 | token)
+            if before is not None and before < copied:
+                gone = before
+            state = parent
+        return gone
 
     def _present(self, state: int, token: int, time: int) -> bool:
         gone = self._removal(state, token)
@@ -110,33 +114,45 @@ class Automaton:
         key = state << 20 | token
         known = self._known.get(key)
         if known is None:
-            if len(self._known) > 4 * CACHED:
+            if len(self._known) > 2 * CACHED:
                 self._known.clear()
             known = self._known[key] = self._present(state, token, len(self.labels))
         return known
 
     def encode(self, word: bytes) -> list[int]:
-        """Tokens on the one accepted path over ``word``."""
-        n = len(word)
-        states: list[int] = [START] + [NEVER] * n
-        arrived: list[int] = [0] * (n + 1)
-        trie, token_at, target, known = self.trie, self.token_at, self.target, self._known
-        for i in range(n):
-            state, node = states[i], 0
-            for j in range(i, n):
-                node = trie.get(node << 8 | word[j], -1)
-                if node < 0:
+        """Tokens on the one accepted path over ``word``: longest arcs first, no prefix is tried twice."""
+        n, at, state = len(word), 0, START
+        trie, token_at, target, known = self.trie.get, self.token_at, self.target, self._known.get
+        path: list[int] = []
+        before: list[tuple[int, int]] = []  # place and state at which each token of the path begins
+        choices: list[list[int]] = []
+        dead: set[int] = set()
+        while at < n:
+            node, matches = 0, []
+            for j in range(at, n):
+                node = trie(node << 8 | word[j])
+                if node is None:
                     break
-                token = token_at.get(node)
-                if token is not None and states[j + 1] == NEVER:
-                    arc = known.get(state << 20 | token)
-                    if self.has_arc(state, token) if arc is None else arc:
-                        states[j + 1], arrived[j + 1] = target[token], token
-        out, at = [], n
-        while at:
-            out.append(arrived[at])
-            at -= len(self.labels[arrived[at]])
-        return out[::-1]
+                token = token_at[node]
+                if token >= 0:
+                    matches.append(token)
+            choices.append(matches)
+            while True:
+                if not choices[-1]:
+                    # No accepted path goes on from here.
+                    dead.add(at)
+                    choices.pop()
+                    path.pop()
+                    at, state = before.pop()
+                    continue
+                token = choices[-1].pop()
+                arc = known(state << 20 | token)
+                if (self.has_arc(state, token) if arc is None else arc) and at + self.sizes[token] not in dead:
+                    break
+            path.append(token)
+            before.append((at, state))
+            at, state = at + self.sizes[token], target[token]
+        return path
 
 
 Entry = tuple[int, str, bytes, bytes]  # token count, numbers joined by commas, decoded bytes, numbers as 32-bit integers
