@@ -31,7 +31,7 @@ RESULT_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 s
 TOKEN_SCHEMA = "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string"
 START = 0
 NEVER = -1
-CACHED = 200_000
+CACHED = 400_000
 CACHED_LENGTH = 64
 
 # White space of Unicode, and the published pre-split pattern of the byte-level vocabulary.
@@ -114,7 +114,7 @@ class Automaton:
         key = state << 20 | token
         known = self._known.get(key)
         if known is None:
-            if len(self._known) > 2 * CACHED:
+            if len(self._known) > CACHED:
                 self._known.clear()
             known = self._known[key] = self._present(state, token, len(self.labels))
         return known
@@ -196,7 +196,9 @@ class Encoder:
         """White space and the word after it: none of the split pattern's matches goes further."""
         out: list[int] = []
         pieces = self._pieces
-        for piece in self._word.findall(run):
+        # Letters only, after a blank or none, are one match; most words need no pattern.
+        whole = run.isalpha() or (run[0] == " " and run[1:].isalpha())
+        for piece in (run,) if whole else self._word.findall(run):
             known = pieces.get(piece)
             if known is None:
                 known = tuple(self.automaton.encode(piece.encode()))
