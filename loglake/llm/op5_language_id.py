@@ -2,27 +2,29 @@
 
 Features are the 1- to 3-grams of the lower-cased text, hashed to 2**18 numbers; a feature's weight in a text is its
 share of the text's n-grams times its inverse document frequency. Document frequencies count every training text;
-the regression is fitted on a bounded sample of them by follow-the-regularised-leader with elastic-net penalties, and
-its temperature on a second, disjoint sample.
+the regression is fitted on a number of whole texts of every language by follow-the-regularised-leader with
+elastic-net penalties, and its temperature on a second, disjoint sample.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import tempfile
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loglake.llm.common import stored
 from loglake.llm.words import CHUNK_BYTES, text_chunks
 
 HELD_OUT = (4, 2)
 FEATURE_BITS = 18
 ORDERS = (1, 2, 3)
-SAMPLE_DOCS = 3000
-SAMPLE_CHARS = 12_000_000
+PER_LANG = 1000
 EPOCHS = 4
 BATCH = 16
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
@@ -30,7 +32,7 @@ SCALE = 30.0
 UNKNOWN = "und"
 
 FREQUENCY_SCHEMA = "feature int, n long"
-VECTOR_SCHEMA = "lang string, part int, features binary, weights binary"
+VECTOR_SCHEMA = "lang string, place long, part int, features binary, weights binary"
 RESULT_SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -72,8 +74,14 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _vectors(idf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # of the sample, so no larger than it
         for batch in batches:
-            langs, parts = batch["lang"].to_pylist(), batch["part"].to_pylist()
+            names = list(zip(batch["lang"].to_pylist(), batch["place"].to_pylist()))
+            new = []
+            for name in names:
+                new.append(name not in seen)
+                seen.add(name)
+            batch = batch.filter(pa.array(new, pa.bool_()))
             for first, texts in text_chunks(batch, "text", CHUNK_BYTES // 2):
                 found = list(_ngrams(texts, ORDERS))
                 doc = np.concatenate([d for d, _ in found] or [np.zeros(0, np.int32)])
@@ -85,12 +93,11 @@ def _vectors(idf):
                 own = [slice(a, b) for a, b in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(langs[first : first + len(texts)], pa.string()),
-                        pa.array(parts[first : first + len(texts)], pa.int32()),
+                        *(batch[c].slice(first, len(texts)) for c in ("lang", "place", "part")),
                         pa.array([feature[x].tobytes() for x in own], pa.binary()),
                         pa.array([weight[x].astype("<f4").tobytes() for x in own], pa.binary()),
                     ],
-                    ["lang", "part", "features", "weights"],
+                    ["lang", "place", "part", "features", "weights"],
                 )
 
     return run
@@ -104,7 +111,23 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 Vector = tuple[np.ndarray, np.ndarray, int]
 
 
-def fit_ftrl(vectors: list[Vector], n_classes: int) -> np.ndarray:
+class Spilled(Sequence):
+    """Vectors in a temporary file of the driver, read one at a time; ``chosen`` has their (label, offset, length)."""
+
+    def __init__(self, file, chosen: list[tuple[int, int, int]]):
+        self.file, self.chosen = file, chosen
+
+    def __len__(self) -> int:
+        return len(self.chosen)
+
+    def __getitem__(self, i) -> Vector:
+        label, at, n = self.chosen[i]
+        self.file.seek(at)
+        data = self.file.read(8 * n)
+        return np.frombuffer(data[: 4 * n], "<i4"), np.frombuffer(data[4 * n :], "<f4"), label
+
+
+def fit_ftrl(vectors: Sequence[Vector], n_classes: int) -> np.ndarray:
     """Weights (features x classes) by FTRL-proximal over small batches, in a fixed random order."""
     z = np.zeros((1 << FEATURE_BITS, n_classes))
     n = np.zeros_like(z)
@@ -136,7 +159,7 @@ def fit_ftrl(vectors: list[Vector], n_classes: int) -> np.ndarray:
     return weights(np.arange(1 << FEATURE_BITS)).astype(np.float32)
 
 
-def fit_temperature(vectors: list[Vector], w: np.ndarray) -> float:
+def fit_temperature(vectors: Sequence[Vector], w: np.ndarray) -> float:
     """The temperature of the smallest cross-entropy, by a narrowing grid over its logarithm.
 
     Every class counts once more than it occurs, so that a sample without an error does not ask for certainty.
@@ -184,11 +207,26 @@ def _held_out():
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(HELD_OUT[0])) == HELD_OUT[1], F.lit(True))
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> LanguageModel | None:
+def _sample(rows: DataFrame, per_lang: int) -> DataFrame:
+    """lang, place, part of the ``per_lang`` distinct texts of every language with the smallest hash (``place``).
+
+    Every fourth of a language is part 0, the first three never are. Only hashes are ranked, and of a language with
+    many texts about four times the sample.
+    """
+    places = rows.select("lang", "place")
+    cuts = places.groupBy("lang").agg(F.approx_count_distinct("place").alias("texts"))
+    cuts = stored(cuts.select("lang", (4.0 * per_lang / F.greatest("texts", F.lit(1))).alias("share")), "cuts")
+    near = places.join(cuts, "lang").where(F.col("place") < F.least("share", F.lit(1.0)) * float(1 << 62)).select("lang", "place")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    ranked = near.distinct().withColumn("rank", rank).where(F.col("rank") <= per_lang)
+    return ranked.select("lang", "place", (F.col("rank") % 4).cast("int").alias("part"))
+
+
+def train(docs: DataFrame, per_lang: int = PER_LANG) -> LanguageModel | None:
     """A model of the languages of ``docs``; None if no row has both text and language.
 
-    The sample: of the rows not held out, the ``sample_docs`` smallest by hash of doc_id whose texts are no longer
-    than ``sample_chars / sample_docs`` characters, a quarter of them for calibration.
+    The sample: of the rows not held out, the ``per_lang`` smallest of every language by hash of doc_id and text, of
+    any length; a quarter of them for calibration.
     """
     spark = docs.sparkSession
     rows = docs.where(~_held_out()).where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
@@ -200,27 +238,26 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = S
         else:
             frequency[row["feature"]] = row["n"]
     idf = np.log((1 + texts) / (1 + frequency)) + 1
-    # About four times the sample passes the cut, so no task sends more than its share of that to the one that sorts.
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40))
-    cut = min(1 << 40, (4 * sample_docs << 40) // max(texts, 1))
-    sample = (
-        rows.where(F.length("text") <= sample_chars // sample_docs)
-        .where(place < cut)
-        .orderBy(place, "doc_id", "text", "lang")
-        .limit(sample_docs)
-        .select("text", "lang", F.pmod(place, F.lit(4)).cast("int").alias("part"))
-    )
-    taken = sample.mapInArrow(_vectors(spark.sparkContext.broadcast(idf)), VECTOR_SCHEMA).collect()
-    langs = sorted({r["lang"] for r in taken})
-    if not langs:
-        return None
-    vectors = [
-        (r["part"], (np.frombuffer(r["features"], "<i4"), np.frombuffer(r["weights"], "<f4"), langs.index(r["lang"])))
-        for r in taken
-    ]
-    vectors.sort(key=lambda v: (v[1][2], len(v[1][0]), v[1][0].tobytes(), v[1][1].tobytes()))
-    w = fit_ftrl([v for part, v in vectors if part] or [v for _, v in vectors], len(langs))
-    t = fit_temperature([v for part, v in vectors if not part], w)
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62))
+    rows = rows.select("text", "lang", place.alias("place"))
+    sample = rows.join(stored(_sample(rows, per_lang), "sample"), ["lang", "place"]).select("lang", "place", "part", "text")
+    vectors = sample.mapInArrow(_vectors(spark.sparkContext.broadcast(idf)), VECTOR_SCHEMA)
+    # Rows that agree in all columns are one text.
+    taken = stored(vectors.dropDuplicates(["lang", "place"]), "vectors")
+    index = []
+    with tempfile.TemporaryFile() as file:
+        for r in taken.toLocalIterator():
+            data = bytes(r["features"]) + bytes(r["weights"])
+            index.append((r["lang"], r["part"], len(data) // 8, hashlib.sha256(data).digest(), file.tell()))
+            file.write(data)
+        index.sort()
+        langs = sorted({lang for lang, *_ in index})
+        if not langs:
+            return None
+        number = {lang: i for i, lang in enumerate(langs)}
+        learned = Spilled(file, [(number[lang], at, n) for lang, part, n, _, at in index if part])
+        w = fit_ftrl(learned, len(langs))
+        t = fit_temperature(Spilled(file, [(number[lang], at, n) for lang, part, n, _, at in index if not part]), w)
     return LanguageModel(langs, np.ascontiguousarray((w * (SCALE / t * idf[:, None])).T.astype(np.float32)))
 
 

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from loglake.llm.op5_language_id import FEATURE_BITS, SCALE, _ngrams, fit_ftrl, fit_temperature, identify, train
+from loglake.llm.op5_language_id import FEATURE_BITS, SCALE, _ngrams, _sample, fit_ftrl, fit_temperature, identify, train
 
 DATA = "/root/testdata/sf0.01/documents.parquet"
 
@@ -62,3 +62,28 @@ def test_sparse_weights_and_temperature():
     assert w[0, 0] > w[0, 1] and w[1, 1] > w[1, 0]
     noisy = [(f, x, int(rng.random() < 0.3) ^ label) for f, x, label in vectors]
     assert fit_temperature(noisy, w) > fit_temperature(vectors, w)
+
+
+def test_long_texts_and_rare_languages_are_learned(spark):
+    """Of one language all texts are very long, of another there are two among thousands."""
+    rng = np.random.default_rng(5)
+
+    def text(letters, n):
+        return " ".join("".join(rng.choice(list(letters), 5)) for _ in range(n))
+
+    rows = [(i, text("abcdef", 12), "aa") for i in range(4000)]
+    rows += [(10_000 + i, text("ghijkl", 3000), "bb") for i in range(30)]
+    rows += [(20_000 + i, text("mnopqr", 12), "cc") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = {d: lang for d, _, lang in rows}
+    got = {r.doc_id: r.lang_pred for r in identify(docs, train(docs)).collect()}
+    assert got == want
+    assert train(docs.where("lang = 'bb'")).langs == ["bb"]
+
+
+def test_copies_of_a_row_are_one_text(spark):
+    """Thousands of equal rows neither fill the sample nor crowd the other texts out."""
+    docs = spark.range(6000).selectExpr("if(id < 5900, 7L, id) AS doc_id", "if(id < 5900, 'same', concat('text ', id)) AS text", "'en' AS lang")
+    rows = docs.selectExpr("lang", "pmod(xxhash64(doc_id, text), 1L << 62) AS place")
+    assert _sample(rows, 50).count() == 50
+    assert _sample(rows, 500).count() == 101
