@@ -3,7 +3,8 @@
 Entities are found by one pattern. Each distinct entity, in a normal form, gets a surrogate from a keyed hash: of its
 type and format, for names also of its gender and script. Surrogates are checked against each other and against all
 entities of the type; on a collision all but one entity draw again, until none is left, so different entities stay
-different and no surrogate is somebody else's entity. All mentions of an entity, in whatever notation, get the same
+different and no surrogate is somebody else's entity. Entities that a number of draws does not place, because their
+format has too few values, draw from a wider format, which grows with every further draw. All mentions of an entity, in whatever notation, get the same
 surrogate, written in the notation of the mention.
 """
 
@@ -126,16 +127,27 @@ def _check_sum(digits: Column) -> Column:
     )
 
 
-def _card(s: Column, digest: Column) -> Column:
+def _more(alphabet: str, digest: Column, wide: Column) -> Column:
+    """``wide`` characters, none for 0."""
+    every = " ".join(alphabet)
+    at = F.when(wide > 0, F.sequence(F.lit(0), wide - 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_join(F.transform(at, lambda i: _pick(every, digest, 59 - i)), "")
+
+
+def _card(s: Column, digest: Column, wide: Column) -> Column:
     """Keeps the first digit, and a valid check digit valid."""
-    drawn = F.concat(s.substr(1, 1), _like(s.substr(2, 14), digest))
+    drawn = F.concat(s.substr(1, 1), _like(s.substr(2, 14), digest), _more("0123456789", digest, wide))
     valid = ((10 - _check_sum(F.concat(drawn, F.lit("0"))) % 10) % 10).cast("string")
     free = (_number(digest, 40) % 10).cast("string")
     return F.concat(drawn, F.when(_check_sum(s) % 10 == 0, valid).otherwise(free))
 
 
-def _address(s: Column, digest: Column) -> Column:
-    """Private ranges stay private; others become public addresses."""
+def _address(s: Column, digest: Column, wide: Column) -> Column:
+    """Private ranges stay private; others become public addresses.
+
+    Wider: private ones leave their range for 10.0.0.0/8, then all go to the reserved 240.0.0.0/4, then to unique local
+    IPv6 addresses.
+    """
     parts = [_number(digest, i) for i in range(0, 8, 2)]
     low, last = (parts[2] % 256).cast("string"), (parts[3] % 254 + 1).cast("string")
     second = (parts[1] % 256).cast("string")
@@ -145,14 +157,21 @@ def _address(s: Column, digest: Column) -> Column:
         .when(s.rlike(r"^172\.(1[6-9]|2\d|3[01])\."), F.concat(F.lit("172."), (parts[1] % 16 + 16).cast("string")))
         .otherwise(F.concat((parts[0] % 110 + 11).cast("string"), F.lit("."), second))
     )
-    return F.concat_ws(".", first, low, last)
+    private = s.rlike(r"^(10|192\.168|172\.(1[6-9]|2\d|3[01]))\.")
+    first = (
+        F.when((wide == 1) & private, F.concat(F.lit("10."), second))
+        .when(wide > 0, F.concat((parts[0] % 15 + 240).cast("string"), F.lit("."), second))
+        .otherwise(first)
+    )
+    local = F.concat_ws(":", F.concat(F.lit("fd"), digest.substr(1, 2)), *(digest.substr(i, 4) for i in range(3, 31, 4)))
+    return F.when(wide > 2, local).otherwise(F.concat_ws(".", first, low, last))
 
 
-def _mail(s: Column, digest: Column, key: str) -> Column:
-    """One surrogate domain for each domain, whatever the mailbox; the last label stays."""
+def _mail(s: Column, digest: Column, key: str, wide: Column) -> Column:
+    """One surrogate domain for each domain, whatever the mailbox; the last label stays. Wider: a longer mailbox."""
     domain = F.regexp_extract(s, r"@(.*)\.[^.]*$", 1)
     return F.concat(
-        _like(F.substring_index(s, "@", 1), digest), F.lit("@"), _like(domain, _hash(key, F.lit("domain"), domain)),
+        _like(F.substring_index(s, "@", 1), digest), _more(ALPHABETS[r"\p{L}"][0], digest, wide), F.lit("@"), _like(domain, _hash(key, F.lit("domain"), domain)),
         F.lit("."), F.substring_index(s, ".", -1),
     )
 
@@ -179,27 +198,34 @@ def _name(s: Column, digest: Column, kind: Column, draw: Column) -> Column:
     return F.when(F.contains(s, F.lit(" ")), F.concat_ws(" ", given, family)).otherwise(family)
 
 
-def _surrogate(kind: Column, s: Column, draw: Column, key: str) -> Column:
+def _surrogate(kind: Column, s: Column, draw: Column, key: str, own_draws: int) -> Column:
+    """Draws from ``own_draws`` on are from wider formats, each at least ten times the last."""
+    wide = F.greatest(draw - own_draws + 1, F.lit(0))
     digest = _hash(key, kind, s, draw.cast("string"))
     keep = F.when(kind == "iban", 2).when(kind == "phone", F.greatest(F.length(s) - 10, F.lit(0))).otherwise(0)
-    plain = F.concat(F.substring(s, F.lit(1), keep), _like(F.substring(s, keep + 1, F.length(s)), digest))
+    plain = F.concat(
+        F.substring(s, F.lit(1), keep), _like(F.substring(s, keep + 1, F.length(s)), digest), _more("0123456789", digest, wide)
+    )
     return (
-        F.when(kind == "email", _mail(s, digest, key))
-        .when(kind == "ip", _address(s, digest))
-        .when(kind == "card", _card(s, digest))
+        F.when(kind == "email", _mail(s, digest, key, wide))
+        .when(kind == "ip", _address(s, digest, wide))
+        .when(kind == "card", _card(s, digest, wide))
         .when(kind.startswith("name"), _name(s, digest, kind, draw))
         .otherwise(plain)
     )
 
 
 def draw_surrogates(entities: DataFrame, key: str, max_draws: int = MAX_DRAWS) -> DataFrame:
-    """kind, normal, surrogate of every distinct entity (kind, normal); distinct within a kind and no entity itself."""
+    """kind, normal, surrogate of every distinct entity (kind, normal); distinct within a kind and no entity itself.
+
+    Entities without a place after ``max_draws`` draws in their own format get one in a wider format.
+    """
     names = entities.select("kind", F.col("normal").alias("surrogate"), F.lit(True).alias("taken"))
     held = entities.withColumn("draw", F.lit(0))
-    for _ in range(max_draws):
+    while True:
         held = stored(
             held.select("kind", "normal", "draw").withColumn(
-                "surrogate", _surrogate(F.col("kind"), F.col("normal"), F.col("draw"), key)
+                "surrogate", _surrogate(F.col("kind"), F.col("normal"), F.col("draw"), key, max_draws)
             ),
             "surrogates",
         )
@@ -209,11 +235,10 @@ def draw_surrogates(entities: DataFrame, key: str, max_draws: int = MAX_DRAWS) -
             return held.drop("draw")
         again = F.coalesce(F.col("taken"), F.lit(False)) | (F.col("normal") != F.coalesce("owner", "normal"))
         held = held.join(clashes, ["kind", "surrogate"], "left").withColumn("draw", F.col("draw") + again.cast("int"))
-    raise ValueError(f"surrogates still clash after {max_draws} draws")
 
 
 def _written(m: Column, kind: Column, surrogate: Column) -> Column:
-    """The surrogate in the notation of the mention."""
+    """The surrogate in the notation of the mention; what a wider one has more follows at the end."""
 
     def put(acc: Column, c: Column) -> Column:
         slot = c.rlike(r"^[A-Z0-9]$")
@@ -222,7 +247,10 @@ def _written(m: Column, kind: Column, surrogate: Column) -> Column:
             F.concat(acc["out"], F.when(slot, surrogate.substr(acc["i"], F.lit(1))).otherwise(c)).alias("out"),
         )
 
-    poured = F.aggregate(F.split(m, ""), F.struct(F.lit(1).alias("i"), F.lit("").alias("out")), put)["out"]
+    poured = F.aggregate(
+        F.split(m, ""), F.struct(F.lit(1).alias("i"), F.lit("").alias("out")), put,
+        lambda acc: F.concat(acc["out"], surrogate.substr(acc["i"], F.length(surrogate))),
+    )
     shouted = (F.upper(m) == m) & (F.lower(m) != m)
     return (
         F.when(kind == "email", F.when(shouted, F.upper(surrogate)).otherwise(surrogate))

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from loglake.llm.op10_pii import GIVEN, draw_surrogates, replace_personal_data
+from loglake.llm.op10_pii import GIVEN, _written, draw_surrogates, replace_personal_data
 
 MAIL, IP, CARD = r"[\w.]+@[\w.]+\w", r"\d+\.\d+\.\d+\.\d+", r"\b\d{16}\b"
 PHONE = r"\+1 \(\d{3}\) \d{3}-\d{4}"
@@ -67,6 +67,25 @@ def test_collisions_are_drawn_again(spark):
     assert not {r.surrogate for r in got} & {r.normal for r in got}
 
 
+def test_full_formats_are_widened(spark):
+    """More entities than their format has values: all mailboxes of one letter, most private addresses, all digits."""
+    mails = [("email", f"{c}@x.example.com") for c in "abcdefghijklmnopqrstuvwxyz"]
+    addresses = [("ip", f"192.168.{i // 254}.{i % 254 + 1}") for i in range(40_000)]
+    digits = [("phone", str(i)) for i in range(10)]
+    entities = spark.createDataFrame(mails + addresses + digits, "kind string, normal string")
+    got = draw_surrogates(entities, "k", max_draws=3).collect()
+    assert {(r.kind, r.normal) for r in got} == set(mails + addresses + digits) and len(got) == 40_036
+    new = {(r.kind, r.surrogate) for r in got}
+    assert len(new) == len(got) and not new & {(r.kind, r.normal) for r in got}
+    forms = {"email": r"[a-z]+@[a-z]\.[a-z]{7}\.com", "ip": r"(192\.168|10\.\d+|2[45]\d\.\d+)\.\d+\.\d+", "phone": r"\d+"}
+    assert all(re.fullmatch(forms[r.kind], r.surrogate) for r in got)
+
+
+def test_longer_surrogates_are_written_whole(spark):
+    row = spark.range(1).select(_written(F.lit("12-34"), F.lit("phone"), F.lit("567890")).alias("new")).first()
+    assert row.new == "56-7890"
+
+
 def test_documents(spark):
     """All entities go, everything else stays, and the mapping is one to one."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
