@@ -53,9 +53,18 @@ _TITLE = "(?:" + "|".join(t for ts in TITLES.values() for t in sorted(ts, key=le
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}"
 IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-CARD = r"(?<!\d)\d{4}(?<gap>[ -]?)\d{4}\k<gap>\d{4}\k<gap>\d{4}(?!\d)"
+# 16 digits in fours are a card whatever their check digit; other lengths and groups are candidates that need a valid one.
+_CARDS = (r"\d{4}(?<gap>[ -]?)\d{4}\k<gap>\d{4}\k<gap>\d{4}", r"\d{13,19}", r"\d{4}(?<five>[ -])\d{6}\k<five>\d{4,5}",
+          r"\d{4}(?<six>[ -])\d{4}\k<six>\d{4}\k<six>\d{4}\k<six>\d{1,3}")
+CARD = rf"(?<!\d)(?:{_CARDS[3]}|{_CARDS[0]}|{_CARDS[2]}|{_CARDS[1]})(?!\d)"
 SOCIAL = r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)"
-PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)"
+# International numbers of 7 to 15 digits, of known length where the country's is fixed; 3-3-4; national ones with a 0.
+_SEP = r"[ .()/-]{0,2}"
+_ABROAD = rf"(?:1(?:{_SEP}\d){{10}}|3[34](?:{_SEP}\d){{9}}|44(?:{_SEP}\d){{10}}|\d(?:{_SEP}\d){{6,14}})"
+PHONE = (
+    rf"(?<![\d+])(?:(?:\+|00(?=[1-9])){_ABROAD}|(?:\+\d{{1,3}}[ .-]?)?\(?\d{{3}}\)?[ .-]\d{{3}}[ .-]\d{{4}}"
+    r"|0\d(?<pair>[ .-])\d\d(?:\k<pair>\d\d){3}|\(?0\d{1,4}\)?[ /-]\d{3,4}[ -]?\d{3,5})(?!\d)"
+)
 NAME = rf"(?<!\p{{L}}){_TITLE} \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"
 ENTITY = "|".join((EMAIL, IP, IBAN, CARD, SOCIAL, PHONE, NAME))
 
@@ -69,7 +78,8 @@ def _kind(m: Column) -> Column:
         .when(m.rlike(rf"^{_OCTET}(\.{_OCTET}){{3}}$"), "ip")
         .when(m.rlike(r"^[A-Z]{2}\d{2}"), "iban")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "social")
-        .when(m.rlike(r"^\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}$"), "card")
+        .when(m.rlike(rf"^{_CARDS[0]}$"), "card")
+        .when(m.rlike(rf"^(?:{_CARDS[1]}|{_CARDS[2]}|{_CARDS[3]})$"), F.when(_check_sum(F.regexp_replace(m, "[ -]", "")) % 10 == 0, "card"))
         .when(title == "", "phone")
         .otherwise(F.concat(F.lit("name_"), gender))
     )
@@ -136,7 +146,7 @@ def _more(alphabet: str, digest: Column, wide: Column) -> Column:
 
 def _card(s: Column, digest: Column, wide: Column) -> Column:
     """Keeps the first digit, and a valid check digit valid."""
-    drawn = F.concat(s.substr(1, 1), _like(s.substr(2, 14), digest), _more("0123456789", digest, wide))
+    drawn = F.concat(s.substr(1, 1), _like(F.substring(s, F.lit(2), F.length(s) - 2), digest), _more("0123456789", digest, wide))
     valid = ((10 - _check_sum(F.concat(drawn, F.lit("0"))) % 10) % 10).cast("string")
     free = (_number(digest, 40) % 10).cast("string")
     return F.concat(drawn, F.when(_check_sum(s) % 10 == 0, valid).otherwise(free))
@@ -277,6 +287,7 @@ def replace_personal_data(docs: DataFrame, key: str = KEY, count_as: str = "n_en
         has.select("k1", "k2", F.explode("found").alias("mention"))
         .distinct()
         .withColumn("kind", _kind(mention))
+        .where("kind IS NOT NULL")
         .withColumn("normal", _normal(F.col("kind"), mention)),
         "mentions",
     )
@@ -286,11 +297,12 @@ def replace_personal_data(docs: DataFrame, key: str = KEY, count_as: str = "n_en
     )
     maps = stored(written.groupBy("k1", "k2").agg(F.map_from_entries(F.collect_list("pair")).alias("new")), "maps")
     gaps = F.split("text", ENTITY, -1)
-    pieces = F.transform(F.sequence(F.lit(1), F.size("found")), lambda i: F.concat(F.try_element_at("new", F.get("found", i - 1)), F.get("gaps", i)))
+    pieces = F.transform(F.sequence(F.lit(1), F.size("found")), lambda i: F.concat(F.coalesce(F.try_element_at("new", F.get("found", i - 1)), F.get("found", i - 1)), F.get("gaps", i)))
+    n = F.size(F.filter("found", lambda m: F.coalesce(F.map_contains_key("new", m), F.lit(False)))).cast("long")
     changed = (
-        has.join(maps, ["k1", "k2"])
+        has.join(maps, ["k1", "k2"], "left")
         .withColumn("gaps", gaps)
-        .select("row", F.concat(F.get("gaps", F.lit(0)), F.array_join(pieces, "")).alias("new_text"), F.size("found").cast("long").alias("n"))
+        .select("row", F.concat(F.get("gaps", F.lit(0)), F.array_join(pieces, "")).alias("new_text"), n.alias("n"))
     )
     same = rows.where("size(found) = 0 OR text IS NULL").select("row", F.col("text").alias("new_text"), F.lit(0).cast("long").alias("n"))
     return same.unionByName(changed).select(

@@ -67,6 +67,20 @@ def test_collisions_are_drawn_again(spark):
     assert not {r.surrogate for r in got} & {r.normal for r in got}
 
 
+def test_other_phones_and_cards(spark):
+    """International and national groupings, and cards of 13 to 19 digits if their check digit is valid."""
+    found = ["+44 20 7946 0958", "+49 30 1234567", "+15551234567", "+33 1 23 45 67 89", "+34 912 345 678", "0049 30 1234567",
+             "020 7946 0958", "01 23 45 67 89", "3782 822463 10005", "378282246310005", "4222222222222", "6304 0000 0000 0000 000"]
+    left = ["1234567890123", "3782 822463 10006", "01-02-2024", "1 234 567 890", "2024-01-02 03:04:05", "1234 938 555"]
+    new, n = replaced(spark, [f"see {x} or" for x in found + left] + ["call +44 20 7946 0958 12 times, no 1234567890123"])
+    assert n == [1] * len(found) + [0] * len(left) + [1]
+    for old, out in zip(found + left, new):
+        assert re.sub(r"\d", "0", f"see {old} or") == re.sub(r"\d", "0", out)
+        assert (out == f"see {old} or") == (old in left)
+    assert all(luhn(out) for out in new[8:12])
+    assert new[-1].endswith(" 12 times, no 1234567890123") and new[0][4:20] in new[-1]
+
+
 def test_full_formats_are_widened(spark):
     """More entities than their format has values: all mailboxes of one letter, most private addresses, all digits."""
     mails = [("email", f"{c}@x.example.com") for c in "abcdefghijklmnopqrstuvwxyz"]
