@@ -32,6 +32,9 @@ PERCENT = 75
 SHINGLE = 5
 SINGLES = 10
 CHUNK = 200_000
+GROUP_DOCS = 2000
+SHORT = 128
+TILE = 256
 COLUMNS = 4096
 MARK_BITS = 27
 
@@ -171,17 +174,65 @@ def _links_within(table: pa.Table) -> pa.Table:
         part = np.zeros((len(sets), COLUMNS), np.float32)
         part[owner[x:y], column[x:y] - first] = 1
         shared += part @ part.T
-    close = 100 * shared >= PERCENT * (sizes[:, None] + sizes[None, :] - shared)
-    i, j = np.nonzero(close & (component[:, None] < component[None, :]))
+    found = []
+    for first in range(0, len(sets), TILE):
+        tile = slice(first, first + TILE)
+        close = 100 * shared[tile] >= PERCENT * (sizes[tile, None] + sizes[None, :] - shared[tile])
+        x, y = np.nonzero(close & (component[tile, None] < component[None, :]))
+        _, one = np.unique(np.stack((component[x + first], component[y])), axis=1, return_index=True)
+        found.append((x[one] + first, y[one]))
+    i, j = (np.concatenate(x) for x in zip(*found))
     _, one = np.unique(np.stack((component[i], component[j])), axis=1, return_index=True)
     return pa.table({"a": ids[i[one]], "b": ids[j[one]]})
 
 
-def _remaining_links(members: DataFrame, groups: DataFrame, sets: DataFrame, chunk: int) -> DataFrame:
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = batch["n"].to_numpy()
+        shingles = np.frombuffer(b"".join(batch["own"].to_pylist()), "<i8")
+        columns = [pa.array(np.repeat(batch[c].to_numpy(), sizes)) for c in ("block", "doc_id", "set", "n")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(shingles)], ["block", "doc_id", "set", "n", "shingle"])
+
+
+def _split_blocks(rows: DataFrame, group_docs: int) -> DataFrame:
+    """``rows`` with blocks of more than ``group_docs`` documents divided by rare shingles.
+
+    Of two sets alike enough, the rarest shingles - one more than a set may lack - have one in common, in any order of
+    rarity. Sets of up to SHORT shingles meet under each of those; longer ones, and those next to them in size, stay
+    in the block, which the number of shingles cuts.
+    """
+    hot = stored(
+        rows.groupBy("block")
+        .agg(F.count("*").alias("docs"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .where((F.col("docs") > group_docs) & (F.col("low") != F.col("high")))
+        .select("block"),
+        "hot",
+    )
+    if hot.isEmpty():
+        return rows
+    short = rows.join(hot, "block", "left_semi").where(F.col("n") <= SHORT).withColumn("set", F.xxhash64("own"))
+    short = stored(short, "short")
+    shingles = stored(short.mapInArrow(_shingle_rows, "block long, doc_id long, set long, n long, shingle long"), "shingles")
+    often = stored(shingles.groupBy("block", "shingle").agg(F.count("*").alias("often")), "often")
+    least = F.expr(f"slice(array_distinct(sort_array(collect_list(struct(often, shingle)))), 1, int(first(n) - ({PERCENT} * first(n) + 99) div 100 + 1))")
+    rare = shingles.join(often, ["block", "shingle"]).groupBy("block", "doc_id", "set").agg(least.alias("rare"))
+    divided = (
+        short.join(rare.select("block", "doc_id", "set", F.explode("rare.shingle").alias("shingle")), ["block", "doc_id", "set"])
+        .withColumn("block", F.xxhash64("block", "shingle"))
+        .select(*rows.columns)
+    )
+    whole = rows.join(hot, "block", "left_anti").unionByName(
+        rows.join(hot, "block", "left_semi").where(f"100 * n > {PERCENT * SHORT}")
+    )
+    return stored(whole.unionByName(divided), "divided")
+
+
+def _remaining_links(members: DataFrame, groups: DataFrame, sets: DataFrame, chunk: int, group_docs: int) -> DataFrame:
     """Links between different components of a bucket that the comparison with its smallest document left open.
 
     Documents of such buckets are blocked anew by each of ten single minima (at 0.75 all ten differ for one pair in a
-    million). A block is cut into chunks of about ``chunk`` shingles by doc_id hash; each two chunks meet once, in a group of bounded size.
+    million). Blocks of many documents are divided by rare shingles. A block is cut into chunks of about ``chunk`` shingles
+    and ``group_docs`` documents, at most, by doc_id hash; each two chunks meet once, in a group of bounded size.
     """
     known = members.join(groups, members["doc_id"] == groups["id"], "left").select(
         "bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")
@@ -200,11 +251,12 @@ def _remaining_links(members: DataFrame, groups: DataFrame, sets: DataFrame, chu
         ),
         "blocks",
     )
+    rows = _split_blocks(rows, group_docs)
     parts = (
         rows.groupBy("block")
-        .agg(F.sum("n").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .agg(F.sum("n").alias("n"), F.count("*").alias("docs"), F.min("component").alias("low"), F.max("component").alias("high"))
         .where("low <> high")
-        .select("block", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
+        .select("block", F.ceil(F.greatest(F.col("n") / chunk, F.col("docs") / group_docs)).cast("int").alias("chunks"))
     )
     mine = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
     met = (
@@ -216,7 +268,7 @@ def _remaining_links(members: DataFrame, groups: DataFrame, sets: DataFrame, chu
     return met.groupBy("block", "x", "y").applyInArrow(_links_within, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def near_duplicates(docs: DataFrame, chunk: int = CHUNK, group_docs: int = GROUP_DOCS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text; other columns are ignored).
 
     Documents are linked whose sets of 5-word shingles (A-Z lower-cased) have a similarity of 0.75 or more;
@@ -244,7 +296,7 @@ def near_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     sets = _sets_of(docs, members.select("doc_id").distinct())
     links = stored(_confirmed(tried, sets), "confirmed")
     groups = stored(components(links), "groups")
-    more = stored(_remaining_links(members, groups, sets, chunk), "remaining")
+    more = stored(_remaining_links(members, groups, sets, chunk, group_docs), "remaining")
     if not more.isEmpty():
         groups = stored(components(links.unionByName(more)), "groups")
     of_class = classes.join(groups, classes["first_id"] == groups["id"], "left").select(

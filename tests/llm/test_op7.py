@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 
 from loglake.llm.components import components
-from loglake.llm.op7_minhash_dedup import band_keys, near_duplicates
+from loglake.llm.op7_minhash_dedup import _split_blocks, band_keys, near_duplicates
 
 
 def shingles(t):
@@ -68,6 +68,33 @@ def test_chains_and_crowds(spark):
     assert result(df, chunk=2000) == want
 
 
+def test_short_texts_with_a_common_opening(spark):
+    """Many documents under one minimum that are not alike: divided into small groups, without a lost link."""
+    rng = random.Random(3)
+    sets = [[1, 2, 3, *rng.sample(range(100, 100_000), 6)] for _ in range(300)]
+    sets += [[*s[:8], 7] for s in sets[:40]] + [list(range(10**6, 10**6 + n)) for n in (100, 120, 128, 129, 150)]
+    rows = [(5, i, i, len(s), np.array(s, "<i8").tobytes()) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "block long, doc_id long, component long, n long, own binary")
+    blocks = defaultdict(set)
+    for r in _split_blocks(df, 20).collect():
+        blocks[r.block].add(r.doc_id)
+    assert max(map(len, blocks.values())) <= 20
+    alike = [
+        (i, j) for i, s in enumerate(sets) for j, t in enumerate(sets[:i])
+        if 100 * len(set(s) & set(t)) >= 75 * len(set(s) | set(t))
+    ]
+    assert len(alike) > 40
+    assert all(any({i, j} <= b for b in blocks.values()) for i, j in alike)
+    assert _split_blocks(df, 1000).count() == len(sets)
+
+
+def test_groups_are_bounded_by_documents(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(["a b c d e f", *(f"w{rng.randrange(12)}" for _ in range(4))])) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(df, group_docs=7) == brute(rows)
+
+
 def test_estimate_is_unbiased():
     rng = np.random.default_rng(2)
     shared, a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (600, 100, 100))
