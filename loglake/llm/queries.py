@@ -10,6 +10,7 @@ from loglake.llm.common import literal_rows, table, vocabulary_path
 from loglake.llm.op1_substring_dedup import OP1_SQL, remove_repeated_passages
 from loglake.llm.op10_pii import replace_personal_data
 from loglake.llm.op11_quality_classifier import classify
+from loglake.llm.op12_spelling_variants import OP12_SQL, spelling_variants
 from loglake.llm.op13_periodic_runs import run_digests
 from loglake.llm.op2_url_filter import LISTED, OP2_SQL, RULES, judge_urls
 from loglake.llm.op3_decontamination import OP3_SQL, contaminated
@@ -103,6 +104,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@register("op12_spelling_variants", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 @register("op13_periodic_runs")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(table(spark, sf_dir, "documents"))
