@@ -268,15 +268,14 @@ def _crc_table() -> list[int]:
 
 
 OP12_SQL = f"""
-WITH RECURSIVE crc AS (SELECT {_crc_table()}::BIGINT[] AS t),
-runs AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+') AS r FROM documents),
+WITH RECURSIVE runs AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+') AS r FROM documents),
 every AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(r) AS w FROM runs) WHERE length(w) >= {MIN_LETTERS} GROUP BY ALL),
 begun AS (SELECT doc_id, list_reduce(list_transform(range(1, length(p) + 1), lambda i: ord(p[i])),
-    lambda s, b: xor(s >> 8, (SELECT t FROM crc)[(xor(s, b) & 255) + 1]), 4294967295::BIGINT) AS s
+    lambda s, b: xor(s >> 8, {_crc_table()}[(xor(s, b) & 255) + 1]), 4294967295::BIGINT) AS s
   FROM (SELECT DISTINCT doc_id, concat(doc_id, ':') AS p FROM documents)),
 hashed AS (SELECT w, c, xor(4294967295::BIGINT, list_reduce(flatten(list_transform(range(1, length(w) + 1),
     lambda i: CASE WHEN ord(w[i]) < 128 THEN [ord(w[i])] ELSE [195, ord(w[i]) - 64] END)),
-    lambda s, b: xor(s >> 8, (SELECT t FROM crc)[(xor(s, b) & 255) + 1]), begun.s)) AS h
+    lambda s, b: xor(s >> 8, {_crc_table()}[(xor(s, b) & 255) + 1]), begun.s)) AS h
   FROM every JOIN begun ON every.doc_id IS NOT DISTINCT FROM begun.doc_id),
 damaged AS (SELECT c, CASE WHEN h % {DAMAGED} = 0 THEN concat(substr(w, 1, (h % length(w))::BIGINT), substr(w, (h % length(w))::BIGINT + 2)) ELSE w END AS word FROM hashed),
 words AS (SELECT word, sum(c)::BIGINT AS n FROM damaged WHERE length(word) >= {MIN_LETTERS} GROUP BY word HAVING sum(c) >= {MIN_COUNT}),
@@ -289,6 +288,6 @@ pairs AS (SELECT a.word, b.word AS other, b.n AS other_n FROM holes a JOIN holes
 best AS (SELECT word, count(*) AS n_near, max(other_n) AS most, arg_min(other, (-other_n, other)) AS other FROM pairs GROUP BY word),
 forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * n THEN other END AS form, CASE WHEN most >= 2 * n THEN most END AS form_n
   FROM words LEFT JOIN best USING (word)),
-steps AS (SELECT word, word AS at, 0 AS k FROM forms
-  UNION ALL SELECT s.word, f.form, k + 1 FROM steps s JOIN forms f ON f.word = s.at WHERE f.form IS NOT NULL)
-SELECT f.word, form, (SELECT arg_max(at, k) FROM steps s WHERE s.word = f.word) AS root, n, n_near::BIGINT AS n_near, form_n FROM forms f"""
+steps AS (SELECT word, word AS spot, 0 AS k FROM forms
+  UNION ALL SELECT s.word, f.form, k + 1 FROM steps s JOIN forms f ON f.word = s.spot WHERE f.form IS NOT NULL)
+SELECT f.word, form, (SELECT arg_max(spot, k) FROM steps s WHERE s.word = f.word) AS root, n, n_near::BIGINT AS n_near, form_n FROM forms f"""
