@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loglake.functions.columns import interval, ts_lit
 from loglake.operators import aggregates as A
 from loglake.operators.filters import time_range
+from loglake.operators.user_sql import run_query
 from loglake.sinks.tables import delete_path
 from loglake.sources.files import path_exists, tenant_folder
 
@@ -62,14 +63,11 @@ def define_view(
     retention_minutes: int = 1440,
     sums: list[str] | None = None,
 ) -> View:
-    """A user's view as SQL over `{logs}`, which must keep tenant_id as a key.
-
-    The frame is passed as a parameter of the query, never spliced into its text.
-    """
+    """A user's view as SQL over `{logs}` (or `logs`), which must keep tenant_id as a key, and over nothing else."""
 
     def build(logs: DataFrame, as_of, back: str) -> DataFrame:
         recent = logs.filter(F.col("timestamp") >= ts_lit(logs, as_of) - interval(back))
-        return logs.sparkSession.sql(sql, logs=recent)
+        return run_query(logs.sparkSession, sql.replace("{logs}", "logs"), {"logs": recent})
 
     return View(name, build, bucket, look_back, refresh_seconds, retention_minutes, sums or [])
 

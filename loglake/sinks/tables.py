@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Callable
 from contextlib import contextmanager
 
@@ -138,7 +139,7 @@ def delete_tenant(spark: SparkSession, root: str, tenant: str) -> None:
 
     Fails if there is none.
     """
-    if not tenant.strip():
+    if not tenant.strip() or {".", ".."} & set(re.split(r"[/\\]", tenant)):
         raise ValueError("not a tenant id")
     paths = [f"{base}/{tenant_folder(spark, tenant)}" for base in (root, f"{root}/{STREAMED}")]
     stored = [p for p in paths if path_exists(spark, p)]
