@@ -50,7 +50,12 @@ ALPHABETS = {
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _TITLE = "(?:" + "|".join(t for ts in TITLES.values() for t in sorted(ts, key=len, reverse=True)) + r")\.?"
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}"
+# Possessive repeats, which Java matches in a loop: labels up to the last one that a label of letters follows.
+_LABEL = r"[\p{L}\p{N}-]++\."
+EMAIL = (
+    r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@"
+    rf"(?:(?:{_LABEL}(?!\p{{L}}{{2}}))*+{_LABEL}(?=\p{{L}}{{2}}))++\p{{L}}{{2,}}+"
+)
 IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 # 16 digits in fours are a card whatever their check digit; other lengths and groups are candidates that need a valid one.
@@ -67,6 +72,8 @@ PHONE = (
 )
 NAME = rf"(?<!\p{{L}}){_TITLE} \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"
 ENTITY = "|".join((EMAIL, IP, IBAN, CARD, SOCIAL, PHONE, NAME))
+# Every entity has an at sign, a digit or a title.
+HINT = rf"[@\p{{Nd}}]|{_TITLE} "
 
 
 def _kind(m: Column) -> Column:
@@ -114,15 +121,19 @@ def _pick(words: str, digest: Column, i) -> Column:
 def _like(s: Column, digest: Column) -> Column:
     """Digits for digits, letters for letters of the same case and script; all else as it is."""
 
-    def one(c: Column, i: Column) -> Column:
-        n = _number(digest, i)
+    def one(c: Column, i: Column, d: Column) -> Column:
+        n = _number(d, i)
         out = F.when(c.rlike(r"^\d$"), (n % 10).cast("string"))
         for pattern, (lower, upper) in ALPHABETS.items():
             small, large = (F.substring(F.lit(a), n % len(a) + 1, F.lit(1)) for a in (lower, upper))
             out = out.when(c.rlike(f"^{pattern}$"), F.when(c.rlike(r"^\p{Lu}$"), large).otherwise(small))
         return out.otherwise(c)
 
-    return F.array_join(F.transform(F.split(s, ""), one), "")
+    def every(d: Column) -> Column:
+        return F.array_join(F.transform(F.split(s, ""), lambda c, i: one(c, i, d)), "")
+
+    # The hash is bound to a variable, so that it is not worked out again for every character.
+    return F.get(F.transform(F.array(digest), every), F.lit(0))
 
 
 def _check_sum(digits: Column) -> Column:
@@ -226,12 +237,15 @@ def _surrogate(kind: Column, s: Column, draw: Column, key: str, own_draws: int)
 
 
 def draw_surrogates(entities: DataFrame, key: str, max_draws: int = MAX_DRAWS) -> DataFrame:
-    """kind, normal, surrogate of every distinct entity (kind, normal); distinct within a kind and no entity itself.
+    """kind, normal, surrogate of every distinct entity (kind, normal); distinct within a type and no entity itself.
 
     Entities without a place after ``max_draws`` draws in their own format get one in a wider format.
     """
-    names = entities.select("kind", F.col("normal").alias("surrogate"), F.lit(True).alias("taken"))
+    # Names of all genders share one space, so that different people stay different.
+    space = F.substring_index("kind", "_", 1).alias("space")
+    names = entities.select(space, F.col("normal").alias("surrogate"), F.lit(True).alias("taken")).distinct()
     held = entities.withColumn("draw", F.lit(0))
+    own = F.struct("normal", "kind")
     while True:
         held = stored(
             held.select("kind", "normal", "draw").withColumn(
@@ -239,12 +253,12 @@ def draw_surrogates(entities: DataFrame, key: str, max_draws: int = MAX_DRAWS) -
             ),
             "surrogates",
         )
-        owners = held.groupBy("kind", "surrogate").agg(F.min("normal").alias("owner"), F.count("*").alias("n"))
-        clashes = owners.join(names, ["kind", "surrogate"], "left").where("n > 1 OR taken")
+        owners = held.groupBy(space, "surrogate").agg(F.min(own).alias("owner"), F.count("*").alias("n"))
+        clashes = owners.join(names, ["space", "surrogate"], "left").where("n > 1 OR taken")
         if clashes.isEmpty():
             return held.drop("draw")
-        again = F.coalesce(F.col("taken"), F.lit(False)) | (F.col("normal") != F.coalesce("owner", "normal"))
-        held = held.join(clashes, ["kind", "surrogate"], "left").withColumn("draw", F.col("draw") + again.cast("int"))
+        again = F.coalesce(F.col("taken"), F.lit(False)) | (own != F.coalesce("owner", own))
+        held = held.withColumn("space", space).join(clashes, ["space", "surrogate"], "left").withColumn("draw", F.col("draw") + again.cast("int"))
 
 
 def _written(m: Column, kind: Column, surrogate: Column) -> Column:
@@ -276,10 +290,16 @@ def replace_personal_data(docs: DataFrame, key: str = KEY, count_as: str = "n_en
     Null and empty texts stay as they are, with 0. Equal texts give equal texts, whatever their doc_id. Columns of
     ``docs`` may have any names but that of ``count_as``.
     """
-    found = F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))
-    rows = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text",
-        F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2"), found.alias("found"),
+    text = F.coalesce("text", F.lit(""))
+    found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)))
+    # One pass over the texts: every later step reads the matches, and the text between them, from the stored rows.
+    scanned = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text", found.alias("found"))
+    rows = stored(
+        scanned.select(
+            "row", F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2"), "found",
+            F.when(F.size("found") > 0, F.split("text", ENTITY, -1)).alias("gaps"),
+        ),
+        "scanned",
     )
     has = rows.where("size(found) > 0")
     mention = F.col("mention")
@@ -296,15 +316,12 @@ def replace_personal_data(docs: DataFrame, key: str = KEY, count_as: str = "n_en
         "k1", "k2", F.struct("mention", _written(mention, F.col("kind"), F.col("surrogate")).alias("new")).alias("pair")
     )
     maps = stored(written.groupBy("k1", "k2").agg(F.map_from_entries(F.collect_list("pair")).alias("new")), "maps")
-    gaps = F.split("text", ENTITY, -1)
     pieces = F.transform(F.sequence(F.lit(1), F.size("found")), lambda i: F.concat(F.coalesce(F.try_element_at("new", F.get("found", i - 1)), F.get("found", i - 1)), F.get("gaps", i)))
     n = F.size(F.filter("found", lambda m: F.coalesce(F.map_contains_key("new", m), F.lit(False)))).cast("long")
-    changed = (
-        has.join(maps, ["k1", "k2"], "left")
-        .withColumn("gaps", gaps)
-        .select("row", F.concat(F.get("gaps", F.lit(0)), F.array_join(pieces, "")).alias("new_text"), n.alias("n"))
+    changed = has.join(maps, ["k1", "k2"], "left").select(
+        "row", F.concat(F.get("gaps", F.lit(0)), F.array_join(pieces, "")).alias("new_text"), n.alias("n")
     )
-    same = rows.where("size(found) = 0 OR text IS NULL").select("row", F.col("text").alias("new_text"), F.lit(0).cast("long").alias("n"))
+    same = rows.where("NOT coalesce(size(found), 0) > 0").select("row", F.col("row.text").alias("new_text"), F.lit(0).cast("long").alias("n"))
     return same.unionByName(changed).select(
         *(F.col("new_text").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns),
         F.col("n").alias(count_as),

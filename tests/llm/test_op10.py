@@ -120,6 +120,21 @@ def test_documents(spark):
     assert len(maps) > 20 and len(set(maps.values())) == len(maps) and not set(maps) & set(maps.values())
 
 
+def test_very_long_domains(spark):
+    """Labels without end are matched in a loop; a label of digits at the end is left out of the address."""
+    texts = ["x@" + "ab." * 100_000 + "com", "x@" + "1." * 100_000 + "2", "y@" + "a.1." * 1000 + "org.7 end", "z@b.com.x1, q@b..com"]
+    new, n = replaced(spark, texts)
+    assert n == [1, 0, 1, 1]
+    assert new[0].count(".") == 100_000 and new[0].endswith(".com") and "ab.ab." not in new[0]
+    assert new[1] == texts[1] and new[2].endswith(".org.7 end") and new[3].endswith(".com.x1, q@b..com")
+
+
+def test_people_of_all_genders_stay_different(spark):
+    entities = [(f"name_{g}", f"{g.upper()}a{i}") for g in "fmn" for i in range(1500)]
+    got = draw_surrogates(spark.createDataFrame(entities, "kind string, normal string"), "k").collect()
+    assert len({r.surrogate for r in got}) == len(got) == 4500
+
+
 def test_odd_rows(odd, empty):
     got = replace_personal_data(odd)
     assert got.columns == [*odd.columns, "n_entities"]
