@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,31 +66,27 @@ def _haystack(fields: list[str], tags: str | None) -> str:
     return f"lower(concat_ws('{_BETWEEN_FIELDS}', {', '.join(parts)}))"
 
 
-def _leaf(piece: str, fields: list[str], tags: str | None) -> str:
+def split_field(piece: str) -> tuple[str | None, str]:
+    """(field name or None, the rest) of a term: ``field:value`` names a field, anything else does not."""
     field, _, rest = piece.partition(":")
     if re.search(r"[\w*?]", rest) and re.fullmatch(r"[\w.]+", field):
-        column = _FIELDS.get(field.lower())
-        if column:
-            return _matches(_haystack([column], None), rest)
-        key = field.removeprefix("tags.")
-        return _matches(_haystack([f"try_element_at({tags}, '{key}')"], None), rest) if tags else "false"
-    return _matches(_haystack(fields, tags), piece)
-
+        return field, rest
+    return None, piece
 
-def search_predicate(
-    query: str | None,
-    fields: tuple[str, ...] = ("message", "category"),
-    tags: str | None = "tags",
-) -> Column:
-    """One boolean column for a query string.
 
-    Terms, ``"phrases"``, ``field:value`` and ``wild*`` become predicates; AND, OR, NOT and parentheses
-    are left to Spark's own expression language, whose precedence they share. Terms that stand next to
-    each other are alternatives. A NOT that no AND or OR precedes excludes from its whole group:
-    ``a b NOT c`` is ``(a OR b) AND NOT c``. Unsupported: fuzzy matching, boosts and ranges.
-    """
-    if query is None or not query.strip():
-        return F.lit(True)
+def _leaf(piece: str, fields: list[str], tags: str | None) -> str:
+    field, rest = split_field(piece)
+    if field is None:
+        return _matches(_haystack(fields, tags), piece)
+    column = _FIELDS.get(field.lower())
+    if column:
+        return _matches(_haystack([column], None), rest)
+    key = field.removeprefix("tags.")
+    return _matches(_haystack([f"try_element_at({tags}, '{key}')"], None), rest) if tags else "false"
+
+
+def boolean_expression(query: str, leaf: Callable[[str], str]) -> str:
+    """A query string as an SQL expression over what ``leaf`` gives for its terms, phrases and ``field:value`` pieces."""
     # Of each open parenthesis: its text so far, and what is excluded from it.
     groups: list[tuple[list[str], list[str]]] = [([], [])]
     excluding = [False]
@@ -124,12 +121,29 @@ def search_predicate(
             if kept or piece == "NOT":
                 kept.append(piece)
         elif piece != ")":
-            operand(_leaf(piece, list(fields), tags) if re.search(r"[\w*?]", piece) else "true")
+            operand(leaf(piece) if re.search(r"[\w*?]", piece) else "true")
     while len(groups) > 1:
         text = close()
         excluding.pop()
         operand(text)
-    return F.expr(close())
+    return close()
+
+
+def search_predicate(
+    query: str | None,
+    fields: tuple[str, ...] = ("message", "category"),
+    tags: str | None = "tags",
+) -> Column:
+    """One boolean column for a query string.
+
+    Terms, ``"phrases"``, ``field:value`` and ``wild*`` become predicates; AND, OR, NOT and parentheses
+    are left to Spark's own expression language, whose precedence they share. Terms that stand next to
+    each other are alternatives. A NOT that no AND or OR precedes excludes from its whole group:
+    ``a b NOT c`` is ``(a OR b) AND NOT c``. Unsupported: fuzzy matching, boosts and ranges.
+    """
+    if query is None or not query.strip():
+        return F.lit(True)
+    return F.expr(boolean_expression(query, lambda piece: _leaf(piece, list(fields), tags)))
 
 
 def search(

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from loglake.operators import filters as L
 from loglake.operators import search as S
+from loglake.operators import search_index as I
 from loglake.operators.aggregates import top_k_by_count
 from loglake.plans.fixtures import AS_OF, LOGS, T_FROM, T_TO, logs, table
-from loglake.plans.registry import query
+from loglake.plans.registry import once, query
 
 _SOME = ["id", "tenant_id", "timestamp", "level"]
 _SOME_SQL = "SELECT id, tenant_id, timestamp, level FROM logs WHERE "
@@ -105,28 +106,64 @@ def _any(pattern: str) -> str:
 _REGION = LOGS.replace("event_id, user_id,", "event_id, concat('region-', CAST(user_id % 5 AS STRING)) AS region, user_id,")
 
 
-@query(
-    "f10_search_logs",
+def _log_index(spark, sf):
+    """Two batches, as a stream would bring them."""
+
+    def write(path):
+        rows = logs(spark, sf)
+        for part in (0, 1):
+            batch = rows.filter(F.pmod(F.col("id").cast("long"), F.lit(2)) == part)
+            I.index_batch(batch, path, part, ["id"], I.log_fields(batch))
+
+    return I.Index(spark, once(spark, sf, "log-index", write), "id string")
+
+
+def _document_index(spark, sf):
+    def write(path):
+        I.index_batch(table(spark, sf, "documents"), path, 0, ["doc_id"], I.text_field("text"))
+
+    return I.Index(spark, once(spark, sf, "document-index", write), "doc_id long")
+
+
+_LOG_SEARCH = (
     _REGION + "SELECT id, message, level FROM logs WHERE "
     + f"(({_any('error')} AND NOT {_w('level', 'fatal')}) OR {_any('region' + _SEP + '3')} AND coalesce({_w('tag_k', '7' + _REST)}, false))"
-    + " ORDER BY timestamp DESC, id LIMIT 10000",
-)
+    + " ORDER BY timestamp DESC, id LIMIT 10000"
+)
+_LOG_QUERY = '(error AND NOT level:Fatal) OR "region 3" AND k:7*'
+
+
+@query("f10_search_logs", _LOG_SEARCH)
 def _(spark, sf):
-    hits = S.search(logs(spark, sf), '(error AND NOT level:Fatal) OR "region 3" AND k:7*', 10_000)
-    return hits.select("id", "message", "level")
+    """Postings tell the entries; only those are read and sorted."""
+    hits = logs(spark, sf).join(I.matching(_log_index(spark, sf), _LOG_QUERY), "id", "left_semi")
+    return hits.orderBy(F.col("timestamp").desc(), "id").limit(10_000).select("id", "message", "level")
 
 
-@query(
-    "f10_search_documents",
+@query("f10_scan_logs", _LOG_SEARCH)
+def _(spark, sf):
+    return S.search(logs(spark, sf), _LOG_QUERY, 10_000).select("id", "message", "level")
+
+
+_DOCUMENT_SEARCH = (
     "SELECT doc_id, source FROM documents WHERE "
     + f"({_w('text', 'the')} AND NOT {_w('text', 'ention' + _REST)}) OR ({_w('text', 'que' + _SEP + 'le')} AND ({_w('text', 'paire')} OR {_w('text', 'mentre')})) OR {_w('text', 'licen.e')}".replace(
         "licen.e", "licen[\\p{L}\\p{N}_]e"
-    ),
+    )
 )
+_DOCUMENT_QUERY = '(the AND NOT ention*) OR ("que le" AND (paire OR mentre)) licen?e'
+
+
+@query("f10_search_documents", _DOCUMENT_SEARCH)
+def _(spark, sf):
+    found = I.matching(_document_index(spark, sf), _DOCUMENT_QUERY, ("text",))
+    return table(spark, sf, "documents").select("doc_id", "source").join(found, "doc_id", "left_semi")
+
+
+@query("f10_scan_documents", _DOCUMENT_SEARCH)
 def _(spark, sf):
-    text = '(the AND NOT ention*) OR ("que le" AND (paire OR mentre)) licen?e'
     docs = table(spark, sf, "documents")
-    return docs.filter(S.search_predicate(text, ("text",), tags=None)).select("doc_id", "source")
+    return docs.filter(S.search_predicate(_DOCUMENT_QUERY, ("text",), tags=None)).select("doc_id", "source")
 
 
 @query("f10_search_excluding", _REGION + f"SELECT id, message, level FROM logs WHERE ({_any('error')} OR {_any('k')}) AND NOT {_w('level', 'fatal')}")
@@ -142,7 +179,15 @@ _TOKENS = """WITH toks AS (SELECT doc_id, unnest(regexp_split_to_array(lower(tex
     FROM tf JOIN df USING (w) JOIN documents USING (doc_id), st GROUP BY doc_id"""
 
 
-@query("f11_search_ranked", _TOKENS.replace("{terms}", "'the', 'license', 'que'").replace("{digits}", "9") + " ORDER BY score DESC, doc_id LIMIT 50")
+_RANKED = _TOKENS.replace("{terms}", "'the', 'license', 'que'").replace("{digits}", "9") + " ORDER BY score DESC, doc_id LIMIT 50"
+
+
+@query("f11_search_ranked", _RANKED)
+def _(spark, sf):
+    return I.ranked(_document_index(spark, sf), ["the", "license", "que"], 50, "text")
+
+
+@query("f11_scan_ranked", _RANKED)
 def _(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return S.search_ranked(docs, ["the", "license", "que"], 50, text="text", tie_break="doc_id").select("doc_id", "score")

@@ -12,25 +12,14 @@ from pyspark.sql import functions as F
 from loglake.operators import replay as R
 from loglake.operators.governance import scan_estimate
 from loglake.operators.ingest import validate_entries
-from loglake.plans.fixtures import AS_OF, DTOS, LOGS, RULES, dtos, entries, logs, rules, table
+from loglake.plans.fixtures import AS_OF, DELIVERIES, DTOS, LOGS, RULES, deliveries, dtos, entries, logs, rules, table
+from loglake.plans.registry import once as _once
 from loglake.plans.registry import query, rounded
 from loglake.session import new_path
 from loglake.sinks import tables as K
+from loglake.sinks.seen import accept_new
 from loglake.sources import files as S
 
-_written: dict[tuple[str, str, str], str] = {}
-
-
-def _once(spark, sf, name, write):
-    """Write a table once per session and data folder, and hand out its path afterwards."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _written:
-        path = new_path(spark, name)
-        write(path)
-        _written[key] = path
-    return _written[key]
-
-
 def _archive(spark, sf):
     return _once(spark, sf, "archive", lambda path: K.write_archive(entries(spark, sf), path))
 
@@ -171,6 +160,51 @@ def _(spark, sf):
     return spark.read.parquet(root).select("tenant_id", "id", "level", F.col("event_date").cast("string").alias("event_date"))
 
 
+@query(
+    "k2_upsert_day",
+    LOGS + """SELECT tenant_id, count(*) AS entries, count(*) FILTER (day = '15') AS changed,
+      (SELECT count(DISTINCT tenant_id) FROM logs WHERE day = '15') AS partitions_read FROM logs GROUP BY 1""",
+)
+def _(spark, sf):
+    """A batch of one day reads that day's partitions only."""
+    root = new_path(spark, "hot")
+    first = entries(spark, sf)
+    K.upsert_hot(first, root)
+    day = first.filter(F.day(F.timestamp_millis("timestamp_unix_ms")) == 15)
+    read = K.upsert_hot(day.withColumn("level", F.lit("Day 15")).withColumn("ingested_at", F.col("ingested_at") + F.expr("INTERVAL 1 DAY")), root)
+    rows = spark.read.parquet(root).groupBy("tenant_id")
+    return rows.agg(
+        F.count(F.lit(1)).alias("entries"), F.count_if(F.col("level") == "Day 15").alias("changed"), F.lit(read).alias("partitions_read")
+    )
+
+
+@query(
+    "j2_seen_sets",
+    DELIVERIES + """, b AS (SELECT *, CASE WHEN ingested_at < TIMESTAMP '2024-01-11' THEN 0 WHEN ingested_at < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END AS batch FROM deliveries),
+    i AS (SELECT DISTINCT batch, tenant_id, id FROM b),
+    storage AS (SELECT * FROM i x WHERE batch = 0 OR batch = 1 AND NOT EXISTS (SELECT 1 FROM i y WHERE y.batch = 0 AND y.tenant_id = x.tenant_id AND y.id = x.id)),
+    late AS (SELECT * FROM i x WHERE batch = 2 AND NOT EXISTS (SELECT 1 FROM storage y WHERE y.batch = 1 AND y.tenant_id = x.tenant_id AND y.id = x.id)),
+    every AS (SELECT 'storage' AS sink, * FROM storage UNION ALL SELECT 'storage', * FROM late UNION ALL SELECT 'search', * FROM i WHERE batch <> 1)
+    SELECT sink, batch, tenant_id, id FROM every""",
+)
+def _(spark, sf):
+    """Three batches, the last one past the first one's time-to-live but not the second one's; each sink has its own set.
+    The search sink misses the second batch, and the storage sink is given it twice."""
+    root, rows = new_path(spark, "seen"), deliveries(spark, sf)
+    times = ["2024-01-10 00:00:00", "2024-01-10 12:00:00", "2024-01-11 06:00:00"]
+    day = F.to_date("ingested_at")
+    parts = [rows.filter(day < "2024-01-11"), rows.filter((day >= "2024-01-11") & (day < "2024-01-21")), rows.filter(day >= "2024-01-21")]
+    out = None
+    for sink, batches in (("storage", [0, 1, 1, 2]), ("search", [0, 2])):
+        taken = {}
+        for i in batches:
+            taken[i] = accept_new(parts[i], root, sink, i, times[i], order=["ingested_at", "delivery"])
+        for i, found in taken.items():
+            one = found.select(F.lit(sink).alias("sink"), F.lit(i).alias("batch"), "tenant_id", "id")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(
     "k3_fan_out",
     LOGS + "SELECT 'storage' AS sink, tenant_id, count(*) AS entries FROM logs GROUP BY 2 UNION ALL SELECT 'search', tenant_id, count(*) FROM logs GROUP BY 2",

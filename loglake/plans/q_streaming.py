@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+from loglake.operators.joins import reconcile
+from loglake.operators.search_index import Index, matching
 from loglake.plans.fixtures import _DELIVERY_FIELDS, _DTOS_SPARK, _LOGS_SPARK, AS_OF, DELIVERIES, DTOS, LOGS, logs, rules, table
 from loglake.plans.q_alerts import _EVALUATED, _NOW
 from loglake.plans.registry import query, rounded
@@ -39,6 +41,27 @@ def _(spark, sf):
     return read_archive(spark, root).select("tenant_id", "id")
 
 
+@query(
+    "t1_search_branch",
+    DTOS + """, i AS (SELECT tenant_id, concat('c-', CAST(event_id % 4000 AS VARCHAR)) AS id, message FROM validated WHERE len(errors) = 0),
+    n AS (SELECT tenant_id, count(DISTINCT id) AS entries FROM i GROUP BY 1)
+    SELECT tenant_id, entries AS archived, entries AS indexed, entries AS searchable, true AS in_tolerance FROM n""",
+)
+def _(spark, sf):
+    """Both branches over the same input: the archive, the hot store and the search index hold the same entries."""
+    archive, hot, index = (new_path(spark, n) for n in ("branch-archive", "branch-hot", "branch-index"))
+    incoming = spark.sql(_DTOS_SPARK, events=_events(spark, sf)).withColumn(
+        "id", F.concat(F.lit("c-"), (F.col("event_id") % 4000).cast("string"))
+    )
+    J.ingest_stream(incoming, F.col("tenant_id"), AS_OF, AS_OF, archive, new_path(spark, "ckpt")).awaitTermination()
+    branch = J.search_branch(incoming, F.col("tenant_id"), AS_OF, AS_OF, hot, new_path(spark, "seen"), new_path(spark, "ckpt"), index)
+    branch.awaitTermination()
+    agree = reconcile(read_archive(spark, archive), spark.read.parquet(hot), ["tenant_id"])
+    found = matching(Index(spark, index, "tenant_id string, id string"), "view OR click OR purchase OR signup OR error OR NOT k")
+    searchable = found.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("searchable"))
+    return agree.join(searchable, "tenant_id", "left").select("tenant_id", "archived", "indexed", "searchable", "in_tolerance")
+
+
 @query(
     "t1_quarantine_stream",
     DTOS + "SELECT tenant_id, array_to_string(errors, '; ') AS reason, count(*) AS entries FROM validated WHERE len(errors) > 0 GROUP BY 1, 2",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loglake.session import use_utc
+from loglake.session import new_path, use_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +39,16 @@ def plain_times(df: DataFrame) -> DataFrame:
 def rounded(col, digits: int = 6):
     """Value for comparison. The shift keeps exact halves, which engines round differently, off the edge."""
     return F.round((F.col(col) if isinstance(col, str) else col) + 1e-9, digits)
+
+
+_written: dict[tuple[str, str, str], str] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+    """Write a table once per session and data folder, and hand out its path afterwards."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _written:
+        path = new_path(spark, name)
+        write(path)
+        _written[key] = path
+    return _written[key]

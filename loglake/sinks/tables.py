@@ -72,29 +72,66 @@ def delete_path(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def upsert_hot(batch: DataFrame, root: str) -> None:
-    """Last write wins per id, in a store partitioned by tenant and event day.
+LOCATOR = "_locator"
+LOCATOR_BUCKETS = 64
 
-    Only the batch's tenants are read (their partitions are found at run time), and only partitions that the
-    batch or an older version of one of its ids lives in are replaced. New rows are written before partitions
-    that they left empty go, so a crash loses nothing; running the same batch again changes nothing and
-    finishes what was left.
+
+def _locator_bucket() -> Column:
+    return F.pmod(F.xxhash64(*KEY), F.lit(LOCATOR_BUCKETS)).cast("int").alias("bucket")
+
+
+def _locate(spark: SparkSession, root: str) -> DataFrame | None:
+    """tenant_id, id, bucket, event_date: where the hot store has each id. None for a new store; built for one without."""
+    path = f"{root}/{LOCATOR}"
+    if not path_exists(spark, path):
+        if not path_exists(spark, root):
+            return None
+        rows = spark.read.parquet(root)
+        _append_locator(rows.select(*KEY, "event_date", "ingested_at", "timestamp"), root)
+    entries = spark.read.parquet(path)
+    latest = F.max_by("event_date", F.struct("ingested_at", "timestamp"))
+    return entries.groupBy("bucket", *KEY).agg(latest.alias("event_date"))
+
+
+def _append_locator(rows: DataFrame, root: str) -> None:
+    placed = rows.select("*", _locator_bucket()).hint("rebalance", "bucket")
+    placed.write.mode("append").partitionBy("bucket").parquet(f"{root}/{LOCATOR}")
+
+
+def compact_locator(spark: SparkSession, root: str) -> None:
+    """One row per id again, after ids have moved between days. No other write may run."""
+    path = f"{root}/{LOCATOR}"
+    latest = latest_by_key(spark.read.parquet(path), ["bucket", *KEY], ["ingested_at", "timestamp"]).checkpoint()
+    latest.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def upsert_hot(batch: DataFrame, root: str) -> int:
+    """Last write wins per id, in a store partitioned by tenant and event day; returns the number of partitions read.
+
+    A locator beside the store says which partition has an id, so that only partitions which the batch or an older
+    version of one of its ids lives in are read and replaced; their names, no rows, pass through the driver. New rows
+    are written before partitions that they left empty go, and the locator is written last, so a crash loses
+    nothing; running the same batch again changes nothing and finishes what was left.
     """
     spark = batch.sparkSession
-    rows = _with_event_time(batch).withColumn("event_date", F.to_date("timestamp"))
-    merged, touched_old = rows, None
-    if path_exists(spark, root):
-        tenants = rows.select("tenant_id").distinct()
-        current = spark.read.parquet(root).select(*rows.columns).join(tenants, "tenant_id", "left_semi").select(*rows.columns)
-        ids = rows.select(*KEY).distinct()
-        touched_old = current.join(ids, KEY, "left_semi").select(*HOT_PARTITIONS).distinct()
-        touched = touched_old.union(rows.select(*HOT_PARTITIONS)).distinct()
-        merged = current.join(touched, HOT_PARTITIONS, "left_semi").unionByName(rows)
-    latest = latest_by_key(merged, KEY, ["ingested_at", "timestamp"]).checkpoint()
-    # Partitions whose last row moved away are not in `latest`, so overwriting would leave them behind.
-    emptied = [] if touched_old is None else touched_old.join(latest, HOT_PARTITIONS, "left_anti").collect()
+    rows = latest_by_key(
+        _with_event_time(batch).withColumn("event_date", F.to_date("timestamp")), KEY, ["ingested_at", "timestamp"]
+    ).checkpoint()
+    places = rows.select(*KEY, _locator_bucket())
+    located = _locate(spark, root)
+    merged, old, existing = rows, None, []
+    if located is not None:
+        old = located.join(places, ["bucket", *KEY], "left_semi").checkpoint()
+        touched = old.select(*HOT_PARTITIONS).union(rows.select(*HOT_PARTITIONS)).distinct().collect()
+        folders = [f"{root}/{tenant_folder(spark, r.tenant_id)}/event_date={r.event_date}" for r in touched]
+        existing = [f for f in folders if path_exists(spark, f)]
+    if existing:
+        current = spark.read.option("basePath", root).schema(rows.schema).parquet(*existing).select(*rows.columns)
+        merged = latest_by_key(current.unionByName(rows), KEY, ["ingested_at", "timestamp"]).checkpoint()
+    # Partitions whose last row moved away are not in `merged`, so overwriting would leave them behind.
+    emptied = [] if old is None else old.select(*HOT_PARTITIONS).distinct().join(merged, HOT_PARTITIONS, "left_anti").collect()
     writer = (
-        latest.hint("rebalance", *HOT_PARTITIONS)
+        merged.hint("rebalance", *HOT_PARTITIONS)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*HOT_PARTITIONS)
@@ -103,6 +140,12 @@ def upsert_hot(batch: DataFrame, root: str) -> None:
         writer.parquet(root)
     for row in emptied:
         delete_path(spark, f"{root}/{tenant_folder(spark, row.tenant_id)}/event_date={row.event_date}")
+    now = merged.join(places, KEY, "left_semi").select(*KEY, "event_date", "ingested_at", "timestamp")
+    if old is not None:
+        same = old.select(*KEY, F.col("event_date").alias("__old"))
+        now = now.join(same, KEY, "left").where(~F.col("event_date").eqNullSafe(F.col("__old"))).drop("__old")
+    _append_locator(now, root)
+    return len(existing)
 
 
 def fan_out(batch: DataFrame, sinks: dict[str, Callable[[DataFrame], None]]) -> dict[str, str]:

@@ -17,8 +17,11 @@ from pyspark.sql.streaming import StreamingQuery
 from loglake import schema
 from loglake.functions.columns import partition_parts, ts_lit
 from loglake.operators.alerts import due_rules, evaluate_rules, evaluate_sql_rules, fired_events
+from loglake.operators.dedup import KEY
 from loglake.operators.ingest import split_valid, to_entries, validate_entries
-from loglake.sinks.tables import quarantine
+from loglake.operators.search_index import index_batch, log_fields
+from loglake.sinks.seen import accept_new
+from loglake.sinks.tables import quarantine, upsert_hot
 from loglake.sources.files import STREAMED, path_exists
 
 AVAILABLE_NOW = {"availableNow": True}
@@ -87,6 +90,30 @@ def ingest_stream(
     )
 
 
+def search_branch(
+    dtos: DataFrame, tenant: Column | str, as_of, ingested_at, hot: str, seen: str, checkpoint: str, index: str | None = None,
+    ttl: str = "24 hours", trigger: dict = AVAILABLE_NOW, mode: str = "Push",
+) -> StreamingQuery:
+    """The other branch of ingest: accepted entries go to the hot store and, with ``index``, to the search index.
+
+    A query of its own beside `ingest_stream`, with its own checkpoint and its own seen set (``seen``, under `search`), so
+    neither branch waits for the other. Every step can be given a batch twice: the seen set answers a repeated batch as
+    before, the hot store upserts, and the index replaces the batch's segment.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        now = as_of or spark.sql("SELECT CAST(current_timestamp() AS STRING) AS t").first()["t"]
+        accepted, _ = split_valid(validate_entries(batch, F.lit(str(now)).cast("timestamp")))
+        entries = to_entries(accepted, tenant, mode, F.lit(str(ingested_at or now)).cast("timestamp"))
+        taken = accept_new(entries, seen, "search", batch_id, now, ttl, ["timestamp_unix_ms", "message"]).checkpoint()
+        upsert_hot(taken, hot)
+        if index is not None:
+            index_batch(taken, index, batch_id, KEY, log_fields(taken))
+
+    return for_each_batch(dtos, handle, checkpoint, trigger)
+
+
 def flush_stream(dtos: DataFrame, tenant: Column | str, root: str, checkpoint: str, **options) -> StreamingQuery:
     """Ingest as a worker does: every five seconds, files of a thousand rows at most."""
     return ingest_stream(
