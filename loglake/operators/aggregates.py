@@ -6,12 +6,13 @@ service or tenant reaches the shuffle as one row per map task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglake.functions.columns import ts_lit, trunc_time, window_start
 from loglake.operators.filters import errors_only, last, time_range
 from loglake.operators.search import search_predicate
+from loglake.session import ensure_checkpoint_dir
 
 # Relative rank error of the approximate percentiles is 1 / ACCURACY.
 ACCURACY = 10_000
@@ -183,85 +184,74 @@ def weekly_percentile(
     return rows.agg(F.percentile_approx("duration_ms", q, accuracy).alias("p_ms"), _count("entries"))
 
 
-def exact_percentile(
-    df: DataFrame, by: list[str], value: str, q: float, accuracy: int = ACCURACY, grid: int = 1000
-) -> DataFrame:
-    """Interpolated percentile without holding a group's values in one place.
+def ordered_bits(value: Column) -> Column:
+    """A double as a whole number of the same order: its exponent and mantissa, as the number's bits hold them.
 
-    Two approximate passes narrow each group to the values around the wanted rank (about one in a million
-    of a large group); the last pass counts what lies below and looks the rank up among those values.
+    NaN comes last, as Spark sorts it; both zeros are 0.
     """
-    keys = by or ["__all"]
-    rows = df.filter(F.col(value).isNotNull())
-    rows = (rows if by else rows.withColumn("__all", F.lit(1))).select(*keys, F.col(value).alias("__v"))
-    rank = (F.col("__n") - 1) * F.lit(q)
-
-    # The bracket must hold the two ranks around the wanted one whatever the sketch's error, so its
-    # width depends on the size of the group; small groups keep their whole range.
-    fine, coarse = 4.0 / accuracy, 0.01
-    cuts = [max(0.0, q - coarse), max(0.0, q - fine), min(1.0, q + fine), min(1.0, q + coarse)]
-    wide = rows.groupBy(*keys).agg(
-        F.percentile_approx("__v", cuts, accuracy).alias("__b"),
-        F.min("__v").alias("__least"),
-        F.max("__v").alias("__most"),
-        _count("__n"),
+    size = F.abs(value)
+    rough = F.floor(F.log2(size))
+    exponent = rough - (F.pow(F.lit(2.0), rough) > size).cast("int") + (F.pow(F.lit(2.0), rough + 1) <= size).cast("int")
+    mantissa = (size / F.pow(F.lit(2.0), exponent) - 1) * float(1 << 52)
+    bits = (
+        F.when(size < 2.0**-1022, (size * 2.0**537 * 2.0**537).cast("long"))
+        .when(size == float("inf"), F.lit(2047 << 52))
+        .otherwise((exponent + 1023) * (1 << 52) + mantissa.cast("long"))
     )
+    return F.when(F.isnan(value), F.lit((1 << 63) - 1)).when(value < 0, -bits).otherwise(bits)
 
-    def cut(at_fine: int, at_coarse: int, end: str) -> Column:
-        picked = F.when(F.col("__n") >= accuracy, _inner(at_fine, end))
-        return picked.when(F.col("__n") >= 1000, _inner(at_coarse, end)).otherwise(F.col(end))
 
-    def _inner(i: int, end: str) -> Column:
-        return F.col(end) if cuts[i] in (0.0, 1.0) else F.col("__b")[i]
+DIGIT = 4096
 
-    wide = wide.select(*keys, "__n", cut(1, 0, "__least").alias("__lo"), cut(2, 3, "__most").alias("__hi"))
 
-    inside = F.col("__v").between(F.col("__lo"), F.col("__hi"))
-    narrow = (
-        rows.join(wide, keys)
-        .groupBy(*keys, "__lo", "__hi", "__n")
-        .agg(
-            F.count_if(F.col("__v") < F.col("__lo")).alias("__below"),
-            F.count_if(inside).alias("__m"),
-            F.percentile_approx(F.when(inside, F.col("__v")), [i / grid for i in range(grid + 1)], accuracy).alias("__g"),
-        )
-    )
-    position = (rank - F.col("__below")) / F.col("__m") * grid
-
-    def slot(col: Column) -> Column:
-        return F.least(F.greatest(col, F.lit(0)), F.lit(grid)).cast("int")
-
-    first, final = slot(F.floor(position) - 3), slot(F.ceil(position) + 3)
-    many = F.col("__m") >= 5 * grid
-    narrow = narrow.select(
-        *keys,
-        "__n",
-        F.when(many & (first > 0), F.col("__g")[first]).otherwise(F.col("__lo")).alias("__lo"),
-        F.when(many & (final < grid), F.col("__g")[final]).otherwise(F.col("__hi")).alias("__hi"),
-    )
+def exact_percentile(df: DataFrame, by: list[str], value: str, q: float) -> DataFrame:
+    """Interpolated percentile without holding a group's values in one place: selection by digits.
 
-    counted = (
-        rows.join(narrow, keys)
-        .filter(F.col("__v") <= F.col("__hi"))
-        .groupBy(*keys, "__n", F.when(F.col("__v") >= F.col("__lo"), F.col("__v")).alias("__v"))
-        .agg(_count("__c"))
+    Values become whole numbers of the same order (`ordered_bits`). Every round divides the range that holds a wanted
+    rank in 4096 parts, counts the rows of each part, and goes on with the part of the rank, cut to its own smallest
+    and largest value, until these are equal. A round leaves one in 4096 of the range, so six rounds do for any
+    doubles; it is one aggregation combined before the shuffle, whatever a group's size.
+    """
+    group = F.struct(*by) if by else F.struct(F.lit(1).alias("all"))
+    kind = df.schema[value].dataType.typeName()
+    number = F.col(value).cast("long") if kind in ("byte", "short", "integer", "long") else ordered_bits(F.col(value).cast("double"))
+    rows = df.filter(F.col(value).isNotNull()).select(group.alias("g"), number.alias("k"), F.col(value).cast("double").alias("v"))
+    ensure_checkpoint_dir(df.sparkSession)
+    position = (F.col("n") - 1) * F.lit(q)
+    state = (
+        rows.groupBy("g")
+        .agg(_count("n"), F.min("k").alias("low"), F.max("k").alias("high"), F.min("v").alias("v"))
+        .withColumn("rank", F.explode(F.array(F.floor(position), F.ceil(position))))
+        .select("g", "n", F.col("rank").alias("wanted"), "rank", "low", "high", "v")
+        .distinct()
+        .checkpoint()
     )
-    # One entry per distinct value left, after one for everything below (NULL sorts first).
-    held = counted.groupBy(*keys, "__n").agg(F.sort_array(F.collect_list(F.struct("__v", "__c"))).alias("__h"))
-
-    def value_at(position: Column) -> Column:
-        def step(acc, x):
-            upto = acc["seen"] + x["__c"]
-            here = (acc["seen"] <= position) & (position < upto)
-            return F.struct(
-                upto.alias("seen"), F.when(here, x["__v"].cast("double")).otherwise(acc["v"]).alias("v")
-            )
-
-        start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("double").alias("v"))
-        return F.aggregate("__h", start, step)["v"]
-
-    low, high = value_at(F.floor(rank)), value_at(F.ceil(rank))
-    return held.select(*by, (low + (high - low) * (rank - F.floor(rank))).alias("percentile"))
+    while not state.where("low < high").isEmpty():
+        ranges = state.where("low < high").select("g", "low", "high").distinct()
+        # Only rows in an open range are looked at again.
+        rows = rows.join(ranges, "g").where(F.col("k").between(F.col("low"), F.col("high"))).checkpoint()
+        # Halves, so that no difference overflows; ranges of a few thousand numbers are divided into single ones.
+        width = F.shiftright("high", 1) - F.shiftright("low", 1)
+        part = F.when(width < DIGIT // 2, F.col("k") - F.col("low")).otherwise(
+            F.floor((F.shiftright("k", 1) - F.shiftright("low", 1)) / (F.floor(width / DIGIT) + 1))
+        )
+        counted = rows.groupBy("g", "low", "high", part.alias("part")).agg(
+            _count("c"), F.min("k").alias("first"), F.max("k").alias("last"), F.min("v").alias("least")
+        )
+        before = Window.partitionBy("g", "low", "high").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = counted.withColumn("below", F.coalesce(F.sum("c").over(before), F.lit(0)))
+        chosen = (
+            state.where("low < high")
+            .join(parts, ["g", "low", "high"])
+            .where("rank >= below AND rank < below + c")
+            .select("g", "n", "wanted", (F.col("rank") - F.col("below")).alias("rank"), F.col("first").alias("low"), F.col("last").alias("high"), F.col("least").alias("v"))
+        )
+        state = state.where("low = high").unionByName(chosen).checkpoint()
+        rows = rows.select("g", "k", "v")
+    pair = state.groupBy("g", "n").agg(F.min_by("v", "wanted").alias("a"), F.max_by("v", "wanted").alias("b"))
+    share = position - F.floor(position)
+    mixed = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * share)
+    return pair.select(*(F.col("g")[c].alias(c) for c in by), mixed.alias("percentile"))
 
 
 # -- operational metrics -------------------------------------------------------
