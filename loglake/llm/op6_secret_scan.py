@@ -15,6 +15,7 @@ from loglake.llm.common import stored
 
 SCOPE = 200
 BUCKET = 256
+CHUNK = 256
 
 # The strong patterns, in the order in which kinds are listed.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -35,21 +36,37 @@ SPAN = "array<struct<start: int, n: int, stop: int>>"
 
 
 def spans(text: Column, pattern: str, accept) -> Column:
-    """(start, kind number, stop) of the matches that ``accept`` takes, by position in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    n = KINDS.index(next(k for k, p in (STRONG | WEAK).items() if p == pattern))
-
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(gaps, i))
-        stop = start + F.length(F.get(found, i))
-        span = F.struct(start.alias("start"), F.lit(n).alias("n"), stop.alias("stop"))
-        taken = F.when(accept(F.get(found, i)), F.array(span)).otherwise(F.array().cast(SPAN))
-        return F.struct(stop.alias("at"), F.concat(acc["out"], taken).alias("out"))
+    """(start, kind number, stop) of the matches that ``accept`` takes, by position in code points.
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    places = F.sequence(F.lit(0), F.size(found) - 1)
-    return F.when(F.size(found) > 0, F.aggregate(places, start, step)["out"]).otherwise(F.array().cast(SPAN))
+    Matches and the text between them are bound to a variable, so that the pattern runs twice a text and not once a match,
+    and spans are gathered ``CHUNK`` at a time, so that a text with very many of them is not copied over and over.
+    """
+    n = KINDS.index(next(k for k, p in (STRONG | WEAK).items() if p == pattern))
+    none = F.array().cast(SPAN)
+
+    def every(both: Column) -> Column:
+        found, gaps = both["found"], both["gaps"]
+
+        def step(acc: Column, i: Column) -> Column:
+            start = acc["at"] + F.length(F.get(gaps, i))
+            stop = start + F.length(F.get(found, i))
+            span = F.struct(start.alias("start"), F.lit(n).alias("n"), stop.alias("stop"))
+            taken = F.when(accept(F.get(found, i)), F.array(span)).otherwise(none)
+            return F.struct(stop.alias("at"), F.concat(acc["out"], taken).alias("out"))
+
+        def chunk(acc: Column, c: Column) -> Column:
+            places = F.sequence(c * CHUNK, F.least(c * CHUNK + CHUNK, F.size(found)) - 1)
+            start = F.struct(acc["at"].alias("at"), none.alias("out"))
+            return F.aggregate(
+                places, start, step, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out"))
+            )
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+        chunks = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int"))
+        return F.when(F.size(found) > 0, F.flatten(F.aggregate(chunks, start, chunk)["out"])).otherwise(none)
+
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    return F.get(F.transform(F.array(both), every), F.lit(0))
 
 
 def _accept(kind: str):

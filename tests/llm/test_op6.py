@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 from loglake.llm.op6_secret_scan import KINDS, NEEDS, ROLES, SCOPE, STRONG, WEAK, scan_secrets
@@ -73,3 +74,17 @@ def test_documents(some_docs):
 def test_no_python(some_docs):
     plan = scan_secrets(some_docs)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "InArrow", "Cartesian", "NestedLoop"))
+
+
+def test_very_many_matches_in_one_text(spark):
+    """A megabyte of short matches takes seconds, and every place is right."""
+    run = "0123456789abcdef"
+    text = " ".join([run] * 62_000) + " ÿ token=" + "a" * 12 + " " + run
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.monotonic()
+    row = scan_secrets(docs).first()
+    assert time.monotonic() - start < 60
+    at = len(text) - 16
+    want = [f"hex:{i * 17}:{i * 17 + 16}" for i in range(62_000)] + [f"assign:{text.index('token')}:{at - 1}", f"hex:{at}:{at + 16}"]
+    assert (row.n_hex, row.n_assign) == (62_001, 1)
+    assert [s for s in row.spans.split(",") if s[:3] != "key"] == want
