@@ -28,27 +28,30 @@ BLOCK_ROWS = 8192
 QUERY_ROWS = 128
 
 BLOCK_SCHEMA = "block long, dim int, ids binary, ints binary, base binary, dropped binary, slices binary"
-QUERY_SCHEMA = "q_dim int, q_ids binary, q_ints binary"
-SCORE_SCHEMA = "query_id long, vec_id long, score long"
+QUERY_SCHEMA = "q_dim int, q_keys binary, q_ids binary, q_ints binary"
+SCORE_SCHEMA = "query long, query_id long, vec_id long, score long, own boolean"
+# Vectors with a larger sum of squared integers take no part: no score of the others leaves 64 bits.
+MAX_SQUARE = float(1 << 62)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(dimension, ids, integers) of up to ``limit`` rows of one dimension."""
-    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+def _gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(dimension, keys, ids, integers) of up to ``limit`` rows of one dimension."""
+    held: dict[int, list[tuple[np.ndarray, ...]]] = {}
 
-    def take(dim: int) -> tuple[int, np.ndarray, np.ndarray]:
-        ids, ints = zip(*held.pop(dim))
-        return dim, np.concatenate(ids), np.concatenate(ints)
+    def take(dim: int) -> tuple:
+        return dim, *(np.concatenate(part) for part in zip(*held.pop(dim)))
 
     for batch in batches:
         sizes = pc.list_value_length(batch["embedding"]).to_numpy()
         for dim in np.unique(sizes).tolist():
             rows = batch.filter(pa.array(sizes == dim))
             values = rows["embedding"].flatten().to_numpy().astype(np.float64).reshape(-1, dim)
-            ints, ids = np.floor(SCALE * values).astype(np.int64), rows["vec_id"].to_numpy()
+            ints = np.floor(SCALE * values).astype(np.int64)
+            keys, ids = rows["query"].to_numpy(), rows["vec_id"].to_numpy()
             for at in range(0, len(ids), limit):
-                held.setdefault(dim, []).append((ids[at : at + limit], ints[at : at + limit]))
-                if sum(len(i) for i, _ in held[dim]) >= limit:
+                part = slice(at, at + limit)
+                held.setdefault(dim, []).append((keys[part], ids[part], ints[part]))
+                if sum(len(i) for i, *_ in held[dim]) >= limit:
                     yield take(dim)
     for dim in list(held):
         yield take(dim)
@@ -63,7 +66,7 @@ def _bitmaps(rows: np.ndarray) -> np.ndarray:
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block = TaskContext.get().partitionId() << 32
-    for dim, ids, ints in _gathered(batches, BLOCK_ROWS):
+    for dim, _, ids, ints in _gathered(batches, BLOCK_ROWS):
         base = ints.min(axis=0)
         dropped = np.array([max(0, int(x).bit_length() - SLICES) for x in ints.max(axis=0) - base])
         leading = ((ints - base) >> dropped).T
@@ -79,10 +82,9 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _query_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for dim, ids, ints in _gathered(batches, QUERY_ROWS):
-        yield pa.RecordBatch.from_pydict(
-            {"q_dim": pa.array([dim], pa.int32()), "q_ids": [ids.astype("<i8").tobytes()], "q_ints": [ints.astype("<i8").tobytes()]}
-        )
+    for dim, *parts in _gathered(batches, QUERY_ROWS):
+        columns = {n: [p.astype("<i8").tobytes()] for n, p in zip(("q_keys", "q_ids", "q_ints"), parts)}
+        yield pa.RecordBatch.from_pydict({"q_dim": pa.array([dim], pa.int32())} | columns)
 
 
 def add_slices(planes: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
@@ -152,28 +154,23 @@ def _search(k: int):
                 flipped = ~plain
                 slack = (1 << dropped) - 1
                 every = _bitmaps(np.ones(len(ids), bool))
-                q_ids = np.frombuffer(row["q_ids"], "<i8")
-                for query_id, q in zip(q_ids.tolist(), np.frombuffer(row["q_ints"], "<i8").reshape(-1, dim)):
-                    own = np.flatnonzero(ids == query_id)
-                    rows = every.copy()
-                    for i in own.tolist():
-                        rows[i >> 6] &= ~(np.uint64(1) << np.uint64(i & 63))
-                    left = len(ids) - len(own)
-                    if not left:
-                        continue
-                    if left > k:
+                q_keys, q_ids = np.frombuffer(row["q_keys"], "<i8").tolist(), np.frombuffer(row["q_ids"], "<i8").tolist()
+                for key, query_id, q in zip(q_keys, q_ids, np.frombuffer(row["q_ints"], "<i8").reshape(-1, dim)):
+                    rows = every
+                    if len(ids) > k:
                         planes = np.where((q < 0)[:, None, None], flipped, plain)
                         sums = add_slices(planes, np.abs(q) << dropped)
                         # A row's score is its sum plus a constant plus what the dropped bits add: low to high.
-                        width = int((np.abs(q) * slack).sum())
+                        width = sum(map(int.__mul__, np.abs(q).tolist(), slack.tolist()))
                         rows = at_least(sums, rows, kth_largest(sums, rows, k) - width)
                     chosen = np.flatnonzero(np.unpackbits(rows.view(np.uint8), bitorder="little", count=len(ids)))
                     scores = ints[chosen] @ q
                     best = np.lexsort((ids[chosen], -scores))[:k]
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "query_id": np.full(len(best), query_id), "vec_id": ids[chosen[best]],
-                            "score": scores[best],
+                            "query": np.full(len(best), key), "query_id": np.full(len(best), query_id),
+                            "vec_id": ids[chosen[best]], "score": scores[best],
+                            "own": (ids[chosen[best]] == query_id) & (scores[best] == q @ q),
                         }
                     )
 
@@ -181,37 +178,51 @@ def _search(k: int):
 
 
 def top_k(vectors: DataFrame, is_query: str, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` largest inner products of each query with all other rows.
+    """query_id, rank, vec_id, score: the ``k`` largest inner products of each query row with all other rows.
 
     ``vectors`` has vec_id and embedding (other columns are ignored); ``is_query`` is a condition on vec_id. Ties go
-    to the smaller vec_id. Null vec_ids and vectors that are null, empty or hold null or non-finite components take no
-    part; vectors meet those of their own length only. Of query rows with equal vec_id the smallest vector counts;
-    a query's candidates are all rows with another vec_id, repeated rows included. Scores are 64-bit.
+    to the smaller vec_id. Null vec_ids and vectors that are null, empty, hold null or non-finite components, or whose
+    integers' squares add up to ``MAX_SQUARE`` or more, take no part; vectors meet those of their own length only. A row is
+    a row: of repeated rows and of rows with equal vec_id each is a query of its own and a candidate of the others. Equal
+    query rows are searched once and written as often as they occur.
     """
+    squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.pow(F.floor(SCALE * x.cast("double")).cast("double"), 2))
     usable = vectors.select("vec_id", "embedding").where(
         "vec_id IS NOT NULL AND size(embedding) > 0 "
         "AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))"
-    )
+    ).where(squares < MAX_SQUARE).withColumn("query", F.xxhash64("vec_id", "embedding"))
     blocks = stored(usable.mapInArrow(_index, BLOCK_SCHEMA), "slices")
-    queries = usable.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    groups = stored(queries.mapInArrow(_query_groups, QUERY_SCHEMA), "queries")
+    queries = usable.where(is_query).groupBy("query").agg(
+        F.first("vec_id").alias("vec_id"), F.first("embedding").alias("embedding"), F.count("*").alias("copies")
+    )
+    queries = stored(queries, "queries")
+    groups = stored(queries.mapInArrow(_query_groups, QUERY_SCHEMA), "query_groups")
     # The one place where all meets all: groups of queries and blocks of rows, partition by partition. Lengths are
     # compared afterwards, as a join on them would bring everything to one task.
-    scores = blocks.crossJoin(groups).mapInArrow(_search(k), SCORE_SCHEMA)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scores.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
-
-
-OP9_SQL = """
+    scores = blocks.crossJoin(groups).mapInArrow(_search(k + 1), SCORE_SCHEMA)
+    # Of the k + 1 best rows the query's own, or a copy that looks the same, goes; if it is not there, the last one.
+    best = scores.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")))
+    best = best.where(f"place <= {k + 1}")
+    itself = F.min(F.when(F.col("own"), F.col("place"))).over(Window.partitionBy("query"))
+    ranked = best.withColumn("itself", itself).where("itself IS NULL OR place <> itself")
+    rank = F.col("place") - F.coalesce((F.col("place") > F.col("itself")).cast("int"), F.lit(0))
+    found = ranked.withColumn("rank", rank).where(f"rank <= {k}").join(queries.select("query", "copies"), "query")
+    every = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return every.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+OP9_SQL = f"""
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), u AS (
+  SELECT * FROM v WHERE len(e) > 0 AND list_sum(list_transform(e, lambda x: x * x)) < {MAX_SQUARE:.0f}
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM u q JOIN u c ON q.row <> c.row WHERE q.vec_id % 50 = 0
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+  SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -14,10 +14,12 @@ def brute(rows, k=5, every=50):
         (i, [math.floor(256 * x) for x in e]) for i, e, _ in rows
         if i is not None and e and all(x is not None and math.isfinite(x) for x in e)
     ]
+    good = [(i, e) for i, e in good if sum(x * x for x in e) < 1 << 62]
     out = []
-    for q, v in sorted({i: min(e for j, e in good if j == i) for i, _ in good if i % every == 0}.items()):
-        found = sorted((-sum(a * b for a, b in zip(v, e)), i) for i, e in good if i != q and len(e) == len(v))
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found[:k])]
+    for at, (q, v) in enumerate(good):
+        if q % every == 0:
+            found = sorted((-sum(a * b for a, b in zip(v, e)), i) for j, (i, e) in enumerate(good) if j != at and len(e) == len(v))
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found[:k])]
     return sorted(out)
 
 
@@ -43,6 +45,22 @@ def test_odd_rows(spark):
     check(spark, rows, k=1)
 
 
+def test_repeated_rows_are_rows(spark):
+    """Equal rows, equal ids with other vectors, and a query whose own row is not among the best."""
+    same = (50, [1.0, 0.5], 0)
+    check(spark, [same, same, (1, [0.1, 0.1], 0)])
+    rows = [same] * 9 + [(50, [-1.0, 2.0], 0)] * 2 + [(0, [0.01, 0.0], 0), (100, [0.0, 0.0], 0)] + [(i, [float(i), 1.0], 0) for i in range(1, 9)]
+    check(spark, rows)
+    check(spark, rows, k=1)
+
+
+def test_large_components(spark):
+    """Scores are exact up to the bound; vectors beyond it take no part."""
+    rows = [(i, [(-1.0) ** i * 2.0**20 * i, 3.0, float(i)], 0) for i in range(30)]
+    rows += [(50, [2.0**21, -(2.0**20), 1.5], 0), (100, [1e8, 1.0, 1.0], 0), (150, [1e30, 0.0, 0.0], 0), (31, [-1e300, 0.0, 0.0], 0)]
+    check(spark, [(i, [float(np.float32(x)) for x in e if abs(x) < 1e38] or None, d) for i, e, d in rows])
+
+
 def test_empty_table(spark):
     check(spark, [])
 
