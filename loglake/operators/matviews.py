@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglake.functions.columns import interval, ts_lit
@@ -204,3 +204,58 @@ def refresh_touched(stored: DataFrame, logs: DataFrame, fresh_logs: DataFrame, v
     recomputed = refresh_view(affected, view, as_of, "1000 YEARS")
     kept = stored.join(touched.withColumnRenamed("__b", view.bucket), ["tenant_id", view.bucket], "left_anti")
     return kept.unionByName(recomputed)
+
+
+# Items a quantile sketch keeps on its lowest level; exact up to there.
+SKETCH_K = 800
+
+
+def sketch_rank_error(k: int = SKETCH_K) -> float:
+    """The rank error of a KLL sketch with ``k`` items, for one quantile and 99 % of sketches: 2.446 / k^0.943."""
+    return 2.446 / k**0.9433
+
+
+def latency_sketches(logs: DataFrame, width: str = "5 minutes", k: int = SKETCH_K) -> DataFrame:
+    """One quantile sketch per tenant, bucket and service of the latency rows, and how many went in.
+
+    Sketches add up: those of old and new rows of a bucket are merged without reading either again, and buckets may
+    be rolled up to longer ones.
+    """
+    rows = logs.filter((F.col("log_type") == "Metric") & (F.col("category") == "http-latency") & F.col("metric_value").isNotNull())
+    start = F.window("timestamp", width)["start"]
+    return rows.groupBy("tenant_id", start.alias("bucket"), F.col("source_id").alias("service")).agg(
+        F.kll_sketch_agg_double("metric_value", F.lit(k)).alias("sketch"), F.count(F.lit(1)).alias("entries")
+    )
+
+
+def merge_sketches(stored: DataFrame, fresh: DataFrame | None = None, bucket: Column | None = None, k: int = SKETCH_K) -> DataFrame:
+    """Sketches of the same bucket as one; with ``bucket``, an expression over `bucket`, of the longer buckets it names."""
+    both = stored if fresh is None else stored.unionByName(fresh)
+    target = (F.col("bucket") if bucket is None else bucket).alias("bucket")
+    return both.groupBy("tenant_id", target, "service").agg(
+        F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"), F.sum("entries").alias("entries")
+    )
+
+
+def sketch_percentiles(sketches: DataFrame, quantiles: tuple[float, ...] = A.QUANTILES) -> DataFrame:
+    """p50_ms, p95_ms, … of sketches: values whose rank is right up to `sketch_rank_error`."""
+    names = [f"p{q * 100:g}_ms" for q in quantiles]
+    values = [F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias(n) for q, n in zip(quantiles, names)]
+    return sketches.select("tenant_id", "bucket", "service", *values, "entries")
+
+
+def write_sketches(sketches: DataFrame, root: str, batch_id: int) -> None:
+    """Keep a batch's sketches, by day of the bucket; a repeated batch takes the place of its first try. Nothing stored is
+    read: untouched buckets cost nothing."""
+    rows = sketches.withColumns({"day": F.to_date("bucket"), "batch_id": F.lit(batch_id)})
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch_id").parquet(root)
+
+
+def read_percentiles(spark: SparkSession, root: str, t_from=None, t_to=None, bucket: Column | None = None) -> DataFrame:
+    """The latency view from stored sketches; only the days of the range are opened."""
+    rows = time_range(spark.read.parquet(root), t_from, t_to, col="bucket")
+    if t_from is not None:
+        rows = rows.filter(F.col("day") >= F.to_date(F.lit(str(t_from))))
+    if t_to is not None:
+        rows = rows.filter(F.col("day") <= F.to_date(F.lit(str(t_to))))
+    return sketch_percentiles(merge_sketches(rows, bucket=bucket))

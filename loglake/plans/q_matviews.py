@@ -175,3 +175,41 @@ def _(spark, sf):
     view = M.STANDARD_VIEWS["latency_p99_per_service"]
     stored = M.refresh_view(old, view, _CUT, _ALL)
     return M.refresh_touched(stored, rows, new, view, AS_OF, "5 minutes").drop("refreshed_at")
+
+
+_SKETCHED = """SELECT tenant_id, time_bucket(INTERVAL {width}, timestamp) AS bucket, source_id AS service, quantile_disc(metric_value, 0.5) AS p50_ms,
+  quantile_disc(metric_value, 0.95) AS p95_ms, quantile_disc(metric_value, 0.99) AS p99_ms, count(*) AS entries FROM logs
+  WHERE log_type = 'Metric' AND category = 'http-latency' GROUP BY 1, 2, 3"""
+
+
+def _sketches(spark, sf):
+    """Two batches, the second of which comes twice."""
+    root = new_path(spark, "sketches")
+    _, old, new = _before_after(spark, sf)
+    for batch_id, rows in ((1, old), (2, new), (2, new)):
+        M.write_sketches(M.latency_sketches(rows), root, batch_id)
+    return root
+
+
+@query("m7_merge_sketches", LOGS + _SKETCHED.format(width="5 MINUTE"))
+def _(spark, sf):
+    """Buckets are smaller than a sketch, so their percentiles are exact."""
+    return M.read_percentiles(spark, _sketches(spark, sf))
+
+
+@query(
+    "a2_percentiles_from_sketches",
+    LOGS + ", s AS (" + _SKETCHED.format(width="1 DAY") + ") SELECT tenant_id, bucket, service, entries, true AS within_error FROM s WHERE bucket >= TIMESTAMP '2024-01-08' AND bucket < TIMESTAMP '2024-01-22'",
+)
+def _(spark, sf):
+    """Five-minute sketches rolled up to days; the ranks of the values they give are within the stated error."""
+    day = F.date_trunc("day", "bucket")
+    rolled = M.read_percentiles(spark, _sketches(spark, sf), "2024-01-08 00:00:00", "2024-01-22 00:00:00", day)
+    rows = logs(spark, sf).filter("log_type = 'Metric' AND category = 'http-latency'")
+    own = rows.select("tenant_id", F.date_trunc("day", "timestamp").cast("timestamp_ntz").alias("bucket"), F.col("source_id").alias("service"), "metric_value")
+    both = own.join(rolled.withColumn("bucket", F.col("bucket").cast("timestamp_ntz")), ["tenant_id", "bucket", "service"])
+    below = [F.avg((F.col("metric_value") < F.col(f"p{q}_ms")).cast("int")) for q in (50, 95, 99)]
+    upto = [F.avg((F.col("metric_value") <= F.col(f"p{q}_ms")).cast("int")) for q in (50, 95, 99)]
+    e = M.sketch_rank_error()
+    fits = [(lo <= q / 100 + e) & (hi >= q / 100 - e) for lo, hi, q in zip(below, upto, (50, 95, 99))]
+    return both.groupBy("tenant_id", "bucket", "service").agg(F.count(F.lit(1)).alias("entries"), (fits[0] & fits[1] & fits[2]).alias("within_error"))

@@ -16,12 +16,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from loglake import schema
 from loglake.functions.columns import partition_parts, ts_lit
-from loglake.operators.alerts import due_rules, evaluate_rules, evaluate_sql_rules, fired_events
+from loglake.operators.alerts import due_rules, evaluate_cells, evaluate_rules, evaluate_sql_rules, fired_events, rule_cells
 from loglake.operators.dedup import KEY
 from loglake.operators.ingest import split_valid, to_entries, validate_entries
 from loglake.operators.search_index import index_batch, log_fields
 from loglake.sinks.seen import accept_new
-from loglake.sinks.tables import quarantine, upsert_hot
+from loglake.sinks.tables import delete_path, quarantine, upsert_hot
 from loglake.sources.files import STREAMED, path_exists
 
 AVAILABLE_NOW = {"availableNow": True}
@@ -174,39 +174,93 @@ def write_batch(batch: DataFrame, root: str, batch_id: int, *partitions: str, ma
     )
 
 
+CELLS = (
+    "tenant_id string, log_type string, level string, minute timestamp, on_minute boolean, n long, s double, c long, mx double, "
+    "day date, batch_id long"
+)
+
+
+def write_cells(batch: DataFrame, root: str, batch_id: int) -> None:
+    """Keep a batch's per-minute cells, by day; a repeated batch takes the place of its first try."""
+    rows = rule_cells(batch).withColumn("day", F.to_date("minute")).withColumn("batch_id", F.lit(batch_id))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch_id").parquet(root)
+
+
+def read_cells(spark: SparkSession, root: str, as_of, minutes: int, upto: int | None = None) -> DataFrame:
+    """Cells of the last `minutes` before `as_of`, of batches up to `upto`; other days are not opened."""
+    rows = spark.read.schema(CELLS).parquet(root) if path_exists(spark, root) else spark.createDataFrame([], CELLS)
+    now = F.lit(str(as_of)).cast("timestamp")
+    rows = rows.filter(F.col("day").between(F.to_date(now - F.expr(f"INTERVAL {minutes + 1} MINUTES")), F.to_date(now)))
+    return rows if upto is None else rows.filter(F.col("batch_id") <= upto)
+
+
+def expire_cells(spark: SparkSession, root: str, as_of, minutes: int) -> int:
+    """Delete the days that no rule's window of up to `minutes` reaches any more; returns their number."""
+    limit = F.to_date(F.lit(str(as_of)).cast("timestamp") - F.expr(f"INTERVAL {minutes + 1} MINUTES"))
+    old = spark.read.schema(CELLS).parquet(root).select("day").distinct().filter(F.col("day") < limit).collect()
+    for row in old:
+        delete_path(spark, f"{root}/day={row.day}")
+    return len(old)
+
+
 def alert_stream(
     logs: DataFrame, rules: DataFrame, as_of, root: str, checkpoint: str,
     store: Callable[[], DataFrame] | None = None, trigger: dict = AVAILABLE_NOW,
-    evaluations: str | None = None, sql_rules: list[Row] | None = None,
+    evaluations: str | None = None, sql_rules: list[Row] | None = None, cells: str | None = None,
 ) -> StreamingQuery:
     """When a batch arrives, evaluate the enabled rules of its tenants and keep the fired events.
 
-    `as_of` is the time of the batch unless given. Rules look at `store` (the archive, which `evaluate_rules` cuts
-    to the longest window), or at the batch alone when there is none. With `evaluations`, a folder that keeps when
-    each rule ran, only rules that are due are evaluated. `sql_rules` are evaluated as well; their tenants' rows
-    must be in `store` or the batch.
+    `as_of` is the time of the batch unless given. With `cells`, a folder, the stream keeps per-minute cells of what it has
+    seen, rules are evaluated from them at whole minutes, and days that no window reaches are dropped: a batch reads
+    cells, never logs. Otherwise rules look at `store` (the archive, which `evaluate_rules` cuts to the longest window),
+    or at the batch alone when there is none. With `evaluations`, a folder that keeps when each rule ran, only rules that are
+    due are evaluated, `sql_rules` (which need `rule_id` and, for that, `evaluation_interval_seconds`) included; these
+    look at `store` or the batch.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         now = as_of or spark.sql("SELECT CAST(current_timestamp() AS STRING) AS t").first()["t"]
         tenants = batch.select("tenant_id").distinct()
-        mine = rules.join(tenants, "tenant_id", "left_semi")
+        mine, asked = rules.join(tenants, "tenant_id", "left_semi"), sql_rules or []
         if evaluations is not None:
-            mine = due_rules(mine, _last_runs(spark, evaluations, batch_id), now)
+            last = _last_runs(spark, evaluations, batch_id)
+            mine = due_rules(mine, last, now)
+            asked = _due_sql(spark, asked, last, now)
         seen = batch if store is None else store().join(tenants, "tenant_id", "left_semi")
-        events = fired_events(evaluate_rules(seen, mine, now), now)
-        if sql_rules:
-            more = fired_events(evaluate_sql_rules(spark, seen, sql_rules), now)
+        if cells is None:
+            evaluated = evaluate_rules(seen, mine, now)
+        else:
+            write_cells(batch, cells, batch_id)
+            longest = rules.filter("is_enabled").agg(F.coalesce(F.max("window_minutes"), F.lit(0)).alias("m")).first()["m"]
+            evaluated = evaluate_cells(read_cells(spark, cells, now, longest, batch_id), mine, now)
+            expire_cells(spark, cells, now, longest)
+        events = fired_events(evaluated, now)
+        if asked:
+            more = fired_events(evaluate_sql_rules(spark, seen, asked), now)
             events = events.unionByName(more, allowMissingColumns=True)
         write_batch(events, root, batch_id)
         if evaluations is not None:
-            ran = mine.select("tenant_id", "rule_id", F.lit(str(now)).cast("timestamp").alias("evaluated_at"))
+            at = F.lit(str(now)).cast("timestamp").alias("evaluated_at")
+            ran = mine.select("tenant_id", "rule_id", at)
+            if asked:
+                names = [(r["tenant_id"], r["rule_id"]) for r in asked]
+                ran = ran.unionByName(spark.createDataFrame(names, "tenant_id string, rule_id string").select("*", at))
             write_batch(ran, evaluations, batch_id)
 
     return for_each_batch(logs, handle, checkpoint, trigger)
 
 
+def _due_sql(spark: SparkSession, asked: list[Row], last: DataFrame, now) -> list[Row]:
+    """Those of a short list of SQL rules whose interval has passed; a rule without one is always due."""
+    if not asked:
+        return []
+    every = [(i, r["tenant_id"], r["rule_id"], (r.asDict().get("evaluation_interval_seconds") or 0), True) for i, r in enumerate(asked)]
+    frame = spark.createDataFrame(every, "place int, tenant_id string, rule_id string, evaluation_interval_seconds int, is_enabled boolean")
+    due = {r.place for r in due_rules(frame, last, now).select("place").collect()}
+    return [r for i, r in enumerate(asked) if i in due]
+
+
 def _last_runs(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
     """Last run of each rule before this batch; a repeated batch does not see its own first try."""
     names = "tenant_id string, rule_id string, evaluated_at timestamp"

@@ -8,10 +8,15 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from loglake.operators import alerts as L
 from loglake.operators import dedup as D
+from loglake.operators import matviews as M
 from loglake.operators.aggregates import exact_percentile, ordered_bits
+from loglake.session import new_path
+from loglake.streaming import jobs as J
 
 T0 = dt.datetime(2024, 1, 1)
 ODD = [0.0, -0.0, 1.0, -1.0, 2.0**-1074, -(2.0**-1074), 2.0**-1022, 1.7976931348623157e308, -1e300, 0.1, 1 / 3, 1024.0, 1023.9999999999999, 3.5e-310]
@@ -72,3 +77,69 @@ def test_one_of_equal_rows_is_new(spark, monkeypatch):
     assert len(got) == len(rows) and sum(r.is_new for r in got) == 3
     plain = sorted(str((r.tenant_id, r.id, r.ingested_at, r.tags)) for r in got)
     assert plain == sorted(str(r) for r in rows)
+
+
+def _rule_logs(spark):
+    """Rows on, just before and just after minutes, by tenant, type and level."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(600):
+        at = T0 + dt.timedelta(minutes=rng.randrange(200), microseconds=rng.choice([0, 0, 1, 30_000_000, 59_999_999]))
+        rows.append((f"t{i % 2}", rng.choice(["Error", "Metric"]), rng.choice(["Error", "Fatal"]), at, rng.choice([None, float(rng.randrange(50))])))
+    return spark.createDataFrame(rows, "tenant_id string, log_type string, level string, timestamp timestamp, duration_ms double")
+
+
+def _some_rules(spark):
+    rows = [
+        (f"r{i}", f"t{i % 3}", f"rule {i}", m, lt, lv, w, ">", 3.0, True, 60)
+        for i, (m, lt, lv, w) in enumerate((m, lt, lv, w) for m in ("count", "sum", "avg", "max") for lt in (None, "Error") for lv in (None, "Fatal") for w in (1, 7, 90))
+    ]
+    return spark.createDataFrame(rows, "rule_id string, tenant_id string, name string, measure string, log_type string, level string, window_minutes int, threshold_operator string, threshold_value double, is_enabled boolean, evaluation_interval_seconds int")
+
+
+def test_rules_from_cells_are_rules_from_logs(spark):
+    logs, rules = _rule_logs(spark), _some_rules(spark)
+    for minute in (0, 50, 120, 300):
+        now = str(T0 + dt.timedelta(minutes=minute))
+        want = sorted((r.rule_id, r.actual_value, r.status) for r in L.evaluate_rules(logs, rules, now).collect())
+        got = sorted((r.rule_id, r.actual_value, r.status) for r in L.evaluate_cells(L.rule_cells(logs), rules, now).collect())
+        assert got == want
+
+
+def test_cells_of_batches_repeats_and_expiry(spark):
+    logs, rules, root = _rule_logs(spark), _some_rules(spark), new_path(spark, "cells")
+    late = logs.withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 3 DAYS"))
+    for batch_id, batch in ((0, logs), (1, late), (1, late)):
+        J.write_cells(batch, root, batch_id)
+    now = str(T0 + dt.timedelta(days=3, minutes=120))
+    want = sorted((r.rule_id, r.actual_value) for r in L.evaluate_rules(logs.unionByName(late), rules, now).collect())
+    got = sorted((r.rule_id, r.actual_value) for r in L.evaluate_cells(J.read_cells(spark, root, now, 90), rules, now).collect())
+    assert got == want
+    assert L.evaluate_cells(J.read_cells(spark, root, now, 90, upto=0), rules, now).filter("actual_value > 0").count() == 0
+    assert J.expire_cells(spark, root, now, 90) == 1
+    assert sorted((r.rule_id, r.actual_value) for r in L.evaluate_cells(J.read_cells(spark, root, now, 90), rules, now).collect()) == want
+
+
+def test_sql_rules_run_when_due(spark):
+    logs, root, runs = _rule_logs(spark), new_path(spark, "fired"), new_path(spark, "runs")
+    landed = new_path(spark, "landed")
+    for _ in range(2):
+        logs.coalesce(1).write.mode("append").parquet(landed)
+    rule = Row(rule_id="s", tenant_id="t0", name="n", sql="SELECT count(*) FROM logs", threshold_operator=">", threshold_value=0.0, evaluation_interval_seconds=3600)
+    stream = J.file_stream(spark, landed, logs.schema, max_files=1)
+    now = str(T0 + dt.timedelta(minutes=200))
+    J.alert_stream(stream, _some_rules(spark), now, root, new_path(spark, "ckpt"), evaluations=runs, sql_rules=[rule], cells=new_path(spark, "cells")).awaitTermination()
+    fired = spark.read.parquet(root).filter("rule_id = 's'").collect()
+    assert [(r.batch_id, r.actual_value) for r in fired] == [(0, float(logs.filter("tenant_id = 't0'").count()))]
+
+
+def test_sketches_add_up_within_their_error(spark):
+    rng = np.random.default_rng(6)
+    values = np.sort(rng.lognormal(3, 1, 30_000))
+    rows = [("t", T0 + dt.timedelta(seconds=int(i)), "s", "Metric", "http-latency", float(v)) for i, v in zip(rng.integers(0, 80_000, 30_000), values)]
+    logs = spark.createDataFrame(rows, "tenant_id string, timestamp timestamp, source_id string, log_type string, category string, metric_value double")
+    day = M.merge_sketches(M.latency_sketches(logs), bucket=F.date_trunc("day", "bucket"))
+    got = M.sketch_percentiles(day, (0.1, 0.5, 0.95, 0.99)).first()
+    for q, v in ((0.1, got.p10_ms), (0.5, got.p50_ms), (0.95, got.p95_ms), (0.99, got.p99_ms)):
+        assert abs(np.searchsorted(values, v) / len(values) - q) < M.sketch_rank_error()
+    assert got.entries == 30_000
