@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglake.functions.columns import parses_bool, parses_double, parses_int64, parses_timestamp, stripped
@@ -140,6 +140,55 @@ def check_evolution(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("te
     )
 
 
+def _renamed(fields: DataFrame, before: DataFrame) -> DataFrame:
+    """tenant_id, version, name, old_name of the fields that carry on one of the version before under a new name.
+
+    A field names its former names in `aliases`. It is a rename if the version before has one of them, this one no
+    longer has it, and the new name is new; of several the smallest counts.
+    """
+    here, key = fields.select("tenant_id", "version", "name"), ["tenant_id", "version", "name"]
+    new = fields.join(before.select(*key), key, "left_anti").select(*key, F.explode("aliases").alias("old_name"))
+    had = before.select("tenant_id", "version", F.col("name").alias("old_name"))
+    gone = had.join(here.withColumnRenamed("name", "old_name"), ["tenant_id", "version", "old_name"], "left_anti")
+    return new.join(gone, ["tenant_id", "version", "old_name"]).groupBy(*key).agg(F.min("old_name").alias("old_name"))
+
+
+def check_versions(fields: DataFrame) -> DataFrame:
+    """Verdict on every field of every version against the version before it, by tenant.
+
+    `fields` has one row per tenant, version and field, as `check_evolution` takes them, with `is_deprecated` and,
+    optionally, `aliases`. A field that goes on under a new name is `renamed`, which is allowed where a change of its type
+    would be. Removing a required field needs two versions that mark it deprecated, under any of its names.
+    """
+    if "aliases" not in fields.columns:
+        fields = fields.withColumn("aliases", F.array().cast("array<string>"))
+    fields = fields.withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
+    order = Window.partitionBy("tenant_id").orderBy("version")
+    follows = fields.select("tenant_id", "version").distinct().withColumn("next", F.lead("version").over(order)).filter("next IS NOT NULL")
+    before = fields.join(follows, ["tenant_id", "version"]).drop("version").withColumnRenamed("next", "version")
+    compared = fields.join(follows.select("tenant_id", F.col("next").alias("version")), ["tenant_id", "version"])
+    renamed = _renamed(compared, before)
+    # How often a field has been marked deprecated so far: in rows of its own name and of the names it had.
+    marks = fields.select("tenant_id", "version", F.explode(F.array_union(F.array("name"), "aliases")).alias("name"), F.col("is_deprecated").cast("int").alias("mark"))
+    marks = marks.groupBy("tenant_id", "version", "name").agg(F.max("mark").alias("mark"))
+    so_far = Window.partitionBy("tenant_id", "name").orderBy("version").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = marks.withColumn("deprecated_versions", F.sum("mark").over(so_far)).drop("mark")
+    old = before.join(
+        counted.join(follows, ["tenant_id", "version"]).drop("version").withColumnRenamed("next", "version"), ["tenant_id", "version", "name"], "left"
+    )
+    new = compared.join(renamed, ["tenant_id", "version", "name"], "left")
+    # Under the old name a renamed field meets its former self.
+    verdicts = check_evolution(
+        old, new.withColumn("name", F.coalesce("old_name", "name")), ("tenant_id", "version")
+    ).withColumnRenamed("name", "__name")
+    names = renamed.withColumnRenamed("old_name", "__name")
+    kept = F.col("change").isin("unchanged", "type_changed", "made_required") & F.col("name").isNotNull()
+    return verdicts.join(names, ["tenant_id", "version", "__name"], "left").select(
+        "tenant_id", "version", F.coalesce("name", "__name").alias("name"), F.when(kept, F.col("__name")).alias("old_name"),
+        "old_type", "new_type", F.when(kept & (F.col("change") != "made_required"), "renamed").otherwise(F.col("change")).alias("change"), "is_allowed",
+    )
+
+
 def _against_previous(fields: DataFrame) -> DataFrame:
     """One row per tenant, version and field name with the field in this version and the one before.
 

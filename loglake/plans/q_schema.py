@@ -129,6 +129,36 @@ def _(spark, sf):
     return R.check_evolution(old, fields.filter("version = 3"))
 
 
+_RENAMED_FIELDS = """SELECT tenant_id, version, CASE WHEN version >= 3 AND name LIKE 'view#_%' ESCAPE '#' THEN concat('seen_', substr(name, 6)) ELSE name END AS name,
+  inferred_type, is_nullable, is_deprecated, CASE WHEN version >= 3 AND name LIKE 'view#_%' ESCAPE '#' THEN {alias} ELSE {none} END AS aliases FROM {fields}"""
+
+
+@query(
+    "c4_check_versions",
+    FIELDS + ", f AS (" + _RENAMED_FIELDS.format(alias="[name]", none="[]", fields="fields") + """),
+    follows AS (SELECT * FROM (SELECT tenant_id, version, lead(version) OVER (PARTITION BY tenant_id ORDER BY version) AS next FROM (SELECT DISTINCT tenant_id, version FROM f)) WHERE next IS NOT NULL),
+    b AS (SELECT f.tenant_id, next AS version, name, inferred_type, is_nullable,
+      (SELECT count(*) FROM f g WHERE g.tenant_id = f.tenant_id AND g.version <= f.version AND g.is_deprecated AND (g.name = f.name OR list_contains(g.aliases, f.name))) AS d
+      FROM f JOIN follows USING (tenant_id, version)),
+    n AS (SELECT f.*, (SELECT min(b.name) FROM b WHERE b.tenant_id = f.tenant_id AND b.version = f.version AND list_contains(f.aliases, b.name)
+        AND NOT EXISTS (SELECT 1 FROM f g WHERE g.tenant_id = f.tenant_id AND g.version = f.version AND g.name = b.name)
+        AND NOT EXISTS (SELECT 1 FROM b c WHERE c.tenant_id = f.tenant_id AND c.version = f.version AND c.name = f.name)) AS old_name
+      FROM f JOIN (SELECT tenant_id, next AS version FROM follows) USING (tenant_id, version)),
+    j AS (SELECT coalesce(n.tenant_id, b.tenant_id) AS tenant_id, coalesce(n.version, b.version) AS version, coalesce(n.name, b.name) AS name, n.old_name,
+      b.inferred_type AS old_type, n.inferred_type AS new_type, b.is_nullable AS bn, n.is_nullable AS nn, d
+      FROM b FULL JOIN n ON b.tenant_id = n.tenant_id AND b.version = n.version AND b.name = coalesce(n.old_name, n.name)),
+    c AS (SELECT *, CASE WHEN old_type IS NULL THEN 'added' WHEN new_type IS NULL THEN 'removed' WHEN old_type <> new_type THEN 'type_changed' WHEN bn AND NOT nn THEN 'made_required' ELSE 'unchanged' END AS plain FROM j)
+    SELECT tenant_id, version, name, old_name, old_type, new_type, CASE WHEN old_name IS NOT NULL AND plain <> 'made_required' THEN 'renamed' ELSE plain END AS change,
+      CASE plain WHEN 'added' THEN nn WHEN 'removed' THEN bn OR coalesce(d, 0) >= 2 WHEN 'type_changed' THEN new_type = 'string' OR (old_type = 'int32' AND new_type = 'int64') OR (old_type = 'float' AND new_type = 'double')
+        WHEN 'made_required' THEN false ELSE true END AS is_allowed FROM c""",
+)
+def _(spark, sf):
+    """All versions of all tenants; from the third on a family of fields has a new name."""
+    none = "CAST(array() AS ARRAY<STRING>)"
+    fields = spark.sql(_RENAMED_FIELDS.format(alias="array(name)", none=none, fields="{fields}"), fields=schema_fields(spark, sf))
+    return R.check_versions(fields)
+
+
 _CHANGES = FIELDS + """, versions AS (SELECT DISTINCT tenant_id, version FROM fields WHERE version > 1),
   p AS (SELECT tenant_id, version + 1 AS version, name, inferred_type, is_deprecated FROM fields),
   j AS (SELECT coalesce(c.tenant_id, p.tenant_id) AS tenant_id, coalesce(c.version, p.version) AS version, coalesce(c.name, p.name) AS name, p.inferred_type AS old_type,

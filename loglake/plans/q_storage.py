@@ -16,6 +16,7 @@ from loglake.plans.fixtures import AS_OF, DELIVERIES, DTOS, LOGS, RULES, deliver
 from loglake.plans.registry import once as _once
 from loglake.plans.registry import query, rounded
 from loglake.session import new_path
+from loglake.sinks import storage_classes as C
 from loglake.sinks import tables as K
 from loglake.sinks.seen import accept_new
 from loglake.sources import files as S
@@ -325,6 +326,45 @@ def _(spark, sf):
     return rows.select("id", "tenant_id", "message", "ingestion_mode", "ingested_at")
 
 
+@query(
+    "r2_replay_files",
+    LOGS + f"SELECT 'Completed' AS status, 0 AS failed_files, count(*) AS entries, count(*) AS indexed FROM logs WHERE tenant_id = 'tenant-1' AND {_IN_RANGE}",
+)
+def _(spark, sf):
+    """The journal of a job that is run twice; the second run finds every file done."""
+    hot, journal = new_path(spark, "hot"), new_path(spark, "journal")
+    for _ in range(2):
+        outcome = R.replay_files(
+            spark, _archive(spark, sf), "tenant-1", _FROM, _TO, _AGAIN, lambda rows: K.upsert_hot(rows, hot), journal, "job"
+        )
+    indexed = spark.read.parquet(hot).agg(F.count(F.lit(1)).alias("n")).scalar()
+    return R.job_status(outcome).select("status", "failed_files", "entries", indexed.alias("indexed"))
+
+
+@query(
+    "k6_storage_moves",
+    LOGS + """, m AS (SELECT tenant_id, id, CASE WHEN d >= 365 THEN 'Deleted' WHEN d >= 90 THEN 'Cold' WHEN d >= 30 THEN 'InfrequentAccess' ELSE 'Standard' END AS storage_class
+      FROM (SELECT *, date_diff('day', timestamp::DATE, DATE '2025-01-15') AS d FROM logs))
+    SELECT storage_class, tenant_id, count(*) AS entries FROM m WHERE storage_class <> 'Deleted' GROUP BY 1, 2
+    UNION ALL SELECT concat('earlier ', CASE WHEN d >= 90 THEN 'Cold' WHEN d >= 30 THEN 'InfrequentAccess' ELSE 'Standard' END), tenant_id, count(*)
+      FROM (SELECT *, date_diff('day', timestamp::DATE, DATE '2024-04-12') AS d FROM logs) GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    """The archive after a move in April, and after one in the next January, when its first days are a year old."""
+    roots = {name: new_path(spark, f"class-{name}") for name in C.CLASS_AFTER}
+    K.write_archive(entries(spark, sf), roots["Standard"])
+    store = C.StorageClasses(spark, roots, new_path(spark, "manifest"))
+
+    def counts(prefix):
+        rows = store.rows().groupBy(F.concat(F.lit(prefix), "storage_class").alias("storage_class"), "tenant_id")
+        return rows.agg(F.count(F.lit(1)).alias("entries")).checkpoint()
+
+    store.move(dt.datetime(2024, 4, 12))
+    first = counts("earlier ")
+    store.move(dt.datetime(2025, 1, 15))
+    return first.unionByName(counts(""))
+
+
 @query(
     "r3_reparse",
     LOGS + """SELECT id, upper(message) AS message, day, hour FROM logs WHERE tenant_id = 'tenant-1' AND timestamp >= TIMESTAMP '2024-01-09 05:00:00' AND timestamp < TIMESTAMP '2024-01-12 07:00:00'""",

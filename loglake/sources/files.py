@@ -24,7 +24,8 @@ def key_of(path: str) -> str:
     return re.sub(_SCHEME, "/", path)
 
 
-def _key() -> Column:
+def key_column() -> Column:
+    """`key_of` the file that a row was read from."""
     return F.regexp_replace(F.col("_metadata.file_path"), _SCHEME, "/")
 
 
@@ -76,7 +77,7 @@ def pull_new_files(
     lines = (
         spark.read.option("pathGlobFilter", glob)
         .text(directory)
-        .select("value", _key().alias("key"))
+        .select("value", key_column().alias("key"))
     )
     if last_key is not None:
         lines = lines.filter(F.col("key") > last_key)
@@ -93,7 +94,7 @@ def file_keys(spark: SparkSession, directory: str, glob: str = "*") -> DataFrame
         .option("recursiveFileLookup", "true")
         .load(directory)
     )
-    return files.select(_key().alias("key"), F.col("length").alias("bytes")).orderBy("key")
+    return files.select(key_column().alias("key"), F.col("length").alias("bytes")).orderBy("key")
 
 
 def read_archive(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import glob
+import os
 import random
 import struct
 
@@ -14,8 +16,13 @@ from pyspark.sql import functions as F
 from loglake.operators import alerts as L
 from loglake.operators import dedup as D
 from loglake.operators import matviews as M
+from loglake.operators import replay as R
 from loglake.operators.aggregates import exact_percentile, ordered_bits
+from loglake.plans.fixtures import entries
 from loglake.session import new_path
+from loglake.sinks import storage_classes as C
+from loglake.sinks import tables as K
+from loglake.sources.files import path_exists, read_archive
 from loglake.streaming import jobs as J
 
 T0 = dt.datetime(2024, 1, 1)
@@ -143,3 +150,79 @@ def test_sketches_add_up_within_their_error(spark):
     for q, v in ((0.1, got.p10_ms), (0.5, got.p50_ms), (0.95, got.p95_ms), (0.99, got.p99_ms)):
         assert abs(np.searchsorted(values, v) / len(values) - q) < M.sketch_rank_error()
     assert got.entries == 30_000
+
+
+def test_a_damaged_file_is_named_and_the_rest_is_done(spark):
+    root, journal, hot = (new_path(spark, n) for n in ("archive", "journal", "hot"))
+    rows = entries(spark, "/root/testdata/sf0.001").filter("tenant_id = 'tenant-1'")
+    K.write_archive(rows, root)
+    files = sorted(glob.glob(f"{root}/tenant_id=tenant-1/**/*.parquet", recursive=True))
+    whole = open(files[3], "rb").read()
+    damaged = spark.read.parquet(files[3]).count()
+    open(files[3], "wb").write(whole[: len(whole) // 2])
+    for crc in glob.glob(f"{os.path.dirname(files[3])}/.*.crc"):
+        os.remove(crc)
+    handled = []
+
+    def handle(batch):
+        K.upsert_hot(batch, hot)
+        handled.append(batch.count())
+
+    def run():
+        outcome = R.replay_files(spark, root, "tenant-1", T0, T0 + dt.timedelta(days=40), "2024-03-01 00:00:00", handle, journal, "j")
+        return outcome.collect(), R.job_status(outcome).first()
+
+    outcome, job = run()
+    bad = [r for r in outcome if r.status == "Failed"]
+    assert [r.key for r in bad] == [files[3]] and bad[0].error
+    assert (job.status, job.files, job.failed_files, job.entries) == ("Failed", len(files), 1, rows.count() - damaged)
+    open(files[3], "wb").write(whole)
+    _, job = run()
+    assert (job.status, job.failed_files, job.entries) == ("Completed", 0, rows.count())
+    assert handled == [rows.count() - damaged, damaged]
+    assert spark.read.parquet(hot).count() == rows.count()
+
+
+def test_reparse_removes_hours_that_became_empty(spark):
+    root, target = new_path(spark, "archive"), new_path(spark, "reparsed")
+    rows = entries(spark, "/root/testdata/sf0.001")
+    K.write_archive(rows, root)
+    K.write_archive(rows, target)
+    start, end = dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 9)
+    R.reparse(spark, root, target, lambda df: df.filter("day <> '07' OR hour < '12'"), "tenant-1", start, end)
+    left = read_archive(spark, target)
+    gone = (F.col("tenant_id") == "tenant-1") & (F.col("day") == "07") & (F.col("hour") >= "12") & (F.col("month") == "01")
+    assert left.filter(gone).count() == 0
+    assert left.count() == read_archive(spark, root).filter(~gone).count()
+
+
+def test_days_move_once_whatever_breaks(spark, monkeypatch):
+    roots = {name: new_path(spark, name) for name in C.CLASS_AFTER}
+    rows = entries(spark, "/root/testdata/sf0.001")
+    K.write_archive(rows, roots["Standard"])
+    store = C.StorageClasses(spark, roots, new_path(spark, "manifest"))
+    want = sorted(r.id for r in rows.select("id").collect())
+
+    def seen():
+        return sorted(r.id for r in store.rows().select("id").collect())
+
+    at = dt.datetime(2024, 2, 20)
+    for broken in ("_switch", "_clean"):  # broken off after the copy, then after the manifest's change
+        calls = []
+
+        def fail(*args, calls=calls, broken=broken):
+            calls.append(args)
+            if broken == "_switch" or len(calls) > 1:
+                raise RuntimeError("stopped")
+
+        with monkeypatch.context() as patch, pytest.raises(RuntimeError):
+            patch.setattr(store, broken, fail)
+            store.move(at)
+        assert seen() == want
+    store.move(at)
+    assert store.move(at) == {} and seen() == want
+    kinds = {r.storage_class: r.n for r in store.rows().groupBy("storage_class").agg(F.count("*").alias("n")).collect()}
+    assert set(kinds) == {"Standard", "InfrequentAccess"}
+    files = sum(spark.read.schema("id string").option("recursiveFileLookup", "true").parquet(r).count() for r in roots.values() if path_exists(spark, r))
+    assert files == len(want)
+    assert store.move(dt.datetime(2026, 1, 1))["Deleted"] and seen() == []
