@@ -57,17 +57,32 @@ def trace_spans(logs: DataFrame) -> DataFrame:
     )
 
 
-def densify(df: DataFrame, label: str, category: str, value: str) -> DataFrame:
-    """Every label with every category, value 0 where there was no row.
+# Series a chart may have; more are no chart.
+MAX_SERIES = 1000
 
-    The input is one row per (label, category). Categories are the series of a chart, a short list that comes
-    back as a scalar subquery; each label's own values are put beside it, and nothing is joined.
+
+def series_of(df: DataFrame, category: str, most: int = MAX_SERIES) -> list:
+    """The distinct categories, null first; raises if there are more than ``most``, so the list is short by contract."""
+    found = [r[0] for r in df.select(category).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} series")
+    return sorted(found, key=lambda c: (c is not None, c))
+
+
+def densify(df: DataFrame, label: str, category: str, value: str, series: list | None = None) -> DataFrame:
+    """Every label with every category of `series` (the distinct ones, if not given), value 0 where there was no row.
+
+    The input is one row per (label, category). Labels are made distinct, written once per category, and joined with
+    their rows, so neither a label's cells nor the labels of a category meet in one place.
     """
-    series = df.agg(F.array_sort(F.collect_set(F.struct(F.col(category).alias("c")))).alias("s")).scalar()
-    own = df.groupBy(label).agg(F.collect_list(F.struct(F.col(category).alias("c"), F.col(value).alias("v"))).alias("__own"))
-    each = own.withColumn("__c", F.explode(series))
-    found = F.filter("__own", lambda x: x["c"].eqNullSafe(F.col("__c.c")))
-    return each.select(label, F.col("__c.c").alias(category), F.coalesce(F.get(found, F.lit(0))["v"], F.lit(0)).alias(value))
+    series = series_of(df, category) if series is None else series
+    kind = df.schema[category].dataType
+    every = F.explode(F.array(*(F.lit(c).cast(kind) for c in series)))
+    cells = df.select(F.struct(F.col(label).alias("l"), F.col(category).alias("c")).alias("__cell"), F.col(value).alias("__v"))
+    grid = df.select(label).distinct().select(label, every.alias(category))
+    # Structs, unlike the columns themselves, are equal where both hold a null.
+    named = grid.withColumn("__cell", F.struct(F.col(label).alias("l"), F.col(category).alias("c")))
+    return named.join(cells, "__cell", "left").select(label, category, F.coalesce("__v", F.lit(0)).alias(value))
 
 
 def reports_with_sql(reports: DataFrame, saved_queries: DataFrame) -> DataFrame:
