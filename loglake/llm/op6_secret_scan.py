@@ -38,15 +38,13 @@ SPAN = "array<struct<start: int, n: int, stop: int>>"
 def spans(text: Column, pattern: str, accept) -> Column:
     """(start, kind number, stop) of the matches that ``accept`` takes, by position in code points.
 
-    Matches and the text between them are bound to a variable, so that the pattern runs twice a text and not once a match,
-    and spans are gathered ``CHUNK`` at a time, so that a text with very many of them is not copied over and over.
+    Matches and the text between them are bound to a variable, so that the pattern runs twice a text at most and not once a
+    match, and spans are gathered ``CHUNK`` at a time, so that a text with very many of them is not copied over and over.
     """
     n = KINDS.index(next(k for k, p in (STRONG | WEAK).items() if p == pattern))
     none = F.array().cast(SPAN)
 
-    def every(both: Column) -> Column:
-        found, gaps = both["found"], both["gaps"]
-
+    def gathered(found: Column, gaps: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
             start = acc["at"] + F.length(F.get(gaps, i))
             stop = start + F.length(F.get(found, i))
@@ -63,10 +61,15 @@ def spans(text: Column, pattern: str, accept) -> Column:
 
         start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
         chunks = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int"))
-        return F.when(F.size(found) > 0, F.flatten(F.aggregate(chunks, start, chunk)["out"])).otherwise(none)
+        return F.flatten(F.aggregate(chunks, start, chunk)["out"])
+
+    def bound(value: Column, use) -> Column:
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def every(found: Column) -> Column:
+        return F.when(F.size(found) > 0, bound(F.split(text, pattern, -1), lambda gaps: gathered(found, gaps))).otherwise(none)
 
-    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
-    return F.get(F.transform(F.array(both), every), F.lit(0))
+    return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), every)
 
 
 def _accept(kind: str):
