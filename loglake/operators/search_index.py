@@ -55,10 +55,13 @@ def _write(df: DataFrame, root: str, segment: int | str, *partitions: str) -> No
     )
 
 
-def index_batch(df: DataFrame, root: str, segment: int | str, key: list[str], fields: Column) -> None:
+def index_batch(
+    df: DataFrame, root: str, segment: int | str, key: list[str], fields: Column, stored: tuple[str, ...] = ()
+) -> None:
     """Write the segment of a batch: ``key`` names the columns that tell its entries apart, ``fields`` is an array of
-    (field, text) structs. An entry without any text is kept as a key. A repeated batch replaces its segment."""
-    given = df.select(*key, fields.alias("fields"))
+    (field, text) structs. An entry without any text is kept as a key, and all with the columns ``stored``, from which
+    hits can be shown and sorted. A repeated batch replaces its segment."""
+    given = df.select(*key, fields.alias("fields"), *stored)
     texts = given.select(*key, F.inline("fields")).where("text IS NOT NULL")
     words = texts.select(*key, "field", F.length("text").alias("length"), F.posexplode(F.split(F.lower("text"), _WORDS)).alias("place", "term"))
     postings = (
@@ -70,37 +73,39 @@ def index_batch(df: DataFrame, root: str, segment: int | str, key: list[str], fi
     placed = postings.select("*", bucket).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "field")
     _write(placed, f"{root}/postings", segment, "bucket")
     columns = ", ".join(f"{c} {kind}" for c, kind in df.select(*key).dtypes)
-    stored = Index(df.sparkSession, root, columns).table("postings").where(F.col("segment") == str(segment))
-    dictionary = stored.groupBy("bucket", "field", "term").agg(F.count(F.lit(1)).alias("entries"))
+    written = Index(df.sparkSession, root, columns).table("postings").where(F.col("segment") == str(segment))
+    dictionary = written.groupBy("bucket", "field", "term").agg(F.count(F.lit(1)).alias("entries"))
     _write(dictionary.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term"), f"{root}/dictionary", segment, "bucket")
     sizes = texts.groupBy("field").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.length("text")).alias("length"))
     _write(sizes, f"{root}/sizes", segment)
-    _write(given.select(*key), f"{root}/keys", segment)
+    _write(given.select(*key, *stored), f"{root}/keys", segment)
 
 
-def _schemas(key: str) -> dict[str, str]:
+def _schemas(key: str, stored: str) -> dict[str, str]:
     return {
         "postings": f"{key}, field string, term string, length int, places array<int>, segment string, bucket int",
         "dictionary": "field string, term string, entries long, segment string, bucket int",
         "sizes": "field string, texts long, length long, segment string",
-        "keys": f"{key}, segment string",
+        "keys": f"{key}, {stored}, segment string" if stored else f"{key}, segment string",
     }
 
 
 @dataclass
 class Index:
-    """An index as it is stored; ``columns`` names the key's columns with their types, as in ``id string``."""
+    """An index as it is stored; ``columns`` names the key's columns with their types, as in ``id string``, and ``stored``
+    those kept beside it."""
 
     spark: SparkSession
     root: str
     columns: str
+    stored: str = ""
 
     @property
     def key(self) -> list[str]:
         return [c.split()[0] for c in self.columns.split(",")]
 
     def table(self, name: str) -> DataFrame:
-        schema = _schemas(self.columns)[name]
+        schema = _schemas(self.columns, self.stored)[name]
         if not path_exists(self.spark, f"{self.root}/{name}"):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
@@ -153,24 +158,24 @@ def matching(index: Index, query: str | None, names: tuple[str, ...] = ("message
         return index.table("keys").select(*index.key).where(wanted)
     single = [i for i, (_, words) in enumerate(leaves) if len(words) == 1]
     phrases = [i for i in range(len(leaves)) if i not in single]
-    hits = [(_in_fields(fields, names), words) for fields, words in leaves]
-    every = [inside & w.matches() for inside, words in hits for w in words]
+    parts = [(_in_fields(fields, names), words) for fields, words in leaves]
+    every = [inside & w.matches() for inside, words in parts for w in words]
     postings = index.table("postings").where(_any(every))
     literal = [w.text for _, words in leaves for w in words if not re.search(r"[*?]", w.text)]
     if len(literal) == len(every):
         # Without wildcards only the partitions of the words are opened.
         postings = postings.where(F.col("bucket").isin(_buckets(index.spark, literal)))
-    found = {f"m{i}": F.bool_or(hits[i][0] & hits[i][1][0].matches()) for i in single}
+    found = {f"m{i}": F.bool_or(parts[i][0] & parts[i][1][0].matches()) for i in single}
     if not phrases:
         flags = postings.groupBy(*index.key).agg(*(c.alias(n) for n, c in found.items()))
     else:
         places = {
-            f"p{i}_{j}": F.flatten(F.collect_list(F.when(hits[i][0] & w.matches(), F.col("places"))))
+            f"p{i}_{j}": F.flatten(F.collect_list(F.when(parts[i][0] & w.matches(), F.col("places"))))
             for i in phrases
-            for j, w in enumerate(hits[i][1])
+            for j, w in enumerate(parts[i][1])
         }
         by_field = postings.groupBy(*index.key, "field").agg(*(c.alias(n) for n, c in (found | places).items()))
-        phrase = {f"m{i}": F.bool_or(_adjacent([f"p{i}_{j}" for j in range(len(hits[i][1]))])) for i in phrases}
+        phrase = {f"m{i}": F.bool_or(_adjacent([f"p{i}_{j}" for j in range(len(parts[i][1]))])) for i in phrases}
         again = {n: F.bool_or(n) for n in found}
         flags = by_field.groupBy(*index.key).agg(*(c.alias(n) for n, c in (again | phrase).items()))
     nothing = re.sub(r"\bm\d+\b", "false", wanted)
@@ -181,6 +186,11 @@ def matching(index: Index, query: str | None, names: tuple[str, ...] = ("message
     return flags.where(wanted).select(*index.key)
 
 
+def hits(index: Index, query: str | None, names: tuple[str, ...] = ("message", "category")) -> DataFrame:
+    """The key and the stored columns of the entries that match a query string."""
+    return index.table("keys").drop("segment").join(matching(index, query, names), index.key, "left_semi")
+
+
 def _any(conditions: list[Column]) -> Column:
     out = conditions[0]
     for c in conditions[1:]:
@@ -248,4 +258,4 @@ def compact_index(index: Index, segments: list[str], into: str) -> Index:
         _write(rows, f"{into}/{name}", "merged", *partitions)
     merged = index.table("dictionary").where(F.col("segment").isin(segments)).groupBy("bucket", "field", "term").agg(F.sum("entries").alias("entries"))
     _write(merged.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term"), f"{into}/dictionary", "merged", "bucket")
-    return Index(index.spark, into, index.columns)
+    return Index(index.spark, into, index.columns, index.stored)
