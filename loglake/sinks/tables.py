@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import threading
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,19 +27,29 @@ def _with_event_time(entries: DataFrame) -> DataFrame:
     return entries.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
 
 
+_writers_lock = threading.Lock()
+_writers: dict[str, list] = {}  # by application: [number of writers, setting before]
+
+
 @contextmanager
 def _many_writers(spark: SparkSession):
     """Keep AQE from merging a rebalanced shuffle into a few tasks.
 
     Rows are already together by table partition, so more tasks make no more files; they only create
-    them in parallel.
+    them in parallel. Of writers at the same time the last one puts the setting back.
     """
-    before = spark.conf.get(_MIN_SIZE)
-    spark.conf.set(_MIN_SIZE, "1KB")
+    app = spark.sparkContext.applicationId
+    with _writers_lock:
+        held = _writers.setdefault(app, [0, spark.conf.get(_MIN_SIZE)])
+        held[0] += 1
+        spark.conf.set(_MIN_SIZE, "1KB")
     try:
         yield
     finally:
-        spark.conf.set(_MIN_SIZE, before)
+        with _writers_lock:
+            held[0] -= 1
+            if not held[0]:
+                spark.conf.set(_MIN_SIZE, _writers.pop(app)[1])
 
 
 def write_archive(entries: DataFrame, root: str, mode: str = "append", max_rows_per_file: int = 0) -> None:
@@ -149,22 +161,26 @@ def upsert_hot(batch: DataFrame, root: str) -> int:
 
 
 def fan_out(batch: DataFrame, sinks: dict[str, Callable[[DataFrame], None]]) -> dict[str, str]:
-    """Hand one accepted batch to several sinks; returns the names of those that failed, with the error's text.
+    """Hand one accepted batch to several sinks at once; returns the names of those that failed, with the error's text.
 
-    The batch is kept for the duration so that it is computed once. A failing sink does not keep the
-    batch from the others. Sinks must accept the same batch twice.
+    The batch is kept for the duration so that it is computed once; each sink's jobs are submitted by a thread of its own, so
+    a slow or failing sink does not keep the batch from the others. Sinks must accept the same batch twice; one that
+    should not see an id again takes its rows through `sinks.seen.accept_new`, under its own name.
     """
+
+    def run(write: Callable[[DataFrame], None]) -> str | None:
+        try:
+            write(batch)
+        except Exception as failure:
+            return f"{type(failure).__name__}: {failure}"
+
     batch.persist()
-    failed = {}
     try:
-        for name, write in sinks.items():
-            try:
-                write(batch)
-            except Exception as failure:
-                failed[name] = f"{type(failure).__name__}: {failure}"
+        with ThreadPoolExecutor(max(1, len(sinks))) as pool:
+            errors = dict(zip(sinks, pool.map(run, sinks.values())))
     finally:
         batch.unpersist()
-    return failed
+    return {name: error for name, error in errors.items() if error is not None}
 
 
 def quarantine(rejected: DataFrame, reason: Column, raw: Column, at: dt.datetime | str | Column) -> DataFrame:

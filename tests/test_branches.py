@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import glob
 import os
+import threading
 
 from pyspark.sql import functions as F
 
@@ -132,3 +133,36 @@ def test_archive_and_hot_store_agree_after_a_repeated_batch(spark):
     assert missing_ids(spark.read.parquet(hot), stored).count() == 0
     keys = matching(Index(spark, index, "tenant_id string, id string"), None)
     assert keys.count() == keys.distinct().count() == len(once)
+
+
+def test_sinks_run_at_once_each_with_its_seen_set(spark):
+    """Two sinks wait for each other, which they could not one after the other; one fails; a repeat changes nothing."""
+    seen, stores = new_path(spark, "seen"), {n: new_path(spark, n) for n in ("storage", "search")}
+    setting = spark.conf.get("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+
+    def run(batch, batch_id, at, names=("storage", "search")):
+        meet = threading.Barrier(len(names), timeout=60)
+
+        def sink(name):
+            def write(rows):
+                meet.wait()
+                K.upsert_hot(accept_new(rows, seen, name, batch_id, str(at)), stores[name])
+
+            return write
+
+        def broken(_):
+            raise RuntimeError("sink is down")
+
+        return K.fan_out(batch, {n: sink(n) for n in names} | {"broken": broken})
+
+    rows = entries(spark, SF)
+    first, second = rows.filter("id % 2 = 0"), rows.filter("id % 4 < 2")
+    assert run(first, 0, T0) == {"broken": "RuntimeError: sink is down"}
+    run(second.withColumn("level", F.lit("Again")), 1, T0 + dt.timedelta(hours=1), ("storage",))
+    run(first, 0, T0)
+    # The storage sink has seen the ids of both batches, the search sink those of the first.
+    state = _state(spark, stores["storage"])
+    assert len(state) == rows.filter("id % 2 = 0 OR id % 4 < 2").count()
+    assert {s[1] for s in state if s[3] == "Again"} == {r.id for r in second.filter("id % 2 <> 0").collect()}
+    assert len(_state(spark, stores["search"])) == first.count()
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.minPartitionSize") == setting
