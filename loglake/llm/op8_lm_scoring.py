@@ -3,16 +3,18 @@
 1. Documents are packed into blocks of whole texts in the shared folder. Each block sends its distinct words and how
    often its training documents have them, packed by parts of the key space; the task of a part adds them up and sends
    every block the totals of its words. Nothing is counted on a sample.
-2. The model predicts the class of a token - one of the 512 most frequent training words, the end, or any other word -
-   from the classes of the two tokens before it: one vector for each context position and class, one target vector and
-   bias for each class. Every task trains it on its training documents with shared noise samples; the parameters are
-   averaged. A batched matrix product over all pairs of context classes gives the normalising constants.
-3. A text's score adds up the normalised log-probabilities; a word without a class of its own takes its class's
-   probability times its smoothed share of that class's training tokens.
+2. The model covers all words. A word before a token gives a context vector of its own: the 512 most frequent training
+   words have a row each, any other word is the sum of two rows that its hashes choose. The token is predicted in steps:
+   its class - a frequent word, the end, or one of 64 groups of the other words -, then the leaf of the group, then the
+   word by its smoothed share of the leaf's training tokens. Rows and leaves grow with the square root of the corpus.
+3. Every task trains the model on its training documents with noise samples; the parameters are averaged by slices.
+4. A text's score adds up the normalised log-probabilities: batched matrix products of the context vectors with all
+   classes, and with all leaves of the token's group, give the normalising constants.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,16 +32,22 @@ HELD_OUT = (5, 1)
 BLOCK_BYTES = 2 << 20
 PART_BYTES = 1 << 22
 TOP_WORDS = 512
+GROUPS = 64
 DIMENSIONS = 16
 NOISE = 20
+LEAF_NOISE = 5
 BATCH = 8192
 RATE = 0.1
-SLOTS = 64
+SLICES = 64
+ROWS = 1024
 
 BLOCK_SCHEMA = "block long, ids binary, null binary, held binary, sizes binary, texts binary, n_bytes long"
 WORD_SCHEMA = "part int, block long, n int, words binary"
-TOTAL_SCHEMA = "block long, part int, totals binary, n_tokens long, n_words long, top array<struct<hi:long,lo:long,c:long>>"
-MODEL_SCHEMA = "slot int, weight double, parameters binary"
+TOTAL_SCHEMA = (
+    "block long, part int, totals binary, n_tokens long, n_words long, top array<struct<hi:long,lo:long,c:long>>, "
+    "leaves array<struct<leaf:int,tokens:long,words:long>>"
+)
+MODEL_SCHEMA = "slice int, weight double, parameters binary"
 RESULT_SCHEMA = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 )
@@ -95,7 +103,13 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[Block]:
 
 
 def _part_of(hi: np.ndarray, parts: int) -> np.ndarray:
-    return ((hi >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    """Parts and leaves are ranges of the keys, so a part has few leaves."""
+    return _place(hi >> np.uint64(32), parts)
+
+
+def _place(bits: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of 32 bits brought to 0 .. n - 1, in order."""
+    return (bits * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
 def _planes(numbers: np.ndarray, kind: str) -> bytes:
@@ -133,8 +147,8 @@ def _count_words(parts: int):
     return run
 
 
-def _totals(rows: list[tuple[int, int, bytes]], part: int, top: int) -> Iterator[dict]:
-    """A row for each block with the totals of its words; the first also has the part's sums and frequent words."""
+def _totals(rows: list[tuple[int, int, bytes]], part: int, top: int, leaves: int) -> Iterator[dict]:
+    """A row for each block with the totals of its words; the first also has the part's sums, leaves and frequent words."""
     planes = [np.frombuffer(zstandard.decompress(data), np.uint8) for _, _, data in rows]
     sizes = [n for _, n, _ in rows]
     hi = np.concatenate([_unplane(p, n, 0, ">u8") for p, n in zip(planes, sizes)])
@@ -151,21 +165,28 @@ def _totals(rows: list[tuple[int, int, bytes]], part: int, top: int) -> Iterator
     frequent = [
         {"hi": int(hi[names[k]].view(np.int64)), "lo": int(lo[names[k]]), "c": int(totals[k])} for k in best if totals[k]
     ]
+    leaf = _part_of(hi[names], leaves)
+    of_leaves = []
+    if len(leaf):
+        first, n = int(leaf.min()), int(leaf.max() - leaf.min()) + 1
+        tokens, known = np.bincount(leaf - first, totals, n), np.bincount(leaf - first, totals > 0, n)
+        of_leaves = [{"leaf": first + k, "tokens": int(tokens[k]), "words": int(known[k])} for k in range(n) if known[k]]
     ends = np.cumsum([0, *sizes])
     for i, (block, _, _) in enumerate(rows):
         data = zstandard.compress(_planes(totals[key[ends[i] : ends[i + 1]]], ">i8"), 1)
-        own = {"n_tokens": 0, "n_words": 0, "top": []}
+        own = {"n_tokens": 0, "n_words": 0, "top": [], "leaves": []}
         if not i:
-            own = {"n_tokens": int(totals.sum()), "n_words": int((totals > 0).sum()), "top": frequent}
+            own = {"n_tokens": int(totals.sum()), "n_words": int((totals > 0).sum()), "top": frequent, "leaves": of_leaves}
         yield {"block": block, "part": part, "totals": data} | own
 
 
-def _sum_words(top: int):
+def _sum_words(top: int, leaves: int):
     """Rows come sorted by part; one part is held at a time."""
     kind = pa.struct([("hi", pa.int64()), ("lo", pa.int64()), ("c", pa.int64())])
+    leaf = pa.struct([("leaf", pa.int32()), ("tokens", pa.int64()), ("words", pa.int64())])
     schema = pa.schema(
         [("block", pa.int64()), ("part", pa.int32()), ("totals", pa.binary()), ("n_tokens", pa.int64()),
-         ("n_words", pa.int64()), ("top", pa.list_(kind))]
+         ("n_words", pa.int64()), ("top", pa.list_(kind)), ("leaves", pa.list_(leaf))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,19 +194,23 @@ def _sum_words(top: int):
         for batch in batches:
             for part, *row in zip(*(batch[c].to_pylist() for c in ("part", "block", "n", "words"))):
                 if part != current and held:
-                    yield pa.RecordBatch.from_pylist(list(_totals(held, current, top)), schema)
+                    yield pa.RecordBatch.from_pylist(list(_totals(held, current, top, leaves)), schema)
                     held = []
                 current = part
                 held.append(tuple(row))
         if held:
-            yield pa.RecordBatch.from_pylist(list(_totals(held, current, top)), schema)
+            yield pa.RecordBatch.from_pylist(list(_totals(held, current, top, leaves)), schema)
 
     return run
 
 
 @dataclass
 class Statistics:
-    """Of the training documents. Classes: 0 start, 1 end, 2 any other word, then the frequent words."""
+    """Of the training documents. Classes: 0 start, 1 end, the frequent words, then the groups of all other words.
+
+    ``leaf_tokens`` and ``leaf_words`` have a row for each group; frequent words are not in them. ``n_rows`` context rows
+    are shared by the words that are not frequent.
+    """
 
     n_tokens: int
     n_distinct: int
@@ -193,148 +218,276 @@ class Statistics:
     top_hi: np.ndarray
     top_lo: np.ndarray
     top_counts: np.ndarray
+    leaf_tokens: np.ndarray
+    leaf_words: np.ndarray
+    n_rows: int
+
+    @property
+    def first_group(self) -> int:
+        return len(self.top_hi) + 2
 
     @property
     def n_classes(self) -> int:
-        return len(self.top_hi) + 3
+        return self.first_group + len(self.leaf_tokens)
 
     def noise(self) -> np.ndarray:
         """Share of each class among the training tokens."""
-        other = self.n_tokens - self.n_ends - self.top_counts.sum()
-        counts = np.concatenate(([0, self.n_ends, other], self.top_counts)) + 0.5
+        counts = np.concatenate(([0, self.n_ends], self.top_counts, self.leaf_tokens.sum(axis=1))) + 0.5
         counts[0] = 0
         return counts / counts.sum()
 
-    def classes(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
-        if not len(self.top_hi):
-            return np.full(len(hi), 2)
-        at = np.minimum(np.searchsorted(self.top_hi, hi), len(self.top_hi) - 1)
-        return np.where((self.top_hi[at] == hi) & (self.top_lo[at] == lo), at + 3, 2)
+    def leaf_noise(self) -> np.ndarray:
+        """Share of each leaf among the training tokens of its group."""
+        counts = self.leaf_tokens + 0.5
+        return counts / counts.sum(axis=1, keepdims=True)
+
+    def places(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        """Class, leaf in the group (-1 for frequent words) and two context rows of every word; the second row of all
+        frequent words is the same."""
+        groups, size = self.leaf_tokens.shape
+        leaf = _part_of(hi, groups * size)
+        low = hi & np.uint64(0xFFFFFFFF)
+        shared = self.first_group + 1
+        out = np.stack(
+            [self.first_group + leaf // size, leaf % size, shared + _place(low, self.n_rows), shared + _place(lo, self.n_rows)]
+        )
+        if len(self.top_hi):
+            at = np.minimum(np.searchsorted(self.top_hi, hi), len(self.top_hi) - 1)
+            frequent = np.flatnonzero((self.top_hi[at] == hi) & (self.top_lo[at] == lo))
+            own = at[frequent] + 2
+            out[:, frequent] = own, np.full(len(own), -1), own, np.full(len(own), self.first_group)
+        return out
+
+    @property
+    def end(self) -> np.ndarray:
+        return np.array([1, -1, 1, self.first_group])
+
+    @property
+    def start(self) -> np.ndarray:
+        return np.array([0, self.first_group])
 
 
 def _sequence(b: Block, of_word: np.ndarray, of_end) -> tuple[np.ndarray, np.ndarray]:
     """A value for every token, words and then one end for each text, and the texts' numbers."""
     n = b.words.per_doc()
     ends = np.cumsum(n + 1) - 1
-    values = np.empty(len(of_word) + len(n), of_word.dtype)
-    inside = np.ones(len(values), bool)
+    values = np.empty((*of_word.shape[:-1], of_word.shape[-1] + len(n)), of_word.dtype)
+    inside = np.ones(values.shape[-1], bool)
     inside[ends] = False
-    values[inside], values[ends] = of_word, of_end
+    values[..., inside], values[..., ends] = of_word, of_end
     return values, np.repeat(np.arange(len(n)), n + 1)
 
 
-def _contexts(classes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes one and two tokens before; 0 before the text."""
+def _contexts(rows: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Context rows of the tokens one and two before; those of the start before the text."""
     out = []
     for back in (1, 2):
-        before = np.zeros_like(classes)
-        before[back:] = np.where(doc[back:] == doc[:-back], classes[:-back], 0)
+        before = np.repeat(start[:, None], rows.shape[1], axis=1)
+        before[:, back:] = np.where(doc[back:] == doc[:-back], rows[:, :-back], start[:, None])
         out.append(before)
     return out[0], out[1]
 
 
-Parameters = list[np.ndarray]  # one context table for each position, targets, biases
+@dataclass
+class Tokens:
+    """Of a block: class and leaf of every token, the context rows one and two before it, and its document."""
+
+    classes: np.ndarray
+    leaves: np.ndarray
+    w1: np.ndarray
+    w2: np.ndarray
+    doc: np.ndarray
+
+    def where(self, chosen) -> Tokens:
+        return Tokens(self.classes[chosen], self.leaves[chosen], self.w1[:, chosen], self.w2[:, chosen], self.doc[chosen])
+
+
+def _tokens(b: Block, stats: Statistics, places: np.ndarray, of: np.ndarray) -> Tokens:
+    values, doc = _sequence(b, places[:, of], stats.end[:, None])
+    return Tokens(values[0], values[1], *_contexts(values[2:], doc, stats.start), doc)
+
+
+# Two context tables, one for each position; class targets and biases; leaf targets and biases, by group.
+Parameters = list[np.ndarray]
+
+
+def _shapes(stats: Statistics) -> list[tuple[int, ...]]:
+    contexts = (stats.first_group + 1 + stats.n_rows, DIMENSIONS)
+    leaves = stats.leaf_tokens.shape
+    return [contexts, contexts, (stats.n_classes, DIMENSIONS), (stats.n_classes,), (*leaves, DIMENSIONS), leaves]
 
 
 def initial(stats: Statistics) -> Parameters:
+    """Small vectors; with biases from the counts, the model starts as that of single words."""
     rng = np.random.default_rng(11)
-    tables = [rng.normal(0, 0.1, (stats.n_classes, DIMENSIONS)).astype(np.float32) for _ in range(3)]
-    return [*tables, np.log(np.maximum(stats.noise(), 1e-12)).astype(np.float32)]
+    p = [rng.normal(0, 0.1, shape).astype(np.float32) for shape in _shapes(stats)]
+    p[3] = np.log(np.maximum(stats.noise(), 1e-12)).astype(np.float32)
+    p[5] = np.log(stats.leaf_noise()).astype(np.float32)
+    return p
 
 
-def _scatter(rows: np.ndarray, gradient: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(rows, gradient[:, d], n) for d in range(gradient.shape[1])], axis=1)
+def adagrad(p: Parameters) -> Parameters:
+    """Sums of squares to start from."""
+    return [np.full(x.shape, 1e-8 if k < 2 else 1e-6) for k, x in enumerate(p)]
 
 
-def nce_epoch(p: Parameters, sums: Parameters, noise: np.ndarray, w1: np.ndarray, w2: np.ndarray, target: np.ndarray, rng) -> None:
-    """One pass of Adagrad over the tokens; each batch is told from NOISE classes drawn for all of it."""
-    n = len(noise)
-    log_noise = np.log(np.maximum(noise, 1e-12)) + np.log(NOISE)
-    for at in range(0, len(target), BATCH):
-        a, b, t = (x[at : at + BATCH] for x in (w1, w2, target))
-        drawn = rng.choice(n, NOISE, p=noise)
-        q = p[0][a] + p[1][b]
-        true = np.einsum("ij,ij->i", q, p[2][t]) + p[3][t] - log_noise[t]
-        false = q @ p[2][drawn].T + p[3][drawn] - log_noise[drawn]
-        up = 1 / (1 + np.exp(np.clip(true, -30, 30)))
-        down = -1 / (1 + np.exp(np.clip(-false, -30, 30)))
-        q_step = up[:, None] * p[2][t] + down @ p[2][drawn]
-        target_step = _scatter(t, up[:, None] * q, n)
-        np.add.at(target_step, drawn, down.T @ q)
-        bias_step = np.bincount(t, up, n)
-        np.add.at(bias_step, drawn, down.sum(axis=0))
-        steps = [_scatter(a, q_step, n), _scatter(b, q_step, n), target_step, bias_step]
-        for x, total, step in zip(p, sums, steps):
-            step = step / len(t)
-            total += step**2
-            x += (RATE * step / np.sqrt(total)).astype(np.float32)
+def context(p: Parameters, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
+    return p[0][w1[0]] + p[0][w1[1]] + p[1][w2[0]] + p[1][w2[1]]
 
 
-def _dump(p: Parameters) -> bytes:
-    return b"".join(x.astype("<f4").tobytes() for x in p)
+def _step(x: np.ndarray, sums: np.ndarray, rows: np.ndarray, gradient: np.ndarray, batch: int) -> None:
+    """Adagrad on the rows of ``x`` that have a gradient; those of equal rows are added first."""
+    at, of = np.unique(rows, return_inverse=True)
+    if gradient.ndim == 1:
+        step = np.bincount(of, gradient) / batch
+    else:
+        step = np.stack([np.bincount(of, gradient[:, d]) for d in range(gradient.shape[1])], axis=1) / batch
+    sums[at] += step**2
+    x[at] += (RATE * step / np.sqrt(sums[at])).astype(np.float32)
 
 
-def _load(data: bytes, n_classes: int) -> Parameters:
-    flat = np.frombuffer(data, "<f4")
-    tables = flat[: 3 * n_classes * DIMENSIONS].reshape(3, n_classes, DIMENSIONS)
-    return [tables[0], tables[1], tables[2], flat[3 * n_classes * DIMENSIONS :]]
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(np.clip(-x, -30, 30)))
+
+
+def nce_epoch(p: Parameters, sums: Parameters, stats: Statistics, tokens: Tokens, rng) -> None:
+    """One pass of Adagrad over the tokens. Each batch's classes are told from NOISE classes drawn for all of it, the leaf of
+    each token from LEAF_NOISE leaves drawn from its group."""
+    noise, n_leaves = stats.noise(), stats.leaf_tokens.shape[1]
+    leaf_noise = stats.leaf_noise().ravel()
+    cumulated = np.cumsum(leaf_noise)
+    log_noise = np.log(np.maximum(noise, 1e-12)) + np.log(NOISE)
+    log_leaf_noise = np.log(leaf_noise) + np.log(LEAF_NOISE)
+    leaf_targets, leaf_biases = p[4].reshape(-1, DIMENSIONS), p[5].reshape(-1)
+    leaf_sums, leaf_bias_sums = sums[4].reshape(-1, DIMENSIONS), sums[5].reshape(-1)
+    for at in range(0, len(tokens.classes), BATCH):
+        x = tokens.where(slice(at, at + BATCH))
+        t, n = x.classes, len(x.classes)
+        drawn = rng.choice(len(noise), NOISE, p=noise)
+        q = context(p, x.w1, x.w2)
+        true = np.einsum("ij,ij->i", q, p[2][t]) + p[3][t] - log_noise[t]
+        false = q @ p[2][drawn].T + p[3][drawn] - log_noise[drawn]
+        up, down = _sigmoid(-true).astype(np.float32), -_sigmoid(false).astype(np.float32)
+        q_step = up[:, None] * p[2][t] + down @ p[2][drawn]
+        rest = np.flatnonzero(x.leaves >= 0)
+        if len(rest):
+            group, own = t[rest] - stats.first_group, q[rest]
+            # Shares of a group's leaves add up to one, so group g has the numbers from g to g + 1.
+            other = np.searchsorted(cumulated, group[:, None] + rng.random((len(rest), LEAF_NOISE)))
+            other = np.clip(other, group[:, None] * n_leaves, group[:, None] * n_leaves + n_leaves - 1)
+            leaf = np.concatenate(((group * n_leaves + x.leaves[rest])[:, None], other), axis=1)
+            vectors = leaf_targets[leaf]
+            told = np.einsum("ij,ikj->ik", own, vectors) + leaf_biases[leaf] - log_leaf_noise[leaf]
+            up_down = -_sigmoid(told).astype(np.float32)
+            up_down[:, 0] += 1
+            q_step[rest] += np.einsum("ik,ikj->ij", up_down, vectors)
+            step = (up_down[:, :, None] * own[:, None, :]).reshape(-1, DIMENSIONS)
+            _step(leaf_targets, leaf_sums, leaf.ravel(), step, n)
+            _step(leaf_biases, leaf_bias_sums, leaf.ravel(), up_down.ravel(), n)
+        both = np.concatenate((t, drawn))
+        _step(p[2], sums[2], both, np.concatenate((up[:, None] * q, down.T @ q)), n)
+        _step(p[3], sums[3], both, np.concatenate((up, down.sum(axis=0))), n)
+        for k, rows in enumerate((x.w1, x.w2)):
+            _step(p[k], sums[k], rows.ravel(), np.concatenate((q_step, q_step)), n)
+
+
+def _dump(p: Parameters) -> np.ndarray:
+    return np.concatenate([x.ravel() for x in p]).astype("<f4")
+
+
+def _load(flat: np.ndarray, stats: Statistics) -> Parameters:
+    shapes = _shapes(stats)
+    ends = np.cumsum([np.prod(s) for s in shapes])
+    return [x.reshape(s) for x, s in zip(np.split(flat, ends[:-1]), shapes)]
 
 
 def _train(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stats: Statistics = shared.value
-        p, noise, seen = initial(stats), stats.noise(), 0
-        sums = [np.full(x.shape, 1e-6) for x in p]
+        p, seen = initial(stats), 0
+        sums = adagrad(p)
         for batch in batches:
             for b in _blocks(batch):
                 hi, lo, of = b.distinct()
-                classes, doc = _sequence(b, stats.classes(hi, lo)[of], 1)
-                w1, w2 = _contexts(classes, doc)
-                mine = ~b.held[doc]
-                rng = np.random.default_rng(b.number & 0xFFFFFFFF)
-                nce_epoch(p, sums, noise, w1[mine], w2[mine], classes[mine], rng)
-                seen += int(mine.sum())
+                tokens = _tokens(b, stats, stats.places(hi, lo), of)
+                tokens = tokens.where(~b.held[tokens.doc])
+                nce_epoch(p, sums, stats, tokens, np.random.default_rng(b.number & 0xFFFFFFFF))
+                seen += len(tokens.classes)
         if seen:
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "slot": pa.array([TaskContext.get().partitionId() % SLOTS], pa.int32()),
-                    "weight": [float(seen)], "parameters": [_dump(p)],
-                }
-            )
+            for k, values in enumerate(np.array_split(_dump(p), SLICES)):
+                yield pa.RecordBatch.from_pydict(
+                    {"slice": pa.array([k], pa.int32()), "weight": [float(seen)], "parameters": [values.tobytes()]}
+                )
 
     return run
 
 
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The weighted mean of all rows, one held at a time."""
-    total, weight = None, 0.0
-    for batch in batches:
-        for w, data in zip(batch["weight"].to_pylist(), batch["parameters"].to_pylist()):
-            own = np.frombuffer(data, "<f4").astype(np.float64) * w
-            total, weight = own if total is None else total + own, weight + w
-    if weight:
-        yield pa.RecordBatch.from_pydict(
-            {"slot": pa.array([0], pa.int32()), "weight": [weight], "parameters": [(total / weight).astype("<f4").tobytes()]}
-        )
+    """The weighted mean of every slice; rows come sorted by slice, one is held at a time."""
+    current, total, weight = None, None, 0.0
 
+    def mean() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict(
+            {"slice": pa.array([current], pa.int32()), "weight": [weight], "parameters": [(total / weight).astype("<f4").tobytes()]}
+        )
 
-def normalisers(p: Parameters, rows: int = 64) -> np.ndarray:
-    """Log of the normalising constant for every pair of context classes, by batched matrix products."""
-    n = len(p[3])
-    out = np.empty((n, n), np.float32)
-    for at in range(0, n, rows):
-        q = (p[0][at : at + rows, None, :] + p[1][None, :, :]).reshape(-1, DIMENSIONS)
-        z = q @ p[2][1:].T + p[3][1:]  # the start is never predicted
+    for batch in batches:
+        for k, w, data in zip(*(batch[c] for c in ("slice", "weight", "parameters"))):
+            own = np.frombuffer(data.as_buffer(), "<f4").astype(np.float64) * w.as_py()
+            if k.as_py() != current:
+                if current is not None:
+                    yield mean()
+                current, total, weight = k.as_py(), own, w.as_py()
+            else:
+                total, weight = total + own, weight + w.as_py()
+    if current is not None:
+        yield mean()
+
+
+def _log_sums(q: np.ndarray, targets: np.ndarray, biases: np.ndarray) -> np.ndarray:
+    """Log of the normalising constant for every context vector."""
+    out = np.empty(len(q), np.float32)
+    columns = np.ascontiguousarray(targets.T)
+    for at in range(0, len(q), ROWS):
+        z = q[at : at + ROWS] @ columns
+        z += biases
         top = z.max(axis=1)
-        out[at : at + rows] = (np.log(np.exp(z - top[:, None]).sum(axis=1)) + top).reshape(-1, n)
+        z -= top[:, None]
+        np.exp(z, out=z)
+        out[at : at + ROWS] = np.log(z.sum(axis=1)) + top
+    return out
+
+
+def log_probabilities(p: Parameters, stats: Statistics, tokens: Tokens) -> np.ndarray:
+    """Natural log of the normalised probability of every token's class and leaf."""
+    out = np.empty(len(tokens.classes))
+    for at in range(0, len(out), BATCH * 8):
+        x = tokens.where(slice(at, at + BATCH * 8))
+        q = context(p, x.w1, x.w2)
+        # The start is never predicted.
+        log_p = np.einsum("ij,ij->i", q, p[2][x.classes]) + p[3][x.classes] - _log_sums(q, p[2][1:], p[3][1:])
+        rest = np.flatnonzero(x.leaves >= 0)
+        rest = rest[np.argsort(x.classes[rest], kind="stable")]
+        groups, first = np.unique(x.classes[rest], return_index=True)
+        for group, own in zip(groups - stats.first_group, np.split(rest, first[1:])):
+            targets, biases, leaf = p[4][group], p[5][group], x.leaves[own]
+            log_p[own] += np.einsum("ij,ij->i", q[own], targets[leaf]) + biases[leaf] - _log_sums(q[own], targets, biases)
+        out[at : at + BATCH * 8] = log_p
+    return out
+
+
+def word_shares(stats: Statistics, tokens: Tokens, counts: np.ndarray) -> np.ndarray:
+    """Natural log of each word's smoothed share of its leaf; all words never learned share one place in every leaf."""
+    out = np.zeros(len(counts))
+    rest = np.flatnonzero(tokens.leaves >= 0)
+    at = tokens.classes[rest] - stats.first_group, tokens.leaves[rest]
+    out[rest] = np.log((counts[rest] + 0.5) / (stats.leaf_tokens[at] + 0.5 * (stats.leaf_words[at] + 1)))
     return out
 
 
 def _score(shared, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stats, p, log_z = shared.value
-        other_tokens = stats.n_tokens - stats.n_ends - int(stats.top_counts.sum())
-        other_words = stats.n_distinct - (stats.n_ends > 0) - len(stats.top_hi)
+        stats, p = shared.value
         for batch in batches:
             answers = batch["answers"].to_pylist()
             for row, b in enumerate(_blocks(batch)):
@@ -344,14 +497,9 @@ def _score(shared, parts: int):
                     x, y = np.searchsorted(part, [answer["part"], answer["part"] + 1])
                     data = np.frombuffer(zstandard.decompress(answer["totals"]), np.uint8)
                     totals[x:y] = _unplane(data, y - x, 0, ">i8")
-                own_class = stats.classes(hi, lo)
-                classes, doc = _sequence(b, own_class[of], 1)
-                counts, _ = _sequence(b, totals[of], stats.n_ends)
-                w1, w2 = _contexts(classes, doc)
-                log_p = np.einsum("ij,ij->i", p[0][w1] + p[1][w2], p[2][classes]) + p[3][classes] - log_z[w1, w2]
-                log_p = log_p / np.log(10)
-                other = classes == 2
-                log_p[other] += np.log10((counts[other] + 0.5) / (other_tokens + 0.5 * (other_words + 1)))
+                tokens = _tokens(b, stats, stats.places(hi, lo), of)
+                counts, doc = _sequence(b, totals[of], stats.n_ends)
+                log_p = (log_probabilities(p, stats, tokens) + word_shares(stats, tokens, counts)) / np.log(10)
                 base = np.log10((counts + 0.5) / (stats.n_tokens + 0.5 * (stats.n_distinct + 1)))
                 n = len(b.ids)
                 yield pa.RecordBatch.from_arrays(
@@ -381,9 +529,12 @@ def score_texts(docs: DataFrame, top_words: int = TOP_WORDS, part_bytes: int = P
     n_bytes = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     n_ends = rows.where("NOT held_out").count()
     parts = max(1, n_bytes // part_bytes)
+    # Growing with the square root of the corpus, a model per task stays small beside the task's texts.
+    group_leaves, n_rows = -(-math.isqrt(n_bytes) // (2 * GROUPS)) or 1, 2 * math.isqrt(n_bytes) + 1
+    n_leaves = GROUPS * group_leaves
     words = blocks.mapInArrow(_count_words(parts), WORD_SCHEMA)
     totals = stored(
-        words.repartition("part").sortWithinPartitions("part").mapInArrow(_sum_words(top_words), TOTAL_SCHEMA), "totals"
+        words.repartition("part").sortWithinPartitions("part").mapInArrow(_sum_words(top_words, n_leaves), TOTAL_SCHEMA), "totals"
     )
     sums = totals.agg(F.sum("n_tokens").alias("tokens"), F.sum("n_words").alias("words")).first()
     top = (
@@ -391,18 +542,25 @@ def score_texts(docs: DataFrame, top_words: int = TOP_WORDS, part_bytes: int = P
         .orderBy(F.desc("c"), "hi", "lo").limit(top_words).collect()
     )
     top = sorted((r["hi"] & 0xFFFFFFFFFFFFFFFF, r["lo"], r["c"]) for r in top)
+    top_hi = np.array([t[0] for t in top], np.uint64)
+    top_counts = np.array([t[2] for t in top], np.int64)
+    leaf = F.explode("leaves").alias("l")
+    of_leaves = totals.where("size(leaves) > 0").select(leaf).groupBy("l.leaf").agg(F.sum("l.tokens"), F.sum("l.words"))
+    sizes = np.zeros((2, n_leaves), np.int64)
+    for r in of_leaves.toLocalIterator():  # n_leaves rows at most
+        sizes[:, r[0]] = r[1:]
+    frequent = _part_of(top_hi, n_leaves)
+    sizes[0] -= np.bincount(frequent, top_counts, n_leaves).astype(np.int64)
+    sizes[1] -= np.bincount(frequent, minlength=n_leaves)
     stats = Statistics(
         (sums["tokens"] or 0) + n_ends, (sums["words"] or 0) + (n_ends > 0), n_ends,
-        np.array([t[0] for t in top], np.uint64), np.array([t[1] for t in top], np.uint64),
-        np.array([t[2] for t in top], np.int64),
+        top_hi, np.array([t[1] for t in top], np.uint64), top_counts,
+        sizes[0].reshape(GROUPS, -1), sizes[1].reshape(GROUPS, -1), n_rows,
     )
     trained = blocks.mapInArrow(_train(spark.sparkContext.broadcast(stats)), MODEL_SCHEMA)
-    averaged = trained.repartition(SLOTS, "slot").mapInArrow(_average, MODEL_SCHEMA).collect()  # SLOTS rows at most
-    weight = sum(r["weight"] for r in averaged)
-    p = initial(stats)
-    if weight:
-        mean = sum(np.frombuffer(r["parameters"], "<f4").astype(np.float64) * r["weight"] for r in averaged) / weight
-        p = _load(mean.astype("<f4").tobytes(), stats.n_classes)
-    shared = spark.sparkContext.broadcast((stats, p, normalisers(p)))
+    slices = trained.repartition(SLICES, "slice").sortWithinPartitions("slice").mapInArrow(_average, MODEL_SCHEMA)
+    mean = [np.frombuffer(r["parameters"], "<f4") for r in slices.orderBy("slice").toLocalIterator()]
+    p = _load(np.concatenate(mean), stats) if mean else initial(stats)
+    shared = spark.sparkContext.broadcast((stats, p))
     answers = totals.groupBy("block").agg(F.collect_list(F.struct("part", "totals")).alias("answers"))
     return blocks.join(answers, "block", "left").mapInArrow(_score(shared, parts), RESULT_SCHEMA)

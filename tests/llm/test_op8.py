@@ -7,7 +7,10 @@ from collections import Counter
 
 import numpy as np
 
-from loglake.llm.op8_lm_scoring import DIMENSIONS, Statistics, initial, nce_epoch, normalisers, score_texts
+from loglake.llm.op8_lm_scoring import (
+    DIMENSIONS, Block, Statistics, Tokens, _tokens, adagrad, initial, log_probabilities, nce_epoch, score_texts, word_shares,
+)
+from loglake.llm.words import split_words, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -51,32 +54,100 @@ def test_documents_beat_the_base_model(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def statistics(n):
-    return Statistics(1000, n + 2, 50, np.arange(n, dtype=np.uint64), np.zeros(n, np.uint64), np.arange(n)[::-1] + 1)
+def statistics(n, groups=3, size=4):
+    leaves = np.arange(groups * size).reshape(groups, size) + 1
+    return Statistics(
+        1000, n + 2, 50, np.arange(n, dtype=np.uint64), np.zeros(n, np.uint64), np.arange(n)[::-1] + 1, leaves, leaves // 2, 40
+    )
+
+
+def all_tokens(stats):
+    """Every token that can follow, by class and leaf."""
+    groups, size = stats.leaf_tokens.shape
+    classes = [*range(1, stats.first_group), *np.repeat(np.arange(groups) + stats.first_group, size)]
+    leaves = [*[-1] * (stats.first_group - 1), *np.tile(np.arange(size), groups)]
+    return np.array(classes), np.array(leaves)
 
 
 def test_probabilities_add_up_to_one():
+    """Over classes and leaves after any context, and over the words of a leaf with the place for unknown ones."""
     stats = statistics(20)
     p = initial(stats)
-    log_z = normalisers(p, rows=7)
-    for a in range(stats.n_classes):
-        for b in range(stats.n_classes):
-            z = (p[0][a] + p[1][b]) @ p[2][1:].T + p[3][1:]
-            assert abs(np.exp(z - log_z[a, b]).sum() - 1) < 1e-4
+    classes, leaves = all_tokens(stats)
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        rows = rng.integers(0, len(p[0]), (4, 1)).repeat(len(classes), axis=1)
+        tokens = Tokens(classes, leaves, rows[:2], rows[2:], classes)
+        assert abs(np.exp(log_probabilities(p, stats, tokens)).sum() - 1) < 1e-4
+    at = np.flatnonzero((classes == stats.first_group + 1) & (leaves == 3))  # 8 tokens, 4 words
+    one = Tokens(classes[at].repeat(5), leaves[at].repeat(5), rows[:2, :5], rows[2:, :5], at)
+    assert abs(np.exp(word_shares(stats, one, np.array([3, 2, 2, 1, 0]))).sum() - 1) < 1e-9
 
 
 def test_training_learns_a_pattern():
-    """A sequence whose next class follows from the last one."""
+    """A sequence whose next token follows from the last one, among frequent words and among leaves."""
     stats = statistics(5)
-    n = stats.n_classes
-    target = np.tile(np.arange(3, n), 4000)
-    w1, w2 = np.roll(target, 1), np.roll(target, 2)
-    p, sums = initial(stats), [np.full(x.shape, 1e-6) for x in initial(stats)]
-    assert p[0].shape == (n, DIMENSIONS)
-    noise = np.full(n, 1 / (n - 1))
-    noise[0] = 0
+    n = stats.first_group
+    classes = np.tile([2, n, 3, n + 1, 4, n, 5, n + 2], 2000)
+    leaves = np.tile([-1, 0, -1, 3, -1, 2, -1, 1], 2000)
+    rows = np.stack([np.tile(np.arange(8) + n + 1, 2000), np.tile(np.arange(8) + n + 11, 2000)])
+    tokens = Tokens(classes, leaves, np.roll(rows, 1, axis=1), np.roll(rows, 2, axis=1), classes)
+    p = initial(stats)
+    sums, before = adagrad(p), log_probabilities(p, stats, tokens).mean()
+    assert p[0].shape == (n + 41, DIMENSIONS)
     for _ in range(20):
-        nce_epoch(p, sums, noise, w1, w2, target, np.random.default_rng(0))
-    log_z = normalisers(p)
-    score = np.einsum("ij,ij->i", p[0][w1] + p[1][w2], p[2][target]) + p[3][target] - log_z[w1, w2]
-    assert score.mean() > -0.5
+        nce_epoch(p, sums, stats, tokens, np.random.default_rng(0))
+    assert before < -2 and log_probabilities(p, stats, tokens).mean() > -0.5
+
+
+def test_every_word_counts_where_it_stands(spark):
+    """Two texts that differ in the order of two rare words have different scores."""
+    rows = [(i, f"the cat sat rare{i} on the mat" if i % 7 else "the dog ran") for i in range(400)]
+    swapped = [(1000, "the rare1 cat rare2 sat"), (1001, "the rare2 cat rare1 sat")]
+    df = spark.createDataFrame(rows + swapped, "doc_id long, text string")
+    got = {r.doc_id: r for r in check_base(df, top_words=4)}
+    assert abs(got[1000].base_score - got[1001].base_score) < 1e-9
+    assert abs(got[1000].score - got[1001].score) > 1e-6
+
+
+def plain_score(p, stats, words, counts):
+    """Log10 probability of a text, token by token, with sums over every class, leaf and word place."""
+    total, before = 0.0, [tuple(stats.start)] * 2
+    for w in [*words, None]:
+        place = stats.places(*key(w))[:, 0] if w else stats.end
+        q = sum(p[k][row].astype(float) for k in (0, 1) for row in before[k])
+        z = [float(q @ p[2][c] + p[3][c]) for c in range(stats.n_classes)]
+        total += math.log10(math.exp(z[place[0]]) / sum(math.exp(x) for x in z[1:]))
+        if place[1] >= 0:
+            g = place[0] - stats.first_group
+            z = [float(q @ p[4][g, k] + p[5][g, k]) for k in range(stats.leaf_tokens.shape[1])]
+            total += math.log10(math.exp(z[place[1]]) / sum(math.exp(x) for x in z))
+            tokens, known = stats.leaf_tokens[g, place[1]], stats.leaf_words[g, place[1]]
+            total += math.log10((counts[w] + 0.5) / (tokens + 0.5 * (known + 1)))
+        before = [tuple(place[2:]), before[0]]
+    return total
+
+
+def key(word):
+    w = split_words([word])
+    return word_hashes(w), word_hashes(w, 1) >> np.uint64(32)
+
+
+def test_scores_of_a_block_against_plain_sums():
+    texts = [b"a b c a", b"", b"b x y z a", b"q"]
+    words = split_words(texts)
+    block = Block(0, np.arange(4), np.zeros(4, bool), np.zeros(4, bool), words)
+    hi, lo, of = block.distinct()
+    stats = statistics(0)
+    top = sorted(zip(*(x.tolist() for x in np.concatenate([np.array(key(w)) for w in (b"a", b"b")], axis=1))))
+    stats.top_hi, stats.top_lo = (np.array(x, np.uint64) for x in zip(*top))
+    stats.top_counts = np.array([4, 3])
+    p = initial(stats)
+    for x in p:
+        x *= 3
+    counts = {w: i % 3 for i, w in enumerate(sorted({w for t in texts for w in t.split()}))}
+    tokens = _tokens(block, stats, stats.places(hi, lo), of)
+    of_token = np.array([counts.get(w, 0) for t in texts for w in [*t.split(), b""]])
+    log_p = (log_probabilities(p, stats, tokens) + word_shares(stats, tokens, of_token)) / math.log(10)
+    got = np.bincount(tokens.doc, log_p)
+    assert np.allclose(got, [plain_score(p, stats, t.split(), counts) for t in texts], atol=1e-4)
