@@ -39,7 +39,7 @@ LEAF_NOISE = 5
 BATCH = 8192
 RATE = 0.1
 SLICES = 64
-ROWS = 1024
+ROWS = 256
 
 BLOCK_SCHEMA = "block long, ids binary, null binary, held binary, sizes binary, texts binary, n_bytes long"
 WORD_SCHEMA = "part int, block long, n int, words binary"
@@ -328,22 +328,26 @@ def initial(stats: Statistics) -> Parameters:
 
 def adagrad(p: Parameters) -> Parameters:
     """Sums of squares to start from."""
-    return [np.full(x.shape, 1e-8 if k < 2 else 1e-6) for k, x in enumerate(p)]
+    return [np.full(x.shape, 1e-8 if k < 2 else 1e-6, np.float32) for k, x in enumerate(p)]
 
 
 def context(p: Parameters, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
-    return p[0][w1[0]] + p[0][w1[1]] + p[1][w2[0]] + p[1][w2[1]]
+    q = p[0].take(w1[0], axis=0)
+    for table, rows in ((p[0], w1[1]), (p[1], w2[0]), (p[1], w2[1])):
+        q += table.take(rows, axis=0)
+    return q
 
 
 def _step(x: np.ndarray, sums: np.ndarray, rows: np.ndarray, gradient: np.ndarray, batch: int) -> None:
     """Adagrad on the rows of ``x`` that have a gradient; those of equal rows are added first."""
-    at, of = np.unique(rows, return_inverse=True)
-    if gradient.ndim == 1:
-        step = np.bincount(of, gradient) / batch
-    else:
-        step = np.stack([np.bincount(of, gradient[:, d]) for d in range(gradient.shape[1])], axis=1) / batch
-    sums[at] += step**2
-    x[at] += (RATE * step / np.sqrt(sums[at])).astype(np.float32)
+    order = np.argsort(rows)
+    ordered = rows[order]
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    at = ordered[first]
+    step = np.add.reduceat(gradient[order], first, axis=0) / np.float32(batch)
+    total = sums[at] + step**2
+    sums[at] = total
+    x[at] += RATE * step / np.sqrt(total)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -352,12 +356,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def nce_epoch(p: Parameters, sums: Parameters, stats: Statistics, tokens: Tokens, rng) -> None:
     """One pass of Adagrad over the tokens. Each batch's classes are told from NOISE classes drawn for all of it, the leaf of
-    each token from LEAF_NOISE leaves drawn from its group."""
+    each token from LEAF_NOISE leaves drawn for all of its group."""
     noise, n_leaves = stats.noise(), stats.leaf_tokens.shape[1]
     leaf_noise = stats.leaf_noise().ravel()
     cumulated = np.cumsum(leaf_noise)
-    log_noise = np.log(np.maximum(noise, 1e-12)) + np.log(NOISE)
-    log_leaf_noise = np.log(leaf_noise) + np.log(LEAF_NOISE)
+    log_noise = (np.log(np.maximum(noise, 1e-12)) + np.log(NOISE)).astype(np.float32)
+    log_leaf_noise = (np.log(leaf_noise) + np.log(LEAF_NOISE)).astype(np.float32)
     leaf_targets, leaf_biases = p[4].reshape(-1, DIMENSIONS), p[5].reshape(-1)
     leaf_sums, leaf_bias_sums = sums[4].reshape(-1, DIMENSIONS), sums[5].reshape(-1)
     for at in range(0, len(tokens.classes), BATCH):
@@ -367,23 +371,33 @@ def nce_epoch(p: Parameters, sums: Parameters, stats: Statistics, tokens: Tokens
         q = context(p, x.w1, x.w2)
         true = np.einsum("ij,ij->i", q, p[2][t]) + p[3][t] - log_noise[t]
         false = q @ p[2][drawn].T + p[3][drawn] - log_noise[drawn]
-        up, down = _sigmoid(-true).astype(np.float32), -_sigmoid(false).astype(np.float32)
+        up, down = _sigmoid(-true), -_sigmoid(false)
         q_step = up[:, None] * p[2][t] + down @ p[2][drawn]
         rest = np.flatnonzero(x.leaves >= 0)
         if len(rest):
+            # By group: its tokens lie together, and have the same drawn leaves.
+            rest = rest[np.argsort(t[rest].astype(np.int16), kind="stable")]
             group, own = t[rest] - stats.first_group, q[rest]
+            present, first = np.unique(group, return_index=True)
             # Shares of a group's leaves add up to one, so group g has the numbers from g to g + 1.
-            other = np.searchsorted(cumulated, group[:, None] + rng.random((len(rest), LEAF_NOISE)))
-            other = np.clip(other, group[:, None] * n_leaves, group[:, None] * n_leaves + n_leaves - 1)
-            leaf = np.concatenate(((group * n_leaves + x.leaves[rest])[:, None], other), axis=1)
-            vectors = leaf_targets[leaf]
-            told = np.einsum("ij,ikj->ik", own, vectors) + leaf_biases[leaf] - log_leaf_noise[leaf]
-            up_down = -_sigmoid(told).astype(np.float32)
-            up_down[:, 0] += 1
-            q_step[rest] += np.einsum("ik,ikj->ij", up_down, vectors)
-            step = (up_down[:, :, None] * own[:, None, :]).reshape(-1, DIMENSIONS)
-            _step(leaf_targets, leaf_sums, leaf.ravel(), step, n)
-            _step(leaf_biases, leaf_bias_sums, leaf.ravel(), up_down.ravel(), n)
+            other = np.searchsorted(cumulated, present[:, None] + rng.random((len(present), LEAF_NOISE)))
+            other = np.clip(other, present[:, None] * n_leaves, present[:, None] * n_leaves + n_leaves - 1)
+            leaf = group * n_leaves + x.leaves[rest]
+            vectors = leaf_targets.take(leaf, axis=0)
+            told = np.einsum("ij,ij->i", own, vectors) + leaf_biases[leaf] - log_leaf_noise[leaf]
+            up_leaf = _sigmoid(-told)
+            own_step = up_leaf[:, None] * vectors
+            steps, bias_steps = [up_leaf[:, None] * own], [up_leaf]
+            offsets = leaf_biases[other] - log_leaf_noise[other]
+            for v, offset, begin, end in zip(leaf_targets[other], offsets, first, [*first[1:], len(rest)]):
+                down_leaf = -_sigmoid(own[begin:end] @ v.T + offset)
+                own_step[begin:end] += down_leaf @ v
+                steps.append(down_leaf.T @ own[begin:end])
+                bias_steps.append(down_leaf.sum(axis=0))
+            q_step[rest] += own_step
+            leaf = np.concatenate((leaf, other.ravel()))
+            _step(leaf_targets, leaf_sums, leaf, np.concatenate(steps), n)
+            _step(leaf_biases, leaf_bias_sums, leaf, np.concatenate(bias_steps), n)
         both = np.concatenate((t, drawn))
         _step(p[2], sums[2], both, np.concatenate((up[:, None] * q, down.T @ q)), n)
         _step(p[3], sums[3], both, np.concatenate((up, down.sum(axis=0))), n)
@@ -445,16 +459,21 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _log_sums(q: np.ndarray, targets: np.ndarray, biases: np.ndarray) -> np.ndarray:
-    """Log of the normalising constant for every context vector."""
+    """Log of the normalising constant for every context vector; biases are one more column of the product."""
     out = np.empty(len(q), np.float32)
-    columns = np.ascontiguousarray(targets.T)
+    columns = np.concatenate((targets.T, biases[None])).astype(np.float32)
+    rows = np.concatenate((q, np.ones((len(q), 1), np.float32)), axis=1)
+    ones = np.ones(len(biases), np.float32)
+    largest = np.sqrt((rows**2).sum(axis=1).max(initial=0) * (columns**2).sum(axis=0).max(initial=0))
     for at in range(0, len(q), ROWS):
-        z = q[at : at + ROWS] @ columns
-        z += biases
-        top = z.max(axis=1)
-        z -= top[:, None]
+        z = rows[at : at + ROWS] @ columns
+        # No product is larger than the two lengths allow; only where that could overflow is the maximum taken out.
+        top = z.max(axis=1) if largest > 60 else None
+        if top is not None:
+            z -= top[:, None]
         np.exp(z, out=z)
-        out[at : at + ROWS] = np.log(z.sum(axis=1)) + top
+        sums = np.log(z @ ones)
+        out[at : at + ROWS] = sums if top is None else sums + top
     return out
 
 
@@ -471,7 +490,8 @@ def log_probabilities(p: Parameters, stats: Statistics, tokens: Tokens) -> np.nd
         groups, first = np.unique(x.classes[rest], return_index=True)
         for group, own in zip(groups - stats.first_group, np.split(rest, first[1:])):
             targets, biases, leaf = p[4][group], p[5][group], x.leaves[own]
-            log_p[own] += np.einsum("ij,ij->i", q[own], targets[leaf]) + biases[leaf] - _log_sums(q[own], targets, biases)
+            of_own = q[own]
+            log_p[own] += np.einsum("ij,ij->i", of_own, targets[leaf]) + biases[leaf] - _log_sums(of_own, targets, biases)
         out[at : at + BATCH * 8] = log_p
     return out
 
