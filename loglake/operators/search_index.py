@@ -55,6 +55,27 @@ def _write(df: DataFrame, root: str, segment: int | str, *partitions: str) -> No
     )
 
 
+def _text_postings(texts: DataFrame, key: list[str]) -> DataFrame:
+    """A row for each word of each text, with its places: words and places sorted as one array, cut where the word changes.
+
+    Each step is a column of its own, read by the next; the outer form of `inline` keeps Spark from adding a filter that would
+    work all of them out once more.
+    """
+    word = F.transform(F.split(F.lower("text"), _WORDS), lambda w, i: F.struct(w.alias("term"), i.alias("place")))
+    sorted_words = F.sort_array(F.filter(word, lambda x: x["term"] != "")).alias("words")
+    rows = texts.select(*key, "field", F.length("text").alias("length"), sorted_words)
+    first = F.transform("words", lambda x, i: F.when((i == 0) | (x["term"] != F.get("words", i - 1)["term"]), i))
+    rows = rows.select("*", F.filter(first, lambda i: i.isNotNull()).alias("firsts"))
+
+    def posting(at: Column, k: Column) -> Column:
+        n = F.coalesce(F.get("firsts", k + 1), F.size("words")) - at
+        places = F.transform(F.slice("words", at + 1, n), lambda x: x["place"])
+        return F.struct(F.get("words", at)["term"].alias("term"), places.alias("places"))
+
+    found = rows.select(*key, "field", "length", F.inline_outer(F.transform("firsts", posting)))
+    return found.where("term IS NOT NULL").select(*key, "field", "term", "length", "places")
+
+
 def index_batch(
     df: DataFrame, root: str, segment: int | str, key: list[str], fields: Column, stored: tuple[str, ...] = ()
 ) -> None:
@@ -63,12 +84,19 @@ def index_batch(
     hits can be shown and sorted. A repeated batch replaces its segment."""
     given = df.select(*key, fields.alias("fields"), *stored)
     texts = given.select(*key, F.inline("fields")).where("text IS NOT NULL")
-    words = texts.select(*key, "field", F.length("text").alias("length"), F.posexplode(F.split(F.lower("text"), _WORDS)).alias("place", "term"))
-    postings = (
-        words.where("term <> ''")
-        .groupBy(*key, "field", "term")
-        .agg(F.first("length").alias("length"), F.array_sort(F.collect_list("place")).alias("places"))
-    )
+    # A text is grouped by its words where it lies. Only entries that come more than once are brought together.
+    again = texts.groupBy(*key, "field").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    if again.isEmpty():
+        postings = _text_postings(texts, key)
+    else:
+        same = F.expr(" AND ".join(f"t.`{c}` <=> a.`{c}`" for c in (*key, "field")))
+        once, more = (texts.alias("t").join(again.alias("a"), same, how) for how in ("left_anti", "left_semi"))
+        together = (
+            _text_postings(more, key)
+            .groupBy(*key, "field", "term")
+            .agg(F.first("length").alias("length"), F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
+        )
+        postings = _text_postings(once, key).unionByName(together)
     bucket = _bucket(F.col("term")).alias("bucket")
     placed = postings.select("*", bucket).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "field")
     _write(placed, f"{root}/postings", segment, "bucket")

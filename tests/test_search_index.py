@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,3 +78,48 @@ def test_an_empty_batch(spark, data):
     I.index_batch(data.limit(0), root, 0, ["id"], I.log_fields(data))
     I.index_batch(data, root, 1, ["id"], I.log_fields(data))
     assert I.matching(I.Index(spark, root, "id string"), "alpha").count()
+
+
+def _postings(rows: list[tuple[int | None, str | None]]) -> dict:
+    """Word places by key and word, of all texts with that key."""
+    out: dict = {}
+    for key, text in rows:
+        for place, word in enumerate(re.split(r"[^\w]+", (text or "").lower())):
+            if word:
+                out.setdefault((key, word), []).append(place)
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def _texts(spark, rows):
+    texts = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    return texts.select("id", F.lit("text").alias("field"), "text").where("text IS NOT NULL")
+
+
+ONCE = [(1, "b a, a C  b"), (2, "über x_1 42"), (3, ""), (4, None), (5, " ,; "), (6, "a"), (None, "a b")]
+
+
+def test_texts_are_grouped_without_a_shuffle(spark):
+    found = I._text_postings(_texts(spark, ONCE).coalesce(2), ["id"])
+    got = found.collect()
+    assert {(r.id, r.term): r.places for r in got} == _postings(ONCE) and len(got) == len(_postings(ONCE))
+    assert {(r.id, r.length) for r in got} == {(k, len(t)) for k, t in ONCE if t and re.search(r"\w", t)}
+    plan = I._text_postings(spark.table(_parquet(spark, ONCE)), ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+
+
+def _parquet(spark, rows) -> str:
+    path = new_path(spark, "texts")
+    _texts(spark, rows).write.parquet(path)
+    spark.read.parquet(path).createOrReplaceTempView("stored_texts")
+    return "stored_texts"
+
+
+def test_entries_that_come_more_than_once_have_one_posting(spark):
+    rows = [*ONCE, (1, "a d b"), (None, "b"), (None, "b"), (7, "z"), (7, None)]
+    root = new_path(spark, "index")
+    I.index_batch(spark.createDataFrame(rows, "id long, text string"), root, 0, ["id"], I.text_field("text"))
+    index = I.Index(spark, root, "id long")
+    got = index.table("postings").collect()
+    assert {(r.id, r.term): r.places for r in got} == _postings(rows) and len(got) == len(_postings(rows))
+    words = {r.term: r.entries for r in index.table("dictionary").collect()}
+    assert words == Counter(word for _, word in _postings(rows))
