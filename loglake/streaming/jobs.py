@@ -27,6 +27,8 @@ from loglake.sources.files import STREAMED, path_exists
 AVAILABLE_NOW = {"availableNow": True}
 FLUSH_EVERY_5S = {"processingTime": "5 seconds"}
 FLUSH_ROWS = 1000
+# Tasks that write a batch's rows of one tenant-hour. A cluster's number of tasks would divide every hour to a few rows a file.
+HOUR_TASKS = 4
 
 
 def file_stream(
@@ -60,7 +62,7 @@ def dedup_stream(df: DataFrame, ttl: str = "24 hours", ts: str = "ingested_at",
 
 def ingest_stream(
     dtos: DataFrame, tenant: Column | str, as_of, ingested_at, root: str, checkpoint: str,
-    ttl: str = "24 hours", trigger: dict = AVAILABLE_NOW, max_rows_per_file: int = 0, mode: str = "Push", spread: int | None = None,
+    ttl: str = "24 hours", trigger: dict = AVAILABLE_NOW, max_rows_per_file: int = 0, mode: str = "Push", spread: int = HOUR_TASKS,
 ) -> StreamingQuery:
     """Validate, normalise, de-duplicate and append to the archive. The file sink commits each batch once.
 
@@ -68,11 +70,11 @@ def ingest_stream(
     Streamed files live in a folder of their own below the root, whose commit log does not hide what batch jobs
     write; `read_archive` reads both. Rejected entries are the business of `quarantine_stream`, a second query on the
     same input. Rows are brought together by table partition to keep the number of files down; a tenant-hour is
-    divided over up to `spread` tasks (all of the shuffle), since adaptive splitting does not apply to streams.
+    divided over up to `spread` tasks, since adaptive splitting does not apply to streams. Each of them writes files of
+    its own, however few its rows.
     """
     as_of = F.current_timestamp() if as_of is None else as_of
     ingested_at = F.current_timestamp() if ingested_at is None else ingested_at
-    spread = spread or int(dtos.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     accepted, _ = split_valid(validate_entries(dtos, as_of))
     entries = dedup_stream(to_entries(accepted, tenant, mode, ingested_at), ttl)
     rows = entries.withColumn("timestamp", F.timestamp_millis("timestamp_unix_ms"))

@@ -13,6 +13,7 @@ from loglake.operators.ingest import validate_entries
 from loglake.plans import all_queries
 from loglake.session import new_path
 from loglake.sinks import tables as K
+from loglake.sources.files import STREAMED
 from loglake.streaming import jobs as J
 
 T0 = dt.datetime(2024, 1, 1)
@@ -124,5 +125,18 @@ def test_quota_counts_every_sliding_window(spark):
     assert got == want
 
 
+def test_a_tenant_hour_is_not_divided_over_the_whole_shuffle(spark):
+    """Files follow the rows, not the number of shuffle partitions."""
+    landed, root = new_path(spark, "landed"), new_path(spark, "archive")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.LOG_ENTRY_DTO)
+    row = {"source_id": "svc", "log_type": "Application", "level": "Information", "environment": "prod", "timestamp": T0, "message": "m"}
+    rows = [tuple(({"id": f"e{i}"} | row).get(f.name) for f in schema.LOG_ENTRY_DTO) for i in range(400)]
+    spark.createDataFrame(rows, kinds).coalesce(1).write.parquet(landed)
+    incoming = J.file_stream(spark, landed, spark.read.parquet(landed).schema)
+    J.ingest_stream(incoming, F.lit("t"), str(T0), None, root, new_path(spark, "ckpt")).awaitTermination()
+    files = spark.read.parquet(f"{root}/{STREAMED}").groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in files) == 400 and len(files) <= J.HOUR_TASKS < int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_registered_streams_exist():
     assert [n for n in all_queries()[0] if n.startswith("t")]
