@@ -12,11 +12,15 @@ from pyspark.errors import PySparkException
 from loglake.operators.aggregates import exact_percentile, histogram_quantile
 from loglake.operators.joins import densify
 from loglake.operators.replay import replay_prefixes
+from loglake.plans import all_queries
 from loglake.session import new_path
 from loglake.sinks.tables import fan_out
 from loglake.sources import files as S
 
 
+T0 = dt.datetime(2024, 1, 1)
+
+
 def entry(i, **more):
     return {"id": str(i), "source_id": "s", "log_type": "Error", "level": "Error", "environment": "test", "timestamp_unix_ms": 1711372800000 + i,
             "message": "ok", "tenant_id": "source-tenant", **more}
@@ -60,6 +64,19 @@ def test_json_array(spark, tmp_path):
     assert {r.tenant_id for r in S.read_json_array(spark, str(tmp_path), "tenant-1").collect()} == {"tenant-1"}
 
 
+def test_json_pages_are_files_of_one_folder(spark, tmp_path):
+    """The registered query's input: a page of at most a hundred entries a file, and no folder for each."""
+    times = [T0 + dt.timedelta(minutes=i) for i in range(950)]
+    rows = [(i, times[i], i % 7, "view" if i % 2 else "error", float(i), f'{{"k": {i % 9}}}') for i in range(950)]
+    kinds = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, kinds).write.parquet(str(tmp_path / "events.parquet"))
+    read = all_queries()[0]["s3_read_json_array"](spark, str(tmp_path))
+    assert sorted(int(r.id) for r in read.collect()) == list(range(950))
+    files = [f.removeprefix("file:") for f in read.inputFiles()]
+    assert len(files) == 10 and len({os.path.dirname(f) for f in files}) == 1
+    assert all(len(json.loads(open(f).read())) <= 100 for f in files)
+
+
 def test_merged_versions_and_conflicts(spark):
     a, b, c = (new_path(spark, "v") for _ in range(3))
     spark.createDataFrame([(1,)], "id int").write.parquet(a)
