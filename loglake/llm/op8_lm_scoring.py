@@ -5,8 +5,9 @@
    every block the totals of its words. Nothing is counted on a sample.
 2. The model covers all words. A word before a token gives a context vector of its own: the 512 most frequent training
    words have a row each, any other word is the sum of two rows that its hashes choose. The token is predicted in steps:
-   its class - a frequent word, the end, or one of 64 groups of the other words -, then the leaf of the group, then the
-   word by its smoothed share of the leaf's training tokens. Rows and leaves grow with the square root of the corpus.
+   its class - a frequent word, the end, or one of 64 or more groups of the other words -, then the leaf of the group, then
+   the word by its smoothed share of the leaf's training tokens. Rows and leaves grow with the square root of the corpus,
+   the groups and the leaves of one with its fourth root.
 3. Every task trains the model on its training documents with noise samples; the parameters are averaged by slices.
 4. A text's score adds up the normalised log-probabilities: batched matrix products of the context vectors with all
    classes, and with all leaves of the token's group, give the normalising constants.
@@ -39,7 +40,8 @@ LEAF_NOISE = 5
 BATCH = 8192
 RATE = 0.1
 SLICES = 64
-ROWS = 256
+PIECE = 32
+CELLS = 1 << 15
 
 BLOCK_SCHEMA = "block long, ids binary, null binary, held binary, sizes binary, texts binary, n_bytes long"
 WORD_SCHEMA = "part int, block long, n int, words binary"
@@ -64,12 +66,23 @@ class Block:
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys of the distinct words, 64 and 32 bits, ascending, and the number of each word's key."""
         h = word_hashes(self.words)
-        hi, first, of = np.unique(h, return_index=True, return_inverse=True)
+        order = np.argsort(h)
+        ordered = h[order]
+        new = _changes(ordered)
+        hi, first, of = ordered[new], order[new], np.empty(len(h), np.int64)
+        of[order] = np.cumsum(new) - 1
         w = self.words
         chosen = Words(w.buf, w.start[first], w.end[first], w.doc[first], w.n_docs)
         return hi, word_hashes(chosen, 1) >> np.uint64(32), of
 
 
+def _changes(ordered: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before it."""
+    new = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return new
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block = TaskContext.get().partitionId() << 32
     for batch in batches:
@@ -311,6 +324,14 @@ def _tokens(b: Block, stats: Statistics, places: np.ndarray, of: np.ndarray) ->
 Parameters = list[np.ndarray]
 
 
+def leaf_shape(n_bytes: int) -> tuple[int, int]:
+    """Groups, and leaves of each. A token's class is one of all groups, its leaf one of its group's: beyond GROUPS both
+    grow with the fourth root of the corpus, their product with the square root."""
+    root = math.isqrt(n_bytes)
+    groups = max(GROUPS, math.isqrt(root // 2))
+    return groups, -(-root // (2 * groups)) or 1
+
+
 def _shapes(stats: Statistics) -> list[tuple[int, ...]]:
     contexts = (stats.first_group + 1 + stats.n_rows, DIMENSIONS)
     leaves = stats.leaf_tokens.shape
@@ -338,20 +359,47 @@ def context(p: Parameters, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
     return q
 
 
-def _step(x: np.ndarray, sums: np.ndarray, rows: np.ndarray, gradient: np.ndarray, batch: int) -> None:
-    """Adagrad on the rows of ``x`` that have a gradient; those of equal rows are added first."""
-    order = np.argsort(rows)
-    ordered = rows[order]
-    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    at = ordered[first]
-    step = np.add.reduceat(gradient[order], first, axis=0) / np.float32(batch)
-    total = sums[at] + step**2
+def _sum_rows(rows: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, ascending, and the sum of the gradients of each; only rows that come more than once are added up."""
+    # Sorting row and position as one number is several times as fast as argsort.
+    order = np.sort(rows.astype(np.int64) << 32 | np.arange(len(rows)))
+    ordered = order >> 32
+    gradient = gradient.take(order & 0xFFFFFFFF, axis=0)
+    first = np.flatnonzero(_changes(ordered))
+    n = np.diff(first, append=len(rows))
+    out = gradient.take(first, axis=0)
+    many = np.flatnonzero(n > 1)
+    if len(many):
+        chosen = np.flatnonzero(np.repeat(n > 1, n))
+        out[many] = np.add.reduceat(gradient.take(chosen, axis=0), np.cumsum(n[many]) - n[many], axis=0)
+    return ordered.take(first), out
+
+
+def _step(x: np.ndarray, sums: np.ndarray, at: np.ndarray, step: np.ndarray) -> None:
+    """Adagrad on the rows ``at`` of ``x``, all different."""
+    total = sums.take(at, axis=0)
+    total += step * step
     sums[at] = total
-    x[at] += RATE * step / np.sqrt(total)
+    np.sqrt(total, out=total)
+    np.divide(step, total, out=total)
+    total *= RATE
+    total += x.take(at, axis=0)
+    x[at] = total
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(np.clip(-x, -30, 30)))
+    out = np.clip(x, -30, 30)
+    np.negative(out, out=out)
+    np.exp(out, out=out)
+    out += 1
+    return np.reciprocal(out, out=out)
+
+
+def _with_ones(q: np.ndarray) -> np.ndarray:
+    """One more column, to which the gradients of biases belong."""
+    out = np.ones((len(q), q.shape[1] + 1), np.float32)
+    out[:, :-1] = q
+    return out
 
 
 def nce_epoch(p: Parameters, sums: Parameters, stats: Statistics, tokens: Tokens, rng) -> None:
@@ -364,45 +412,57 @@ def nce_epoch(p: Parameters, sums: Parameters, stats: Statistics, tokens: Tokens
     log_leaf_noise = (np.log(leaf_noise) + np.log(LEAF_NOISE)).astype(np.float32)
     leaf_targets, leaf_biases = p[4].reshape(-1, DIMENSIONS), p[5].reshape(-1)
     leaf_sums, leaf_bias_sums = sums[4].reshape(-1, DIMENSIONS), sums[5].reshape(-1)
+
+    def step(x: np.ndarray, x_sums: np.ndarray, bias: np.ndarray, bias_sums: np.ndarray, rows, gradient) -> None:
+        at, total = _sum_rows(np.concatenate(rows), np.concatenate(gradient))
+        total /= np.float32(n)
+        _step(x, x_sums, at, total[:, :-1])
+        _step(bias, bias_sums, at, total[:, -1])
+
     for at in range(0, len(tokens.classes), BATCH):
         x = tokens.where(slice(at, at + BATCH))
         t, n = x.classes, len(x.classes)
         drawn = rng.choice(len(noise), NOISE, p=noise)
         q = context(p, x.w1, x.w2)
-        true = np.einsum("ij,ij->i", q, p[2][t]) + p[3][t] - log_noise[t]
-        false = q @ p[2][drawn].T + p[3][drawn] - log_noise[drawn]
-        up, down = _sigmoid(-true), -_sigmoid(false)
-        q_step = up[:, None] * p[2][t] + down @ p[2][drawn]
+        offsets = p[3] - log_noise
+        vectors, others = p[2].take(t, axis=0), p[2].take(drawn, axis=0)
+        up = _sigmoid(-np.einsum("ij,ij->i", q, vectors) - offsets.take(t))
+        down = -_sigmoid(q @ others.T + offsets.take(drawn))
+        q_step = up[:, None] * vectors + down @ others
+        ones = _with_ones(q)
         rest = np.flatnonzero(x.leaves >= 0)
         if len(rest):
             # By group: its tokens lie together, and have the same drawn leaves.
             rest = rest[np.argsort(t[rest].astype(np.int16), kind="stable")]
-            group, own = t[rest] - stats.first_group, q[rest]
-            present, first = np.unique(group, return_index=True)
+            group, own = t[rest] - stats.first_group, ones.take(rest, axis=0)
+            first = np.flatnonzero(_changes(group))
+            present, n_own = group[first], np.diff(first, append=len(rest))
             # Shares of a group's leaves add up to one, so group g has the numbers from g to g + 1.
             other = np.searchsorted(cumulated, present[:, None] + rng.random((len(present), LEAF_NOISE)))
             other = np.clip(other, present[:, None] * n_leaves, present[:, None] * n_leaves + n_leaves - 1)
             leaf = group * n_leaves + x.leaves[rest]
             vectors = leaf_targets.take(leaf, axis=0)
-            told = np.einsum("ij,ij->i", own, vectors) + leaf_biases[leaf] - log_leaf_noise[leaf]
-            up_leaf = _sigmoid(-told)
+            offset = leaf_biases.take(leaf) - log_leaf_noise.take(leaf)
+            up_leaf = _sigmoid(-np.einsum("ij,ij->i", own[:, :-1], vectors) - offset)
             own_step = up_leaf[:, None] * vectors
-            steps, bias_steps = [up_leaf[:, None] * own], [up_leaf]
-            offsets = leaf_biases[other] - log_leaf_noise[other]
-            for v, offset, begin, end in zip(leaf_targets[other], offsets, first, [*first[1:], len(rest)]):
-                down_leaf = -_sigmoid(own[begin:end] @ v.T + offset)
-                own_step[begin:end] += down_leaf @ v
-                steps.append(down_leaf.T @ own[begin:end])
-                bias_steps.append(down_leaf.sum(axis=0))
+            # Groups are cut into pieces of equal length, the last filled with zeros, so that one product has them all.
+            pieces = -(-n_own // PIECE)
+            place = np.repeat((np.cumsum(pieces) - pieces) * PIECE - first, n_own) + np.arange(len(rest))
+            padded = np.zeros((pieces.sum() * PIECE, own.shape[1]), np.float32)
+            padded[place] = own
+            padded = padded.reshape(-1, PIECE, own.shape[1])
+            other = other.repeat(pieces, axis=0)
+            offset = leaf_biases[other] - log_leaf_noise[other]
+            others = np.concatenate((leaf_targets[other], offset[..., None]), axis=2)
+            down_leaf = -_sigmoid(padded @ others.transpose(0, 2, 1))
+            own_step += (down_leaf @ others[..., :-1]).reshape(-1, DIMENSIONS).take(place, axis=0)
             q_step[rest] += own_step
-            leaf = np.concatenate((leaf, other.ravel()))
-            _step(leaf_targets, leaf_sums, leaf, np.concatenate(steps), n)
-            _step(leaf_biases, leaf_bias_sums, leaf, np.concatenate(bias_steps), n)
-        both = np.concatenate((t, drawn))
-        _step(p[2], sums[2], both, np.concatenate((up[:, None] * q, down.T @ q)), n)
-        _step(p[3], sums[3], both, np.concatenate((up, down.sum(axis=0))), n)
+            steps = (down_leaf.transpose(0, 2, 1) @ padded).reshape(-1, own.shape[1])
+            step(leaf_targets, leaf_sums, leaf_biases, leaf_bias_sums, (leaf, other.ravel()), (up_leaf[:, None] * own, steps))
+        step(p[2], sums[2], p[3], sums[3], (t, drawn), (up[:, None] * ones, down.T @ ones))
+        q_step /= np.float32(n)
         for k, rows in enumerate((x.w1, x.w2)):
-            _step(p[k], sums[k], rows.ravel(), np.concatenate((q_step, q_step)), n)
+            _step(p[k], sums[k], *_sum_rows(rows.ravel(), np.concatenate((q_step, q_step))))
 
 
 def _dump(p: Parameters) -> np.ndarray:
@@ -459,39 +519,45 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _log_sums(q: np.ndarray, targets: np.ndarray, biases: np.ndarray) -> np.ndarray:
-    """Log of the normalising constant for every context vector; biases are one more column of the product."""
+    """Log of the normalising constant for every context vector."""
     out = np.empty(len(q), np.float32)
-    columns = np.concatenate((targets.T, biases[None])).astype(np.float32)
-    rows = np.concatenate((q, np.ones((len(q), 1), np.float32)), axis=1)
-    ones = np.ones(len(biases), np.float32)
-    largest = np.sqrt((rows**2).sum(axis=1).max(initial=0) * (columns**2).sum(axis=0).max(initial=0))
-    for at in range(0, len(q), ROWS):
-        z = rows[at : at + ROWS] @ columns
-        # No product is larger than the two lengths allow; only where that could overflow is the maximum taken out.
-        top = z.max(axis=1) if largest > 60 else None
-        if top is not None:
-            z -= top[:, None]
-        np.exp(z, out=z)
-        sums = np.log(z @ ones)
-        out[at : at + ROWS] = sums if top is None else sums + top
-    return out
+    # No product is larger than the two lengths allow; only where that could overflow is the maximum taken out.
+    largest = math.sqrt(np.einsum("ij,ij->i", q, q).max(initial=0) * np.einsum("ij,ij->i", targets, targets).max(initial=0))
+    small = largest + np.abs(biases).max(initial=0) < 60
+    # exp2 of products that have the factor already takes half the time of exp.
+    columns = np.ascontiguousarray(targets.T * np.float32(math.log2(math.e) if small else 1))
+    weights = np.exp(biases) if small else None
+    rows = max(1, CELLS // len(biases))
+    for at in range(0, len(q), rows):
+        z = q[at : at + rows] @ columns
+        if small:
+            np.exp2(z, out=z)
+            np.dot(z, weights, out=out[at : at + rows])
+        else:
+            z += biases
+            top = z.max(axis=1)
+            out[at : at + rows] = np.log(np.exp(z - top[:, None]).sum(axis=1)) + top
+    return np.log(out, out=out) if small else out
 
 
 def log_probabilities(p: Parameters, stats: Statistics, tokens: Tokens) -> np.ndarray:
     """Natural log of the normalised probability of every token's class and leaf."""
     out = np.empty(len(tokens.classes))
+    leaf_targets, leaf_biases = p[4].reshape(-1, DIMENSIONS), p[5].reshape(-1)
     for at in range(0, len(out), BATCH * 8):
         x = tokens.where(slice(at, at + BATCH * 8))
         q = context(p, x.w1, x.w2)
         # The start is never predicted.
-        log_p = np.einsum("ij,ij->i", q, p[2][x.classes]) + p[3][x.classes] - _log_sums(q, p[2][1:], p[3][1:])
+        log_p = np.einsum("ij,ij->i", q, p[2].take(x.classes, axis=0)) + p[3].take(x.classes) - _log_sums(q, p[2][1:], p[3][1:])
         rest = np.flatnonzero(x.leaves >= 0)
-        rest = rest[np.argsort(x.classes[rest], kind="stable")]
-        groups, first = np.unique(x.classes[rest], return_index=True)
-        for group, own in zip(groups - stats.first_group, np.split(rest, first[1:])):
-            targets, biases, leaf = p[4][group], p[5][group], x.leaves[own]
-            of_own = q[own]
-            log_p[own] += np.einsum("ij,ij->i", of_own, targets[leaf]) + biases[leaf] - _log_sums(of_own, targets, biases)
+        rest = rest[np.argsort(x.classes[rest].astype(np.int16), kind="stable")]
+        group, own = x.classes[rest] - stats.first_group, q.take(rest, axis=0)
+        leaf = group * p[5].shape[1] + x.leaves[rest]
+        first = np.flatnonzero(_changes(group))
+        of_leaf = np.einsum("ij,ij->i", own, leaf_targets.take(leaf, axis=0)) + leaf_biases.take(leaf)
+        for g, begin, end in zip(group[first], first, [*first[1:], len(rest)]):
+            of_leaf[begin:end] -= _log_sums(own[begin:end], p[4][g], p[5][g])
+        log_p[rest] += of_leaf
         out[at : at + BATCH * 8] = log_p
     return out
 
@@ -550,8 +616,8 @@ def score_texts(docs: DataFrame, top_words: int = TOP_WORDS, part_bytes: int = P
     n_ends = rows.where("NOT held_out").count()
     parts = max(1, n_bytes // part_bytes)
     # Growing with the square root of the corpus, a model per task stays small beside the task's texts.
-    group_leaves, n_rows = -(-math.isqrt(n_bytes) // (2 * GROUPS)) or 1, 2 * math.isqrt(n_bytes) + 1
-    n_leaves = GROUPS * group_leaves
+    (groups, group_leaves), n_rows = leaf_shape(n_bytes), 2 * math.isqrt(n_bytes) + 1
+    n_leaves = groups * group_leaves
     words = blocks.mapInArrow(_count_words(parts), WORD_SCHEMA)
     totals = stored(
         words.repartition("part").sortWithinPartitions("part").mapInArrow(_sum_words(top_words, n_leaves), TOTAL_SCHEMA), "totals"
@@ -575,7 +641,7 @@ def score_texts(docs: DataFrame, top_words: int = TOP_WORDS, part_bytes: int = P
     stats = Statistics(
         (sums["tokens"] or 0) + n_ends, (sums["words"] or 0) + (n_ends > 0), n_ends,
         top_hi, np.array([t[1] for t in top], np.uint64), top_counts,
-        sizes[0].reshape(GROUPS, -1), sizes[1].reshape(GROUPS, -1), n_rows,
+        sizes[0].reshape(groups, -1), sizes[1].reshape(groups, -1), n_rows,
     )
     trained = blocks.mapInArrow(_train(spark.sparkContext.broadcast(stats)), MODEL_SCHEMA)
     slices = trained.repartition(SLICES, "slice").sortWithinPartitions("slice").mapInArrow(_average, MODEL_SCHEMA)

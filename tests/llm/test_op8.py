@@ -8,7 +8,8 @@ from collections import Counter
 import numpy as np
 
 from loglake.llm.op8_lm_scoring import (
-    DIMENSIONS, Block, Statistics, Tokens, _tokens, adagrad, initial, log_probabilities, nce_epoch, score_texts, word_shares,
+    DIMENSIONS, GROUPS, LEAF_NOISE, NOISE, RATE, Block, Statistics, Tokens, _log_sums, _sum_rows, _tokens, adagrad, initial,
+    leaf_shape, log_probabilities, nce_epoch, score_texts, word_shares,
 )
 from loglake.llm.words import split_words, word_hashes
 
@@ -151,3 +152,85 @@ def test_scores_of_a_block_against_plain_sums():
     log_p = (log_probabilities(p, stats, tokens) + word_shares(stats, tokens, of_token)) / math.log(10)
     got = np.bincount(tokens.doc, log_p)
     assert np.allclose(got, [plain_score(p, stats, t.split(), counts) for t in texts], atol=1e-4)
+
+
+def test_work_for_a_token_grows_slower_than_the_leaves():
+    """All leaves stay, and a token is compared with few more groups and leaves in 60 times the text."""
+    for n_bytes in (0, 1, 10**4, 25 * 10**6, 864 * 10**6, 50 * 10**9):
+        groups, leaves = leaf_shape(n_bytes)
+        assert groups >= GROUPS and groups * leaves * 2 >= math.isqrt(n_bytes)
+        assert groups * leaves <= math.isqrt(n_bytes) // 2 + 2 * groups
+    small, large = sum(leaf_shape(864 * 10**6)), sum(leaf_shape(50 * 10**9))
+    assert large <= 3 * small and large <= 700
+
+
+def test_sums_of_rows():
+    rng = np.random.default_rng(5)
+    for n in (1, 7, 500):
+        rows, gradient = rng.integers(0, 60, n), rng.normal(size=(n, 3)).astype(np.float32)
+        want = np.zeros((60, 3))
+        np.add.at(want, rows, gradient)
+        at, got = _sum_rows(rows, gradient)
+        assert at.tolist() == sorted(set(rows.tolist())) and np.allclose(got, want[at], atol=1e-5)
+
+
+def test_normalising_sums_of_any_size():
+    """Also where the products or the biases are too large for exp."""
+    rng = np.random.default_rng(6)
+    q, targets = rng.normal(size=(2000, DIMENSIONS)), rng.normal(size=(70, DIMENSIONS))
+    for scale, bias in ((1, 1), (0, 0), (100, 1), (1, 500), (1, -500), (100, -500)):
+        x, y = (scale * q).astype(np.float32), targets.astype(np.float32)
+        b = (rng.normal(size=70) + bias).astype(np.float32)
+        z = x.astype(float) @ y.T.astype(float) + b
+        top = z.max(axis=1)
+        assert np.allclose(_log_sums(x, y, b), np.log(np.exp(z - top[:, None]).sum(axis=1)) + top, rtol=1e-4, atol=1e-3)
+
+
+def plain_batch(p, sums, stats, tokens, rng):
+    """A batch of noise-contrastive estimation, token by token."""
+    n, size = len(tokens.classes), stats.leaf_tokens.shape[1]
+    noise, leaf_noise = stats.noise(), stats.leaf_noise()
+    drawn = rng.choice(len(noise), NOISE, p=noise)
+    present = sorted({c - stats.first_group for c, leaf in zip(tokens.classes, tokens.leaves) if leaf >= 0})
+    draws = rng.random((len(present), LEAF_NOISE))
+    other = {g: np.minimum(np.searchsorted(np.cumsum(leaf_noise[g]), d), size - 1) for g, d in zip(present, draws)}
+    steps = [np.zeros(x.shape) for x in p]
+    for i in range(n):
+        context = [(0, tokens.w1[0, i]), (0, tokens.w1[1, i]), (1, tokens.w2[0, i]), (1, tokens.w2[1, i])]
+        q = sum(p[k][row].astype(float) for k, row in context)
+        told = [(2, 3, (c,), math.log(NOISE * max(noise[c], 1e-12)), y) for c, y in [(tokens.classes[i], 1), *((c, 0) for c in drawn)]]
+        if tokens.leaves[i] >= 0:
+            g = tokens.classes[i] - stats.first_group
+            leaves = [(tokens.leaves[i], 1), *((leaf, 0) for leaf in other[g])]
+            told += [(4, 5, (g, leaf), math.log(LEAF_NOISE * leaf_noise[g, leaf]), y) for leaf, y in leaves]
+        q_step = np.zeros(DIMENSIONS)
+        for targets, biases, at, log_noise, y in told:
+            by = y - 1 / (1 + math.exp(-(q @ p[targets][at] + p[biases][at] - log_noise)))
+            q_step += by * p[targets][at]
+            steps[targets][at] += by * q / n
+            steps[biases][at] += by / n
+        for k, row in context:
+            steps[k][row] += q_step / n
+    for x, total, step in zip(p, sums, steps):
+        total += step**2
+        x += RATE * step / np.sqrt(total)
+
+
+def test_a_batch_of_training_against_plain_sums():
+    """Groups of no, few and many tokens; words that come once and often."""
+    stats = statistics(5, groups=4, size=6)
+    rng = np.random.default_rng(9)
+    classes = rng.choice(stats.n_classes - 2, 400, p=[0, *[0.05] * 6, 0.65, 0.05]) + 0
+    leaves = np.where(classes >= stats.first_group, rng.integers(0, 6, 400), -1)
+    rows = rng.integers(0, stats.first_group + 41, (4, 400))
+    rows[:, ::2] = 3
+    tokens = Tokens(classes, leaves, rows[:2], rows[2:], np.zeros(400, int))
+    got, want = initial(stats), [x.astype(float) for x in initial(stats)]
+    sums, plain_sums = adagrad(got), [x.astype(float) for x in adagrad(want)]
+    nce_epoch(got, sums, stats, tokens, np.random.default_rng(1))
+    plain_batch(want, plain_sums, stats, tokens, np.random.default_rng(1))
+    # The first step of Adagrad is nearly the sign of the gradient, so sums are compared, and steps that are not tiny.
+    for k in range(6):
+        assert np.allclose(sums[k], plain_sums[k], rtol=1e-3, atol=1e-9)
+        clear = plain_sums[k] > 1e-5
+        assert np.allclose(got[k][clear], want[k][clear], atol=1e-3)
